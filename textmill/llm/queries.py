@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import chat, exact_dedup, packing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.query}
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.query,
+    "op3_chat_examples": chat.query,
+    "op5_best_fit_packing": packing.query,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op3_chat_examples": chat.SQL,
+}
