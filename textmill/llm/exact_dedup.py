@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, saved, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Each partition has a store of its own; without fallocate a small one takes little disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hit digests that a task may hold as a hash table (8 bytes each); with more of them the join shuffles.
 BROADCAST_HITS = 1_000_000
 
@@ -60,9 +64,9 @@ def seen(spark: SparkSession, landed: str, schema, checkpoint: str | None = None
     With the checkpoint of an earlier run only files that are new since then pass, and only digests they touch come out.
     """
     out = new_path(spark, "seen")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landed)
         state = stream.groupBy("digest").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "locator")).alias("first"))
@@ -73,10 +77,8 @@ def seen(spark: SparkSession, landed: str, schema, checkpoint: str | None = None
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint or new_path(spark, "state")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     # a digest has a row for each batch that changed it; both values only move one way
     return spark.read.schema(state.schema).parquet(out).groupBy("digest").agg(F.max("rows").alias("rows"), F.min("first").alias("first"))
 
