@@ -1,12 +1,11 @@
 import hashlib
 import random
 
-import pyarrow as pa
 import pytest
 
 from textmill.llm import byte_dedup as B
-from textmill.llm import shared
 from textmill.llm import word_dedup as W
+from textmill.llm.phrases import repeated
 
 
 def brute_bytes(rows, length):
@@ -74,16 +73,13 @@ def test_words(spark, length, gram):
 
 def test_long_documents_in_parts(spark):
     rng = random.Random(5)
-    long = "".join(rng.choices("abcdefgh ", k=5 * shared.BLOCK_BYTES // 2))
-    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": long}])
-    for symbols, length, gram in ((B._symbols(20), 20, 7), (W._symbols(9), 9, 4)):
-        assert len(list(symbols(batch))) > 1
-    rows = [(1, long), (2, long[3000:7000]), (3, "q" + long[:5000] + "z")]
+    long = " ".join(rng.choices(["ab", "c", "def", "gh", "ijk", "lm"], k=4000))
+    rows = [(1, long), (2, long[3000:7000]), (3, "q " + long[:5000] + " z"), (4, "short")]
     docs = frame(spark, rows)
-    out = W.without_words(docs, W.factors(docs, 9, 4)).collect()
+    out = W.without_words(docs, repeated(docs, W._symbols(9, 300), 9, 4, W._in_smaller)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 9)
-    out = B.without_bytes(docs, B.duplicate_bytes(docs, 20, 7)).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, 20)
+    out = B.without_bytes(docs, repeated(docs, B._symbols(30, 700), 30, 9, B._after)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, 30)
 
 
 def test_empty(spark):

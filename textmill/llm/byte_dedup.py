@@ -30,17 +30,17 @@ from .shared import BLOCK_BYTES, blocks, table, utf8
 LENGTH, GRAM = 100, 24
 
 
-def _symbols(length: int):
+def _symbols(length: int, part_bytes: int = BLOCK_BYTES):
     def read(batch: pa.RecordBatch):
         """A long document is read in parts that overlap by a window less a byte."""
         data, at = utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, j in blocks(at):
-            if j - i > 1 or at[j] - at[i] <= 2 * BLOCK_BYTES:
+        for i, j in blocks(at, part_bytes):
+            if j - i > 1 or at[j] - at[i] <= 2 * part_bytes:
                 yield ids[i:j], np.zeros(j - i, np.int64), BYTE[data[at[i] : at[j]]], at[i : j + 1] - at[i]
                 continue
-            for a in range(int(at[i]), int(at[j]), BLOCK_BYTES):
-                part = data[a : min(a + BLOCK_BYTES + length - 1, int(at[j]))]
+            for a in range(int(at[i]), int(at[j]), part_bytes):
+                part = data[a : min(a + part_bytes + length - 1, int(at[j]))]
                 yield ids[i:j], np.array([a - at[i]]), BYTE[part], np.array([0, len(part)])
 
     return read

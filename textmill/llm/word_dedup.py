@@ -27,18 +27,18 @@ LENGTH, GRAM = 50, 12
 PART_WORDS = 1 << 19
 
 
-def _symbols(length: int):
+def _symbols(length: int, part_words: int = PART_WORDS):
     def read(batch: pa.RecordBatch):
         """A long document is searched in parts that overlap by a window less a word."""
         data, at = utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j in blocks(at):
             _, _, hashes, cuts = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            if j - i > 1 or len(hashes) <= 2 * PART_WORDS:
+            if j - i > 1 or len(hashes) <= 2 * part_words:
                 yield ids[i:j], np.zeros(j - i, np.int64), hashes, cuts
                 continue
-            for a in range(0, len(hashes), PART_WORDS):
-                part = hashes[a : a + PART_WORDS + length - 1]
+            for a in range(0, len(hashes), part_words):
+                part = hashes[a : a + part_words + length - 1]
                 yield ids[i:j], np.array([a]), part, np.array([0, len(part)])
 
     return read
