@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, chat, exact_dedup, packing, word_dedup
+from . import byte_dedup, chat, exact_dedup, packing, simhash, word_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_chat_examples": chat.query,
+    "op4_simhash": simhash.query,
     "op5_best_fit_packing": packing.query,
     "op8_byte_dedup": byte_dedup.query,
     "op9_word_dedup": word_dedup.query,
