@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, chat, exact_dedup, packing, simhash, word_dedup
+from . import byte_dedup, chat, decontaminate, exact_dedup, language, packing, simhash, word_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_chat_examples": chat.query,
     "op4_simhash": simhash.query,
     "op5_best_fit_packing": packing.query,
     "op8_byte_dedup": byte_dedup.query,
     "op9_word_dedup": word_dedup.query,
+    "op10_language": language.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
