@@ -1,12 +1,64 @@
-"""A corpus pipeline of the operators in textmill.llm."""
+"""A corpus pipeline of the operators in textmill.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents; the last returns the
+packed pieces. Null texts pass no further than the first stage. A table without rows gives none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from textmill.llm import decontaminate, exact_dedup, language, packing, simhash
+from textmill.llm.shared import saved, table
+
+#: A document whose language is less certain than this is rejected, as are those without letters.
+LEAST_CERTAIN = 0.3
+#: Words in a shingle, and differing bits of two fingerprints that link.
+SHINGLE, DISTANCE = 5, 3
+#: Shared share of word shingles from which two linked documents are near duplicates.
+SIMILAR = 0.8
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language the network tells. It is trained on their own labels, where they have some."""
+    found = language.predict(docs, language.fit(docs.select("doc_id", "text", "lang"))).where(f"lang_pred = '{language.UNKNOWN}' or score < {LEAST_CERTAIN}")
+    rejected = saved(found.select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the smallest doc_id."""
+    return exact_dedup.kept_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id."""
+    return simhash.kept_documents(docs, SHINGLE, DISTANCE, SIMILAR)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that share no passage with the benchmark."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequences and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pack", pack_sequences),
+]
+#: SQL expresses neither the network nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

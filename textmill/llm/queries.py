@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, chat, decontaminate, exact_dedup, language, packing, simhash, word_dedup
+from . import byte_dedup, chat, decontaminate, exact_dedup, importance, language, maxent, packing, simhash, word_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_chat_examples": chat.query,
     "op4_simhash": simhash.query,
     "op5_best_fit_packing": packing.query,
+    "op6_importance": importance.query,
+    "op7_maxent": maxent.query,
     "op8_byte_dedup": byte_dedup.query,
     "op9_word_dedup": word_dedup.query,
     "op10_language": language.query,
