@@ -14,7 +14,7 @@ from textmill.llm.shared import saved, table
 #: A document whose language is less certain than this is rejected, as are those without letters.
 LEAST_CERTAIN = 0.3
 #: Words in a shingle, and differing bits of two fingerprints that link.
-SHINGLE, DISTANCE = 5, 3
+SHINGLE, DISTANCE = 5, 5
 #: Shared share of word shingles from which two linked documents are near duplicates.
 SIMILAR = 0.8
 

@@ -94,26 +94,59 @@ def near(a, b, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def _forest(distance: int):
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        """Edges that connect what is linked under one key."""
-        v = np.sort(part["fp"].to_numpy()).view(np.uint64)
-        left, right, rest = [], [], np.arange(len(v))
-        while len(rest):  # breadth first: each is compared once with those not reached yet
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):
-                hit = np.zeros(len(rest), bool)
-                by = np.zeros(len(rest), np.int64)
-                for f in front:
-                    new = ~hit & (np.bitwise_count(v[rest] ^ v[f]) <= distance)
-                    by[new] = f
-                    hit |= new
-                left.append(by[hit])
-                right.append(rest[hit])
-                front, rest = rest[hit], rest[~hit]
-        if not left:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        return pd.DataFrame({"a": v[np.concatenate(left)].view(np.int64), "b": v[np.concatenate(right)].view(np.int64)})
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is linked among these fingerprints, not all links: each is compared once with those not reached yet."""
+    v = np.sort(fps).view(np.uint64)
+    left, right, rest = [], [], v
+    while len(rest):  # breadth first
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            by, hit = np.zeros(len(rest), np.uint64), np.zeros(len(rest), bool)
+            for f in front:
+                new = ~hit & (np.bitwise_count(rest ^ f) <= distance)
+                by[new] = f
+                hit |= new
+            left.append(by[hit])
+            right.append(rest[hit])
+            front, rest = rest[hit], rest[~hit]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)) if left else (none, none)
+
+
+def _forests(distance: int):
+    """For rows of key and fp that come sorted by key."""
+
+    def link(batches):
+        carry = None
+        for b in (*batches, None):
+            if b is not None:
+                key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy()
+                if carry is not None:
+                    key, fp = np.concatenate([carry[0], key]), np.concatenate([carry[1], fp])
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
+                carry = key[last:], fp[last:]
+                key, fp = key[:last], fp[:last]
+            elif carry is None:
+                return
+            else:
+                key, fp = carry
+            if not len(key):
+                continue
+            left, right = [], []
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for group in np.split(fp, cuts):
+                if len(group) > 12:
+                    x, y = forest(group, distance)
+                    left += x.tolist()
+                    right += y.tolist()
+                else:
+                    group = group.tolist()
+                    for k, x in enumerate(group):
+                        near = [y for y in group[k + 1 :] if ((x ^ y) & (2**64 - 1)).bit_count() <= distance]
+                        left += [x] * len(near)
+                        right += near
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return link
 
@@ -126,8 +159,8 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     pairs = keys.where("n = 2").where(near("a", "b", distance)).select("a", "b")
     many = keys.where("n > 2").select("key", "n")
     rows = variants(fps, distance).join(many, "key")
-    forest = rows.where(F.col("n") <= bucket).select("key", "fp").groupBy("key").applyInPandas(_forest(distance), "a long, b long")
-    out = pairs.unionByName(forest)
+    few = rows.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    out = pairs.unionByName(few.mapInArrow(_forests(distance), "a long, b long"))
     hot = saved(rows.where(F.col("n") > bucket).select("fp").distinct(), "hot")
     if not hot.isEmpty():
         out = out.unionByName(_two_left_out(hot) if distance == 2 else _in_blocks(hot, distance, bucket))
@@ -150,7 +183,12 @@ def _in_blocks(fps: DataFrame, distance: int, bucket: int) -> DataFrame:
     dealt = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(n)).alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     meet = dealt.select("fp", "block", other.alias("other")).select("fp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).distinct()
-    return meet.groupBy("x", "y").applyInPandas(lambda part: _forest(distance)(part[["fp"]]), "a long, b long")
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = forest(part["fp"].to_numpy(), distance)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return meet.groupBy("x", "y").applyInPandas(link, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, size: int = 3, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
