@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from textmill.llm import packing as P
@@ -11,9 +12,11 @@ from textmill.llm.shared import vocabulary
 ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "a \n b", "tab\there", "nb\u00a0sp", "it's we'll 12 3½ x_y <|endoftext|> z<|endoftext|>", "\x1cab", "é😀\nÉa ê", "\n", " ", "a\r\nb", "x\x00y \x01z"]
 
 
-def test_encoder_equals_tokenizer(spark):
+@pytest.mark.parametrize("known", [600_000, 500])
+def test_encoder_equals_tokenizer(spark, monkeypatch, known):
+    monkeypatch.setattr(P, "KNOWN", known)
     file = vocabulary("byte_bpe_50k.json")
-    plain, own = Tokenizer.from_file(file), P.Encoder(file)
+    plain, own = Tokenizer.from_file(file), P.Encoder("byte_bpe_50k")
     texts = [t or "" for t in ODD] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
