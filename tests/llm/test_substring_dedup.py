@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from textmill.llm import byte_dedup as B
 from textmill.llm import word_dedup as W
+from textmill.llm import phrases
 from textmill.llm.phrases import repeated
 
 
@@ -55,30 +57,35 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, starts string, anchor int").repartition(3)
 
 
-@pytest.mark.parametrize("length,gram", [(100, 24), (20, 7)])
-def test_bytes(spark, length, gram):
+@pytest.mark.parametrize("length,gram,hot,group", [(100, 32, 1000, 20_000), (20, 7, 1000, 20_000), (20, 7, 8, 4), (100, 24, 3, 20_000)])
+def test_bytes(spark, monkeypatch, length, gram, hot, group):
+    monkeypatch.setattr(phrases, "LEAST_HOT", hot)
+    monkeypatch.setattr(phrases, "GROUP", group)
     rows = corpus(1)
     docs = frame(spark, rows)
     out = B.without_bytes(docs, B.duplicate_bytes(docs, length, gram)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, length)
 
 
-@pytest.mark.parametrize("length,gram", [(50, 12), (10, 4)])
-def test_words(spark, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(50, 12, 1000), (10, 4, 1000), (10, 4, 8)])
+def test_words(spark, monkeypatch, length, gram, hot):
+    monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     rows = corpus(2)
     docs = frame(spark, rows)
     out = W.without_words(docs, W.factors(docs, length, gram)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, length)
 
 
-def test_long_documents_in_parts(spark):
+@pytest.mark.parametrize("group,hot", [(20_000, 1000), (3, 5)])
+def test_long_documents_in_parts(spark, monkeypatch, group, hot):
+    monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     rng = random.Random(5)
     long = " ".join(rng.choices(["ab", "c", "def", "gh", "ijk", "lm"], k=4000))
     rows = [(1, long), (2, long[3000:7000]), (3, "q " + long[:5000] + " z"), (4, "short")]
     docs = frame(spark, rows)
-    out = W.without_words(docs, repeated(docs, W._symbols(9, 300), 9, 4, W._in_smaller)).collect()
+    out = W.without_words(docs, repeated(docs, W._symbols(9, 300), 9, 4, True, np.uint64, group)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 9)
-    out = B.without_bytes(docs, repeated(docs, B._symbols(30, 700), 30, 9, B._after)).collect()
+    out = B.without_bytes(docs, repeated(docs, B._symbols(30, 700), 30, 9, False, group=group)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, 30)
 
 

@@ -2,13 +2,10 @@
 
 Each document is parsed into phrases at triggers of a rolling hash (see phrases.py): a phrase begins where the smallest hash
 of the window changes, and overlaps the next one by a window less a byte, so no window crosses a phrase's end. The distinct
-phrases are the dictionary; the documents as rows of phrases are the parse. A dictionary phrase's suffixes that are at least
-a window long, ordered by content, give all windows; the parse says where in the corpus each stands, and the first place of a
-class of suffixes with equal first `length` bytes is kept.
-
-The order among different suffixes doesn't matter for this result, so suffixes are brought together by a 64-bit digest of
-their first `length` bytes within their anchor's class (another 64 bits), by Spark's shuffle, not by a comparison sort.
-Dictionary phrases without a rival need no suffixes at all: their first occurrence settles every window in them.
+phrases are the dictionary; the documents as rows of phrases are the parse. Equal phrases of the parse repeat all their
+windows after the first. Where dictionary phrases differ around a common trigger, their suffixes are sorted, by trigger and by
+a digest of the first `length` bytes, so suffixes that share these lie together, in corpus order, as in a suffix array with a
+common prefix of `length`; the first of each class stays. The order among other suffixes doesn't matter for the result.
 
 Defined results: a null text has no bytes; a text shorter than `length` keeps all of them; of texts with the same doc_id the
 occurrences count as those of one document. Other columns are ignored; no rows give none.
@@ -21,13 +18,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .hashing import BYTE
 from .phrases import covered, repeated, spans_by_document
 from .shared import BLOCK_BYTES, blocks, table, utf8
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 32
 
 
 def _symbols(length: int, part_bytes: int = BLOCK_BYTES):
@@ -37,22 +32,18 @@ def _symbols(length: int, part_bytes: int = BLOCK_BYTES):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j in blocks(at, part_bytes):
             if j - i > 1 or at[j] - at[i] <= 2 * part_bytes:
-                yield ids[i:j], np.zeros(j - i, np.int64), BYTE[data[at[i] : at[j]]], at[i : j + 1] - at[i]
+                yield ids[i:j], np.zeros(j - i, np.int64), data[at[i] : at[j]], at[i : j + 1] - at[i]
                 continue
             for a in range(int(at[i]), int(at[j]), part_bytes):
                 part = data[a : min(a + part_bytes + length - 1, int(at[j]))]
-                yield ids[i:j], np.array([a - at[i]]), BYTE[part], np.array([0, len(part)])
+                yield ids[i:j], np.array([a - at[i]]), part, np.array([0, len(part)])
 
     return read
 
 
-def _after(first, doc_id, start):
-    return F.struct(doc_id.alias("doc_id"), start.alias("start")) > first
-
-
 def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, start, stop: byte runs covered by strings of `length` bytes that also start earlier. Runs may overlap."""
-    return repeated(docs, _symbols(length), length, gram, _after)
+    return repeated(docs, _symbols(length), length, gram, across=False)
 
 
 def without_bytes(docs: DataFrame, runs: DataFrame) -> DataFrame:

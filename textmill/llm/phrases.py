@@ -7,15 +7,16 @@ anchor depends on nothing but the window, so equal windows have equal anchors at
 About every (L-k)/2-th symbol begins a phrase.
 
 repeated() uses this to compare phrases instead of windows:
-1. Anchors are counted over the corpus (combined per batch and per task). Those that occur once are done: their windows
+1. Anchors are counted over the corpus (combined per block and per task). Those that occur once are done: their windows
    occur once.
-2. The occurrences of the other phrases are written out. Where all phrases of an anchor are equal, their windows are equal
-   one by one, and the phrase's first place in the corpus settles all.
-3. Where an anchor has several phrases (at the borders of repeated passages), their windows are compared one by one.
-
-The two sets of anchors reach the tasks as bit maps of a fixed size; false hits in them only mean more rows in a join that is
-exact. An occurrence carries hashes, never text. Hot anchors are combined before each shuffle; in the joins that follow
-Spark splits skewed partitions.
+2. Phrases with other anchors meet by anchor. A phrase that is equal to an earlier one repeats all its windows.
+3. Where an anchor has several different phrases (at the borders of repeated passages), the first of each kind is read once
+   more, and the windows in them are compared one by one.
+
+The sets of anchors and of those first phrases reach the tasks as bit maps of a fixed size; false hits in them only mean
+more rows in steps that are exact. Anchors with over a `HOT`-th of all phrases are settled by an aggregate that is combined
+per task and a join whose skewed partitions Spark splits. A task holds the windows of GROUP phrases of one anchor at most;
+windows of larger groups go on to an aggregate by window.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import INVERSE, mix, powers, running
+from .hashing import BYTE, INVERSE, mix, powers, running
 from .shared import saved
 
 #: Bits of the anchor maps (16 MB).
@@ -75,9 +76,18 @@ def phrases(symbols: np.ndarray, cuts: np.ndarray, L: int, k: int) -> tuple[np.n
     return text[first], first - cuts[text[first]], count, grams[a], whole, a - first, sums
 
 
-#: Gives for an Arrow batch blocks of (doc_id of each text, each text's place in its document, symbols, cuts).
+#: Gives for an Arrow batch blocks of (doc_id of each text, each text's place in its document, raw symbols, cuts).
 Symbols = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
+#: An anchor is hot if it has more than this part of all phrases.
+HOT, LEAST_HOT = 1 / 2000, 1000
+GROUP = 20_000
+
+
+def hashed(raw: np.ndarray) -> np.ndarray:
+    """Symbols as 64-bit values: words are hashes already."""
+    return BYTE[raw] if raw.dtype == np.uint8 else raw
+
 
 def bit_map(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
     """A map of 2^bits bits with one set for each hash."""
@@ -94,8 +104,14 @@ def in_map(found: np.ndarray, hashes: np.ndarray, bits: int = MAP_BITS) -> np.nd
     return (found[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], names=list(columns))
+def place_of(phrase: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of one phrase at one place."""
+    return mix(phrase ^ mix(doc.astype(np.uint64) * np.uint64(INVERSE) + start.astype(np.uint64)))
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
 def anchors(docs: DataFrame, symbols: Symbols, L: int, k: int) -> DataFrame:
@@ -103,66 +119,209 @@ def anchors(docs: DataFrame, symbols: Symbols, L: int, k: int) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            for _, _, values, cuts in symbols(b):
-                hashes, n = np.unique(phrases(values, cuts, L, k)[3], return_counts=True)
+            for _, _, raw, cuts in symbols(b):
+                hashes, n = np.unique(phrases(hashed(raw), cuts, L, k)[3], return_counts=True)
                 yield _batch(anchor=hashes, n=n.astype(np.int32))
 
     return docs.select("doc_id", "text").mapInArrow(count, "anchor long, n int")
 
 
-def occurrences(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted) -> DataFrame:
-    """anchor, phrase, doc_id, start, n of every phrase whose anchor is in the broadcast map."""
+PHRASE = "anchor long, phrase long, doc_id long, start long, n int"
+
+
+def occurrences(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted, hot: np.ndarray, of_hot: bool) -> DataFrame:
+    """Every phrase whose anchor is in the broadcast map, of hot anchors or of the others."""
 
     def find(batches):
         for b in batches:
-            for ids, place, values, cuts in symbols(b):
-                text, start, n, anchor, whole, _, _ = phrases(values, cuts, L, k)
+            for ids, place, raw, cuts in symbols(b):
+                text, start, n, anchor, whole, _, _ = phrases(hashed(raw), cuts, L, k)
                 m = in_map(wanted.value, anchor)
+                if len(hot) or of_hot:
+                    m &= np.isin(anchor, hot) == of_hot
                 yield _batch(anchor=anchor[m], phrase=whole[m], doc_id=ids[text[m]], start=start[m] + place[text[m]], n=n[m].astype(np.int32))
 
-    return docs.select("doc_id", "text").mapInArrow(find, "anchor long, phrase long, doc_id long, start long, n int")
+    return docs.select("doc_id", "text").mapInArrow(find, PHRASE)
 
 
-def windows(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted) -> DataFrame:
-    """anchor, window, doc_id, start of every window whose anchor is in the broadcast map. window: a hash of place and symbols."""
+def _later(across: bool, first_doc, first_start, doc, start):
+    """Whether a place comes after the first of its like: in a document with a larger id, or else later in the corpus."""
+    return doc > first_doc if across else (doc > first_doc) | ((doc == first_doc) & (start > first_start))
 
-    def find(batches):
+
+TOLD = "doc_id long, start long, n int, later boolean, place long"
+
+
+def _tell(across: bool):
+    """For PHRASE rows sorted by all columns: which phrases repeat an earlier one, and which others have a rival of the same anchor."""
+
+    def tell(batches):
+        carry = None
+        for b in (*_nonempty(batches), None):
+            if b is None:
+                if carry is None:
+                    return
+                a, p, d, s, n = carry
+                done = len(a)
+                last = np.zeros(done, bool)
+            else:
+                a, p, d, s, n = (b.column(c).to_numpy() for c in ("anchor", "phrase", "doc_id", "start", "n"))
+                if carry is not None:
+                    a, p, d, s, n = (np.concatenate(x) for x in zip(carry, (a, p, d, s, n), strict=True))
+                last = a == a[-1]
+            new = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = _later(across, d[first], s[first], d, s)
+            group = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
+            rival = (np.bincount(group, weights=new) > 1)[group]
+            out = later | (rival & ~last)
+            yield _batch(doc_id=d[out], start=s[out], n=n[out], later=later[out], place=place_of(p[out].view(np.uint64), d[out], s[out]))
+            if b is not None:
+                keep = last & ~later
+                carry = a[keep], p[keep], d[keep], s[keep], n[keep]
+
+    return tell
+
+
+def _nonempty(batches):
+    return (b for b in batches if b.num_rows)
+
+
+def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool) -> DataFrame:
+    """TOLD: every phrase that repeats an earlier one, and the first ones of each kind where an anchor has several."""
+    sc = docs.sparkSession.sparkContext
+    often = saved(anchors(docs, symbols, L, k).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.array([r.anchor for r in often.where(F.col("n") > max(LEAST_HOT, HOT * total)).select("anchor").collect()], np.int64).view(np.uint64)
+    wanted = sc.broadcast(bit_map(often, "anchor"))
+    found = occurrences(docs, symbols, L, k, wanted, hot, False).repartition("anchor").sortWithinPartitions("anchor", "phrase", "doc_id", "start")
+    out = found.mapInArrow(_tell(across), TOLD)
+    if not len(hot):
+        return saved(out, "phrases")
+    found = saved(occurrences(docs, symbols, L, k, wanted, hot, True), "hot")
+    kinds = saved(found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first")), "kinds")
+    rivals = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = kinds.join(F.broadcast(rivals), "anchor")  # a row for each hot anchor
+    later = _later(across, F.col("first.doc_id"), F.col("first.start"), F.col("doc_id"), F.col("start"))
+    rows = found.join(kinds, ["anchor", "phrase"]).withColumn("later", later).where("later or kinds > 1")
+
+    def places(batches):
         for b in batches:
-            for ids, place, values, cuts in symbols(b):
-                text, start, n, anchor, _, ahead, sums = phrases(values, cuts, L, k)
-                m = in_map(wanted.value, anchor)
-                text, start, n, anchor, ahead = text[m], start[m], n[m], anchor[m], ahead[m]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                first = np.repeat(start + cuts[text], n) + step
-                own = mix(mix((sums[first + L] - sums[first]) * powers(INVERSE, len(sums))[first]) + (np.repeat(ahead, n) - step).astype(np.uint64))
-                yield _batch(anchor=np.repeat(anchor, n), window=own, doc_id=np.repeat(ids[text], n), start=np.repeat(start + place[text], n) + step)
+            p, d, s = (b.column(c).to_numpy() for c in ("phrase", "doc_id", "start"))
+            yield _batch(doc_id=d, start=s, n=b.column("n"), later=b.column("later"), place=place_of(p.view(np.uint64), d, s))
+
+    return saved(out.unionByName(rows.select("phrase", "doc_id", "start", "n", "later").mapInArrow(places, TOLD)), "phrases")
 
-    return docs.select("doc_id", "text").mapInArrow(find, "anchor long, window long, doc_id long, start long")
 
+def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted) -> DataFrame:
+    """anchor, doc_id, start, ahead, raw: every phrase whose place is in the broadcast map, with its symbols."""
 
-def repeated(docs: DataFrame, symbols: Symbols, L: int, k: int, later: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    def find(batches):
+        for b in batches:
+            for ids, place, raw, cuts in symbols(b):
+                text, start, n, anchor, whole, ahead, _ = phrases(hashed(raw), cuts, L, k)
+                at = start + place[text]
+                m = np.flatnonzero(in_map(wanted.value, place_of(whole, ids[text], at)))
+                first, size = (start + cuts[text])[m], n[m] + L - 1
+                parts = [raw[x : x + z].tobytes() for x, z in zip(first.tolist(), size.tolist(), strict=True)]
+                yield _batch(anchor=anchor[m], doc_id=ids[text[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
+
+    return docs.select("doc_id", "text").mapInArrow(find, "anchor long, doc_id long, start long, ahead long, raw binary")
+
+
+def _windows(anchor, doc, start, ahead, raw: list[bytes], L: int, kind) -> tuple[np.ndarray, ...]:
+    """For phrases: document, place and hash of each window, and its phrase's number."""
+    values = [np.frombuffer(r, kind) for r in raw]
+    size = np.array([len(v) for v in values])
+    n = size - L + 1
+    sums = running(hashed(np.concatenate(values)))
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(np.cumsum(size) - size, n) + step
+    own = mix((sums[first + L] - sums[first]) * powers(INVERSE, len(sums))[first]) + (np.repeat(ahead, n) - step).astype(np.uint64)
+    return np.repeat(doc, n), np.repeat(start, n) + step, mix(own), np.repeat(anchor, n)
+
+
+CLASSED = "doc_id long, start long, stop long, anchor long, window long"
+
+
+def _compare(L: int, kind, across: bool, group: int):
+    """For rows of bordering() sorted by anchor: the runs of windows that repeat earlier ones. Windows of groups too large to hold come out as they are."""
+
+    def compare(batches):
+        held: list[tuple] = []
+        flushed = None  # an anchor whose group is too large
+
+        def settle(rows):
+            doc, at, window, anchor = _windows(*rows, L, kind)
+            order = np.lexsort((at, doc, window, anchor))
+            doc, at, window, anchor = doc[order], at[order], window[order], anchor[order]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1]))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            late = _later(across, doc[first], at[first], doc, at)
+            doc, at = doc[late], at[late]
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            begins = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
+            ends = np.append(begins[1:], len(doc)) - 1 if len(doc) else begins
+            none = pa.nulls(len(begins), pa.int64())
+            return _batch(doc_id=doc[begins], start=at[begins], stop=at[ends] + L, anchor=none, window=none)
+
+        def whole(rows):
+            doc, at, window, anchor = _windows(*rows, L, kind)
+            return _batch(doc_id=doc, start=at, stop=at + L, anchor=anchor, window=window)
+
+        def joined():
+            return [np.concatenate([h[i] for h in held]) for i in range(4)] + [[r for h in held for r in h[4]]]
+
+        for b in _nonempty(batches):
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                held.append((*(part.column(c).to_numpy() for c in ("anchor", "doc_id", "start", "ahead")), part.column("raw").to_pylist()))
+                rows = joined()
+                anchor = rows[0]
+                if flushed is not None:
+                    large = int((anchor == flushed).sum())
+                    if large:
+                        yield whole([x[:large] for x in rows])
+                        rows = [x[large:] for x in rows]
+                        anchor = rows[0]
+                done = int((anchor != anchor[-1]).sum()) if len(anchor) else 0
+                if done:
+                    yield settle([x[:done] for x in rows])
+                rest = [x[done:] for x in rows]
+                held = [tuple(rest)] if len(rest[0]) else []
+                if len(rest[0]) > group:
+                    yield whole(rest)
+                    flushed, held = rest[0][0], []
+        if held:
+            rows = joined()
+            same = rows[0] == flushed if flushed is not None else np.zeros(len(rows[0]), bool)
+            if same.any():
+                yield whole([x[: int(same.sum())] for x in rows])
+            if not same.all():
+                yield settle([x[int(same.sum()) :] for x in rows])
+
+    return compare
+
+
+def repeated(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, kind=np.uint8, group: int | None = None) -> DataFrame:
     """doc_id, start, stop: runs of symbols covered by windows that also stand earlier. Runs may overlap.
 
-    later(first, doc_id, start): whether a window there comes after the first of its like, a struct of doc_id and start.
+    across: earlier means in a document with a smaller id; else also earlier in the same document. kind: the raw symbols' type.
     """
     sc = docs.sparkSession.sparkContext
-    often = anchors(docs, symbols, L, k).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = sc.broadcast(bit_map(often, "anchor"))
-    found = saved(occurrences(docs, symbols, L, k, wanted), "phrases")
-    like = found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("rows"))
-    by_anchor = saved(
-        like.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("rows").alias("rows"), F.min("first").alias("first")).where("rows > 1"),
-        "anchors",
-    )
-    here = F.struct("doc_id", "start")
-    whole = found.join(by_anchor.where("kinds = 1").select("anchor", "first"), "anchor").where(later(F.col("first"), F.col("doc_id"), F.col("start")))
-    whole = whole.select("doc_id", "start", (F.col("start") + F.col("n") + (L - 1)).alias("stop"))
-    mixed = by_anchor.where("kinds > 1").select("anchor")
-    borders = sc.broadcast(bit_map(mixed, "anchor"))
-    single = saved(windows(docs, symbols, L, k, borders), "windows")
-    firsts = single.groupBy("anchor", "window").agg(F.min(here).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("anchor", "window", "first")
-    single = single.join(firsts, ["anchor", "window"]).join(mixed, "anchor", "left_semi").where(later(F.col("first"), F.col("doc_id"), F.col("start")))
-    return whole.unionByName(single.select("doc_id", "start", (F.col("start") + L).alias("stop")))
+    found = told(docs, symbols, L, k, across)
+    whole = found.where("later").select("doc_id", "start", (F.col("start") + F.col("n") + (L - 1)).alias("stop"))
+    borders = sc.broadcast(bit_map(found.where("not later"), "place"))
+    rows = bordering(docs, symbols, L, k, borders).repartition("anchor").sortWithinPartitions("anchor")
+    classed = saved(rows.mapInArrow(_compare(L, kind, across, group or GROUP), CLASSED), "classes")
+    out = whole.unionByName(classed.where("window is null").select("doc_id", "start", "stop"))
+    single = classed.where("window is not null")
+    if single.isEmpty():
+        return out
+    firsts = single.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("anchor", "window", "first")
+    later = _later(across, F.col("first.doc_id"), F.col("first.start"), F.col("doc_id"), F.col("start"))
+    return out.unionByName(single.join(firsts, ["anchor", "window"]).where(later).select("doc_id", "start", "stop"))
 
 
 def spans_by_document(runs: DataFrame) -> DataFrame:

@@ -44,13 +44,9 @@ def _symbols(length: int, part_words: int = PART_WORDS):
     return read
 
 
-def _in_smaller(first, doc_id, start):
-    return doc_id > first["doc_id"]
-
-
 def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, start, stop: word runs that documents with smaller ids hold too, in windows of `length` words. Runs may overlap."""
-    return repeated(docs, _symbols(length), length, gram, _in_smaller)
+    return repeated(docs, _symbols(length), length, gram, across=True, kind=np.uint64)
 
 
 def without_words(docs: DataFrame, runs: DataFrame) -> DataFrame:
