@@ -122,7 +122,7 @@ def concept_key(job: Column, source: Column, term: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut at runs of . ! ? before white space or the end."""
-    return F.filter(F.transform(F.split(text, r"[.!?]+(?=\s|$)"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"[.!?]+(?=\s|$)"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def title(text: Column, length: int = 60) -> Column:

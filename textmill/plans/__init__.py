@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import dense, search, windows
+from . import dense, events, listing, search, text, windows
 
-MODULES = (search, dense, windows)
+MODULES = (search, dense, windows, events, listing, text)
