@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .hashing import BASE, mix
+from .phrases import bit_map, in_map
 from .shared import blocks, saved, table, utf8
 
 SEED = 42
@@ -75,19 +77,21 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fps: DataFrame, distance: int) -> DataFrame:
-    """fp, and a key for each segment and bit left out in it: bits of the segment, with the place of the missing one above them.
+def variants(fps: DataFrame, distance: int, wanted=None) -> DataFrame:
+    """fp, and a key for each segment and bit left out in it. wanted: a broadcast map of the keys that are asked for."""
 
-    A key that a wildcard at some bit gives is told from other keys of its segment by that bit's place.
-    """
-    rows = []
-    for first, n in segments(distance):
-        part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << n) - 1))
-        for i in range(n):
-            # the wildcard's place among 64 takes six bits; a segment has at most 33, so the key fits
-            low = part.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << i)))
-            rows.append(low.bitwiseOR(F.lit((first + i) << 56)) if n <= 56 else F.xxhash64(low, F.lit(first + i)))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("key"))
+    def of(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for first, n in segments(distance):
+                segment = ((1 << n) - 1) << first
+                for bit in range(first, first + n):
+                    key = mix((fp & np.uint64(segment & ~(1 << bit))) ^ np.uint64((bit + 1) * BASE % 2**64))
+                    m = in_map(wanted.value, key) if wanted else np.ones(len(fp), bool)
+                    if m.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(fp[m].view(np.int64)), pa.array(key[m].view(np.int64))], names=["fp", "key"])
+
+    return fps.select("fp").mapInArrow(of, "fp long, key long")
 
 
 def near(a, b, distance: int):
@@ -158,7 +162,8 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     keys = saved(keys, "keys")
     pairs = keys.where("n = 2").where(near("a", "b", distance)).select("a", "b")
     many = keys.where("n > 2").select("key", "n")
-    rows = variants(fps, distance).join(many, "key")
+    wanted = fps.sparkSession.sparkContext.broadcast(bit_map(many, "key"))
+    rows = saved(variants(fps, distance, wanted).join(many, "key"), "rows")
     few = rows.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
     out = pairs.unionByName(few.mapInArrow(_forests(distance), "a long, b long"))
     hot = saved(rows.where(F.col("n") > bucket).select("fp").distinct(), "hot")
