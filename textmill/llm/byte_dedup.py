@@ -69,3 +69,16 @@ def without_bytes(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return without_bytes(docs, duplicate_bytes(docs)).drop("kept")
+
+
+SQL = r"""
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS w FROM n, unnest(range(1, n - 98)) AS r(i)),
+x AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+p AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS b FROM n, unnest(range(1, n + 1)) AS r(i)),
+c AS (SELECT p.doc_id, p.i, b, count(x.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.i = p.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)
+"""

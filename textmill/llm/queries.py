@@ -19,4 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_chat_examples": chat.SQL,
+    "op8_byte_dedup": byte_dedup.SQL,
+    "op9_word_dedup": word_dedup.SQL,
 }

@@ -72,3 +72,17 @@ def without_words(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return without_words(docs, factors(docs)).drop("kept")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n FROM d),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM n, unnest(range(1, n - 48)) AS r(i)),
+f AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+x AS (SELECT doc_id, i FROM s JOIN f USING (h) WHERE first < doc_id),
+p AS (SELECT doc_id, i, w[i] AS word FROM n, unnest(range(1, n + 1)) AS r(i)),
+c AS (SELECT p.doc_id, p.i, word, count(x.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.i = p.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)
+"""
