@@ -1,6 +1,7 @@
 """Every query that has SQL gives what DuckDB gives on the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from textmill.plans import MODULES
@@ -18,9 +19,15 @@ def duck():
     return connection
 
 
+def cell(value):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
+        return "null"
+    return repr(round(float(value), 6)) if pd.api.types.is_number(value) and not pd.api.types.is_bool(value) else str(value)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple(str(round(v, 6) if isinstance(v, float) else v) for v in row) for row in frame.itertuples(index=False))
+    return list(frame.columns), sorted(tuple(map(cell, row)) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", QUERIES)
