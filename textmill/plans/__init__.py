@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import checks, dense, events, listing, search, text, windows
+from . import anchors, checks, dense, events, listing, search, text, windows
 
-MODULES = (search, dense, windows, events, listing, text, checks)
+MODULES = (search, dense, windows, events, listing, text, checks, anchors)
