@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from textmill.llm import decontaminate as D
 
@@ -56,3 +57,38 @@ def test_clean_documents_and_empty(spark):
     out = D.clean_documents(docs, items)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2, 2]
     assert D.overlaps(docs.limit(0), items).collect() == [] and D.overlaps(docs, items.limit(0)).collect() == []
+
+
+def longest(same):
+    """Length of the longest stretch with 80 % matches, all of them tried."""
+    return max((z - a for a in range(len(same)) for z in range(a + 1, len(same) + 1) if 5 * sum(same[a:z]) >= 4 * (z - a)), default=0)
+
+
+def test_best_overlap_is_longest():
+    rng = random.Random(9)
+    for _ in range(500):
+        same = np.array([rng.random() < 0.75 for _ in range(rng.randrange(1, 40))])
+        a, z = D.best_overlap(same, 0.8)
+        assert z - a == longest(same.tolist()) and 5 * same[a:z].sum() >= 4 * (z - a)
+
+
+@pytest.mark.parametrize("size,most", [(13, 1), (13, 2), (16, 2), (16, 3), (20, 3), (20, 4)])
+def test_substitutions_up_to_a_fifth(spark, size, most):
+    """Items copied whole with substitutions anywhere, found wherever a seed hits; the seeds are worked out here anew."""
+    rng = random.Random(size + most)
+    items, docs, expected = [], [], set()
+    for i in range(120):
+        item = [f"i{i}x{j}" for j in range(size)]
+        same = [True] * size
+        for j in rng.sample(range(size), most):
+            same[j] = False
+        copy = [w if s else f"d{i}x{j}" for j, (w, s) in enumerate(zip(item, same, strict=True))]
+        items.append((i, " ".join(item), 0))
+        docs.append((i, " ".join([*(f"a{i}x{j}" for j in range(9)), *copy, *(f"z{i}x{j}" for j in range(9))]), 0, 0))
+        seeded = any(all(same[k + j] for j, c in enumerate(mask) if c == "1") for mask in D.MASKS for k in range(size - len(mask) + 1))
+        assert longest(same) >= 13
+        if seeded:
+            expected.add((i, i))
+    found = D.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert len(expected) >= (120 if (size, most) == (13, 1) else 60)

@@ -17,6 +17,7 @@ none.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -107,12 +108,16 @@ def document_seeds(docs: DataFrame, masks: list[str], wanted) -> DataFrame:
 
 
 def best_overlap(same: np.ndarray, identity: float) -> tuple[int, int]:
-    """First and last + 1 of the stretch that gains most, a match gaining 1 and a mismatch losing what keeps `identity`."""
-    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -identity / (1 - identity)))])
-    low = np.minimum.accumulate(gain)
-    end = int((gain - low).argmax())
-    start = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
-    return start, end
+    """First and last + 1 of the longest stretch of which at least `identity` match; the first of equal ones.
+
+    A match gains and a mismatch loses whole numbers, so that a stretch [a, z) is one if gain[z] >= gain[a].
+    """
+    share = Fraction(identity).limit_denominator(1000)
+    gain = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    best_after = np.maximum.accumulate(gain[::-1])[::-1]
+    end = np.searchsorted(-best_after, -gain, "right") - 1  # the last place with as much gain as each
+    start = int((end - np.arange(len(gain))).argmax())
+    return start, int(end[start])
 
 
 def _verify(identity: float, overlap: int):
