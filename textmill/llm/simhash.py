@@ -28,6 +28,7 @@ from .components import components
 from .hashing import BASE, mix
 from .phrases import bit_map, in_map
 from .shared import blocks, saved, table, utf8
+from .similar import similar
 
 SEED = 42
 #: Fingerprints under one key that a task compares.
@@ -207,36 +208,24 @@ def near_dedup(docs: DataFrame, size: int = 3, distance: int = 2, bucket: int =
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """Of pairs (a, b, both doc_id) those whose texts share at least `least` of their distinct word shingles."""
-
-    def of(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True):
-                s, t = (set(shingles((v.as_py() or "").encode(), size)) for v in (x, y))
-                keep.append(len(s & t) >= least * len(s | t))
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "linked")
-    texts = saved(docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
+def candidates(docs: DataFrame, size: int, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """a, b (doc_id): edges that connect documents whose fingerprints differ in `distance` bits or fewer, equal ones too."""
+    prints = saved(fingerprints(docs, size), "fingerprints")
+    least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    edges = links(least, distance, bucket).join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    same = prints.join(least, "fp").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    return edges.unionByName(same).where("a != b")
 
 
 def kept_documents(docs: DataFrame, size: int, distance: int, least: float, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group that links hold together, the one with the smallest doc_id.
 
-    Links are between the first documents of two fingerprints, or of one and the others with the same, and count if the texts
-    share at least `least` of their shingles.
+    Documents link if they share at least `least` of their distinct word shingles. Fingerprints only say which documents are
+    compared: all those that candidate edges connect, with each other (see similar.py).
     """
-    prints = saved(fingerprints(docs, size), "fingerprints")
-    least_id = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    a, b = (least_id.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
-    edges = links(least_id, distance, bucket).join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    same = prints.join(least_id, "fp").where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    pairs = saved(edges.unionByName(same).distinct(), "pairs")
-    gone = components(similar(docs, pairs, size, least)).where("node != component").select(F.col("node").alias("doc_id"))
+    groups = components(saved(candidates(docs, size, distance, bucket), "candidates")).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    gone = components(similar(docs, groups, size, least)).where("node != component").select(F.col("node").alias("doc_id"))
     return docs.join(saved(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
