@@ -69,3 +69,17 @@ def test_groups_in_blocks(spark, rows, chars):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
     assert {i for i in low if low[i] == i} == brute_kept(table)
+
+
+def test_recall_at_the_threshold(spark):
+    """Texts of 100 words with one to three changed ones, most of which fingerprints alone miss."""
+    rng = random.Random(3)
+    rows, far = [], 0
+    for i in range(0, 400, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(varied(rng, words, rng.choice((1, 2, 3)))))]
+        far += jaccard(rows[-2][1], rows[-1][1]) >= 0.8 and ((S.fingerprint(rows[-2][1].encode(), 5) ^ S.fingerprint(rows[-1][1].encode(), 5)) & (2**64 - 1)).bit_count() > 5
+    expected = {i for i, _ in rows[::2]} | {j for (_, x), (j, y) in zip(rows[::2], rows[1::2], strict=True) if jaccard(x, y) < 0.8}
+    assert far > 50 and 200 < len(expected) < 350
+    kept = S.kept_documents(spark.createDataFrame([(*r, "s") for r in rows], COLUMNS), 5, 5, 0.8)
+    assert {r.doc_id for r in kept.collect()} == expected

@@ -28,7 +28,7 @@ from .components import components
 from .hashing import BASE, mix
 from .phrases import bit_map, in_map
 from .shared import blocks, saved, table, utf8
-from .similar import similar
+from .similar import shared_bands, similar
 
 SEED = 42
 #: Fingerprints under one key that a task compares.
@@ -221,10 +221,11 @@ def candidates(docs: DataFrame, size: int, distance: int, bucket: int = BUCKET)
 def kept_documents(docs: DataFrame, size: int, distance: int, least: float, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group that links hold together, the one with the smallest doc_id.
 
-    Documents link if they share at least `least` of their distinct word shingles. Fingerprints only say which documents are
-    compared: all those that candidate edges connect, with each other (see similar.py).
+    Documents link if they share at least `least` of their distinct word shingles. Fingerprints and bands of smallest hashes
+    only say which documents are compared: all those that candidate edges connect, with each other (see similar.py).
     """
-    groups = components(saved(candidates(docs, size, distance, bucket), "candidates")).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    edges = candidates(docs, size, distance, bucket).unionByName(shared_bands(docs, size))
+    groups = components(saved(edges, "candidates")).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     gone = components(similar(docs, groups, size, least)).where("node != component").select(F.col("node").alias("doc_id"))
     return docs.join(saved(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
