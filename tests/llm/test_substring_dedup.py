@@ -7,7 +7,7 @@ import pytest
 from textmill.llm import byte_dedup as B
 from textmill.llm import word_dedup as W
 from textmill.llm import phrases
-from textmill.llm.phrases import repeated
+from textmill.llm.shared import keyed
 
 
 def brute_bytes(rows, length):
@@ -62,17 +62,17 @@ def test_bytes(spark, monkeypatch, length, gram, hot, group):
     monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     monkeypatch.setattr(phrases, "GROUP", group)
     rows = corpus(1)
-    docs = frame(spark, rows)
+    docs = keyed(frame(spark, rows))
     out = B.without_bytes(docs, B.duplicate_bytes(docs, length, gram)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, length)
 
 
-@pytest.mark.parametrize("length,gram,hot", [(50, 12, 1000), (10, 4, 1000), (10, 4, 8)])
-def test_words(spark, monkeypatch, length, gram, hot):
+@pytest.mark.parametrize("length,gram,hot,group", [(50, 12, 1000, None), (10, 4, 1000, None), (10, 4, 8, 4)])
+def test_words(spark, monkeypatch, length, gram, hot, group):
     monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     rows = corpus(2)
-    docs = frame(spark, rows)
-    out = W.without_words(docs, W.factors(docs, length, gram)).collect()
+    docs = keyed(frame(spark, rows))
+    out = W.without_words(docs, W.copies(docs, length, gram, group), length).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, length)
 
 
@@ -82,14 +82,78 @@ def test_long_documents_in_parts(spark, monkeypatch, group, hot):
     rng = random.Random(5)
     long = " ".join(rng.choices(["ab", "c", "def", "gh", "ijk", "lm"], k=4000))
     rows = [(1, long), (2, long[3000:7000]), (3, "q " + long[:5000] + " z"), (4, "short")]
-    docs = frame(spark, rows)
-    out = W.without_words(docs, repeated(docs, W._symbols(9, 300), 9, 4, True, np.uint64, group)).collect()
+    docs = keyed(frame(spark, rows))
+    out = W.without_words(docs, W.copies(docs, 9, 4, group, 300), 9).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 9)
-    out = B.without_bytes(docs, repeated(docs, B._symbols(30, 700), 30, 9, False, group=group)).collect()
+    out = B.without_bytes(docs, B.duplicate_bytes(docs, 30, 9, group, 700)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, 30)
 
 
 def test_empty(spark):
-    docs = frame(spark, [])
+    docs = keyed(frame(spark, []))
     assert B.without_bytes(docs, B.duplicate_bytes(docs)).collect() == []
-    assert W.without_words(docs, W.factors(docs)).collect() == []
+    assert W.without_words(docs, W.copies(docs)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one doc_id with other texts are documents of their own to op8, and never each other's sources to op9."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(None, "n " + long), (1, long), (1, long), (2, "b " + long + " e"), (2, long + " f"), (None, None), (3, "short")]
+    docs = keyed(frame(spark, rows))
+    out = {(r.doc_id, r.n_words, r.n_removed) for r in W.without_words(docs, W.copies(docs)).collect()}
+    assert out == {(None, 81, 0), (1, 80, 80), (2, 82, 80), (2, 81, 80), (None, 0, 0), (3, 1, 0)}
+    order = sorted({(r.id, r.sub, r.text) for r in docs.collect()}, key=lambda x: x[:2])
+    brute = brute_bytes([(k, text) for k, (_, _, text) in enumerate(order)], 100)
+    out = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in B.without_bytes(docs, B.duplicate_bytes(docs)).collect()}
+    assert out == {(i if i > 0 else None, *brute[k]) for k, (i, _, _) in enumerate(order)} and len(order) == 6
+    alone = keyed(frame(spark, [(5, long), (5, long)]))
+    assert {r.n_removed for r in B.without_bytes(alone, B.duplicate_bytes(alone)).collect()} == {0}
+
+
+def test_many_rivals_are_joined_with_documents(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MAPPED", 3)
+    rows = corpus(4)
+    docs = keyed(frame(spark, rows))
+    out = B.without_bytes(docs, B.duplicate_bytes(docs, 20, 7)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, 20)
+    out = W.without_words(docs, W.copies(docs, 10, 4), 10).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 10)
+
+
+def test_suffix_ranks():
+    rng = random.Random(10)
+    strings = ["".join(rng.choices("ab", k=rng.randrange(1, 40))) for _ in range(60)]
+    codes = np.zeros((60, 40), np.int16)
+    for row, x in zip(codes, strings):
+        row[40 - len(x) :] = [ord(c) for c in x]
+    ranks = B.suffix_ranks(codes)
+    suffixes = {(i, 40 - n): x[len(x) - n :] for i, x in enumerate(strings) for n in range(1, len(x) + 1)}
+    order = {x: k + 1 for k, x in enumerate(sorted(set(suffixes.values())))}
+    assert all(ranks[place] == order[x] for place, x in suffixes.items()) and (ranks[codes == 0] == 0).all()
+
+
+def test_corpus_order_is_sorted():
+    """Windows of phrases around one trigger come in the order of their bytes, cut at the window's length."""
+    rng = random.Random(11)
+    L, k = 20, 6
+    lefts, rights = (["".join(rng.choices("ab", k=L)) for _ in range(4)] for _ in range(2))
+    ahead, raw = [], []
+    for _ in range(80):
+        before = rng.randrange(0, L - k + 1)
+        windows = rng.randrange(1, before + 2)
+        ahead.append(before)
+        raw.append((rng.choice(lefts)[L - before :] + "!trig~" + rng.choice(rights)).encode()[: L + windows - 1])
+    ahead = np.array(ahead)
+    phrase, step, same = B.corpus_order(ahead, raw, L, k)
+    found = [raw[p][s : s + L] for p, s in zip(phrase, step)]
+    assert found == sorted(found) and [False, *(x == y for x, y in zip(found, found[1:]))] == same.tolist() and any(same)
+
+
+def test_factors_go_left_to_right():
+    """Two copies of 80 and 60 words that overlap by 20: the second factor has 40 words and counts by its boundary check."""
+    sources = np.array([[1, 0, 0], [1, 0, 20], [2, 0, 500]])
+    begins, ends, _ = W.factored(np.array([0, 20, 60]), np.array([70, 80, 120]), sources)
+    assert list(zip(begins, ends)) == [(0, 80), (80, 120)]
+    assert W.spans([0, 20, 60], [70, 80, 120], [1, 1, 2], [0, 0, 0], [0, 20, 500], 50) == ([0, 60], [80, 120], 2)
+    assert W.spans([5], [30], [1], [0], [0], 50) == ([], [], 1)

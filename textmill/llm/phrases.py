@@ -1,22 +1,24 @@
-"""Repeated windows of a corpus, found through content-defined phrases.
+"""Content-defined phrases of a corpus, and where equal ones stand first.
 
-A text is a row of symbols (bytes or words). A window is L symbols in a row. Every window has an anchor: of the k-symbol
-grams inside it, the first one with the smallest hash. Neighbouring windows mostly share their anchor, and all windows with
-the same anchor, at the same place, form a phrase: the symbols from its first window's start to its last one's end. The
-anchor depends on nothing but the window, so equal windows have equal anchors at equal distances, wherever they stand.
+A text is a row of symbols (bytes or words). A window is L symbols in a row. Every window has a trigger: of the k-symbol
+grams inside it, the first one with the smallest rolling hash. Neighbouring windows mostly share their trigger, and all
+windows with the same trigger, at the same place, form a phrase: the symbols from its first window's start to its last one's
+end. The trigger depends on nothing but the window, so equal windows have equal triggers at equal distances, wherever they stand.
 About every (L-k)/2-th symbol begins a phrase.
 
-repeated() uses this to compare phrases instead of windows:
-1. Anchors are counted over the corpus (combined per block and per task). Those that occur once are done: their windows
+told() compares phrases instead of windows:
+1. Triggers are counted over the corpus (combined per block and per task). Those that occur once are done: their windows
    occur once.
-2. Phrases with other anchors meet by anchor. A phrase that is equal to an earlier one repeats all its windows.
-3. Where an anchor has several different phrases (at the borders of repeated passages), the first of each kind is read once
-   more, and the windows in them are compared one by one.
-
-The sets of anchors and of those first phrases reach the tasks as bit maps of a fixed size; false hits in them only mean
-more rows in steps that are exact. Anchors with over a `HOT`-th of all phrases are settled by an aggregate that is combined
-per task and a join whose skewed partitions Spark splits. A task holds the windows of GROUP phrases of one anchor at most;
-windows of larger groups go on to an aggregate by window.
+2. Phrases with other triggers meet by trigger. A phrase that is equal to an earlier one repeats all its windows. Phrases are
+   equal if two hashes of 64 bits agree, that of the trigger and that of the phrase.
+3. Where a trigger has several different phrases (at the borders of repeated passages), the first of each kind is given out to be
+   compared by what it holds: byte_dedup and word_dedup do that in their own ways.
+
+The sets of triggers and of those first phrases reach the tasks as bit maps, sized by their number up to 2^MOST_BITS bits; false
+hits in them only mean more rows in steps that are exact. With more triggers than that the map lets more phrases pass, all of
+them at worst; with more first phrases than MAPPED they are joined with the documents instead. Triggers with over a `HOT`-th of all
+phrases are settled by an aggregate that is combined per task; of their phrases the common ones, at most 1/`HOT_KIND`, are
+broadcast, so none meets in one task.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from .hashing import BYTE, INVERSE, mix, powers, running
 from .shared import saved
 
-#: Bits of the anchor maps (16 MB).
-MAP_BITS = 27
+#: Bits of a map: 16 for each hash, within these bounds (64 MB at most).
+LEAST_BITS, MOST_BITS = 16, 29
+MAPPED = 1 << 26
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -48,40 +51,39 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def phrases(symbols: np.ndarray, cuts: np.ndarray, L: int, k: int) -> tuple[np.ndarray, ...]:
     """Of texts that lie end to end in symbols (uint64 hashes, fewer than 2^24; text i is cuts[i]:cuts[i+1]).
 
-    For each phrase: text, start of its first window in the text, number of windows, anchor hash, phrase hash, and the
-    anchor's place from the start; then the running sums for window hashes.
+    For each phrase: text, start of its first window in the text, number of windows, trigger hash, phrase hash, and the
+    trigger's place from the start.
     """
     sums = running(symbols)
     inverse = powers(INVERSE, len(sums))
     n = len(symbols) - L + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, sums
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     grams = mix((sums[k:] - sums[:-k]) * inverse[: len(sums) - k])
     at = np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min((grams & ~_LOW) | at, L - k + 1) & _LOW).astype(np.int64)
+    trigger = (sliding_min((grams & ~_LOW) | at, L - k + 1) & _LOW).astype(np.int64)
     # windows that cross a text's end belong to none
     text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[:n]
     valid = np.arange(n) + L <= cuts[1:][text]
     new = np.empty(n, bool)
     new[0] = True
-    new[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (trigger[1:] != trigger[:-1]) | (valid[1:] != valid[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, n))
     keep = valid[first]
     first, count = first[keep], count[keep]
-    a = anchor[first]
+    a = trigger[first]
     whole = (sums[first + count - 1 + L] - sums[first]) * inverse[first]
     whole = mix(mix(whole ^ (count.astype(np.uint64) << np.uint64(32))) + (a - first).astype(np.uint64))
-    return text[first], first - cuts[text[first]], count, grams[a], whole, a - first, sums
+    return text[first], first - cuts[text[first]], count, grams[a], whole, a - first
 
 
-#: Gives for an Arrow batch blocks of (doc_id of each text, each text's place in its document, raw symbols, cuts).
-Symbols = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+#: Gives for an Arrow batch of keyed documents blocks of (first and last + 1 row, each text's place in its document, raw symbols, cuts).
+Symbols = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]
 
-#: An anchor is hot if it has more than this part of all phrases.
-HOT, LEAST_HOT = 1 / 2000, 1000
-GROUP = 20_000
+#: A trigger is hot if it has more than this part of all phrases, and so is one of its phrases.
+HOT, HOT_KIND, LEAST_HOT = 1 / 2000, 1 / 20_000, 1000
 
 
 def hashed(raw: np.ndarray) -> np.ndarray:
@@ -89,248 +91,229 @@ def hashed(raw: np.ndarray) -> np.ndarray:
     return BYTE[raw] if raw.dtype == np.uint8 else raw
 
 
-def bit_map(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+
+def bit_map(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A map of 2^bits bits with one set for each hash."""
     slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
     rows = hashes.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
     out = np.zeros((1 << bits) // 8, np.uint8)
     for b, m in rows.toLocalIterator():
-        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)[: len(out)]
     return out
 
 
-def in_map(found: np.ndarray, hashes: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
-    slot = hashes & np.uint64((1 << bits) - 1)
+def in_map(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(found) - 1)
     return (found[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def place_of(phrase: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def place_of(phrase: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A hash of one phrase at one place."""
-    return mix(phrase ^ mix(doc.astype(np.uint64) * np.uint64(INVERSE) + start.astype(np.uint64)))
+    return mix(phrase ^ mix((doc.astype(np.uint64) ^ mix(sub.astype(np.uint64))) * np.uint64(INVERSE) + start.astype(np.uint64)))
 
 
-def _batch(**columns) -> pa.RecordBatch:
+def batch(**columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def anchors(docs: DataFrame, symbols: Symbols, L: int, k: int) -> DataFrame:
-    """anchor, n: its occurrences, combined over each block."""
+def triggers(docs: DataFrame, symbols: Symbols, L: int, k: int) -> DataFrame:
+    """trigger, n: its occurrences, combined over each block."""
 
     def count(batches):
         for b in batches:
-            for _, _, raw, cuts in symbols(b):
+            for _, _, _, raw, cuts in symbols(b):
                 hashes, n = np.unique(phrases(hashed(raw), cuts, L, k)[3], return_counts=True)
-                yield _batch(anchor=hashes, n=n.astype(np.int32))
+                yield batch(trigger=hashes, n=n.astype(np.int32))
+
+    return docs.select("id", "sub", "text").mapInArrow(count, "trigger long, n int")
 
-    return docs.select("doc_id", "text").mapInArrow(count, "anchor long, n int")
 
+PHRASE = "trigger long, phrase long, id long, sub long, start long, n int"
 
-PHRASE = "anchor long, phrase long, doc_id long, start long, n int"
+
+def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("id").to_numpy(), b.column("sub").to_numpy()
 
 
 def occurrences(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted, hot: np.ndarray, of_hot: bool) -> DataFrame:
-    """Every phrase whose anchor is in the broadcast map, of hot anchors or of the others."""
+    """Every phrase whose trigger is in the broadcast map, of hot triggers or of the others."""
 
     def find(batches):
         for b in batches:
-            for ids, place, raw, cuts in symbols(b):
-                text, start, n, anchor, whole, _, _ = phrases(hashed(raw), cuts, L, k)
-                m = in_map(wanted.value, anchor)
+            ids, subs = _ids(b)
+            for i, _, place, raw, cuts in symbols(b):
+                text, start, n, trigger, whole, _ = phrases(hashed(raw), cuts, L, k)
+                m = in_map(wanted.value, trigger)
                 if len(hot) or of_hot:
-                    m &= np.isin(anchor, hot) == of_hot
-                yield _batch(anchor=anchor[m], phrase=whole[m], doc_id=ids[text[m]], start=start[m] + place[text[m]], n=n[m].astype(np.int32))
+                    m &= np.isin(trigger, hot) == of_hot
+                row = text[m] + i
+                yield batch(trigger=trigger[m], phrase=whole[m], id=ids[row], sub=subs[row], start=start[m] + place[text[m]], n=n[m].astype(np.int32))
 
-    return docs.select("doc_id", "text").mapInArrow(find, PHRASE)
+    return docs.select("id", "sub", "text").mapInArrow(find, PHRASE)
 
 
-def _later(across: bool, first_doc, first_start, doc, start):
-    """Whether a place comes after the first of its like: in a document with a larger id, or else later in the corpus."""
-    return doc > first_doc if across else (doc > first_doc) | ((doc == first_doc) & (start > first_start))
+#: later: an earlier phrase is equal, its place is in src_id, src_sub and src_start; else others share the trigger. place: place_of() it.
+TOLD = "id long, sub long, start long, n int, later boolean, place long, src_id long, src_sub long, src_start long"
 
 
-TOLD = "doc_id long, start long, n int, later boolean, place long"
+def later(across: bool, first: tuple, own: tuple):
+    """Whether a place (id, sub, start) comes after the first of its like: in a document with a larger id, or else later in the corpus."""
+    (i, s, p), (fi, fs, fp) = own, first
+    return i > fi if across else (i > fi) | ((i == fi) & ((s > fs) | ((s == fs) & (p > fp))))
 
 
 def _tell(across: bool):
-    """For PHRASE rows sorted by all columns: which phrases repeat an earlier one, and which others have a rival of the same anchor."""
+    """For PHRASE rows sorted by all columns: which phrases repeat an earlier one, and which others have a rival of the same trigger."""
 
     def tell(batches):
         carry = None
-        for b in (*_nonempty(batches), None):
+        for b in (*(b for b in batches if b.num_rows), None):
             if b is None:
                 if carry is None:
                     return
-                a, p, d, s, n = carry
-                done = len(a)
-                last = np.zeros(done, bool)
+                t, p, d, u, s, n = carry
+                last = np.zeros(len(t), bool)
             else:
-                a, p, d, s, n = (b.column(c).to_numpy() for c in ("anchor", "phrase", "doc_id", "start", "n"))
+                t, p, d, u, s, n = (b.column(c).to_numpy() for c in ("trigger", "phrase", "id", "sub", "start", "n"))
                 if carry is not None:
-                    a, p, d, s, n = (np.concatenate(x) for x in zip(carry, (a, p, d, s, n), strict=True))
-                last = a == a[-1]
-            new = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
+                    t, p, d, u, s, n = (np.concatenate(x) for x in zip(carry, (t, p, d, u, s, n), strict=True))
+                last = t == t[-1]
+            new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = _later(across, d[first], s[first], d, s)
-            group = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
+            late = later(across, (d[first], u[first], s[first]), (d, u, s))
+            group = np.cumsum(np.append(True, t[1:] != t[:-1])) - 1
             rival = (np.bincount(group, weights=new) > 1)[group]
-            out = later | (rival & ~last)
-            yield _batch(doc_id=d[out], start=s[out], n=n[out], later=later[out], place=place_of(p[out].view(np.uint64), d[out], s[out]))
+            out = late | (rival & ~last)
+            f = first[out]
+            yield batch(id=d[out], sub=u[out], start=s[out], n=n[out], later=late[out], place=place_of(p[out].view(np.uint64), d[out], u[out], s[out]), src_id=d[f], src_sub=u[f], src_start=s[f])
             if b is not None:
-                keep = last & ~later
-                carry = a[keep], p[keep], d[keep], s[keep], n[keep]
+                keep = last & ~late
+                carry = t[keep], p[keep], d[keep], u[keep], s[keep], n[keep]
 
     return tell
 
 
-def _nonempty(batches):
-    return (b for b in batches if b.num_rows)
-
+def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *columns: str) -> DataFrame:
+    """TOLD, or columns of it: every phrase that repeats an earlier one, and the first ones of each kind where a trigger has several.
 
-def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool) -> DataFrame:
-    """TOLD: every phrase that repeats an earlier one, and the first ones of each kind where an anchor has several."""
+    docs: keyed. across: earlier means in a document with a smaller id; else also earlier in the same document.
+    """
     sc = docs.sparkSession.sparkContext
-    often = saved(anchors(docs, symbols, L, k).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = np.array([r.anchor for r in often.where(F.col("n") > max(LEAST_HOT, HOT * total)).select("anchor").collect()], np.int64).view(np.uint64)
-    wanted = sc.broadcast(bit_map(often, "anchor"))
-    found = occurrences(docs, symbols, L, k, wanted, hot, False).repartition("anchor").sortWithinPartitions("anchor", "phrase", "doc_id", "start")
-    out = found.mapInArrow(_tell(across), TOLD)
+    columns = columns or tuple(c.split()[0] for c in TOLD.split(", "))
+    often = saved(triggers(docs, symbols, L, k).groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1"), "triggers")
+    different, total = often.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = np.array([r.trigger for r in often.where(F.col("n") > max(LEAST_HOT, HOT * total)).select("trigger").collect()], np.int64).view(np.uint64)
+    wanted = sc.broadcast(bit_map(often, "trigger", bits_for(different)))
+    found = occurrences(docs, symbols, L, k, wanted, hot, False).repartition("trigger").sortWithinPartitions("trigger", "phrase", "id", "sub", "start")
+    out = found.mapInArrow(_tell(across), TOLD).select(*columns)
     if not len(hot):
         return saved(out, "phrases")
     found = saved(occurrences(docs, symbols, L, k, wanted, hot, True), "hot")
-    kinds = saved(found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first")), "kinds")
-    rivals = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(F.broadcast(rivals), "anchor")  # a row for each hot anchor
-    later = _later(across, F.col("first.doc_id"), F.col("first.start"), F.col("doc_id"), F.col("start"))
-    rows = found.join(kinds, ["anchor", "phrase"]).withColumn("later", later).where("later or kinds > 1")
+    kinds = found.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "sub", "start")).alias("first"), F.count("*").alias("rows"))
+    kinds = saved(kinds, "kinds")
+    rivals = kinds.groupBy("trigger").agg(F.count("*").alias("kinds"))
+    kinds = kinds.join(F.broadcast(rivals), "trigger")  # a row for each hot trigger
+    common = F.col("rows") > max(LEAST_HOT // 10, HOT_KIND * total)  # of so many there are 1 / HOT_KIND at most
+    seldom = found.join(F.broadcast(kinds.where(common).select("trigger", "phrase")), ["trigger", "phrase"], "left_anti").join(kinds.where(~common), ["trigger", "phrase"])
+    rows = found.join(F.broadcast(kinds.where(common)), ["trigger", "phrase"]).unionByName(seldom)
+    late = later(across, tuple(F.col(f"first.{c}") for c in ("id", "sub", "start")), (F.col("id"), F.col("sub"), F.col("start")))
+    rows = rows.withColumn("later", late).where("later or kinds > 1")
 
     def places(batches):
         for b in batches:
-            p, d, s = (b.column(c).to_numpy() for c in ("phrase", "doc_id", "start"))
-            yield _batch(doc_id=d, start=s, n=b.column("n"), later=b.column("later"), place=place_of(p.view(np.uint64), d, s))
+            p, d, u, s = (b.column(c).to_numpy() for c in ("phrase", "id", "sub", "start"))
+            own = {c: b.column(c) for c in ("id", "sub", "start", "n", "later")}
+            yield batch(**own, place=place_of(p.view(np.uint64), d, u, s), **{c: b.column(c) for c in ("src_id", "src_sub", "src_start")})
 
-    return saved(out.unionByName(rows.select("phrase", "doc_id", "start", "n", "later").mapInArrow(places, TOLD)), "phrases")
+    rows = rows.select("phrase", "id", "sub", "start", "n", "later", *[F.col(f"first.{c}").alias(f"src_{c}") for c in ("id", "sub", "start")])
+    return saved(out.unionByName(rows.mapInArrow(places, TOLD).select(*columns)), "phrases")
 
 
-def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, wanted) -> DataFrame:
-    """anchor, doc_id, start, ahead, raw: every phrase whose place is in the broadcast map, with its symbols."""
+BORDER = "trigger long, id long, sub long, start long, ahead long, raw binary"
+
+
+def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFrame) -> DataFrame:
+    """BORDER: the phrases whose place is among those of rivals (id, sub, place), with their symbols. ahead: where the trigger is."""
+    n = rivals.count()
+    if n <= MAPPED:
+        wanted = docs.sparkSession.sparkContext.broadcast(bit_map(rivals, "place", bits_for(n)))
+        docs = docs.select("id", "sub", "text")
+    else:
+        wanted = None
+        docs = docs.join(rivals.groupBy("id", "sub").agg(F.collect_set("place").alias("places")), ["id", "sub"]).select("id", "sub", "text", "places")
 
     def find(batches):
         for b in batches:
-            for ids, place, raw, cuts in symbols(b):
-                text, start, n, anchor, whole, ahead, _ = phrases(hashed(raw), cuts, L, k)
-                at = start + place[text]
-                m = np.flatnonzero(in_map(wanted.value, place_of(whole, ids[text], at)))
+            ids, subs = _ids(b)
+            own = None if wanted else b.column("places").flatten().to_numpy().view(np.uint64)
+            for i, _, place, raw, cuts in symbols(b):
+                text, start, n, trigger, whole, ahead = phrases(hashed(raw), cuts, L, k)
+                row, at = text + i, start + place[text]
+                places = place_of(whole, ids[row], subs[row], at)
+                m = np.flatnonzero(in_map(wanted.value, places) if wanted else np.isin(places, own))
                 first, size = (start + cuts[text])[m], n[m] + L - 1
                 parts = [raw[x : x + z].tobytes() for x, z in zip(first.tolist(), size.tolist(), strict=True)]
-                yield _batch(anchor=anchor[m], doc_id=ids[text[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
+                yield batch(trigger=trigger[m], id=ids[row[m]], sub=subs[row[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(find, "anchor long, doc_id long, start long, ahead long, raw binary")
+    return docs.mapInArrow(find, BORDER)
 
 
-def _windows(anchor, doc, start, ahead, raw: list[bytes], L: int, kind) -> tuple[np.ndarray, ...]:
-    """For phrases: document, place and hash of each window, and its phrase's number."""
-    values = [np.frombuffer(r, kind) for r in raw]
-    size = np.array([len(v) for v in values])
-    n = size - L + 1
-    sums = running(hashed(np.concatenate(values)))
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(size) - size, n) + step
-    own = mix((sums[first + L] - sums[first]) * powers(INVERSE, len(sums))[first]) + (np.repeat(ahead, n) - step).astype(np.uint64)
-    return np.repeat(doc, n), np.repeat(start, n) + step, mix(own), np.repeat(anchor, n)
-
-
-CLASSED = "doc_id long, start long, stop long, anchor long, window long"
+#: Phrases of one trigger that a task holds.
+GROUP = 20_000
 
 
-def _compare(L: int, kind, across: bool, group: int):
-    """For rows of bordering() sorted by anchor: the runs of windows that repeat earlier ones. Windows of groups too large to hold come out as they are."""
+def by_trigger(batches, settle, whole, group: int, step: int = 2000):
+    """For batches of BORDER rows sorted by trigger: settle(rows) of whole triggers' phrases. Of a trigger with more than `group`, which can't
+    be held, whole(rows) part by part. rows: trigger, id, sub, start, ahead as arrays and raw as a list."""
+    names = ("trigger", "id", "sub", "start", "ahead")
+    held: list[tuple] = []
+    flushed = None  # a trigger that is too large
 
-    def compare(batches):
-        held: list[tuple] = []
-        flushed = None  # an anchor whose group is too large
+    def joined():
+        return [np.concatenate([h[i] for h in held]) for i in range(len(names))] + [[r for h in held for r in h[-1]]]
 
-        def settle(rows):
-            doc, at, window, anchor = _windows(*rows, L, kind)
-            order = np.lexsort((at, doc, window, anchor))
-            doc, at, window, anchor = doc[order], at[order], window[order], anchor[order]
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1]))
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = _later(across, doc[first], at[first], doc, at)
-            doc, at = doc[late], at[late]
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
-            begins = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
-            ends = np.append(begins[1:], len(doc)) - 1 if len(doc) else begins
-            none = pa.nulls(len(begins), pa.int64())
-            return _batch(doc_id=doc[begins], start=at[begins], stop=at[ends] + L, anchor=none, window=none)
-
-        def whole(rows):
-            doc, at, window, anchor = _windows(*rows, L, kind)
-            return _batch(doc_id=doc, start=at, stop=at + L, anchor=anchor, window=window)
-
-        def joined():
-            return [np.concatenate([h[i] for h in held]) for i in range(4)] + [[r for h in held for r in h[4]]]
-
-        for b in _nonempty(batches):
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                held.append((*(part.column(c).to_numpy() for c in ("anchor", "doc_id", "start", "ahead")), part.column("raw").to_pylist()))
-                rows = joined()
-                anchor = rows[0]
-                if flushed is not None:
-                    large = int((anchor == flushed).sum())
-                    if large:
-                        yield whole([x[:large] for x in rows])
-                        rows = [x[large:] for x in rows]
-                        anchor = rows[0]
-                done = int((anchor != anchor[-1]).sum()) if len(anchor) else 0
-                if done:
-                    yield settle([x[:done] for x in rows])
-                rest = [x[done:] for x in rows]
-                held = [tuple(rest)] if len(rest[0]) else []
-                if len(rest[0]) > group:
-                    yield whole(rest)
-                    flushed, held = rest[0][0], []
-        if held:
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            held.append((*(part.column(c).to_numpy() for c in names), part.column("raw").to_pylist()))
             rows = joined()
-            same = rows[0] == flushed if flushed is not None else np.zeros(len(rows[0]), bool)
-            if same.any():
-                yield whole([x[: int(same.sum())] for x in rows])
-            if not same.all():
-                yield settle([x[int(same.sum()) :] for x in rows])
-
-    return compare
-
+            if flushed is not None:
+                large = int((rows[0] == flushed).sum())
+                if large:
+                    yield whole([x[:large] for x in rows])
+                    rows = [x[large:] for x in rows]
+            done = int((rows[0] != rows[0][-1]).sum()) if len(rows[0]) else 0
+            if done:
+                yield settle([x[:done] for x in rows])
+            rest = [x[done:] for x in rows]
+            held = [tuple(rest)] if len(rest[0]) else []
+            if len(rest[0]) > group:
+                yield whole(rest)
+                flushed, held = rest[0][0], []
+    if held:
+        rows = joined()
+        yield whole(rows) if flushed is not None and rows[0][0] == flushed else settle(rows)
+
+
+def windows(rows, L: int, kind) -> tuple[np.ndarray, ...]:
+    """For BORDER rows as by_trigger() gives them: each window's row, number in its phrase, and hash (with the trigger's place in it)."""
+    ahead, raw = rows[4], rows[5]
+    values = [np.frombuffer(r, kind) for r in raw]
+    size = np.array([len(v) for v in values])
+    n = size - L + 1
+    sums = running(hashed(np.concatenate(values)))
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = (np.cumsum(size) - size)[row] + step
+    own = mix((sums[first + L] - sums[first]) * powers(INVERSE, len(sums))[first]) + (ahead[row] - step).astype(np.uint64)
+    return row, step, mix(own)
 
-def repeated(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, kind=np.uint8, group: int | None = None) -> DataFrame:
-    """doc_id, start, stop: runs of symbols covered by windows that also stand earlier. Runs may overlap.
 
-    across: earlier means in a document with a smaller id; else also earlier in the same document. kind: the raw symbols' type.
-    """
-    sc = docs.sparkSession.sparkContext
-    found = told(docs, symbols, L, k, across)
-    whole = found.where("later").select("doc_id", "start", (F.col("start") + F.col("n") + (L - 1)).alias("stop"))
-    borders = sc.broadcast(bit_map(found.where("not later"), "place"))
-    rows = bordering(docs, symbols, L, k, borders).repartition("anchor").sortWithinPartitions("anchor")
-    classed = saved(rows.mapInArrow(_compare(L, kind, across, group or GROUP), CLASSED), "classes")
-    out = whole.unionByName(classed.where("window is null").select("doc_id", "start", "stop"))
-    single = classed.where("window is not null")
-    if single.isEmpty():
-        return out
-    firsts = single.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("anchor", "window", "first")
-    later = _later(across, F.col("first.doc_id"), F.col("first.start"), F.col("doc_id"), F.col("start"))
-    return out.unionByName(single.join(firsts, ["anchor", "window"]).where(later).select("doc_id", "start", "stop"))
-
-
-def spans_by_document(runs: DataFrame) -> DataFrame:
-    """doc_id, starts, stops: the runs of each document, sorted, as arrays. Their number is bounded by the document's length."""
-    found = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-    return found.select("doc_id", F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"))
-
-
-def covered(n: int, starts: list[int] | None, stops: list[int] | None) -> np.ndarray:
+def covered(n: int, starts, stops) -> np.ndarray:
     """For n symbols, which of them some run covers."""
     change = np.zeros(n + 1, np.int32)
     if starts is not None and len(starts):

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents are worked on in blocks of about so many bytes, which bounds a Python worker's memory.
 BLOCK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset (tests, one machine) a folder of our own is set for the session.
-    """
+    """The folder in spark.checkpoint.dir, which driver and executors share. It has to be set but where all run on one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
         folder = tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,6 +44,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null doc_id.
+LOWEST = -(1 << 63)
+#: Repeated doc_ids that tasks may hold; with more of them the join with them shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, sub, text: id is doc_id (LOWEST where it is null); sub is 0, but for ids that several rows have a hash of the text.
+
+    So (id, sub) tells documents apart: rows of one doc_id with other texts are documents of their own, in order of that hash, and
+    rows with one doc_id and one text are the same document, with the same results.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
+    again = saved(rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again")), "again")
+    n = again.count()
+    if not n:
+        return rows.select("id", F.lit(0).cast("long").alias("sub"), "text")
+    rows = rows.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "id", "left")
+    return rows.select("id", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
+
+
+def doc_id() -> Column:
+    """doc_id of a keyed row."""
+    return F.when(F.col("id") != LOWEST, F.col("id")).alias("doc_id")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file on the machine that asks."""
     import public_tokenizers
