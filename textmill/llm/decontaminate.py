@@ -6,17 +6,22 @@ the benchmark and of the documents are joined by equality. A hit gives a diagona
 it the longest well-matching overlap is worked out token by token, and counts if at least `identity` of its tokens match and
 it has `overlap` tokens, or that share of an item with fewer.
 
-Items of fewer tokens than the longest mask are also looked up whole. Documents' stretches pass a bit map of the benchmark's
-hashes first, of a fixed size, so few rows reach the join; the join itself is exact and shuffles, however large the benchmark.
+The masks miss nothing: any stretch of 7 tokens or more of which 80 % match is hit by one of MASKS (test_masks_hit_every_overlap
+works it out), and any of 4 to 6 by one of SHORT_MASKS, which are for items of fewer than 8 tokens.
+
+The benchmark is a query set. It goes to the tasks in parts of PART_TOKENS tokens at most, as sorted hashes with their places; the
+documents are read once for each part, and the join is made where they are read, so neither texts nor hits are shuffled. All
+diagonals of a document and an item are verified together, in pieces of a bounded size.
 
 Defined results: null and empty texts match nothing, nor do items of fewer than `least` tokens. Rows of one doc_id, or of one
-item_id, are searched one by one and give one row for each pair of ids, the best one. Other columns are ignored; no rows give
-none.
+item_id, null ones too, are searched one by one; overlaps() gives one row for each pair of ids, the best one, and clean_documents()
+decides on each row by its own text. Other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -25,15 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, words
-from .phrases import bit_map, in_map
 from .shared import blocks, saved, table, utf8
 
-#: 1: the token counts. Five tokens of seven to nine.
-MASKS = ("1101011", "11001011", "110010101")
+#: 1: the token counts. Five tokens of five to nine; for short items four of four or five.
+MASKS = ("1101011", "11001011", "110010101", "11111", "111011")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT = 8
 OVERLAP, IDENTITY, LEAST = 13, 0.8, 5
-BITS = 24
-#: Candidate rows that tasks may hold; with more of them the join with the texts shuffles.
-BROADCAST_ROWS = 100_000
+#: Tokens of the benchmark that tasks hold at a time (some 100 bytes each).
+PART_TOKENS = 1 << 20
+#: Hits that are worked on at a time, and tokens compared.
+HITS, CELLS = 1 << 18, 1 << 22
+#: Of a document's token hashes, the low bits that find out whether the benchmark has one like it.
+BITS = 22
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[128:] = False
@@ -42,19 +51,14 @@ for _a, _z in ("az", "AZ", "09"):
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def seeds(tokens: np.ndarray, cuts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie end to end in tokens: text, place in it and hash of every stretch of the mask's length."""
-    n = len(tokens) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of every stretch of the mask's length."""
+    n = max(0, len(tokens) - len(mask) + 1)
     total = np.full(n, int(mask, 2) + (len(mask) << 32), np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
             total += tokens[j : j + n] * _FACTORS[j]
-    text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[:n]
-    place = np.arange(n) - cuts[text]
-    inside = np.arange(n) + len(mask) <= cuts[1:][text]
-    return text[inside], place[inside], mix(total[inside])
+    return mix(total)
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,49 +66,106 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, cuts
 
 
-def benchmark_tokens(benchmark: DataFrame) -> DataFrame:
-    """item_id, tokens (hashes), item (a number of the row's own text)."""
-
-    def read(batches):
-        for b in batches:
-            data, at = utf8(b.column("text"))
-            hashes, cuts = tokens(data[at[0] : at[-1]], at - at[0])
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["item_id", "tokens"])
-
-    return benchmark.select("item_id", F.lower("text").alias("text")).mapInArrow(read, "item_id long, tokens array<long>").distinct()
-
-
-def benchmark_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    def read(batches):
-        for b in batches:
-            lists = b.column("tokens")
-            values, cuts = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            size = np.diff(cuts)
-            for mask in masks:
-                text, place, hashes = seeds(values, cuts, mask)
-                if "0" not in mask:  # whole short items only
-                    m = size[text] == len(mask)
-                    text, place, hashes = text[m], place[m], hashes[m]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), b.column("item_id").take(pa.array(text)), lists.take(pa.array(text)), pa.array(place)], names=["seed", "item_id", "tokens", "place"])
-
-    return items.mapInArrow(read, "seed long, item_id long, tokens array<long>, place long")
-
-
-def document_seeds(docs: DataFrame, masks: list[str], wanted) -> DataFrame:
-    """seed, doc_id, at of the stretches whose hash is in the broadcast map."""
-
-    def read(batches):
-        for b in batches:
-            data, at = utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in blocks(at):
-                values, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                for mask in masks:
-                    text, place, hashes = seeds(values, cuts, mask)
-                    m = in_map(wanted.value, hashes, BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[m].view(np.int64)), pa.array(ids[i:j][text[m]]), pa.array(place[m])], names=["seed", "doc_id", "at"])
-
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(read, "seed long, doc_id long, at long")
+@dataclass
+class Items:
+    """A part of the benchmark. Items lie end to end in tokens; seed[i] stands at at[i], ascending by seed."""
+
+    ids: list
+    tokens: np.ndarray
+    cuts: np.ndarray
+    masks: list[str]
+    seed: np.ndarray
+    at: np.ndarray
+    there: np.ndarray  # which low bits some seed has
+
+    @classmethod
+    def of(cls, ids: list, lists: list[np.ndarray], masks) -> Items:
+        flat, cuts = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        size = np.diff(cuts)
+        owner = np.repeat(np.arange(len(size)), size)
+        masks = [*masks, *(SHORT_MASKS if (size < SHORT).any() else ())]
+        seed, at = [], []
+        for mask in masks:
+            s = seeds(flat, mask)
+            i = np.arange(len(s))
+            inside = owner[i] == owner[i + len(mask) - 1]
+            if mask in SHORT_MASKS:
+                inside &= size[owner[i]] < SHORT
+            seed.append(s[inside])
+            at.append(i[inside])
+        seed, at = np.concatenate(seed), np.concatenate(at)
+        order = np.argsort(seed, kind="stable")
+        there = np.zeros(1 << BITS, bool)
+        there[seed & np.uint64((1 << BITS) - 1)] = True
+        return cls(ids, flat, cuts, masks, seed[order], at[order], there)
+
+    def hits(self, doc: np.ndarray):
+        """Places in the document and in the items' tokens of equal seeds, in pieces of HITS or so."""
+        for mask in self.masks:
+            s = seeds(doc, mask)
+            place = np.flatnonzero(self.there[s & np.uint64((1 << BITS) - 1)])
+            first = np.searchsorted(self.seed, s[place], "left")
+            n = np.searchsorted(self.seed, s[place], "right") - first
+            place, first, n = place[n > 0], first[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, "right")))
+                own = n[i:j]
+                step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                yield np.repeat(place[i:j], own), self.at[np.repeat(first[i:j], own) + step]
+                i = j
+
+    def best(self, doc: np.ndarray, identity: float, overlap: int) -> dict[int, tuple]:
+        """For each item with an overlap, its number and (matches, length, doc_start, item_start) of the best one."""
+        out: dict[int, tuple] = {}
+        done = np.zeros(0, np.int64)  # diagonals seen, as item and shift
+        span = len(doc) + len(self.tokens) + 1
+        for place, at in self.hits(doc):
+            item = np.searchsorted(self.cuts, at, "right") - 1
+            diagonal = np.unique(item * span + place - (at - self.cuts[item]) + len(self.tokens))
+            diagonal = diagonal[~np.isin(diagonal, done)]
+            done = np.union1d(done, diagonal)
+            item, shift = diagonal // span, diagonal % span - len(self.tokens)
+            for k in np.unique(item).tolist():
+                own = self.tokens[self.cuts[k] : self.cuts[k + 1]]
+                need = min(overlap, math.ceil(identity * len(own)))
+                shifts = shift[item == k]
+                step = max(1, CELLS // len(own))
+                for i in range(0, len(shifts), step):
+                    for found in _overlaps(doc, own, shifts[i : i + step], identity, need):
+                        if k not in out or _rank(found) > _rank(out[k]):
+                            out[k] = found
+        return out
+
+
+def _rank(found: tuple) -> tuple:
+    matches, length, doc_start, item_start = found
+    return matches, -length, -doc_start, -item_start
+
+
+def _overlaps(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, identity: float, need: int):
+    """(matches, length, doc_start, item_start) of the best overlap with at least `need` tokens along these diagonals, if there is one."""
+    at = shifts[:, None] + np.arange(len(item))
+    inside = (at >= 0) & (at < len(doc))
+    same = (doc[np.clip(at, 0, len(doc) - 1)] == item) & inside
+    share = Fraction(identity).limit_denominator(1000)
+    likely = np.flatnonzero(same.sum(1) * share.denominator >= need * share.numerator)
+    if not len(likely):
+        return
+    # of diagonals that match alike, as in repetitive texts, the first one counts
+    pattern = np.packbits(np.concatenate([same[likely], inside[likely]], 1), axis=1)
+    _, first_like = np.unique(pattern.view(f"V{pattern.shape[1]}"), return_index=True)
+    found = []
+    for i in likely[np.sort(first_like)].tolist():
+        first, last = int(inside[i].argmax()), int(inside[i].sum() + inside[i].argmax())
+        a, z = best_overlap(same[i, first:last], identity)
+        if z - a >= need:
+            found.append((int(same[i, first + a : first + z].sum()), z - a, int(shifts[i]) + first + a, first + a))
+            if found[-1][0] == len(item):  # all of it: no other is better
+                break
+    if found:
+        yield max(found, key=_rank)
 
 
 def best_overlap(same: np.ndarray, identity: float) -> tuple[int, int]:
@@ -120,53 +181,76 @@ def best_overlap(same: np.ndarray, identity: float) -> tuple[int, int]:
     return start, int(end[start])
 
 
-def _verify(identity: float, overlap: int):
+def parts(benchmark: DataFrame, masks, least: int, part_tokens: int):
+    """The benchmark's items in parts. Each row of the query set passes the driver once, a part at a time."""
+
     def read(batches):
         for b in batches:
             data, at = utf8(b.column("text"))
-            ids, hits = b.column("doc_id").to_pylist(), b.column("hits")
-            out = []
-            for k in range(b.num_rows):
-                doc, _ = tokens(data[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]]))
-                for hit in hits[k].as_py():
-                    item = np.array(hit["tokens"], np.int64).view(np.uint64)
-                    first, last = max(0, -hit["shift"]), min(len(item), len(doc) - hit["shift"])
-                    if last <= first:  # another row with this doc_id
-                        continue
-                    same = item[first:last] == doc[first + hit["shift"] : last + hit["shift"]]
-                    a, z = best_overlap(same, identity)
-                    if z - a >= min(overlap, math.ceil(identity * len(item))):
-                        out.append((ids[k], hit["item_id"], int(same[a:z].sum()), z - a, first + a + hit["shift"], first + a, len(item)))
-            if out:
-                names = ("doc_id", "item_id", "matches", "length", "doc_start", "item_start", "item_tokens")
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-    return read
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, identity: float = IDENTITY, least: int = LEAST) -> DataFrame:
+            hashes, cuts = tokens(data[at[0] : at[-1]], at - at[0])
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["item_id", "tokens"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).mapInArrow(read, "item_id long, tokens array<long>")
+    rows = saved(rows.where(F.size("tokens") >= least).distinct(), "items")
+    ids, lists, held = [], [], 0
+    for r in rows.toLocalIterator():
+        ids.append(r.item_id)
+        lists.append(np.array(r.tokens, np.int64).view(np.uint64))
+        held += len(lists[-1])
+        if held >= part_tokens:
+            yield Items.of(ids, lists, masks)
+            ids, lists, held = [], [], 0
+    if ids:
+        yield Items.of(ids, lists, masks)
+
+
+def _rows(b: pa.RecordBatch, lowered: str):
+    """Each row's number and tokens."""
+    data, at = utf8(b.column(lowered))
+    for i, j in blocks(at):
+        values, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        for k in range(i, j):
+            yield k, values[cuts[k - i] : cuts[k - i + 1]]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, identity: float = IDENTITY, least: int = LEAST, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, item_id, matches, length, doc_start, item_start, item_tokens: the best overlap of each pair that has one."""
-    longest = max(map(len, masks))
-    items = saved(benchmark_tokens(benchmark).where(F.size("tokens") >= least), "items")
-    short = [r[0] for r in items.where(F.size("tokens") < longest).select(F.size("tokens")).distinct().collect()]
-    masks = [*masks, *("1" * n for n in short)]
-    known = saved(benchmark_seeds(items, masks), "seeds")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(known, "seed", BITS))
-    hits = document_seeds(docs, masks, wanted).join(known, "seed").select("doc_id", "item_id", "tokens", (F.col("at") - F.col("place")).alias("shift"))
-    hits = saved(hits.groupBy("doc_id", "item_id", "shift", F.xxhash64("tokens").alias("item")).agg(F.first("tokens").alias("tokens")).drop("item"), "hits")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "tokens")).alias("hits"))
-    if hits.count() <= BROADCAST_ROWS:
-        by_doc = F.broadcast(by_doc)
-    found = docs.select("doc_id", F.lower("text").alias("text")).join(by_doc, "doc_id")
-    found = found.mapInArrow(_verify(identity, overlap), "doc_id long, item_id long, matches long, length long, doc_start long, item_start long, item_tokens long")
+    schema = "doc_id long, item_id long, matches long, length long, doc_start long, item_start long, item_tokens long"
+    rows, found = docs.select("doc_id", F.lower("text").alias("text")), docs.sparkSession.createDataFrame([], schema)
+    for items in parts(benchmark, masks, least, part_tokens):
+        given = docs.sparkSession.sparkContext.broadcast(items)
+
+        def search(batches, given=given):
+            names = [c.split()[0] for c in schema.split(", ")]
+            for b in batches:
+                items, ids = given.value, b.column("doc_id")
+                out = [(k, item, best) for k, doc in _rows(b, "text") for item, best in items.best(doc, identity, overlap).items()]
+                if out:
+                    columns = [pa.array([best[c] for _, _, best in out], pa.int64()) for c in range(4)]
+                    size = pa.array([int(items.cuts[item + 1] - items.cuts[item]) for _, item, _ in out], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([k for k, _, _ in out])), pa.array([items.ids[item] for _, item, _ in out], pa.int64()), *columns, size], names=names)
+
+        found = found.unionByName(saved(rows.mapInArrow(search, schema), "overlaps"))
     best = F.max_by(F.struct("matches", "length", "doc_start", "item_start", "item_tokens"), F.struct("matches", -F.col("length"), -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that overlap no item."""
-    bad = saved(overlaps(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, identity: float = IDENTITY, least: int = LEAST, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """The rows of docs that overlap no item. Each row is decided on where it is read, so null and repeated ids don't matter."""
+    lowered = next(c for c in (f"lowered{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    out = docs.withColumn(lowered, F.lower("text"))
+    for items in parts(benchmark, masks, least, part_tokens):
+        given = docs.sparkSession.sparkContext.broadcast(items)
+
+        def clean(batches, given=given):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for k, doc in _rows(b, lowered):
+                    keep[k] = not given.value.best(doc, identity, overlap)
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, out.schema)
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
