@@ -127,7 +127,8 @@ def train(texts: list[bytes], labels: list[str], window: int = WINDOW, widths=WI
 
 
 def held_out(of: int, rest: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % of == rest
+    """A row without doc_id is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == rest, F.lit(True))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> Network | None:

@@ -7,8 +7,8 @@ less, and it needs one host in some other group; the roomiest hosts go up with i
 items for the next best-fit round, until one group is left. Every round is a Spark job whose tasks hold a bounded number
 of bins, and is written to the shared folder.
 
-Defined results: a null text is an empty one and has one piece, its end token. Repeated rows are pieces of their own; equal
-(doc_id, piece) then occur more than once. No rows give none. Other columns are ignored.
+Defined results: a null text is an empty one and has one piece, its end token. Repeated rows, and rows with null doc_id, have pieces
+of their own; equal (doc_id, piece) then occur more than once. No rows give none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def local(pieces: DataFrame, groups: int, smallest: int, capacity: int = CAPACIT
         t = t.append_column("offset", pa.array(offset)).append_column("fill", pa.array(fills[place])).append_column("up", pa.array(up[place]))
         yield from t.to_batches(10_000)
 
-    return pieces.repartition(groups, "doc_id", "piece").mapInArrow(pack, PIECE + ", bin long, group long, offset long, fill long, up boolean")
+    return pieces.repartition(groups, "row").drop("row").mapInArrow(pack, PIECE + ", bin long, group long, offset long, fill long, up boolean")
 
 
 def merged(bins: DataFrame, smallest: int, capacity: int = CAPACITY, hosts: int = HOSTS) -> DataFrame:
@@ -188,7 +188,8 @@ def merged(bins: DataFrame, smallest: int, capacity: int = CAPACITY, hosts: int
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", group_pieces: int = GROUP_PIECES, fan: int = FAN, hosts: int = HOSTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = saved(tokenised(docs, capacity, tokenizer), "pieces")
+    # numbered once and for all, so that repeated rows are dealt to groups like others
+    pieces = saved(tokenised(docs, capacity, tokenizer).withColumn("row", F.monotonically_increasing_id()), "pieces")
     n, smallest = pieces.agg(F.count("*"), F.coalesce(F.min("length"), F.lit(1))).first()
     groups = max(1, math.ceil(n / group_pieces))
     packed = saved(local(pieces, groups, smallest, capacity, hosts), "packed")

@@ -13,7 +13,8 @@ of its class (for other distances, the block join of split buckets).
 
 Defined results: words are runs of bytes other than ASCII white space, lower-cased A-Z; a text of fewer words than a shingle
 has one shingle, all of it; a text without words (or null) has fingerprint zero, which links like any other. Of rows with one
-doc_id each counts by itself. Other columns are ignored; no rows give none.
+doc_id each counts by itself. A null doc_id links like others but is never a component's smallest, unless there is no other. Other
+columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import BASE, mix
-from .phrases import bit_map, in_map
+from .phrases import bit_map, bits_for, in_map
 from .shared import blocks, saved, table, utf8
 from .similar import shared_bands, similar
 
 SEED = 42
 #: Fingerprints under one key that a task compares.
 BUCKET = 4096
+#: Fingerprints whose variants one task gives out.
+SPREAD = 50_000
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -158,12 +161,13 @@ def _forests(distance: int):
 
 def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """fps: distinct fp. Returns edges (a, b) between fingerprints at `distance` or less, enough of them to connect all that are linked."""
-    fps = fps.select("fp")
+    spread = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // SPREAD)
+    fps = fps.select("fp").repartition(spread)  # each row becomes some 64
     keys = variants(fps, distance).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     keys = saved(keys, "keys")
     pairs = keys.where("n = 2").where(near("a", "b", distance)).select("a", "b")
     many = keys.where("n > 2").select("key", "n")
-    wanted = fps.sparkSession.sparkContext.broadcast(bit_map(many, "key"))
+    wanted = fps.sparkSession.sparkContext.broadcast(bit_map(many, "key", bits_for(many.count())))
     rows = saved(variants(fps, distance, wanted).join(many, "key"), "rows")
     few = rows.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
     out = pairs.unionByName(few.mapInArrow(_forests(distance), "a long, b long"))
@@ -201,10 +205,10 @@ def near_dedup(docs: DataFrame, size: int = 3, distance: int = 2, bucket: int =
     """doc_id, fp, component_id: the smallest doc_id that is reachable over links, its own included."""
     prints = saved(fingerprints(docs, size), "fingerprints")
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
-    edges = links(least, distance, bucket).join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    ends = components(edges).withColumnRenamed("node", "least")
-    names = least.join(ends, "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    ends = components(links(least, distance, bucket)).withColumnRenamed("node", "fp")
+    names = least.join(ends, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = names.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = names.join(smallest, "component").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -221,13 +225,24 @@ def candidates(docs: DataFrame, size: int, distance: int, bucket: int = BUCKET)
 def kept_documents(docs: DataFrame, size: int, distance: int, least: float, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group that links hold together, the one with the smallest doc_id.
 
-    Documents link if they share at least `least` of their distinct word shingles. Fingerprints and bands of smallest hashes
-    only say which documents are compared: all those that candidate edges connect, with each other (see similar.py).
+    Rows link if they share at least `least` of their distinct word shingles. Fingerprints and bands of smallest hashes
+    only say which rows are compared: all those that candidate edges connect, with each other (see similar.py).
+
+    Rows are numbered and told apart by their number, so null and repeated doc_ids don't matter; of a group's rows with the same
+    doc_id the one with the smallest number stays, and null ones stay only where the group has no other. Texts without words link
+    to each other. No rows give none.
     """
-    edges = candidates(docs, size, distance, bucket).unionByName(shared_bands(docs, size))
+    row = next(c for c in (f"row{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(row).alias("doc_id"), "text")
+    edges = candidates(texts, size, distance, bucket).unionByName(shared_bands(texts, size))
     groups = components(saved(edges, "candidates")).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    gone = components(similar(docs, groups, size, least)).where("node != component").select(F.col("node").alias("doc_id"))
-    return docs.join(saved(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    linked = components(similar(texts, groups, size, least))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(row).alias("row"))
+    linked = saved(linked.join(rows.select(F.col(row).alias("node"), order.alias("place")), "node"), "linked")
+    stays = linked.groupBy("component").agg(F.min("place").alias("stays"))
+    gone = linked.join(stays, "component").where("place.row != stays.row").select(F.col("node").alias(row))
+    return rows.join(saved(gone, "gone"), row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
