@@ -5,11 +5,13 @@ several widths slide over the bytes; each filter's largest value in the window i
 layer gives the languages' probabilities. A document's are the mean over its windows, weighted by their bytes. A filter is a
 table with a row for each byte and place in it, so a window's values are sums of table rows.
 
-The network is trained in numpy (Adam) on the driver, on a bounded sample: up to `per_language` documents of each language,
-the ones with the smallest hashed doc_id, and up to three windows of each. Counts that the sample depends on cover all rows.
+The network is trained in numpy (Adam) on the driver, on a bounded sample, documented in README: of the LANGUAGES most frequent
+languages up to `per_language` documents each, SAMPLE documents in all, the ones with the smallest hashed doc_id, and up to three
+windows of each. Counts that the sample depends on cover all rows. Prediction covers all rows and whole texts.
 
 Defined results: `und` and score 0 where the text is null or has no letter, or where no row has a language to learn from.
-Rows without a language aren't learned from. Repeated rows get equal results. Other columns are ignored; no rows give none.
+Rows without a language or doc_id aren't learned from. Repeated rows get equal results; rows with one doc_id and other texts are
+predicted one by one. Other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .shared import blocks, table, utf8
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bounds of the training sample.
-PER_LANGUAGE, LANGUAGES = 500, 500
+#: Bounds of the training sample: documents of a language, languages, documents.
+PER_LANGUAGE, LANGUAGES, SAMPLE = 500, 500, 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 UNKNOWN = "und"
 
@@ -133,36 +135,68 @@ def held_out(of: int, rest: int) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> Network | None:
     """docs: doc_id, text, lang. None where no row has text and language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = docs.sparkSession.createDataFrame(counts.collect(), "lang string, n long")
+    per_language = max(1, min(per_language, SAMPLE // max(1, counts.count())))
     hashed = F.xxhash64(F.lit(SEED), "doc_id")
     share = (F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))).alias("share")
     rows = rows.select("doc_id", "text", "lang", share).join(F.broadcast(counts), "lang").where(F.col("share") * F.col("n") < per_language)
     chars = F.length("text")
     places = F.array_distinct(F.array(F.lit(1), F.greatest(F.lit(1), F.expr(f"int(length(text) / 2) - {window // 2}")), F.greatest(F.lit(1), chars - window + 1)))
     parts = F.transform(places, lambda p: F.substring(F.col("text"), p, F.lit(window)))
-    sample = rows.select("share", "doc_id", "lang", parts.alias("parts")).orderBy("share", "doc_id").limit(2 * per_language * LANGUAGES).collect()
+    sample = rows.select("share", "doc_id", "lang", parts.alias("parts")).orderBy("share", "doc_id").limit(2 * SAMPLE).collect()
     texts = [(p.encode()[:window], r.lang) for r in sample for p in r.parts]
     return train([t for t, _ in texts], [x for _, x in texts], window) if texts else None
 
 
+def _told(net: Network | None, b: pa.RecordBatch, text: str, letters: str):
+    """Of a batch's rows block by block: first and last + 1 row, languages, scores."""
+    data, at = utf8(b.column(text))
+    there = b.column(letters).to_numpy(zero_copy_only=False)
+    for i, j in blocks(at, 1 << 18):
+        names, scores = [UNKNOWN] * (j - i), [0.0] * (j - i)
+        own = [k for k in range(i, j) if there[k]] if net else []
+        if own:
+            for k, p in zip(own, _documents(net, [data[at[k] : at[k + 1]] for k in own]), strict=True):
+                names[k - i], scores[k - i] = net.languages[int(p.argmax())], float(p.max())
+        yield i, j, names, scores
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
 
     def of(batches):
         for b in batches:
-            data, at = utf8(b.column("text"))
-            letters = b.column("letters").to_numpy(zero_copy_only=False)
-            for i, j in blocks(at, 1 << 18):
-                names, scores = [UNKNOWN] * (j - i), [0.0] * (j - i)
-                own = [k for k in range(i, j) if letters[k]] if net else []
-                if own:
-                    for k, p in zip(own, _documents(net, [data[at[k] : at[k + 1]] for k in own]), strict=True):
-                        names[k - i], scores[k - i] = net.languages[int(p.argmax())], float(p.max())
+            for i, j, names, scores in _told(net, b, "text", "letters"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(of, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", _letters().alias("letters")).mapInArrow(of, "doc_id long, lang_pred string, score double")
+
+
+def kept_documents(docs: DataFrame, net: Network | None, least: float, wanted=None) -> DataFrame:
+    """The rows of docs whose language is told with a score of `least` or more and is among `wanted` (None: any), with their columns.
+
+    Rows without a language get the one that is told. Each row is decided on by its own text, where it is read. Without a network
+    none can be told, so none stays.
+    """
+    letters = next(c for c in (f"letters{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    place = docs.columns.index("lang")
+
+    def of(batches):
+        for b in batches:
+            lang = b.column("lang").to_pylist()
+            for i, j, names, scores in _told(net, b, "text", letters):
+                keep = pa.array([s >= least and n != UNKNOWN and (wanted is None or n in wanted) for n, s in zip(names, scores, strict=True)])
+                filled = pa.array([x or n for x, n in zip(lang[i:j], names, strict=True)], pa.string())
+                part = b.slice(i, j - i).drop_columns([letters])
+                yield part.set_column(place, "lang", filled).filter(keep)
+
+    return docs.withColumn(letters, _letters()).mapInArrow(of, docs.schema)
 
 
 def _documents(net: Network, texts: list[np.ndarray]) -> np.ndarray:
