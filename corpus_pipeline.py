@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents; the last returns the
 packed pieces. Null texts pass no further than the first stage. A table without rows gives none.
+
+Stages decide on rows, not on doc_ids: rows with null or repeated doc_ids are kept or rejected each by its own text (language,
+decontaminate), or as copies of each other (exact_dedup, near_dedup: the row with the smallest doc_id stays, null ones last in
+near_dedup and first in exact_dedup). Columns with other names are passed on.
 """
 
 from __future__ import annotations
@@ -11,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textmill.llm import decontaminate, exact_dedup, language, packing, simhash
 from textmill.llm.shared import saved, table
 
-#: A document whose language is less certain than this is rejected, as are those without letters.
-LEAST_CERTAIN = 0.3
+#: A document whose language is less certain than this is rejected, as are those without letters; the languages to keep (None: all).
+LEAST_CERTAIN, WANTED = 0.5, None
 #: Words in a shingle, and differing bits of two fingerprints that link.
 SHINGLE, DISTANCE = 5, 5
 #: Shared share of word shingles from which two linked documents are near duplicates.
@@ -20,10 +24,8 @@ SIMILAR = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language the network tells. It is trained on their own labels, where they have some."""
-    found = language.predict(docs, language.fit(docs.select("doc_id", "text", "lang"))).where(f"lang_pred = '{language.UNKNOWN}' or score < {LEAST_CERTAIN}")
-    rejected = saved(found.select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose language the network tells; those without a language get it. It is trained on their own labels."""
+    return language.kept_documents(docs, language.fit(docs.select("doc_id", "text", "lang")), LEAST_CERTAIN, WANTED)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
