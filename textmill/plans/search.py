@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fusion
+from ..functions.text import tokens
+from ..operators import fusion, store
 from ..operators import search as S
+from ..sources.tables import scratch, table, version
 
 ANY = S.match_any("tion hered queau")
 ALL = S.match_all("the tion")
@@ -14,8 +16,48 @@ PHRASE = S.match_all('"of the"')
 SCOPE = ("src1", "src3", "src5")
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source")
+_open: dict[tuple, store.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> store.Index:
+    """The index of the table's documents as they are: built once, and again when a file of it has changed."""
+    key = spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir, "documents")
+    if key not in _open:
+        _open[key] = store.build(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), scratch(spark, "index"), "source")
+    return _open[key]
+
+
+def fts_index_build(spark, sf_dir):
+    """The index written from empty; how many passages and tokens each source has."""
+    index = store.build(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), scratch(spark, "index"), "source")
+    return index.table("passages").groupBy("source").agg(F.count("*").alias("passages"), F.sum("dl").alias("tokens"))
+
+
+def fts_index_states(spark, sf_dir):
+    """What the index knows of each document."""
+    return _index(spark, sf_dir).table("states").select("doc_id", "version", "passages")
+
+
+def _changed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of an index's documents, those that a later import changes (a fifth) and those that it no longer has (a seventh)."""
+    gone = docs.where("doc_id % 7 = 0").select("doc_id")
+    return docs.where("doc_id % 5 = 1 and doc_id % 7 <> 0").withColumn("text", F.concat("text", F.lit("\nqueau queau tion"))), gone
+
+
+def fts_index_plan(spark, sf_dir):
+    """What a later import means for the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    changed, gone = _changed(docs)
+    now = docs.join(gone, "doc_id", "left_anti").join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed)
+    return store.reconciled(_index(spark, sf_dir), now)
+
+
+def fts_index_replace(spark, sf_dir):
+    """The same import carried out: scores of the index after it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = store.build(docs, scratch(spark, "index"), "source", buckets=8)
+    store.replace(index, *_changed(docs))
+    return _out(store.hits(index, ANY), "doc_id", "segment")
 
 
 _P = r"""
@@ -51,50 +93,51 @@ def _out(rows: DataFrame, *columns) -> DataFrame:
 
 
 def fts_bm25_topk(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
-    return _out(S.top(rows, 50, "doc_id", "segment"), "doc_id", "segment", "text")
+    rows = store.hits(_index(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
+    return _out(store.with_text(_index(spark, sf_dir), S.top(rows, 50, "doc_id", "segment")), "doc_id", "segment", "text")
 
 
 def fts_and_page(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ALL, every=True).withColumn("score", F.round("score", 6))
+    rows = store.hits(_index(spark, sf_dir), ALL, every=True).withColumn("score", F.round("score", 6))
     total = rows.agg(F.count("*").alias("total"))
     return _out(S.top(rows, 10, "doc_id", "segment", offset=10).join(F.broadcast(total), how="cross"), "doc_id", "segment", "total")
 
 
 def fts_best_per_course(spark, sf_dir):
-    rows = S.by_group(S.scored(_passages(spark, sf_dir), ANY), "source")
+    rows = S.by_group(store.hits(_index(spark, sf_dir), ANY), "source")
     return rows.select("source", "hits", F.round("best", 6).alias("best"))
 
 
 def fts_top3_per_course(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
+    rows = store.hits(_index(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
     return _out(S.best_of_each(rows, "source", 3, "doc_id", "segment"), "source", "doc_id", "segment", "rank")
 
 
 def fts_scope_filter(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY, where=F.col("source").isin(*SCOPE)).withColumn("score", F.round("score", 6))
+    rows = store.hits(_index(spark, sf_dir), ANY, where=F.col("source").isin(*SCOPE)).withColumn("score", F.round("score", 6))
     return _out(S.top(rows, 20, "doc_id", "segment"), "doc_id", "segment", "source")
 
 
 def fts_phrase(spark, sf_dir):
-    return _out(S.scored(_passages(spark, sf_dir), PHRASE), "doc_id", "segment")
+    return _out(store.hits(_index(spark, sf_dir), PHRASE), "doc_id", "segment")
 
 
 def fts_counts(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY)
+    rows = store.hits(_index(spark, sf_dir), ANY)
     return rows.agg(F.count("*").alias("passages"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("source").alias("sources"))
 
 
 def fts_snippets(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
-    return S.top(rows, 20, "doc_id", "segment").select("doc_id", "segment", S.snippet(F.col("tokens"), ANY, 8).alias("snippet"))
+    rows = store.hits(_index(spark, sf_dir), ANY).withColumn("score", F.round("score", 6))
+    page = store.with_text(_index(spark, sf_dir), S.top(rows, 20, "doc_id", "segment"))
+    return page.select("doc_id", "segment", S.snippet(tokens(F.col("text")), ANY, 8).alias("snippet"))
 
 
 def _lists(spark, sf_dir) -> DataFrame:
     """Two ranked lists of documents: by their best passage for each of two questions."""
     out = None
     for number, question in enumerate(("tion hered", "queau menting")):
-        hits = S.by_group(S.scored(_passages(spark, sf_dir), S.match_any(question)), "doc_id").withColumn("score", F.round("best", 6)).withColumn("list_no", F.lit(number))
+        hits = S.by_group(store.hits(_index(spark, sf_dir), S.match_any(question)), "doc_id").withColumn("score", F.round("best", 6)).withColumn("list_no", F.lit(number))
         one = hits.orderBy("score", "doc_id").limit(50).select("list_no", "doc_id", "score")
         out = one if out is None else out.unionByName(one)
     return fusion.ranked(out, ["list_no"], "score", "doc_id")
@@ -126,13 +169,18 @@ def pool_top_n(spark, sf_dir):
 
 
 def budget_cut(spark, sf_dir):
-    rows = S.scored(_passages(spark, sf_dir), ANY).withColumns({"score": F.round("score", 6), "n_words": F.size("tokens")})
+    rows = store.hits(_index(spark, sf_dir), ANY).withColumns({"score": F.round("score", 6), "n_words": F.col("dl")})
     return fusion.cut_to_budget(rows, 300, "n_words", ["source"], "score", "doc_id", "segment").select("source", "doc_id", "segment", "used")
 
 
-QUERIES = {f.__name__: f for f in (fts_bm25_topk, fts_and_page, fts_best_per_course, fts_top3_per_course, fts_scope_filter, fts_phrase, fts_counts, fts_snippets, rrf_two_lists, rrf_weighted, rrf_native_score, pool_top_n, budget_cut)}
+QUERIES = {f.__name__: f for f in (fts_index_build, fts_index_states, fts_index_plan, fts_index_replace, fts_bm25_topk, fts_and_page, fts_best_per_course, fts_top3_per_course, fts_scope_filter, fts_phrase, fts_counts, fts_snippets, rrf_two_lists, rrf_weighted, rrf_native_score, pool_top_n, budget_cut)}
 _R = "(SELECT * REPLACE (round(score, 6) AS score) FROM s)"
+_NOW = r"""(SELECT doc_id, source, CASE WHEN doc_id % 5 = 1 THEN text || chr(10) || 'queau queau tion' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"""
 ORACLES = {
+    "fts_index_build": _P + "SELECT source, count(*) AS passages, sum(len(tokens))::BIGINT AS tokens FROM p GROUP BY source",
+    "fts_index_states": _P + "SELECT d.doc_id, substr(sha256(coalesce(d.text, '')), 1, 16) AS version, count(p.doc_id) AS passages FROM documents d LEFT JOIN p USING (doc_id) GROUP BY ALL",
+    "fts_index_plan": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'delete' WHEN doc_id % 5 = 1 THEN 'replace' ELSE 'keep' END AS action FROM documents",
+    "fts_index_replace": _scored_sql(ANY).replace("FROM documents", f"FROM {_NOW}") + "SELECT doc_id, segment, round(score, 6) AS score FROM s",
     "fts_bm25_topk": _scored_sql(ANY) + f"SELECT doc_id, segment, text, score FROM {_R} ORDER BY score, doc_id, segment LIMIT 50",
     "fts_and_page": _scored_sql(ALL, True) + f"SELECT doc_id, segment, (SELECT count(*) FROM s) AS total, score FROM {_R} ORDER BY score, doc_id, segment LIMIT 10 OFFSET 10",
     "fts_best_per_course": _scored_sql(ANY) + "SELECT source, count(*) AS hits, round(min(score), 6) AS best FROM s GROUP BY source",
