@@ -57,8 +57,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, starts string, anchor int").repartition(3)
 
 
-@pytest.mark.parametrize("length,gram,hot,group", [(100, 32, 1000, 20_000), (20, 7, 1000, 20_000), (20, 7, 8, 4), (100, 24, 3, 20_000)])
-def test_bytes(spark, monkeypatch, length, gram, hot, group):
+@pytest.mark.parametrize("length,gram,hot,group,wide", [(100, 32, 1000, 20_000, 1000), (20, 7, 1000, 20_000, 1000), (20, 7, 8, 4, 1000), (100, 24, 3, 20_000, 4)])
+def test_bytes(spark, monkeypatch, length, gram, hot, group, wide):
+    monkeypatch.setattr(phrases, "WIDE", wide)
     monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     monkeypatch.setattr(phrases, "GROUP", group)
     rows = corpus(1)
@@ -67,8 +68,9 @@ def test_bytes(spark, monkeypatch, length, gram, hot, group):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_bytes(rows, length)
 
 
-@pytest.mark.parametrize("length,gram,hot,group", [(50, 12, 1000, None), (10, 4, 1000, None), (10, 4, 8, 4)])
-def test_words(spark, monkeypatch, length, gram, hot, group):
+@pytest.mark.parametrize("length,gram,hot,group,wide", [(50, 12, 1000, None, 1000), (10, 4, 1000, None, 1000), (10, 4, 8, 4, 1000), (10, 4, 8, None, 2)])
+def test_words(spark, monkeypatch, length, gram, hot, group, wide):
+    monkeypatch.setattr(phrases, "WIDE", wide)
     monkeypatch.setattr(phrases, "LEAST_HOT", hot)
     rows = corpus(2)
     docs = keyed(frame(spark, rows))

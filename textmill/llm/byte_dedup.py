@@ -143,7 +143,7 @@ def corpus_order(ahead: np.ndarray, raw: list[bytes], length: int, gram: int) ->
 RUNS = "id long, sub long, start long, stop long, trigger long, window long"
 
 
-def _compare(length: int, gram: int, group: int):
+def _compare(length: int, gram: int, group: int, wide: np.ndarray):
     """For BORDER rows sorted by trigger: runs of windows that repeat earlier ones. Windows of triggers with too many phrases come out with their hash."""
 
     def runs(doc, sub, at):
@@ -173,16 +173,16 @@ def _compare(length: int, gram: int, group: int):
         at = start[row] + step
         return P.batch(id=ids[row], sub=subs[row], start=at, stop=at + length, trigger=trigger[row], window=window)
 
-    return lambda batches: P.by_trigger(batches, settle, whole, group)
+    return lambda batches: P.by_trigger(batches, settle, whole, group, wide)
 
 
 def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, part_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, sub, start, stop: byte runs covered by strings of `length` bytes that also start earlier. Runs may overlap. docs: keyed."""
     symbols = _symbols(length, part_bytes)
-    found = P.told(docs, symbols, length, gram, False, "id", "sub", "start", "n", "later", "place")
+    found, wide = P.told(docs, symbols, length, gram, False, "id", "sub", "start", "n", "later", "place")
     out = found.where("later").select("id", "sub", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
-    rows = P.bordering(docs, symbols, length, gram, found.where("not later").select("id", "sub", "place")).repartition("trigger").sortWithinPartitions("trigger")
-    compared = saved(rows.mapInArrow(_compare(length, gram, group or P.GROUP), RUNS), "compared")
+    rows = P.bordering(docs, symbols, length, gram, found.where("not later").select("id", "sub", "place"), wide)
+    compared = saved(rows.mapInArrow(_compare(length, gram, group or P.GROUP, wide), RUNS), "compared")
     out = out.unionByName(compared.where("window is null").select("id", "sub", "start", "stop"))
     single = compared.where("window is not null")
     if single.isEmpty():

@@ -18,7 +18,8 @@ The sets of triggers and of those first phrases reach the tasks as bit maps, siz
 hits in them only mean more rows in steps that are exact. With more triggers than that the map lets more phrases pass, all of
 them at worst; with more first phrases than MAPPED they are joined with the documents instead. Triggers with over a `HOT`-th of all
 phrases are settled by an aggregate that is combined per task; of their phrases the common ones, at most 1/`HOT_KIND`, are
-broadcast, so none meets in one task.
+broadcast, so none meets in one task. Triggers with over WIDE different phrases are dealt out by phrase, and compared by an
+aggregate of window hashes.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ Symbols = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray, np.nda
 
 #: A trigger is hot if it has more than this part of all phrases, and so is one of its phrases.
 HOT, HOT_KIND, LEAST_HOT = 1 / 2000, 1 / 20_000, 1000
+#: Different phrases from which a hot trigger is wide.
+WIDE = 1000
 
 
 def hashed(raw: np.ndarray) -> np.ndarray:
@@ -197,8 +200,9 @@ def _tell(across: bool):
     return tell
 
 
-def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *columns: str) -> DataFrame:
-    """TOLD, or columns of it: every phrase that repeats an earlier one, and the first ones of each kind where a trigger has several.
+def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *columns: str) -> tuple[DataFrame, np.ndarray]:
+    """TOLD, or columns of it: every phrase that repeats an earlier one, and the first ones of each kind where a trigger has several; and
+    the wide triggers, of which there are 1 / HOT at most.
 
     docs: keyed. across: earlier means in a document with a smaller id; else also earlier in the same document.
     """
@@ -211,11 +215,12 @@ def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *colum
     found = occurrences(docs, symbols, L, k, wanted, hot, False).repartition("trigger").sortWithinPartitions("trigger", "phrase", "id", "sub", "start")
     out = found.mapInArrow(_tell(across), TOLD).select(*columns)
     if not len(hot):
-        return saved(out, "phrases")
+        return saved(out, "phrases"), hot
     found = saved(occurrences(docs, symbols, L, k, wanted, hot, True), "hot")
     kinds = found.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "sub", "start")).alias("first"), F.count("*").alias("rows"))
     kinds = saved(kinds, "kinds")
-    rivals = kinds.groupBy("trigger").agg(F.count("*").alias("kinds"))
+    rivals = saved(kinds.groupBy("trigger").agg(F.count("*").alias("kinds")), "rivals")
+    wide = np.array([r.trigger for r in rivals.where(F.col("kinds") > WIDE).select("trigger").collect()], np.int64)
     kinds = kinds.join(F.broadcast(rivals), "trigger")  # a row for each hot trigger
     common = F.col("rows") > max(LEAST_HOT // 10, HOT_KIND * total)  # of so many there are 1 / HOT_KIND at most
     seldom = found.join(F.broadcast(kinds.where(common).select("trigger", "phrase")), ["trigger", "phrase"], "left_anti").join(kinds.where(~common), ["trigger", "phrase"])
@@ -230,14 +235,17 @@ def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *colum
             yield batch(**own, place=place_of(p.view(np.uint64), d, u, s), **{c: b.column(c) for c in ("src_id", "src_sub", "src_start")})
 
     rows = rows.select("phrase", "id", "sub", "start", "n", "later", *[F.col(f"first.{c}").alias(f"src_{c}") for c in ("id", "sub", "start")])
-    return saved(out.unionByName(rows.mapInArrow(places, TOLD).select(*columns)), "phrases")
+    return saved(out.unionByName(rows.mapInArrow(places, TOLD).select(*columns)), "phrases"), wide
 
 
-BORDER = "trigger long, id long, sub long, start long, ahead long, raw binary"
+BORDER = "trigger long, salt long, id long, sub long, start long, ahead long, raw binary"
 
 
-def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFrame) -> DataFrame:
-    """BORDER: the phrases whose place is among those of rivals (id, sub, place), with their symbols. ahead: where the trigger is."""
+def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFrame, wide: np.ndarray) -> DataFrame:
+    """BORDER, dealt out by trigger and sorted: the phrases whose place is among those of rivals (id, sub, place), with their symbols.
+
+    ahead: where the trigger is. salt: 0, but for wide triggers a hash of the place, which spreads them.
+    """
     n = rivals.count()
     if n <= MAPPED:
         wanted = docs.sparkSession.sparkContext.broadcast(bit_map(rivals, "place", bits_for(n)))
@@ -257,18 +265,19 @@ def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFra
                 m = np.flatnonzero(in_map(wanted.value, places) if wanted else np.isin(places, own))
                 first, size = (start + cuts[text])[m], n[m] + L - 1
                 parts = [raw[x : x + z].tobytes() for x, z in zip(first.tolist(), size.tolist(), strict=True)]
-                yield batch(trigger=trigger[m], id=ids[row[m]], sub=subs[row[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
+                salt = np.where(np.isin(trigger[m].view(np.int64), wide), places[m] >> np.uint64(54), 0).astype(np.int64)
+                yield batch(trigger=trigger[m], salt=salt, id=ids[row[m]], sub=subs[row[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
 
-    return docs.mapInArrow(find, BORDER)
+    return docs.mapInArrow(find, BORDER).repartition("trigger", "salt").sortWithinPartitions("trigger")
 
 
 #: Phrases of one trigger that a task holds.
 GROUP = 20_000
 
 
-def by_trigger(batches, settle, whole, group: int, step: int = 2000):
-    """For batches of BORDER rows sorted by trigger: settle(rows) of whole triggers' phrases. Of a trigger with more than `group`, which can't
-    be held, whole(rows) part by part. rows: trigger, id, sub, start, ahead as arrays and raw as a list."""
+def by_trigger(batches, settle, whole, group: int, wide: np.ndarray, step: int = 2000):
+    """For batches of BORDER rows sorted by trigger: settle(rows) of whole triggers' phrases. Of a wide trigger, or one with more than `group`,
+    which can't be held, whole(rows) part by part. rows: trigger, id, sub, start, ahead as arrays and raw as a list."""
     names = ("trigger", "id", "sub", "start", "ahead")
     held: list[tuple] = []
     flushed = None  # a trigger that is too large
@@ -279,6 +288,14 @@ def by_trigger(batches, settle, whole, group: int, step: int = 2000):
     for b in batches:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
+            if len(wide):
+                apart = np.isin(part.column("trigger").to_numpy(), wide)
+                if apart.any():
+                    large = part.filter(pa.array(apart))
+                    yield whole([*(large.column(c).to_numpy() for c in names), large.column("raw").to_pylist()])
+                    part = part.filter(pa.array(~apart))
+                if not part.num_rows:
+                    continue
             held.append((*(part.column(c).to_numpy() for c in names), part.column("raw").to_pylist()))
             rows = joined()
             if flushed is not None:
