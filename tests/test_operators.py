@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
+from textmill.operators import sampling as R
 from textmill.operators import chunking as C
 from textmill.operators import dense as D
 from textmill.operators import folds as E
@@ -92,17 +93,67 @@ def test_quotes(spark):
     assert [r[:] for r in X.quotes_in(docs, items).collect()] == [(1, 7)]
 
 
-def test_word_errors(spark):
-    rows = [(1, "a b c d", "a x c"), (2, "", "a"), (3, "uno due", ""), (4, "[00:01:02] È l'ora!", "è l ora")]
-    out = {r.id: (r.words, r.errors) for r in M.word_errors(spark.createDataFrame(rows, "id long, reference string, hypothesis string")).collect()}
-    assert out == {1: (4, 2), 2: (0, None), 3: (2, 2), 4: (3, 0)}
+def brute_errors(r, h):
+    """(errors, substitutions) of the best alignment, cell by cell."""
+    row = [(j, 0) for j in range(len(h) + 1)]
+    for i, w in enumerate(r):
+        new = [(i + 1, 0)]
+        for j, v in enumerate(h):
+            e, s = row[j]
+            new.append(min((row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1]), (e + (v != w), s + (v != w))))
+        row = new
+    return row[-1]
 
 
-def test_middle_order_and_sample(spark):
-    assert X.middle_order(7) == [3, 1, 5, 0, 2, 4, 6] and X.middle_order(0) == []
-    rows = spark.createDataFrame([(g, i, 10) for g in "ab" for i in range(5)] + [("c", 0, 1000)], "g string, i int, w int")
-    out = X.sampled(rows, "g", "i", "w", 45, 100).collect()
-    assert [(r.g, r.i) for r in out] == [("a", 2), ("b", 2), ("a", 1), ("b", 1)]
+def test_word_errors(spark):
+    rows = [(1, "a b c d", "a x c"), (2, "", "a"), (3, "uno due", ""), (4, "[00:01:02] È l'ora!", "è l ora")]
+    rng = random.Random(1)
+    rows += [(i, " ".join(rng.choices("abc", k=rng.randrange(1, 12))), " ".join(rng.choices("abc", k=rng.randrange(0, 12)))) for i in range(10, 60)]
+    out = {r.id: r[1:] for r in M.word_errors(spark.createDataFrame(rows, "id long, reference string, hypothesis string")).collect()}
+    assert [out[i] for i in (1, 2, 3, 4)] == [(4, 1, 1, 0), (0, None, None, None), (2, 0, 2, 0), (3, 0, 0, 0)]
+    for i, r, h in rows[4:]:
+        n, s, d, ins = out[i]
+        assert (s + d + ins, s) == brute_errors(r.split(), h.split()) and n + ins - d == len(h.split())
+
+
+def visit_order(n):
+    """Both ends, then middles level by level."""
+    out, spans = list(dict.fromkeys([0, n - 1])) if n else [], [(0, n - 1)]
+    for low, high in spans:
+        if high - low > 1:
+            middle = (low + high) // 2
+            out.append(middle)
+            spans += [(low, middle), (middle, high)]
+    return out
+
+
+def brute_sample(groups, budget):
+    queues = {g: [rows[i] for i in visit_order(len(rows))] for g, rows in sorted(groups.items())}
+    out, going = set(), True
+    while going:
+        going = False
+        for g, queue in queues.items():
+            while queue:
+                i, w = queue.pop(0)
+                if w <= budget:
+                    budget -= w
+                    out.add((g, i))
+                    going = True
+                    break
+    return out
+
+
+def test_sample_in_turns(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(23)] + [("b", 0), ("c", 0), ("c", 1)], "g string, i int")
+    out = {}
+    for r in R.turns(rows, "g", "i").orderBy("g", "turn").collect():
+        out.setdefault(r.g, []).append(r.i)
+    assert out == {"a": visit_order(23), "b": [0], "c": [0, 1]}
+    rng = random.Random(2)
+    for budget, most in ((45, 12), (400, 60), (10**6, 50), (7, 9), (150, 151)):
+        groups = {f"g{k:02d}": [(i, rng.randrange(1, most)) for i in range(rng.randrange(1, 30))] for k in range(12)}
+        rows = spark.createDataFrame([(g, i, w) for g, own in groups.items() for i, w in own], "g string, i int, w int")
+        assert {(r.g, r.i) for r in R.sampled(rows, "g", "i", "w", budget).collect()} == brute_sample(groups, budget)
 
 
 def test_text(spark):

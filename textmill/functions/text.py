@@ -17,6 +17,29 @@ TIMESTAMP = r"\[\d{2}:\d{2}:\d{2}\]"
 UNCERTAIN = r"\[\?|\?\]"
 APOSTROPHES = "['’`]"
 
+# Where sentences end; where points of an answer end, which abbreviations don't; marks that begin its items.
+SENTENCE_END = r"[.!?]+(?=\s|$)"
+POINT_END = r"[.!?]+(?=\s+(?![a-zà-öø-ÿ\d])|\s*$)"
+LINE_ITEM = r"(?:^|\n)\s*\d{1,2}[.)]\s+"
+FIRST_ITEM = r"^\s*1[.)]\s+"
+INLINE_ITEM = r"(?<=[.!?;])\s+\d{1,2}[.)]\s+(?=[A-ZÀ-Ý])"
+
+# Structure that OCR writes as LaTeX.
+LATEX_HEADING = r"\\(?:sub)*section\*?\{([^{}]*)\}"
+LATEX_LIST = r"(?m)^[ \t]*\\(?:begin|end)\{(?:itemize|enumerate)\}[ \t]*\n?"
+LATEX_ITEM = r"(?m)^[ \t]*\\item\b[ \t]*"
+
+# Controls that change the direction of text; punctuation before and after a word's body.
+BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+WORD_PARTS = r"""(?s)^(\s*)(["'’“«(\[¿]*)(.+?)(["”».,;:!?)\]…]*)$"""
+
+# What is put before texts for families of embedding models.
+PROMPTS = {
+    "qwen3-embedding": ("Instruct: Given a question, retrieve relevant passages that answer it\nQuery:", ""),
+    "embeddinggemma": ("task: search result | query: ", "title: none | text: "),
+    "bge-m3": ("", ""),
+}
+
 # Marks around matches, from the private use area.
 BEFORE, AFTER = "\ue000", "\ue001"
 
@@ -122,7 +145,7 @@ def concept_key(job: Column, source: Column, term: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut at runs of . ! ? before white space or the end."""
-    return F.filter(F.transform(F.split(text, r"[.!?]+(?=\s|$)"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def title(text: Column, length: int = 60) -> Column:
@@ -140,8 +163,51 @@ def marked_parts(text: Column, before: str = BEFORE, after: str = AFTER) -> Colu
     return F.transform(parts, lambda p: F.struct(F.translate(p, before + after, "").alias("text"), p.startswith(before).alias("match")))
 
 
+def escape_html(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
+    """On one line, with HTML and Markdown signs escaped."""
+    return F.regexp_replace(escape_html(F.trim(F.regexp_replace(text, r"\s+", " "))), r"([\\`*_{}\[\]()#+.!|>~-])", r"\\$1")
+
+
+def without_latex_structure(text: Column) -> Column:
+    """Headings as their text, lists without their frame, items as dashes."""
+    text = F.regexp_replace(F.regexp_replace(text, LATEX_HEADING, "$1"), LATEX_LIST, "")
+    return F.rtrim(F.regexp_replace(text, LATEX_ITEM, "- "), F.lit("\n"))
+
+
+def formulas(text: Column) -> Column:
+    """What stands between \\( and \\) or \\[ and \\]. An opener that isn't closed, or is opened again before, is text."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(\\\((?:(?!\\[()]).)*\\\)|\\\[(?:(?!\\[\[\]]).)*\\\])"), 1)
+    return F.transform(found, lambda x: F.substring(x, F.lit(3), F.length(x) - 4))
+
+
+def doubtful(word: Column) -> Column:
+    """The word's body between [? and ?]."""
+    return F.regexp_replace(word, WORD_PARTS, "$1$2[?$3?]$4")
+
+
+def corrected(word: Column, heard: Column) -> Column:
+    """The word's body, and what was heard in its place above it."""
+    part = lambda n: F.regexp_extract(word, WORD_PARTS, n)
+    whole = F.concat(part(1), part(2), part(3), F.lit("<sup>"), F.replace(F.replace(escape_html(heard), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;")), F.lit("</sup>"), part(4))
+    return F.when(word.rlike(WORD_PARTS), whole).otherwise(word)
+
+
+def visible_label(text: Column, length: int = 100) -> Column:
+    """An untrusted label without control and direction characters; null if nothing is left or it is longer than `length`."""
+    clean = label(F.translate(F.regexp_replace(F.regexp_replace(text, r"\s", " "), r"\p{Cc}", ""), BIDI, ""))
+    return F.when(F.length(clean) <= length, clean)
+
+
+def prompted(text: Column, model: Column, query: bool) -> Column:
+    """A question or a document as its family of embedding models wants it; of other families as it is."""
+    out = text
+    for family, (question, document) in PROMPTS.items():
+        out = F.when(model.startswith(family), F.concat(F.lit(question if query else document), text)).otherwise(out)
+    return out
 
 
 def clean_name(name: Column, length: int = 100) -> Column:
@@ -168,5 +234,12 @@ def contains_tokens(text_tokens: Column, quote_tokens: Column) -> Column:
     return (F.size(quote_tokens) > 0) & F.contains(spaced(text_tokens), spaced(quote_tokens))
 
 
+def token_place(text_tokens: Column, quote_tokens: Column) -> Column:
+    """Place (from 0) of the first token of the second array where it stands in the first one in a row; null if it doesn't."""
+    spaced = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+    before = F.substring_index(spaced(text_tokens), spaced(quote_tokens), 1)
+    return F.when(contains_tokens(text_tokens, quote_tokens), F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))))
+
+
 def quote_length(quote_tokens: Column, least: int = 3, most: int = 40) -> Column:
     return F.size(quote_tokens).between(least, most)

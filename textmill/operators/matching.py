@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,15 +28,6 @@ STRONG = (
 WEAK = ("importante", "fondamentale", "attenzione")
 NEGATIVE = ("l'importante è che",)
 
-# Italian words that a question doesn't search for.
-STOPWORDS = tuple(
-    """il lo la i gli le un uno una di a da in con su per tra fra e o ma che chi cui non come se è sono sei siamo siete essere ha hanno
-    del della dello dei degli delle al allo alla ai agli alle dal dallo dalla dai dagli dalle nel nello nella nei negli nelle
-    sul sullo sulla sui sugli sulle cos cosa quale quali questo questa questi queste quello quella quelli quelle
-    mio tuo suo loro nostro vostro si ci vi ne""".split()
-)
-
-
 def has_phrase(text: Column, phrases: Iterable[str]) -> Column:
     """Whether one of the phrases stands in the text as whole words. Java and RE2 both read the pattern."""
     quoted = "|".join("".join(c if c.isalnum() or c in " '" else "\\" + c for c in p) for p in phrases)
@@ -66,55 +56,16 @@ def edge_lines(pages: DataFrame, by: str) -> DataFrame:
 def quotes_in(docs: DataFrame, quotes: DataFrame, gram: int = 3) -> DataFrame:
     """doc_id, item_id of the quotes whose tokens stand in a document in a row.
 
-    The quotes' rarest run of `gram` tokens is joined by equality with the documents' runs; the whole quote is checked there.
-    Quotes shorter than that match nothing.
+    Of each quote the run of `gram` tokens that fewest quotes and fewest documents have is joined by equality with the documents' runs,
+    and the whole quote is checked in those documents alone. Quotes shorter than that match nothing.
     """
     grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (gram - 1)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(gram)), " ")))
-    # a quote's runs in order of hash: the smallest stands for it, wherever it is
-    q = quotes.select("item_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") >= gram).withColumn("key", F.array_min(grams(F.col("q"))))
+    q = quotes.select("item_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") >= gram)
+    runs = q.select("item_id", F.explode(F.array_distinct(grams(F.col("q")))).alias("key"))
     d = docs.select("doc_id", T.tokens(F.col("text")).alias("d")).where(F.size("d") >= gram)
-    rows = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("d")))).alias("key")).join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return rows.join(d, "doc_id").join(q.select("item_id", "q"), "item_id").where(T.contains_tokens(F.col("d"), F.col("q"))).select("doc_id", "item_id")
-
-
-def best_citation(citations: DataFrame, passages: DataFrame) -> DataFrame:
-    """For each citation the passage its quote stands in: the labelled one if it does, else the first. citations: id, job, label, q (tokens); passages: job, label, t."""
-    p = passages.select("job", F.col("label").alias("found"), "t")
-    rows = citations.join(p, "job").where(T.contains_tokens(F.col("t"), F.col("q")))
-    return rows.groupBy("id").agg(F.min_by("found", F.struct((F.col("found") != F.col("label")).cast("int"), "found")).alias("found"))
-
-
-def middle_order(n: int) -> list[int]:
-    """0..n-1 by halves: the middle first, then the middles of what is left and right of it, level by level."""
-    out, level = [], [(0, n)]
-    while level:
-        level = [(a, z) for a, z in level if a < z]
-        out += [(a + z) // 2 for a, z in level]
-        level = [half for a, z in level for half in ((a, (a + z) // 2), ((a + z) // 2 + 1, z))]
-    return out
-
-
-def sampled(rows: DataFrame, group: str, order: str, words: str, budget: int, per_group: int) -> DataFrame:
-    """Rows of all groups in turns until the budget is used up; a row that doesn't fit is left out and the next one tried.
-
-    Groups are first cut to `per_group` rows spread over their order, so what meets in one task is bounded by groups times that.
-    """
-    w = Window.partitionBy(group).orderBy(order)
-    rows = rows.withColumn("at", F.row_number().over(w) - 1).withColumn("of", F.count("*").over(Window.partitionBy(group)))
-    step = F.greatest(F.lit(1), F.ceil(F.col("of") / per_group).cast("int"))
-    rows = rows.where(F.col("at") % step == 0).select(group, order, words)
-
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        queues = []
-        for _, own in part.sort_values([group, order]).groupby(group, sort=True):
-            own = own.reset_index(drop=True)
-            queues.append([own.iloc[i] for i in middle_order(len(own))])
-        left, out = budget, []
-        for turn in range(max(map(len, queues), default=0)):
-            for queue in queues:
-                if turn < len(queue) and queue[turn][words] <= left:
-                    left -= queue[turn][words]
-                    out.append(queue[turn])
-        return pd.DataFrame(out, columns=part.columns).drop(columns="one") if out else part.drop(columns="one").head(0)
-
-    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(take, rows.schema)
+    held = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("d")))).alias("key")).join(runs.select("key").distinct(), "key", "left_semi")
+    often = held.groupBy("key").agg(F.count("*").alias("docs"))
+    rarest = runs.join(often, "key").groupBy("item_id").agg(F.min_by("key", F.struct("docs", "key")).alias("key"))
+    pairs = held.join(rarest, "key").select("doc_id", "item_id").distinct()
+    few = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("d"))
+    return few.join(pairs, "doc_id").join(q, "item_id").where(T.contains_tokens(F.col("d"), F.col("q"))).select("doc_id", "item_id")

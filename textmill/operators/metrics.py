@@ -16,14 +16,6 @@ def first_rank(hits: DataFrame, gold: DataFrame, query: str, item: str) -> DataF
     return gold.select(query).distinct().join(found, query, "left")
 
 
-def recall_at(first: Column, k: int) -> Column:
-    return F.coalesce(F.avg(F.when(first <= k, 1.0).otherwise(0.0)), F.lit(0.0))
-
-
-def mrr_at(first: Column, k: int) -> Column:
-    return F.coalesce(F.avg(F.when(first <= k, 1.0 / first).otherwise(0.0)), F.lit(0.0))
-
-
 def paired(a: DataFrame, b: DataFrame, query: str, k: int) -> DataFrame:
     """Queries that each of two runs wins, loses or shares by whether a relevant hit is among the first k."""
     rows = a.select(query, (F.col("first") <= k).alias("x")).join(b.select(query, (F.col("first") <= k).alias("y")), query)
@@ -39,29 +31,41 @@ def precision(rows: DataFrame, by: list[str], predicted: Column, correct: Column
     )
 
 
+def recall_at(first: Column, k: int) -> Column:
+    """Share of queries whose first relevant hit is among the first k; 0 for no queries."""
+    return F.coalesce(F.avg(F.when(first <= k, 1.0).otherwise(0.0)), F.lit(0.0))
+
+
+def mrr_at(first: Column, k: int) -> Column:
+    return F.coalesce(F.avg(F.when(first <= k, 1.0 / first).otherwise(0.0)), F.lit(0.0))
+
+
 def word_errors(rows: DataFrame) -> DataFrame:
-    """id, words, errors: word-level edit distance of hypothesis to reference, both made comparable.
+    """id, words, substitutions, deletions, insertions: of hypothesis against reference, both made comparable.
 
-    A row without reference words has null. Distances of one row are worked out along the reference in numpy.
+    Of the alignments with the fewest errors the one with the fewest substitutions counts. A row without reference words has nulls.
     """
     rows = rows.select("id", F.split(T.comparable(F.col("reference")), " ").alias("r"), F.split(T.comparable(F.col("hypothesis")), " ").alias("h"))
 
-    def distance(r: list[str], h: list[str]) -> int:
-        """Row by row; insertions inside a row are a running minimum."""
+    def errors(r: list[str], h: list[str]) -> tuple:
+        """Row by row along the reference; insertions inside a row are a running minimum. An error costs `one`, a substitution 1 more."""
         ids: dict[str, int] = {}
-        code = lambda ws: np.array([ids.setdefault(w, len(ids)) for w in ws if w], np.int64)
-        x, y = code(r), code(h)
-        step = np.arange(len(y) + 1)
+        x, y = (np.array([ids.setdefault(w, len(ids)) for w in ws if w], np.int64) for ws in (r, h))
+        if not len(x):
+            return 0, None, None, None
+        one = 1 << 32
+        step = np.arange(len(y) + 1) * one
         row = step.copy()
         for i, w in enumerate(x):
-            new = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-            row = np.minimum.accumulate(np.concatenate([[i + 1], new]) - step) + step
-        return int(row[-1])
+            new = np.minimum(row[1:] + one, row[:-1] + (y != w) * (one + 1))
+            row = np.minimum.accumulate(np.concatenate([[(i + 1) * one], new]) - step) + step
+        total, substituted = divmod(int(row[-1]), one)
+        deleted = (total - substituted + len(x) - len(y)) // 2
+        return len(x), substituted, deleted, total - substituted - deleted
 
     def of(batches):
         for b in batches:
-            r, h = b.column("r").to_pylist(), b.column("h").to_pylist()
-            n = [sum(1 for w in x if w) for x in r]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array([distance(x, y) if k else None for x, y, k in zip(r, h, n, strict=True)], pa.int64())], names=["id", "words", "errors"])
+            out = list(zip(*map(errors, b.column("r").to_pylist(), b.column("h").to_pylist()), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, pa.int64()) for c in out]], names=["id", "words", "substitutions", "deletions", "insertions"])
 
-    return rows.mapInArrow(of, "id long, words long, errors long")
+    return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, words long, substitutions long, deletions long, insertions long")

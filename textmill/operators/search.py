@@ -20,6 +20,14 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 MAX_TERMS = 10
 
+# Italian words that a question doesn't search for.
+STOPWORDS = frozenset({
+    "il", "lo", "la", "i", "gli", "le", "un", "uno", "una", "di", "a", "da", "in", "con", "su", "per", "tra", "fra", "e", "o", "ma", "che", "chi", "cui", "non", "come", "se",
+    "è", "sono", "sei", "siamo", "siete", "essere", "ha", "hanno", "del", "della", "dello", "dei", "degli", "delle", "al", "allo", "alla", "ai", "agli", "alle",
+    "dal", "dallo", "dalla", "dai", "dagli", "dalle", "nel", "nello", "nella", "nei", "negli", "nelle", "sul", "sullo", "sulla", "sui", "sugli", "sulle",
+    "cos", "cosa", "quale", "quali", "questo", "questa", "questi", "queste", "quello", "quella", "quelli", "quelle", "mio", "tuo", "suo", "loro", "nostro", "vostro", "si", "ci", "vi", "ne",
+})
+
 
 @dataclass(frozen=True)
 class Term:
@@ -63,7 +71,7 @@ def match_all(raw: str, most: int = MAX_TERMS) -> list[Term] | None:
     return out or None
 
 
-def match_any(question: str, stopwords=()) -> list[Term] | None:
+def match_any(question: str, stopwords=STOPWORDS) -> list[Term] | None:
     """Each word of two letters or more that is no stop word, as a stem; a repeated word counts twice."""
     found = re.findall(r"\w+", question.lower())
     return [Term((_folded(_stem(w)),)) for w in found if len(w) >= 2 and w not in stopwords] or None

@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import anchors, checks, dense, events, listing, search, text, windows
+from . import anchors, checks, dense, events, listing, rules, search, text, vectors, windows
 
-MODULES = (search, dense, windows, events, listing, text, checks, anchors)
+MODULES = (search, dense, vectors, windows, events, listing, text, rules, checks, anchors)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dense as D
+from ..operators import metrics as M
 
 K, FLOOR = 5, 0.2
 
@@ -32,7 +33,7 @@ def dense_recall_mrr(spark, sf_dir):
     queries = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"))
     hits = _found(spark, sf_dir).join(labels, "id").join(queries, "query_id").where("label = query_label").groupBy("query_id").agg(F.min("rank").alias("first"))
     rows = queries.join(hits, "query_id", "left")
-    measures = [F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("queries")]
+    measures = [F.round(M.recall_at(F.col("first"), K), 6).alias("recall"), F.round(M.mrr_at(F.col("first"), K), 6).alias("mrr"), F.count("*").alias("queries")]
     return rows.rollup(F.col("query_label").alias("label")).agg(*measures)
 
 

@@ -22,22 +22,21 @@ def course_groups(spark, sf_dir):
 
 
 def status_facets(spark, sf_dir):
-    """Counts by status after the customer filter, before that of the status."""
-    return _t(spark, sf_dir, "orders").where("o_custkey % 10 = 3").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Counts by status after the priority filter, before that of the status."""
+    return _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 def status_page(spark, sf_dir):
     """Third page of twenty, newest first, with the number of pages."""
-    rows = _t(spark, sf_dir, "orders").where("o_custkey % 10 = 3 and o_orderstatus = 'O'")
+    rows = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'")
     meta = rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / 20).cast("long").alias("pages"))
     page = rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20)
     return page.join(F.broadcast(meta), how="cross").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "total", "pages")
 
 
 def orphans(spark, sf_dir):
-    """Customers without orders."""
-    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return c.join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Documents without labels."""
+    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 def scope_semi(spark, sf_dir):
@@ -176,10 +175,10 @@ ORACLES = {
     "course_groups": """WITH o AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey),
 g AS (SELECT c_nationkey, count(*) AS n, max(o_orderdate) AS last, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM o GROUP BY c_nationkey)
 SELECT n_name, coalesce(n, 0) AS n, strftime(last, '%Y-%m-%d') AS last, status FROM nation LEFT JOIN g ON c_nationkey = n_nationkey""",
-    "status_facets": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey % 10 = 3 GROUP BY 1",
-    "status_page": """WITH r AS (SELECT * FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'O')
+    "status_facets": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
+    "status_page": """WITH r AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, (SELECT count(*) FROM r) AS total, (SELECT ceil(count(*) / 20)::BIGINT FROM r) AS pages FROM r ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""",
-    "orphans": "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
+    "orphans": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "scope_semi": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
     "attempt_scores": "SELECT l_orderkey, count(*) AS answered, count(*) FILTER (l_returnflag = 'A') AS \"right\", count(*) FILTER (l_linestatus = 'O') AS pending, CASE WHEN count(*) FILTER (l_linestatus = 'O') > 0 THEN 'submitted' ELSE 'graded' END AS status FROM lineitem GROUP BY 1",
     "answer_outcomes": "SELECT CASE WHEN l_quantity < 10 THEN CASE WHEN l_quantity % 2 = 0 THEN 'correct' ELSE 'wrong' END WHEN l_returnflag <> 'N' THEN CASE WHEN l_returnflag = 'A' THEN 'correct' ELSE 'wrong' END WHEN l_linestatus = 'F' THEN 'judged' ELSE 'pending' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1",

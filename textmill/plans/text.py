@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import matching as X
 from ..operators import metrics as M
+from ..operators import sampling as R
 
 STRONG, WEAK, NEGATIVE = ("that the", "de la", "und die"), ("tion", "queau", "heit"), ("of the",)
 
@@ -23,9 +24,9 @@ def text_measures(spark, sf_dir):
 
 
 def text_stems(spark, sf_dir):
-    """How often each stem of four letters or more begins a document."""
-    word = T.stem(F.lower(F.get(T.words(F.col("text")), F.lit(0))))
-    return _docs(spark, sf_dir).select(word.alias("stem")).where("length(stem) > 3").groupBy("stem").agg(F.count("*").alias("n"))
+    """How often each stem of four letters or more stands in all texts."""
+    words = _docs(spark, sf_dir).select(F.explode(T.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select(T.stem(F.col("word")).alias("stem"), "n").where("length(stem) > 3").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def comparable_text(spark, sf_dir):
@@ -42,7 +43,9 @@ def exact_terms(spark, sf_dir):
 
 
 def concept_keys(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.concept_key(F.col("source"), F.col("lang"), F.get(T.lines(F.col("text")), F.lit(0))).alias("key"))
+    """Keys of all lines, as terms of a source and language."""
+    rows = _docs(spark, sf_dir).select("source", "lang", F.explode(T.lines(F.col("text"))).alias("line"))
+    return rows.groupBy(T.concept_key(F.col("source"), F.col("lang"), F.col("line")).alias("key")).agg(F.count("*").alias("n"))
 
 
 def word_budgets(spark, sf_dir):
@@ -75,14 +78,20 @@ def quote_locate(spark, sf_dir):
 
 
 def word_errors(spark, sf_dir):
-    """Each document's first two lines against each other."""
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.get(T.lines(F.col("text")), F.lit(0)).alias("reference"), F.coalesce(F.get(T.lines(F.col("text")), F.lit(1)), F.lit("")).alias("hypothesis"))
-    return M.word_errors(rows)
+    """Each line of a document against the next one."""
+    rows = C.segments(_docs(spark, sf_dir)).withColumn("hypothesis", F.lead("text").over(Window.partitionBy("doc_id").orderBy("segment")))
+    return M.word_errors(rows.where("hypothesis is not null").select(F.struct("doc_id", "segment").alias("id"), F.col("text").alias("reference"), "hypothesis")).select("id.*", "words", "substitutions", "deletions", "insertions")
 
 
 def round_robin_sample(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("source", "doc_id", T.word_count(F.col("text")).alias("n_words"))
-    return X.sampled(rows, "source", "doc_id", "n_words", 20_000, 200)
+    """Lines of all sources in turns, 5,000 words."""
+    rows = C.segments(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return R.sampled(rows.select("source", (F.col("doc_id") * 1_000_000 + F.col("segment")).alias("line"), "n_words"), "source", "line", "n_words", 5_000)
+
+
+def spread_turns(spark, sf_dir):
+    """When each document of a source is visited."""
+    return R.turns(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id")
 
 
 def page_texts(spark, sf_dir):
@@ -99,7 +108,7 @@ def text_sections(spark, sf_dir):
     return rows.groupBy("doc_id", "section").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (text_measures, text_stems, comparable_text, course_labels, exact_terms, concept_keys, word_budgets, cue_rules, redaction, edge_lines, quote_locate, word_errors, round_robin_sample, page_texts, text_sections)}
+QUERIES = {f.__name__: f for f in (text_measures, text_stems, comparable_text, course_labels, exact_terms, concept_keys, word_budgets, cue_rules, redaction, edge_lines, quote_locate, word_errors, round_robin_sample, spread_turns, page_texts, text_sections)}
 _WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
 _SEGMENTS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
 s AS (SELECT *, {_WORDS.format("text")} AS n_words FROM l WHERE {_WORDS.format("text")} > 0)"""
@@ -109,14 +118,20 @@ for _p in (*T.KEY_PATTERNS, r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z]+", r'"[0-
 ORACLES = {
     "text_measures": f"SELECT doc_id, {_WORDS.format('text')} AS n_words, ceil({_WORDS.format('text')} * 2.29::DOUBLE)::BIGINT AS n_tokens, sha256(text)[1:16] AS revision, "
     + "lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS time FROM (SELECT *, floor(n_chars * 1.5)::BIGINT AS s FROM documents)",
-    "text_stems": r"""WITH w AS (SELECT lower(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1]) AS w FROM documents)
+    "text_stems": r"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents)
 SELECT stem, count(*) AS n FROM (SELECT CASE WHEN length(w) >= 5 THEN regexp_replace(w, '[aeiouàèéìòóù]+$', '') ELSE w END AS stem FROM w) WHERE length(stem) > 3 GROUP BY 1""",
+    "spread_turns": """WITH RECURSIVE g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+b(source, low, high, node) AS (SELECT source, 0, n - 1, 1 FROM g UNION ALL
+SELECT source, CASE WHEN side = 0 THEN low ELSE (low + high) // 2 END, CASE WHEN side = 0 THEN (low + high) // 2 ELSE high END, node * 2 + side FROM b, unnest([0, 1]) AS t(side) WHERE high - low > 1),
+v AS (SELECT source, 0 AS place, -2 AS visit FROM g UNION ALL SELECT source, n - 1, -1 FROM g WHERE n > 1 UNION ALL SELECT source, (low + high) // 2, node FROM b WHERE high - low > 1),
+d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY visit) AS turn FROM d JOIN v USING (source, place)""",
     "comparable_text": r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, '\[\d{2}:\d{2}:\d{2}\]', ' ', 'g'), '\[\?|\?\]', '', 'g')), '[''’`]', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS hash FROM documents""",
     "course_labels": r"""WITH r AS (SELECT coalesce(nullif(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE ' ' || source || '  x ' END, '\s+', ' ', 'g')), ''), nullif(trim(lang), '')) AS label FROM documents)
 SELECT label, lower(label) AS key, count(*) AS n FROM r GROUP BY ALL""",
     "exact_terms": r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents)
 SELECT doc_id, array_to_string(list_filter(w, lambda x, i: regexp_matches(x, '\d') OR (i > 1 AND regexp_matches(x, '^\p{Lu}'))), ' ') AS terms FROM t""",
-    "concept_keys": "SELECT doc_id, sha256(source || ':' || lang || ':' || lower(trim(string_split(text, chr(10))[1]))) AS key FROM documents",
+    "concept_keys": "SELECT sha256(source || ':' || lang || ':' || lower(trim(line))) AS key, count(*) AS n FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1",
     "word_budgets": "SELECT doc_id, greatest(200, floor(greatest(0, 8192 - n_chars - 1024 - 512) / 2.29::DOUBLE))::BIGINT AS budget FROM documents",
     "cue_rules": rf"""WITH {_SEGMENTS}, c AS (SELECT doc_id, segment, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS q FROM s),
 e AS (SELECT doc_id, segment, unnest(q) AS sentence, generate_subscripts(q, 1) - 1 AS place FROM c),
