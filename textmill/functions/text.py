@@ -237,7 +237,7 @@ def contains_tokens(text_tokens: Column, quote_tokens: Column) -> Column:
 def token_place(text_tokens: Column, quote_tokens: Column) -> Column:
     """Place (from 0) of the first token of the second array where it stands in the first one in a row; null if it doesn't."""
     spaced = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
-    before = F.substring_index(spaced(text_tokens), spaced(quote_tokens), 1)
+    before = F.substring(spaced(text_tokens), F.lit(1), F.instr(spaced(text_tokens), spaced(quote_tokens)) - 1)
     return F.when(contains_tokens(text_tokens, quote_tokens), F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))))
 
 

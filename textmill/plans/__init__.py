@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import anchors, checks, dense, events, listing, rules, search, text, vectors, windows
+from . import anchors, checks, citations, dense, events, listing, retrieval, rules, search, text, vectors, windows
 
-MODULES = (search, dense, vectors, windows, events, listing, text, rules, checks, anchors)
+MODULES = (search, retrieval, dense, vectors, windows, events, listing, text, rules, checks, citations, anchors)

@@ -27,7 +27,7 @@ def quote_segments(spark, sf_dir):
 def items_kept(spark, sf_dir):
     """Orders as items and their lines as citations that resolve if returned."""
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "A").alias("ok"))
-    return V.items_kept(rows, "l_orderkey", "ok")
+    return V.items_kept(rows, "l_orderkey", F.col("ok"))
 
 
 def violations(spark, sf_dir):
@@ -37,8 +37,8 @@ def violations(spark, sf_dir):
 
 
 def solution_points(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", V.solution_points(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.size("p").alias("points"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", V.solution_points(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("points"), F.sha2(F.array_join("p", "|"), 256).alias("hash"))
 
 
 def paired_outcome(spark, sf_dir):
@@ -53,9 +53,10 @@ def paired_outcome(spark, sf_dir):
 
 
 def study_blocks(spark, sf_dir):
-    """Blocks of at most 120 words; a line's pause is its length modulo 17."""
-    rows = C.segments(_t(spark, sf_dir, "documents")).select("doc_id", "segment", "n_words", (F.length("text") % 17).cast("double").alias("pause"))
-    return V.study_blocks(rows, 120).groupBy("doc_id").agg((F.max("block") + 1).alias("blocks"))
+    """Blocks of at most 120 words; a word's pause is its length modulo 17."""
+    words = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("segment", "word"))
+    rows = words.select("doc_id", "segment", F.lit(1).alias("n_words"), (F.length("word") % 17).cast("double").alias("pause"))
+    return V.study_blocks(rows, 120).groupBy("doc_id", "block").agg(F.min("segment").alias("first"), F.count("*").alias("n_words"))
 
 
 def edits_applied(spark, sf_dir):
@@ -82,13 +83,23 @@ def course_rename(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (quote_segments, items_kept, violations, solution_points, paired_outcome, study_blocks, edits_applied, reply_items, course_rename)}
 _TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+_PARTS = r"""regexp_split_to_array(regexp_replace(x, '[.!?]+(\s[^a-zà-öø-ÿ\d]|\s*$)', chr(1) || '\1', 'g'), chr(1))"""
 ORACLES = {
+    "solution_points": rf"""WITH i AS (SELECT doc_id, contains(text, ' | ') AS bars, CASE WHEN contains(text, ' | ') THEN string_split(text, ' | ')
+  ELSE flatten(list_transform(regexp_split_to_array(text, '(^|\n)\s*\d{{1,2}}[.)]\s+'), lambda x: {_PARTS})) END AS p FROM documents),
+t AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM i)
+SELECT doc_id, len(p) AS points, sha256(array_to_string(p, '|')) AS hash FROM t""",
+    "study_blocks": r"""WITH RECURSIVE w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: length(w) % 17) AS p FROM documents),
+c(doc_id, p, block, first, stop) AS (SELECT doc_id, p, 0, 0, CASE WHEN len(p) <= 120 THEN len(p) ELSE list_max(list_transform(range(96, 121), lambda e: p[e] * 100000000 + e)) % 100000000 END FROM w WHERE len(p) > 0
+UNION ALL SELECT doc_id, p, block + 1, stop, CASE WHEN len(p) - stop <= 120 THEN len(p) ELSE list_max(list_transform(range(stop + 96, stop + 121), lambda e: p[e] * 100000000 + e)) % 100000000 END FROM c WHERE stop < len(p))
+SELECT doc_id, block, first, stop - first AS n_words FROM c""",
     "quote_segments": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
 s AS (SELECT doc_id, segment, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS t FROM l WHERE regexp_matches(text, '\S')),
 n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY doc_id ORDER BY segment), '') AS nxt FROM s), p AS (SELECT *, t || ltrim(nxt) AS pair FROM n),
 q AS (SELECT item_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS q FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS t FROM documents)
-SELECT item_id, p.doc_id, min(segment) AS segment, arg_min(NOT contains(p.t, q), segment) AS spans FROM d JOIN q ON contains(d.t, q) JOIN p ON p.doc_id = d.doc_id AND (contains(p.t, q) OR contains(pair, q) AND NOT contains(nxt, q)) GROUP BY 1, 2""",
+d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS t FROM documents),
+f AS (SELECT item_id, p.doc_id, min(segment) AS segment, arg_min(NOT contains(p.t, q), segment) AS spans, arg_min(len(string_split(pair[1:instr(pair, q)], ' ')) - 2, segment) AS first, arg_min(len(string_split(p.t, ' ')) - 2, segment) AS n FROM d JOIN q ON contains(d.t, q) JOIN p ON p.doc_id = d.doc_id AND (contains(p.t, q) OR contains(pair, q) AND NOT contains(nxt, q)) GROUP BY 1, 2)
+SELECT item_id, doc_id, segment, spans, first, round(segment * 10 + first * 10.0 / n, 6) AS time FROM f""",
     "items_kept": "SELECT l_orderkey, count(*) AS citations, count(*) FILTER (l_returnflag = 'A') AS resolved, count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) <= 3 AS kept FROM lineitem GROUP BY 1",
     "violations": """SELECT o_orderkey, 'price' AS rule FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
 UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')""",
