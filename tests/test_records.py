@@ -1,7 +1,10 @@
 import json
+import os
+import zipfile
 
 from pyspark.sql import functions as F
 
+from textmill.operators import fusion
 from textmill.sources import records as R
 from textmill.streaming import logs as L
 
@@ -50,3 +53,51 @@ def test_streams(spark, tmp_path):
     L.to_table(L.activity(stream, "k", "ts", "1 hour", "1 minute"), str(tmp_path / "activity"), str(tmp_path / "c2"))
     assert ("u", 2) in {(r.k, r.events) for r in spark.read.parquet(str(tmp_path / "activity")).collect()}
     assert L.sessions(stream, "k", "ts", "10 minutes", "1 minute").isStreaming
+
+
+def test_logs_and_listings(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n{"a": ')
+    (tmp_path / "logs/b.jsonl").write_text('{"a": 3}\n')
+    out = {r.file.rpartition("/")[2]: (list(r.kept), r.cut) for r in R.readable_lines(spark, str(tmp_path / "logs")).collect()}
+    assert out == {"a.jsonl": (['{"a": 1}', "broken", '{"a": 2}'], True), "b.jsonl": (['{"a": 3}'], False)}
+    R.append_json(spark.createDataFrame([(4,)], "a int"), str(tmp_path / "more"))
+    R.append_json(spark.createDataFrame([(5,)], "a int"), str(tmp_path / "more"))
+    assert sorted(r.a for r in R.json_lines(spark, str(tmp_path / "more"), "a int")[0].collect()) == [4, 5]
+    (tmp_path / "records").mkdir()
+    for n, (name, text) in enumerate((("x", '{"id": "x"}'), ("y", '{"id": '), ("z", '{"id": "z"}'))):
+        (tmp_path / f"records/{name}.json").write_text(text)
+        os.utime(tmp_path / f"records/{name}.json", (1000 + n, 1000 + n))
+    good, bad = R.newest_first(spark, str(tmp_path / "records"), "id string")
+    assert [r.id for r in good.collect()] == ["z", "x"] and [r.file[-6:] for r in bad.collect()] == ["y.json"]
+    assert {(r.file[-6:], r.size, r.modified.timestamp()) for r in R.states(spark, str(tmp_path / "records")).collect()} >= {("x.json", 11, 1000.0)}
+
+
+def test_kinds_and_archives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a.txt", b"value 10\nnext 0\n"), ("b.md", b"x\x00y"), ("c.txt", b"%PDF-1"), ("d.pdf", b"text"), ("e.txt", "è".encode("cp1252"))):
+        (tmp_path / "in" / name).write_bytes(content)
+    out = {r.path[-5:]: (r.kind, r.text) for r in R.plain_texts(spark, str(tmp_path / "in")).collect()}
+    assert {k: v[0] for k, v in out.items()} == {"a.txt": "text", "/b.md": "other", "c.txt": "pdf", "d.pdf": "other", "e.txt": "other"} and out["e.txt"][1] == "è"
+    (tmp_path / "zips").mkdir()
+    for name, sizes in (("a", [10, 20]), ("b", [1] * 6), ("c", [5000])):
+        with zipfile.ZipFile(tmp_path / f"zips/{name}.zip", "w") as z:
+            for i, n in enumerate(sizes):
+                z.writestr(str(i), "x" * n)
+    (tmp_path / "zips/d.zip").write_text("none")
+    assert {r.path[-5]: (r.entries, r.bytes, r.fault) for r in R.archive_faults(spark, str(tmp_path / "zips"), 5, 1000).collect()} == {"a": (2, 30, None), "b": (6, 6, "too large"), "c": (1, 5000, "too large"), "d": (None, None, "unreadable")}
+
+
+def test_gold_and_transcripts(spark, tmp_path):
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold/g.json").write_text('[{"id": "1", "type": "exam", "question": "q", "references": [{"kind": "document", "filename": "f", "page": 2}]}, {"id": "2", "type": "negative", "references": []}]')
+    assert sorted((r.id, r.kind, r.page) for r in R.gold_set(spark, str(tmp_path / "gold")).collect()) == [("1", "document", 2), ("2", None, None)]
+    (tmp_path / "votes").mkdir()
+    (tmp_path / "votes/1.json").write_text('{"q1": {"p1": 2}, "q3": {"p": 1}}')
+    (tmp_path / "votes/2.json").write_text('{"q1": {"p2": 0}, "q2": {"p9": 1}, "q3": {"p": 2}}')
+    votes = R.verdicts(spark, str(tmp_path / "votes")).withColumnRenamed("file", "file_no")
+    assert sorted(r[:] for r in fusion.merge_verdicts(votes, ["question_id", "passage_id"]).collect()) == [("q1", "p1", 2), ("q1", "p2", 0), ("q2", "p9", 1), ("q3", "p", 2)]
+    words = [(0.0, 0.4, " ciao", 0.9, None)]
+    rows = spark.createDataFrame([("s", "m", "it", 9.0, 1, 5.0, 6.0, words), ("s", "m", "it", 9.0, 0, 0.0, 1.0, words)], f"source string, model string, language string, duration double, segment int, start double, end double, words array<{R.WORD}>")
+    R.write_transcripts(rows, str(tmp_path / "t"))
+    assert [(r.segment, r.start, r.text) for r in R.transcripts(spark, str(tmp_path / "t/*.json")).orderBy("segment").collect()] == [(0, 0.0, "ciao"), (1, 5.0, "ciao")]

@@ -121,10 +121,10 @@ def uncertain_spans(spark, sf_dir):
 
 
 def span_context(spark, sf_dir):
-    """For each event the types of up to four before it."""
+    """For each event the types of up to four before and after it."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    rows = _events(spark, sf_dir).withColumn("before", F.array_join(F.collect_list("event_type").over(w.rowsBetween(-4, -1)), " "))
-    return rows.select("event_id", "before")
+    around = lambda a, z: F.array_join(F.collect_list("event_type").over(w.rowsBetween(a, z)), " ")
+    return _events(spark, sf_dir).select("event_id", around(-4, -1).alias("before"), around(1, 4).alias("after"))
 
 
 def filler_removal(spark, sf_dir):
@@ -135,9 +135,10 @@ def filler_removal(spark, sf_dir):
 
 
 def followups(spark, sf_dir):
-    """For each line the first ten words of the lines that follow."""
-    w = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(1, 10)
-    rows = C.segments(_docs(spark, sf_dir)).withColumn("next", F.slice(F.flatten(F.collect_list(T.words(F.col("text"))).over(w)), 1, 10))
+    """For each line's first sentence the thirty words that follow: the rest of the line, then the next lines."""
+    w = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(1, 30)
+    rest = T.words(F.when(F.col("text").rlike(T.SENTENCE_END), F.regexp_replace("text", r"^.*?[.!?]+(?=\s|$)", "")).otherwise(F.lit("")))
+    rows = C.segments(_docs(spark, sf_dir)).withColumn("next", F.slice(F.concat(rest, F.flatten(F.collect_list(F.slice(T.words(F.col("text")), 1, 30)).over(w))), 1, 30))
     return rows.select("doc_id", "segment", F.array_join("next", " ").alias("followup"))
 
 
@@ -152,7 +153,7 @@ def interval_overlap(spark, sf_dir):
 
 def respread(spark, sf_dir):
     """Even start times over each line's words, ten seconds a line."""
-    rows = C.segments(_docs(spark, sf_dir)).where("segment < 3").select("doc_id", "segment", "n_words", F.posexplode(T.words(F.col("text"))).alias("i", "word"))
+    rows = C.segments(_docs(spark, sf_dir)).select("doc_id", "segment", "n_words", F.posexplode(T.words(F.col("text"))).alias("i", "word"))
     return rows.select("doc_id", "segment", "i", "word", F.round(F.col("segment") * 10 + F.col("i") * 10.0 / F.col("n_words"), 6).alias("start"))
 
 
@@ -180,16 +181,18 @@ SELECT doc_id, min(first) AS first, max(last) AS last, min(rank) AS rank FROM k
     "uncertain_spans": f"""WITH p AS (SELECT user_id, value, value < {LOW} AS low, row_number() {_ORDER} AS place FROM events WHERE true),
 r AS (SELECT *, place - row_number() OVER (PARTITION BY user_id, low ORDER BY place) AS run FROM p)
 SELECT user_id, run, min(place) AS first, max(place) AS last, count(*) AS n, round(min(value), 6) AS lowest FROM r WHERE low GROUP BY user_id, run""",
-    "span_context": f"SELECT event_id, coalesce(array_to_string(array_agg(event_type) {_ORDER[:-1]} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' '), '') AS before FROM events",
+    "span_context": f"""SELECT event_id, coalesce(array_to_string(array_agg(event_type) {_ORDER[:-1]} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' '), '') AS before,
+coalesce(array_to_string(array_agg(event_type) {_ORDER[:-1]} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), ' '), '') AS after FROM events""",
     "filler_removal": f"""WITH g AS (SELECT event_id, user_id, event_type, greatest(coalesce({_T} - lag({_T}) {_ORDER}, 1e18), coalesce(lead({_T}) {_ORDER} - {_T}, 1e18)) AS gap FROM events)
 SELECT event_id, user_id FROM g WHERE NOT (event_type = 'click' AND gap >= {GAP})""",
-    "followups": f"""WITH {_SEGMENTS}, w AS (SELECT doc_id, segment, flatten(array_agg(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) OVER (PARTITION BY doc_id ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)) AS nxt FROM s)
-SELECT doc_id, segment, coalesce(array_to_string(nxt[1:10], ' '), '') AS followup FROM w""",
+    "followups": rf"""WITH {_SEGMENTS}, w AS (SELECT doc_id, segment, CASE WHEN regexp_matches(text, '[.!?]+(\s|$)') THEN regexp_replace(text, '^.*?[.!?]+(\s|$)', '\1') ELSE '' END AS rest,
+  flatten(array_agg(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:30]) OVER (PARTITION BY doc_id ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)) AS nxt FROM s)
+SELECT doc_id, segment, coalesce(array_to_string((list_filter(regexp_split_to_array(rest, '\s+'), lambda w: w <> '') || coalesce(nxt, []))[1:30], ' '), '') AS followup FROM w""",
     "interval_overlap": _PARAGRAPHS.replace(
         "SELECT user_id, event_id, paragraph FROM r",
         """, p AS (SELECT r.user_id, event_type, paragraph, min(t) AS a, max(t) AS z FROM r JOIN events USING (event_id) GROUP BY ALL)
 SELECT l.user_id, l.paragraph AS "left", o.paragraph AS "right" FROM p l JOIN p o ON l.user_id = o.user_id AND l.a <= o.z AND o.a <= l.z WHERE l.event_type = 'purchase' AND o.event_type = 'error'""",
     ),
-    "respread": f"""WITH {_SEGMENTS}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM s WHERE segment < 3)
+    "respread": f"""WITH {_SEGMENTS}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM s)
 SELECT doc_id, segment, i - 1 AS i, ws[i] AS word, round(segment * 10 + (i - 1) * 10.0 / n_words, 6) AS start FROM w, unnest(range(1, n_words + 1)) AS r(i)""",
 }

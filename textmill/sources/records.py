@@ -41,13 +41,116 @@ def preferred(files: DataFrame, job: str, variant: str, order: tuple[str, ...])
     return files.where(rank > 0).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def write_transcripts(segments: DataFrame, path: str) -> None:
+    """Segments (source, model, language, duration, segment, start, end, words) as transcripts, a JSON line each. A run that fails leaves nothing."""
+    rows = segments.groupBy("source", "model", "language", "duration").agg(F.array_sort(F.collect_list(F.struct("segment", "start", "end", "words"))).alias("s"))
+    rows.select("source", "model", "language", "duration", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"))).alias("segments")).write.mode("errorifexists").json(path)
+
+
+def newest_first(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a folder's JSON files, newest file first, with its time; and the files that can't be read."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    rows = files.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return rows.where(~bad).select("file", "modified", "r.*").drop(CORRUPT).orderBy(F.desc("modified"), "file"), rows.where(bad).select("file")
+
+
+def states(spark: SparkSession, path: str) -> DataFrame:
+    """file, modified, size of each file: what tells an index that it has changed."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def readable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, kept, cut: the lines of each log without an unreadable last one, which a broken append leaves; unreadable lines before it stay."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    last = F.element_at("lines", -1)
+    rows = files.withColumn("lines", lines).withColumn("cut", F.coalesce(~_is_json(last), F.lit(False)))
+    return rows.select("file", F.when(F.col("cut"), F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines")).alias("kept"), "cut")
+
+
+def _is_json(text):
+    """Whether a text is one JSON value: one that can't be parsed has no JSON object at its root."""
+    return F.get_json_object(text, "$").isNotNull()
+
+
+def sniffed(content, name):
+    """pdf, zip or text by a file's bytes; text has to be UTF-8 without a NUL and be named .txt or .md. Null for others."""
+    text = F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit(b"\x00"))
+    return F.when(F.contains(F.substring(content, 1, 5), F.lit(b"%PDF-")), "pdf").when(F.contains(F.substring(content, 1, 4), F.lit(b"PK\x03\x04")), "zip").when(text & F.lower(name).rlike(r"\.(txt|md)$"), "text")
+
+
+def decoded(content):
+    """UTF-8, or else Windows-1252."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "iso-8859-1"), LATIN, WINDOWS))
+
+
 def plain_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Text files, read whole: UTF-8, or else Windows-1252; kind by their first bytes, size and hash."""
+    """Files, read whole: kind (other if none is told), size, hash and text."""
     rows = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, 4))
-    kind = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "zip").when(F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.hex("content"), F.lit("00")), "text").otherwise("other")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.translate(F.decode("content", "iso-8859-1"), LATIN, WINDOWS))
-    return rows.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"), kind.alias("kind"), text.alias("text"))
+    content = F.col("content")
+    return rows.select("path", "modificationTime", "length", F.sha2(content, 256).alias("sha256"), F.coalesce(sniffed(content, F.col("path")), F.lit("other")).alias("kind"), decoded(content).alias("text"))
+
+
+def logical_pages(texts: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """key, page, text: sections that begin at lines with #, each a page, or pages of `most` words where it has more. texts: key, text."""
+    lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("heading", F.startswith("line", F.lit("#")))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "^#+", ""))).withColumn("section", F.sum(F.col("heading").cast("int")).over(Window.partitionBy(key).orderBy("at")))
+    sections = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.size(words), F.lit(most))
+    pages = F.when(F.size(words) <= most, F.array("text")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(most)), " ")))
+    rows = sections.select(key, "section", F.posexplode(pages).alias("part", "text"))
+    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("section", "part")) - 1).alias("page"), "text")
+
+
+ASR_WORD = "struct<text:string,start:long,end:long,confidence:double>"
+
+
+def asr_segments(replies: DataFrame, key: str, reply: str) -> DataFrame:
+    """key, segment, start, end, words of speech recognition replies ({"sentences": [{"words": [...]}]}, times in milliseconds). Sentences without
+    words drop out, and the others are numbered without gaps."""
+    sentences = F.from_json(reply, f"struct<sentences:array<struct<words:array<{ASR_WORD}>>>>")["sentences"]
+    spoken = F.filter(sentences, lambda s: F.size(s["words"]) > 0)
+    rows = replies.select(key, F.posexplode(spoken).alias("segment", "s"))
+    seconds = lambda ms: ms / 1000
+    words = F.transform("s.words", lambda w: F.struct(seconds(w["start"]).alias("start"), seconds(w["end"]).alias("end"), w["text"].alias("text"), w["confidence"].alias("probability")))
+    return rows.select(key, "segment", seconds(F.col("s.words")[0]["start"]).alias("start"), seconds(F.element_at("s.words", -1)["end"]).alias("end"), words.alias("words"))
+
+
+def archive_faults(spark: SparkSession, path: str, most_entries: int, most_bytes: int) -> DataFrame:
+    """path, entries, bytes, fault of ZIP files, by their directories alone: unreadable, or too many or too large entries."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def look(batches):
+        for part in batches:
+            out = []
+            for path_, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    sizes = [e.file_size for e in zipfile.ZipFile(io.BytesIO(content)).infolist()]
+                    out.append((path_, len(sizes), sum(sizes), "too large" if len(sizes) > most_entries or sum(sizes) > most_bytes else None))
+                except zipfile.BadZipFile:
+                    out.append((path_, None, None, "unreadable"))
+            yield pd.DataFrame(out, columns=["path", "entries", "bytes", "fault"]).astype({"entries": "Int64", "bytes": "Int64"})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, "path string, entries long, bytes long, fault string")
+
+
+def gold_set(spark: SparkSession, path: str) -> DataFrame:
+    """Questions with their references, one row a reference; questions without one have nulls."""
+    reference = "struct<kind:string,filename:string,page:int,job_id:string,start_s:double,end_s:double>"
+    rows = spark.read.schema(f"id string, type string, course string, question string, references array<{reference}>").json(path, multiLine=True)
+    return rows.select("id", "type", "course", "question", F.explode_outer("references").alias("r")).select("id", "type", "course", "question", "r.*")
+
+
+def verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """file, question_id, passage_id, vote of JSON files {question: {passage: vote}}."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "map<string,map<string,int>>").alias("v"))
+    return rows.select("file", F.explode("v").alias("question_id", "p")).select("file", "question_id", F.explode("p").alias("passage_id", "vote"))
 
 
 def write_inventory(rows: DataFrame, path: str) -> None:
@@ -75,3 +178,16 @@ def rendered(segments: DataFrame, by: str) -> DataFrame:
     line = F.format_string("[%02d:%02d:%02d] %s", F.floor(F.col("start") / 3600).cast("int"), (F.floor(F.col("start") / 60) % 60).cast("int"), (F.floor("start") % 60).cast("int"), "text")
     rows = segments.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("segment", line.alias("line")))).alias("l"))
     return rows.select(by, F.array_join("l.line", "\n").alias("text"))
+
+
+def book(segments: DataFrame, by: str, gap: float = 2.0, longest: float = 120.0) -> DataFrame:
+    """by, markdown, book: each group's paragraphs, with the time each begins, and without. segments: by, segment, start, text."""
+    from ..operators.chunking import timed_paragraphs
+
+    rows = segments.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("segment", "start", "text"))).alias("s"))
+    rows = rows.withColumn("p", timed_paragraphs(F.col("s.start"), gap, longest)).select(by, F.explode(F.arrays_zip("s", "p")).alias("x")).select(by, "x.s.*", "x.p")
+    rows = rows.groupBy(by, "p").agg(F.min("start").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda x: x["text"]), " ").alias("text"))
+    stamp = F.format_string("%02d:%02d:%02d", F.floor(F.col("start") / 3600).cast("int"), (F.floor(F.col("start") / 60) % 60).cast("int"), (F.floor("start") % 60).cast("int"))
+    rows = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("p", stamp.alias("time"), "text"))).alias("p"))
+    joined = lambda line: F.array_join(F.transform("p", line), "\n\n")
+    return rows.select(by, joined(lambda x: F.concat(F.lit("**["), x["time"], F.lit("]** "), x["text"])).alias("markdown"), joined(lambda x: x["text"]).alias("book"))
