@@ -99,6 +99,17 @@ class Items:
         there[seed & np.uint64((1 << BITS) - 1)] = True
         return cls(ids, flat, cuts, masks, seed[order], at[order], there)
 
+    def touched(self, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that lie end to end in values which have a seed of the benchmark, or seem to at a border."""
+        out = np.zeros(len(cuts) - 1, bool)
+        for mask in self.masks:
+            s = seeds(values, mask)
+            place = np.flatnonzero(self.there[s & np.uint64((1 << BITS) - 1)])
+            at = np.minimum(np.searchsorted(self.seed, s[place]), len(self.seed) - 1)
+            place = place[self.seed[at] == s[place]] if len(self.seed) else place[:0]
+            out[np.searchsorted(cuts, place, "right") - 1] = True
+        return np.flatnonzero(out)
+
     def hits(self, doc: np.ndarray):
         """Places in the document and in the items' tokens of equal seeds, in pieces of HITS or so."""
         for mask in self.masks:
@@ -204,13 +215,13 @@ def parts(benchmark: DataFrame, masks, least: int, part_tokens: int):
         yield Items.of(ids, lists, masks)
 
 
-def _rows(b: pa.RecordBatch, lowered: str):
-    """Each row's number and tokens."""
+def _rows(b: pa.RecordBatch, lowered: str, items: Items):
+    """Number and tokens of each row that has a seed of the benchmark."""
     data, at = utf8(b.column(lowered))
     for i, j in blocks(at):
         values, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        for k in range(i, j):
-            yield k, values[cuts[k - i] : cuts[k - i + 1]]
+        for k in items.touched(values, cuts).tolist():
+            yield i + k, values[cuts[k] : cuts[k + 1]]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, identity: float = IDENTITY, least: int = LEAST, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -224,7 +235,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int =
             names = [c.split()[0] for c in schema.split(", ")]
             for b in batches:
                 items, ids = given.value, b.column("doc_id")
-                out = [(k, item, best) for k, doc in _rows(b, "text") for item, best in items.best(doc, identity, overlap).items()]
+                out = [(k, item, best) for k, doc in _rows(b, "text", items) for item, best in items.best(doc, identity, overlap).items()]
                 if out:
                     columns = [pa.array([best[c] for _, _, best in out], pa.int64()) for c in range(4)]
                     size = pa.array([int(items.cuts[item + 1] - items.cuts[item]) for _, item, _ in out], pa.int64())
@@ -245,7 +256,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap:
         def clean(batches, given=given):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for k, doc in _rows(b, lowered):
+                for k, doc in _rows(b, lowered, given.value):
                     keep[k] = not given.value.best(doc, identity, overlap)
                 yield b.filter(pa.array(keep))
 

@@ -18,7 +18,7 @@ The sets of triggers and of those first phrases reach the tasks as bit maps, siz
 hits in them only mean more rows in steps that are exact. With more triggers than that the map lets more phrases pass, all of
 them at worst; with more first phrases than MAPPED they are joined with the documents instead. Triggers with over a `HOT`-th of all
 phrases are settled by an aggregate that is combined per task; of their phrases the common ones, at most 1/`HOT_KIND`, are
-broadcast, so none meets in one task. Triggers with over WIDE different phrases are dealt out by phrase, and compared by an
+broadcast, so none meets in one task. Triggers with over WIDE phrases to compare are dealt out by phrase, and compared by an
 aggregate of window hashes.
 """
 
@@ -85,7 +85,7 @@ Symbols = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray, np.nda
 
 #: A trigger is hot if it has more than this part of all phrases, and so is one of its phrases.
 HOT, HOT_KIND, LEAST_HOT = 1 / 2000, 1 / 20_000, 1000
-#: Different phrases from which a hot trigger is wide.
+#: Phrases to compare from which a hot trigger is wide.
 WIDE = 1000
 
 
@@ -217,10 +217,13 @@ def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *colum
     if not len(hot):
         return saved(out, "phrases"), hot
     found = saved(occurrences(docs, symbols, L, k, wanted, hot, True), "hot")
-    kinds = found.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "sub", "start")).alias("first"), F.count("*").alias("rows"))
+    # of a phrase, the rows that stay to be compared: its first one, or all in its first document
+    by_doc = found.groupBy("trigger", "phrase", "id").agg(F.min(F.struct("sub", "start")).alias("at"), F.count("*").alias("n"))
+    kinds = by_doc.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "at.sub", "at.start")).alias("first"), F.sum("n").alias("rows"), (F.min_by("n", "id") if across else F.lit(1)).alias("stay"))
     kinds = saved(kinds, "kinds")
-    rivals = saved(kinds.groupBy("trigger").agg(F.count("*").alias("kinds")), "rivals")
-    wide = np.array([r.trigger for r in rivals.where(F.col("kinds") > WIDE).select("trigger").collect()], np.int64)
+    rivals = saved(kinds.groupBy("trigger").agg(F.count("*").alias("kinds"), F.sum("stay").alias("stay")), "rivals")
+    wide = np.array([r.trigger for r in rivals.where(F.col("kinds") > 1).where(F.col("stay") > WIDE).select("trigger").collect()], np.int64)
+    rivals = rivals.drop("stay")
     kinds = kinds.join(F.broadcast(rivals), "trigger")  # a row for each hot trigger
     common = F.col("rows") > max(LEAST_HOT // 10, HOT_KIND * total)  # of so many there are 1 / HOT_KIND at most
     seldom = found.join(F.broadcast(kinds.where(common).select("trigger", "phrase")), ["trigger", "phrase"], "left_anti").join(kinds.where(~common), ["trigger", "phrase"])
