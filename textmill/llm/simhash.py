@@ -170,7 +170,8 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     wanted = fps.sparkSession.sparkContext.broadcast(bit_map(many, "key", bits_for(many.count())))
     rows = saved(variants(fps, distance, wanted).join(many, "key"), "rows")
     few = rows.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    out = pairs.unionByName(few.mapInArrow(_forests(distance), "a long, b long"))
+    # written before the hot ones are looked at, so that no task holds both at once
+    out = saved(pairs.unionByName(few.mapInArrow(_forests(distance), "a long, b long")), "edges")
     hot = saved(rows.where(F.col("n") > bucket).select("fp").distinct(), "hot")
     if not hot.isEmpty():
         out = out.unionByName(_two_left_out(hot) if distance == 2 else _in_blocks(hot, distance, bucket))
@@ -182,9 +183,24 @@ def _two_left_out(fps: DataFrame) -> DataFrame:
     bits = [(i, j) for i in range(64) for j in range(i + 1, 64)]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     masks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(signed(~((1 << i) | (1 << j)) & (2**64 - 1))).alias("mask")) for n, (i, j) in enumerate(bits)])
-    rows = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.n").alias("n"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("rest"))
-    low = rows.groupBy("n", "rest").agg(F.min("fp").alias("low"), F.count("*").alias("rows")).where("rows > 1")
-    return rows.join(low, ["n", "rest"]).where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    spread = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() * 64 // SPREAD)
+    rows = fps.repartition(spread).select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.n").alias("n"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("rest"))
+    # nearly every row has a key of its own, so counting in tasks before the shuffle would only take memory
+    ordered = rows.repartition("n", "rest").sortWithinPartitions("n", "rest", "fp")
+
+    def stars(batches):
+        last = None
+        for b in (b for b in batches if b.num_rows):
+            n, rest, fp = (b.column(c).to_numpy() for c in ("n", "rest", "fp"))
+            first = np.append(True, (n[1:] != n[:-1]) | (rest[1:] != rest[:-1]))
+            low = fp[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            if last is not None and (n[0], rest[0]) == last[:2]:
+                low[: int(np.append(np.flatnonzero(first)[1:], len(fp))[0])] = last[2]
+            last = n[-1], rest[-1], low[-1]
+            edges = np.unique(np.stack([low[low != fp], fp[low != fp]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
+
+    return ordered.mapInArrow(stars, "a long, b long").distinct()
 
 
 def _in_blocks(fps: DataFrame, distance: int, bucket: int) -> DataFrame:
