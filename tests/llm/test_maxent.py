@@ -40,20 +40,88 @@ def test_base_score(spark, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_add_up(spark):
+def small(spark, rounds=M.ROUNDS, head=50):
     rows = [(i, t) for i, t in corpus(80) if len(t or "") < 5000]
     docs = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
     counts = M.vocabulary(docs).collect()
-    model, total, distinct = M.start(spark.createDataFrame(counts), 50)
-    model = M.train(docs, model)
-    assert np.abs(model.weight).max() > 0
-    # after one context: every known token, and the unknown ones' share of each class
-    z = np.exp(model.logits([np.array([r]) for r in (1, M.ROWS // 2 + 5, 77, M.ROWS - 1)]).astype(float))[0]
-    z /= z.sum()
-    own = {w: k for w, k in zip(model.head.view(np.int64).tolist(), model.head_class.tolist()) if k >= 0}
-    p = sum(z[own[r.word]] if r.word in own else z[M.OWN + r.ending] * (r.c + 1) / 10 ** model.share[M.OWN + r.ending] for r in counts)
-    p += sum(z[M.OWN + e] / 10 ** model.share[M.OWN + e] for e in range(M.ENDINGS))
-    assert abs(p + z[len(own) : M.OWN].sum() - 1) < 1e-5
+    return rows, docs, counts, M.train(docs, M.start(spark.createDataFrame(counts), head)[0], rounds)
+
+
+def chances(m, context, kind_of):
+    """By walking every softmax: log probability of each outcome among the classes, and of each member of each class."""
+    softmax = lambda z: z - np.log(np.exp(z).sum())
+    def at(k, salt):
+        rows = [int((((int(c) + salt) % 2**64) * int(M._B) % 2**64) >> (65 - len(m.weight[k]).bit_length())) for c in context]
+        return sum(m.weight[k][r].astype(float) for r in rows)
+    top = softmax(m.prior[0] + at(0, 0))
+    out = {}
+    for k in range(M.CLASSES):
+        d = int(m.depth[k])
+        for number in range(int(m.rare[k]) + 1):
+            digits = [number // M.FAN ** (d - 1 - level) % M.FAN for level in range(d)]
+            p = top[M.OWN + k]
+            for level, digit in enumerate(digits):
+                node = int(m.base[k, level]) + number // M.FAN ** (d - level)
+                p += softmax(m.prior[1][node] + at(1, (node + 1) * int(M._A)))[digit]
+            out[k, number] = p
+    return top, out
+
+
+def test_scores_and_probabilities(spark):
+    """Scores are those of the walk through all softmaxes, and all tokens' probabilities add up to one after each context."""
+    rows, docs, counts, m = small(spark)
+    assert min(np.abs(w).max() for w in m.weight) > 0 and m.depth.max() >= 1
+    c = {np.uint64(r.word % 2**64): r.c for r in counts}
+    place = {h: (int(t), int(n), int(x)) for h, t, n, x in zip(m.head, m.top, m.member, m.head_count)}
+    score = {}
+    for r in M.scores(docs, spark.sparkContext.broadcast(m)).where("word is null").collect():
+        score[r.doc_id] = (r.counted + r.rest, r.n)
+    for i, text in rows[:4] + rows[-4:-1]:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        hashes, ending, cuts = M.tokens(data, np.array([0, len(data)]))
+        kind, _ = m.places(*m.known(hashes), ending)
+        total = 0.0
+        for t, context in enumerate(zip(*M.features(hashes, kind, cuts))):
+            top, members = chances(m, context, kind)
+            if t < 2:
+                everything = np.exp(top[: M.OWN]).sum() + sum(np.exp(p) for p in members.values())
+                assert abs(everything - 1) < 1e-5
+            if hashes[t] in place:
+                k, n, x = place[hashes[t]]
+                total += (top[k] if k < M.OWN else members[k - M.OWN, n]) / np.log(10)
+            else:  # its count comes by the join
+                k = int(m.class_of[ending[t]])
+                total += members[k, int(m.rare[k])] / np.log(10) - m.tail[k]
+        if i != 5:  # two rows have this id
+            assert abs(total - score[i][0]) < 1e-3 * score[i][1]
+    # the tail's shares: each count plus one, and one for unknown tokens
+    tail = np.ones(M.CLASSES)
+    for r in counts:
+        if np.uint64(r.word % 2**64) not in place:
+            tail[m.class_of[r.ending]] += r.c + 1
+    assert np.allclose(np.log10(tail), m.tail)
+
+
+def test_gradient(spark):
+    """Against sums over tokens one by one, before any training."""
+    rows, docs, counts, m = small(spark, rounds=0)
+    found = {r.row: M._long(np.frombuffer(r.sums, "<u2")).reshape(2, -1) for r in M.gradient(docs, spark.sparkContext.broadcast(m)).collect()}
+    expected = {}
+    for _, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        hashes, ending, cuts = M.tokens(data, np.array([0, len(data)]))
+        kind, member = m.places(*m.known(hashes), ending)
+        for own, k, rows_, prior, outcome in m.softmaxes(M.features(hashes, kind, cuts), kind, member):
+            for t in range(len(outcome)):
+                p = np.exp((prior if prior.ndim == 1 else prior[t]).astype(float))
+                p /= p.sum()
+                for r in rows_:
+                    e = expected.setdefault((k << 32) + int(r[t]), np.zeros((2, len(p))))
+                    e[0] -= p
+                    e[0, outcome[t]] += 1
+                    e[1] += p
+    assert found.keys() == expected.keys()
+    assert all(np.allclose(found[k], expected[k], rtol=0.02, atol=0.02) for k in found)
 
 
 def test_no_training_rows(spark):

@@ -1,19 +1,22 @@
 """Language model scoring with a hashed maximum-entropy model.
 
-A token's probability is factored: that of its class given what stands before, times that of the token in its class. The
-most frequent tokens are classes of their own; the others are classed by their last two bytes. The class is drawn from a
-softmax whose logits are the class's prior plus the weights of four features of the three tokens before: the last token, the
-pair of the last two tokens' classes, and the same with a token skipped. Feature rows are hashed into a table of a fixed
-size. In its class a token has its share of the counts, each plus one; one more share is for all unknown tokens of the class.
-So the probabilities of all tokens after any context add up to one.
+A token's probability is factored: that of its class given what stands before, times that of the token in its class, which is a
+softmax too, given the same. The most frequent tokens are classes of their own. The others are classed by their last two bytes,
+and in a class sorted by them; a class of many members is factored again, FAN ways at each of its levels, so a token has
+a few softmaxes of a few outcomes instead of one over the vocabulary. Each softmax's logits are the outcomes' prior (their share
+of the counts) plus the weights of four features of the tokens before: the last token, the pair of the last two, the one
+before the last (a token skipped), and the pair of their classes. Features are hashed, with the softmax's number, into rows of
+weights, whose number grows with the training tokens up to a bound. One member of each class stands for its tail: there a token has its share of the tail's counts, each
+plus one; one more share is for all unknown tokens of the class. So the probabilities of all tokens after any context add up to
+one.
 
 Counts cover all training tokens and stay in a table; only the head of the vocabulary, of a bounded size, goes to the tasks,
 and the tail's counts come by a join. Training runs in rounds over disjoint parts of the training documents: tasks sum up
-the gradient (observed less expected, by feature row and class) over their documents, sums meet by feature row, and the
+the gradient (observed less expected, by feature row and outcome) over their documents, sums meet by feature row, and the
 driver takes a step scaled by the expected counts. Scoring works on blocks of documents, with numpy.
 
 Tokens are told apart by a 64-bit hash. Defined results: a null or empty text is one end token. Rows with one doc_id are
-scored one by one. With no training rows counts are zero and classes equally likely. Other columns are ignored; no rows give
+scored one by one; a row without doc_id is scored, not learned from. With no training rows counts are zero and classes equally likely. Other columns are ignored; no rows give
 none.
 """
 
@@ -29,17 +32,18 @@ from pyspark.sql import functions as F
 from .hashing import mix, words
 from .shared import blocks, saved, table, utf8
 
-#: Tokens whose counts go to every task, tokens that are classes of their own, classes by ending.
-HEAD, OWN, ENDINGS = 1 << 18, 40, 24
-CLASSES = OWN + ENDINGS
-#: Rows of the weight table.
-ROWS = 1 << 13
-ROUNDS, RATE, ADDED = 3, 0.4, 4.0
+#: Tokens whose counts go to every task, tokens that are classes of their own, classes by ending, outcomes of a level in a class.
+HEAD, OWN, CLASSES, FAN = 1 << 18, 16, 16, 16
+TOP = OWN + CLASSES
+#: Rows of weights in classes: one for so many training tokens, within these powers of two. A quarter as many are for the classes.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1024, 16, 18
+ROUNDS, RATE, ADDED = 3, 0.5, 4.0
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 #: Distinct tokens that a task counts before it gives them out.
 HELD = 2_000_000
 #: Logits are worked out for about so many bytes of text at a time, which a processor's cache holds.
 STEP_BYTES = 1 << 17
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(of: int = 7, rest: int = 2) -> Column:
@@ -48,23 +52,27 @@ def held_out(of: int = 7, rest: int = 2) -> Column:
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows that lie end to end: each token's hash, its class by ending, and the rows' cuts. Every row has an end token."""
+    """Of rows that lie end to end: each token's hash, its ending (the last two bytes, as a number), and the rows' cuts. Every row has an end token."""
     first, last, hashes, cuts = words(data, at, lower=True)
     lower = data[last - 1].astype(np.int64) | 32 if len(last) else np.zeros(0, np.int64)
     before = np.where(last - first > 1, data[np.maximum(last - 2, 0)].astype(np.int64) | 32, 0) if len(last) else lower
-    ending = (mix((lower * 256 + before).astype(np.uint64)) % np.uint64(ENDINGS)).astype(np.int64)
     # the end tokens go in after each row's words
-    return np.insert(hashes, cuts[1:], END), np.insert(ending, cuts[1:], 0), cuts + np.arange(len(cuts))
+    return np.insert(hashes, cuts[1:], END), np.insert(lower * 256 + before, cuts[1:], 0), cuts + np.arange(len(cuts))
 
 
 @dataclass
 class Model:
     head: np.ndarray  # hashes, ascending
     head_count: np.ndarray
-    head_class: np.ndarray  # its own class, or -1
-    prior: np.ndarray  # log of each class's share
-    share: np.ndarray  # log10 of each class's total
-    weight: np.ndarray  # (ROWS, CLASSES)
+    top: np.ndarray  # of each: its outcome among the classes
+    member: np.ndarray  # and its number in its class
+    class_of: np.ndarray  # by ending
+    rare: np.ndarray  # of each class: the member that stands for its tail
+    depth: np.ndarray  # and its levels
+    base: np.ndarray  # and the number of each level's first softmax
+    tail: np.ndarray  # and log10 of its tail's mass
+    prior: list[np.ndarray]  # of the classes, and of each softmax in them: log shares
+    weight: list[np.ndarray]  # (rows, outcomes) of the same
 
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which tokens are in the head, and their places in it."""
@@ -73,23 +81,46 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         return self.head[at] == hashes, at
 
-    def classes(self, inside: np.ndarray, at: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        own = np.where(inside, self.head_class[at], -1) if len(self.head) else np.full(len(at), -1)
-        return np.where(own >= 0, own, OWN + ending)
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.weight.take(rows[0], axis=0)
+    def places(self, inside: np.ndarray, at: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's outcome among the classes and its number in its class."""
+        kind = OWN + self.class_of[ending]
+        member = self.rare[kind - OWN]
+        if len(self.head):
+            kind, member = np.where(inside, self.top[at], kind), np.where(inside, self.member[at], member)
+        return kind, member
+
+    def softmaxes(self, context: list[np.ndarray], kind: np.ndarray, member: np.ndarray):
+        """Of a block's tokens level by level: which of them have it (None: all), table, rows for each feature, priors, outcomes."""
+        yield None, 0, [_row(c, self.weight[0]) for c in context], self.prior[0], kind
+        classed = np.flatnonzero(kind >= OWN)
+        group, number = kind[classed] - OWN, member[classed]
+        depth = self.depth[group]
+        for level in range(int(self.depth.max())):
+            there = depth > level
+            if not there.any():
+                return
+            classed, group, number, depth = classed[there], group[there], number[there], depth[there]
+            below = FAN ** (depth - 1 - level)
+            node = self.base[group, level] + number // (below * FAN)
+            salt = (node.astype(np.uint64) + np.uint64(1)) * _A
+            yield classed, 1, [_row(c[classed] + salt, self.weight[1]) for c in context], self.prior[1][node], number // below % FAN
+
+    def logits(self, which: int, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+        z = self.weight[which].take(rows[0], axis=0)
         for r in rows[1:]:
-            z += self.weight.take(r, axis=0)
-        z += self.prior
+            z += self.weight[which].take(r, axis=0)
+        z += prior
+        z -= z.max(1, keepdims=True)
         return z
 
 
-def features(hashes: np.ndarray, inside: np.ndarray, kind: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each token: last token, last two classes, and both with a token skipped."""
+def _row(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return ((x * _B) >> np.uint64(65 - len(weight).bit_length())).astype(np.int64)
+
+
+def features(hashes: np.ndarray, kind: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """What stands before each token, as hashes: the last token, the last two, the one before the last, and the classes of both."""
     place = np.arange(len(hashes)) - np.repeat(cuts[:-1], np.diff(cuts))
-    word = np.where(inside, hashes, kind.astype(np.uint64))  # a tail token counts as its class
-    half = np.uint64(ROWS // 2)
 
     def back(x: np.ndarray, n: int, begin) -> np.ndarray:
         out = np.empty_like(x)
@@ -97,9 +128,9 @@ def features(hashes: np.ndarray, inside: np.ndarray, kind: np.ndarray, cuts: np.
         out[place < n] = begin
         return out
 
-    one, two, three = (back(kind, n, CLASSES).astype(np.uint64) for n in (1, 2, 3))
-    rows = [mix(back(word, 1, BEGIN)) % half, half + mix(one * np.uint64(256) + two) % half, mix(back(word, 2, BEGIN) + np.uint64(1)) % half, half + mix(two * np.uint64(256) + three + np.uint64(1 << 20)) % half]
-    return [r.astype(np.int64) for r in rows]
+    one, two = back(hashes, 1, BEGIN), back(hashes, 2, BEGIN)
+    pair = back(kind, 1, TOP) * (TOP + 1) + back(kind, 2, TOP)
+    return [mix(one), mix(one * np.uint64(3) + mix(two)), mix(two + np.uint64(1)), mix(pair.astype(np.uint64) + np.uint64(1 << 40))]
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -148,63 +179,117 @@ def start(counts: DataFrame, head: int = HEAD) -> tuple[Model, int, int]:
     word, c, ending = rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), rows["ending"].to_numpy(np.int64)
     order = np.argsort(word)
     word, c, ending = word[order], c[order], ending[order]
-    own = np.full(len(word), -1)
+    mass = np.zeros(1 << 16)
+    for r in counts.groupBy("ending").agg(F.sum(F.col("c") + 1).alias("mass")).collect():  # a row for each two bytes at most
+        mass[r.ending] = r.mass
     best = np.lexsort((word, -c))[:OWN]
-    own[best] = np.arange(len(best))
-    mass = np.zeros(CLASSES)
-    for r in counts.groupBy("ending").agg(F.sum(F.col("c") + 1).alias("mass")).collect():
-        mass[OWN + r.ending] = r.mass
-    np.subtract.at(mass, OWN + ending[best], c[best] + 1)
-    mass[own[best]] = c[best] + 1
-    mass[OWN:] += 1  # for unknown tokens
+    np.subtract.at(mass, ending[best], c[best] + 1)
+    # classes of about equal mass
+    class_of = np.minimum(((np.cumsum(mass) - mass) / max(mass.sum(), 1) * CLASSES).astype(np.int64), CLASSES - 1)
+    top, member = OWN + class_of[ending], np.zeros(len(word), np.int64)
+    top[best] = np.arange(len(best))
+    others = np.flatnonzero(top >= OWN)
+    others = others[np.lexsort((word[others], ending[others], top[others]))]
+    group = top[others] - OWN
+    members = np.bincount(group, minlength=CLASSES)
+    member[others] = np.arange(len(others)) - (np.cumsum(members) - members)[group]
+    tail = np.bincount(class_of, weights=mass, minlength=CLASSES) - np.bincount(group, weights=c[others] + 1, minlength=CLASSES) + 1  # one for unknown tokens
+    depth = np.ones(CLASSES, np.int64)
+    while (FAN**depth < members + 1).any():
+        depth += FAN**depth < members + 1
+    base, priors, nodes = np.zeros((CLASSES, int(depth.max())), np.int64), [], 0
+    firsts = np.cumsum(members) - members
+    for k in range(CLASSES):
+        leaves = np.append(c[others[firsts[k] : firsts[k] + members[k]]] + 1.0, tail[k])
+        for level in range(int(depth[k])):
+            below = FAN ** int(depth[k] - 1 - level)
+            n = -(-len(leaves) // (below * FAN))
+            shares = np.add.reduceat(leaves, np.arange(0, len(leaves), below))
+            shares = np.pad(shares, (0, n * FAN - len(shares))).reshape(n, FAN)
+            base[k, level] = nodes
+            nodes += n
+            priors.append(shares / shares.sum(1, keepdims=True))
+    classes = np.zeros(TOP)
+    classes[: len(best)] = c[best] + 1
+    classes[OWN:] = tail + np.bincount(group, weights=c[others] + 1, minlength=CLASSES)
     with np.errstate(divide="ignore"):
-        prior = np.maximum(np.log(mass / mass.sum()), -30)
-        share = np.log10(np.maximum(mass, 1))
-    return Model(word, c, own, prior.astype(np.float32), share, np.zeros((ROWS, CLASSES), np.float32)), int(total), int(distinct)
+        prior = [np.maximum(np.log(x), -30).astype(np.float32) for x in (classes / classes.sum(), np.concatenate(priors))]
+    bits = int(np.clip(np.log2(max(total, 1) / TOKENS_A_ROW), LEAST_ROWS, MOST_ROWS))
+    weight = [np.zeros((1 << (bits - 2), TOP), np.float32), np.zeros((1 << bits, FAN), np.float32)]
+    return Model(word, c, top, member, class_of, members, depth, base, np.log10(tail), prior, weight), int(total), int(distinct)
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """Order of row numbers below 2^32; short numbers sort faster."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    high = rows >> 16
+    return order if not high.any() else order[np.argsort(high[order].astype(np.uint16), kind="stable")]
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """Numbers with the upper half of their bits."""
+    return ((np.ascontiguousarray(x, "<f4").view("<u4") + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2")
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return (x.astype("<u4") << np.uint32(16)).view("<f4")
 
 
 def gradient(docs: DataFrame, model) -> DataFrame:
-    """row, seen, expected: for each feature row the classes' counts, observed and expected by the broadcast model, as arrays."""
+    """row (table and row), sums: for each row of weights the observed less the expected counts of the outcomes, and the expected ones, in short form."""
 
     def of(batches):
         m = model.value
-        seen, expected = np.zeros(ROWS * CLASSES), np.zeros((ROWS, CLASSES))
-        cells: list[np.ndarray] = []  # observed, counted now and then
+        seen = [np.zeros(w.size) for w in m.weight]
+        expected = [np.zeros(w.shape) for w in m.weight]
+        cells: list[list[np.ndarray]] = [[], []]  # observed, counted now and then
 
         def count():
-            seen[:] += np.bincount(np.concatenate(cells), minlength=ROWS * CLASSES)
-            cells.clear()
+            for k in (0, 1):
+                if cells[k]:
+                    seen[k] += np.bincount(np.concatenate(cells[k]), minlength=seen[k].size)
+                    cells[k].clear()
 
         for b in batches:
             data, at = utf8(b.column("text"))
             for i, j in blocks(at, STEP_BYTES):
                 hashes, ending, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                inside, place = m.known(hashes)
-                kind = m.classes(inside, place, ending)
-                rows = features(hashes, inside, kind, cuts)
-                p = m.logits(rows)
-                p -= p.max(1, keepdims=True)
-                np.exp(p, out=p)
-                p /= p.sum(1, keepdims=True)
-                for r in rows:
-                    cells.append((r * CLASSES + kind).astype(np.int32))
-                    order = np.argsort(r.astype(np.uint16), kind="stable")  # short numbers sort faster
-                    first = np.flatnonzero(np.diff(r[order], prepend=-1))
-                    expected[r[order[first]]] += np.add.reduceat(p[order], first, axis=0)
-                if len(cells) > 200:
+                kind, member = m.places(*m.known(hashes), ending)
+                for _, k, rows, prior, outcome in m.softmaxes(features(hashes, kind, cuts), kind, member):
+                    p = m.logits(k, rows, prior)
+                    np.exp(p, out=p)
+                    p /= p.sum(1, keepdims=True)
+                    for r in rows:
+                        cells[k].append((r * m.weight[k].shape[1] + outcome).astype(np.int32))
+                        order = _sorted(r)
+                        first = np.flatnonzero(np.diff(r[order], prepend=-1))
+                        expected[k][r[order[first]]] += np.add.reduceat(p[order], first, axis=0)
+                if len(cells[1]) > 200:
                     count()
-        if cells:
-            count()
-        used = np.flatnonzero(expected.sum(1))
-        values = np.concatenate([seen.reshape(ROWS, CLASSES)[used], expected[used]], 1).astype("<f4")
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([v.tobytes() for v in values], pa.binary())], names=["row", "sums"])
+        count()
+        for k in (0, 1):
+            used = np.flatnonzero(expected[k].sum(1))
+            diff = seen[k].reshape(expected[k].shape)[used] - expected[k][used]
+            for i in range(0, len(used), 10_000):
+                sums = _short(np.concatenate([diff[i : i + 10_000], expected[k][used[i : i + 10_000]]], 1))
+                yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 10_000] + (k << 32)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["row", "sums"])
 
     def meet(batches):
-        total: dict[int, np.ndarray] = {}
+        shapes = [w.shape for w in model.value.weight]
+        total = [np.zeros((n, 2 * w)) for n, w in shapes]
         for b in batches:
-            for row, sums in zip(b.column("row").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                total[row] = total.get(row, 0) + np.frombuffer(sums, "<f4").astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], names=["row", "sums"])
+            row, sums = b.column("row").to_numpy(), np.array(b.column("sums").to_pylist(), object)
+            for k in (0, 1):
+                own = np.flatnonzero(row >> 32 == k)
+                if len(own):
+                    own = own[np.argsort(row[own], kind="stable")]
+                    r = row[own] & 0xFFFFFFFF
+                    first = np.flatnonzero(np.diff(r, prepend=-1))
+                    total[k][r[first]] += np.add.reduceat(_long(np.frombuffer(b"".join(sums[own]), "<u2")).reshape(len(own), -1).astype(float), first, axis=0)
+        for k in (0, 1):
+            used = np.flatnonzero(total[k][:, shapes[k][1] :].any(1))
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(used + (k << 32)), pa.array([x.tobytes() for x in _short(total[k][used])], pa.binary())], names=["row", "sums"])
 
     return docs.select("text").mapInArrow(of, "row long, sums binary").repartition("row").mapInArrow(meet, "row long, sums binary")
 
@@ -214,9 +299,12 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     for k in range(rounds):
         given = sc.broadcast(model)
         part = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == k)
-        for r in gradient(part, given).toLocalIterator():  # a row for each of ROWS at most
-            seen, expected = np.frombuffer(r.sums, "<f4").reshape(2, CLASSES)
-            model.weight[r.row] += np.clip(RATE * (seen - expected) / (expected + ADDED), -1, 1)
+        found = gradient(part, given).toPandas()  # a row for each row of weights at most
+        row, sums = found["row"].to_numpy(np.int64), found["sums"].to_numpy()
+        for which, weight in enumerate(model.weight):
+            own = np.flatnonzero(row >> 32 == which)
+            diff, expected = _long(np.frombuffer(b"".join(sums[own]), "<u2")).reshape(len(own), 2, weight.shape[1]).swapaxes(0, 1)
+            weight[row[own] & 0xFFFFFFFF] += np.clip(RATE * diff / (expected + ADDED), -1, 1)
     return model
 
 
@@ -234,20 +322,21 @@ def scores(docs: DataFrame, model) -> DataFrame:
             for i, j in blocks(at, STEP_BYTES):
                 hashes, ending, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 inside, place = m.known(hashes)
-                kind = m.classes(inside, place, ending)
-                z = m.logits(features(hashes, inside, kind, cuts))
-                z -= z.max(1, keepdims=True)
-                log_class = z[np.arange(len(z)), kind]
-                log_class = log_class.astype(float) - np.log(np.exp(z, out=z).sum(1))
+                kind, member = m.places(inside, place, ending)
+                log_p = np.zeros(len(hashes))
+                for own, k, rows, prior, outcome in m.softmaxes(features(hashes, kind, cuts), kind, member):
+                    z = m.logits(k, rows, prior)
+                    of_own = z[np.arange(len(z)), outcome]
+                    log_p[slice(None) if own is None else own] += of_own.astype(float) - np.log(np.exp(z, out=z).sum(1))
                 counted = np.zeros(len(hashes))
                 counted[inside] = log_count[place[inside]]
-                given = np.where(kind < OWN, -counted, -m.share[kind])  # in its own class a token is certain
+                given = np.where(inside, -counted, -m.tail[np.maximum(kind - OWN, 0)])  # the sum has log10(c + 1) of every token
                 add = lambda x, first=cuts[:-1]: np.add.reduceat(x, first)
                 ids, n = np.arange(row, row + j - i), j - i
                 row += n
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column("doc_id").slice(i, n), none, pa.array(np.diff(cuts)), pa.array(add(inside.astype(np.int64))), pa.array(add(counted)), pa.array(add(log_class / np.log(10) + given))],
+                    [pa.array(ids), b.column("doc_id").slice(i, n), none, pa.array(np.diff(cuts)), pa.array(add(inside.astype(np.int64))), pa.array(add(counted)), pa.array(add(log_p / np.log(10) + given))],
                     names=_SCORED,
                 )
                 tail = np.flatnonzero(~inside)
