@@ -45,3 +45,39 @@ def test_windows():
     net = L.train([b"aaaa", b"bbbb"] * 40, ["x", "y"] * 40, window=16, epochs=3)
     assert np.allclose(net.highest(L.cut(text.astype(np.uint8), 16)), net.pooled(L.cut(text.astype(np.uint8), 16))[0])
     assert net.probabilities(L.cut(np.frombuffer(b"aaaa", np.uint8), 16)).argmax() == 0
+
+
+def test_forward_and_gradient():
+    """The network's probabilities filter by filter, and its gradient by small steps."""
+    rng = np.random.default_rng(5)
+    net = L.train([b"abcab", b"xyzzy", b"qwert"] * 9, ["x", "y", "z"] * 9, window=12, filters=4, epochs=2)
+    x, y, share = rng.integers(97, 123, (6, 12)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2]), np.array([0.1, 0.2, 0.3, 0.1, 0.2, 0.1])
+
+    def probabilities(row):
+        top = [max(sum(t[j, row[i + j], f] for j in range(w)) for i in range(len(row) - w + 1)) for w, t in net.tables.items() for f in range(t.shape[2])]
+        hidden = [max(0.0, float(v) + float(b)) for v, b in zip(top, net.bias)]
+        z = np.array([sum(h * float(net.out[k, c]) for k, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)])
+        return np.exp(z) / np.exp(z).sum()
+
+    assert np.allclose(net.probabilities(x), [probabilities(r) for r in x], atol=1e-4)
+    loss = lambda: sum(-s * np.log(probabilities(r)[k]) for r, k, s in zip(x, y, share))
+    for q, g in zip([*net.tables.values(), net.bias, net.out, net.out_bias], L.gradient(net, x, y, share), strict=True):
+        for at in [np.unravel_index(int(np.abs(g).argmax()), g.shape), tuple(0 for _ in g.shape)]:
+            before, step = q[at], 1e-2
+            q[at] = before + step
+            up = loss()
+            q[at] = before - step
+            down = loss()
+            q[at] = before
+            assert abs((up - down) / (2 * step) - g[at]) < 2e-2 * max(1.0, abs(g[at]))
+
+
+def test_kept_documents(spark):
+    """Rows are decided on one by one, whatever their ids; those without a language get one."""
+    rows = [*corpus(80), (None, "the of tion ing " * 9, None, 0.0, False), (3, "12 %%", "aa", 0.0, False), (None, None, None, 0.0, False)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("letters0", L.F.lit(1))
+    net = L.fit(docs)
+    out = L.kept_documents(docs, net, 0.5)
+    assert out.columns == docs.columns and [r.lang for r in out.where("doc_id is null").collect()] == ["aa"]
+    assert out.count() == 81 and {r.lang for r in L.kept_documents(docs, net, 0.5, wanted=("bb",)).collect()} == {"bb"}
+    assert L.kept_documents(docs, None, 0.5).count() == 0

@@ -83,6 +83,24 @@ def cut(text: np.ndarray, window: int) -> np.ndarray:
     return out.reshape(n, window)
 
 
+def gradient(net: Network, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Of the windows' cross entropy, each times its share: by tables, bias, out and out_bias. Only the place of a filter's largest value counts."""
+    top, where = net.pooled(x)
+    p = net.softmax(top)
+    p[np.arange(len(x)), y] -= 1
+    p *= share[:, None].astype(np.float32)
+    back = (p @ net.out.T) * (top > 0)
+    grads, first = [], 0
+    for w, t in net.tables.items():
+        g, filters = np.zeros_like(t), t.shape[2]
+        own = slice(first, first + filters)
+        first += filters
+        for j in range(w):
+            np.add.at(g[j], (np.take_along_axis(x, where[:, own] + j, 1), np.arange(filters)[None, :]), back[:, own])
+        grads.append(g)
+    return [*grads, back.sum(0), np.maximum(top, 0).T @ p, p.sum(0)]
+
+
 def train(texts: list[bytes], labels: list[str], window: int = WINDOW, widths=WIDTHS, filters: int = FILTERS, epochs: int = EPOCHS) -> Network:
     """A network for texts of at most a window each."""
     rng = np.random.default_rng(SEED)
@@ -106,20 +124,7 @@ def train(texts: list[bytes], labels: list[str], window: int = WINDOW, widths=WI
         order = rng.permutation(len(x))
         for i in range(0, len(x), BATCH):
             rows = order[i : i + BATCH]
-            top, where = net.pooled(x[rows])
-            p = net.softmax(top)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p *= (weight[y[rows]] / len(rows))[:, None].astype(np.float32)
-            back = (p @ net.out.T) * (top > 0)
-            grads = []
-            for k, (w, t) in enumerate(net.tables.items()):
-                g = np.zeros_like(t)
-                own = slice(k * filters, (k + 1) * filters)
-                for j in range(w):
-                    seen = np.take_along_axis(x[rows], where[:, own] + j, 1)
-                    np.add.at(g[j], (seen, np.arange(filters)[None, :]), back[:, own])
-                grads.append(g)
-            grads += [back.sum(0), np.maximum(top, 0).T @ p, p.sum(0)]
+            grads = gradient(net, x[rows], y[rows], weight[y[rows]] / len(rows))
             step += 1
             for q, g, (m, v) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (g - m)
