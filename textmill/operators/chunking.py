@@ -11,58 +11,56 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once even where use() has it inside another function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def page_chunks(text: Column, most: int = 400, size: int = 300, step: int = 250) -> Column:
     """Array of (start, stop, text): the text itself up to `most` words, else windows of `size` words every `step`, the last one cut."""
-    w = T.words(text)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int") * step), F.lit(step))
-    window = lambda i: F.struct(i.alias("start"), F.least(i + size, n).alias("stop"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("text"))
-    return F.when(n <= most, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), text.alias("text")))).otherwise(F.transform(starts, window))
+
+    def chunks(w):
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int") * step), F.lit(step))
+        window = lambda i: F.struct(i.alias("start"), F.least(i + size, n).alias("stop"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("text"))
+        return F.when(n <= most, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), text.alias("text")))).otherwise(F.transform(starts, window))
+
+    return let(T.words(text), chunks)
+
+
+def _numbered(items: Column, state: Column, opens, after) -> Column:
+    """Span number of each item. opens(state, item): whether the item begins a span; after(state, item, opened): the state then.
+
+    Only the spans' beginnings are gathered, so an array grows with the spans, not with the items.
+    """
+    first = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("at"), state.alias("state"))
+
+    def step(s, x):
+        new = (s["at"] == 0) | opens(s["state"], x)
+        return F.struct(F.when(new, F.concat(s["begins"], F.array(s["at"]))).otherwise(s["begins"]).alias("begins"), (s["at"] + 1).alias("at"), after(s["state"], x, new).alias("state"))
+
+    def numbers(s):
+        stops = F.concat(F.slice(s["begins"], F.lit(2), F.size(s["begins"])), F.array(s["at"]))
+        return F.flatten(F.transform(F.arrays_zip(s["begins"].alias("a"), stops.alias("z")), lambda x, k: F.array_repeat(k, x["z"] - x["a"])))
+
+    return F.when(F.size(items) > 0, let(F.aggregate(items, first, step), numbers)).otherwise(F.array().cast("array<int>"))
 
 
 def greedy_spans(sizes: Column, target: int) -> Column:
     """Span number of each item: a span closes with the item that brings it to the target. An open rest is a span too."""
-    first = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).alias("sum"))
-    full = lambda s, x: s["sum"] + x >= target
-    return F.aggregate(
-        sizes,
-        first,
-        lambda s, x: F.struct(F.concat(s["ids"], F.array(s["id"])).alias("ids"), F.when(full(s, x), s["id"] + 1).otherwise(s["id"]).alias("id"), F.when(full(s, x), F.lit(0)).otherwise(s["sum"] + x).alias("sum")),
-        lambda s: s["ids"],
-    )
+    return _numbered(sizes, F.lit(0), lambda total, x: total >= target, lambda total, x, new: F.when(new, x).otherwise(total + x))
 
 
 def fitting_chunks(sizes: Column, most: int) -> Column:
     """Chunk number of each item: an item that doesn't fit any more opens the next chunk."""
-    first = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).alias("sum"))
-    over = lambda s, x: (s["sum"] > 0) & (s["sum"] + x > most)
-    return F.aggregate(
-        sizes,
-        first,
-        lambda s, x: F.struct(
-            F.concat(s["ids"], F.array(F.when(over(s, x), s["id"] + 1).otherwise(s["id"]))).alias("ids"),
-            F.when(over(s, x), s["id"] + 1).otherwise(s["id"]).alias("id"),
-            F.when(over(s, x), x).otherwise(s["sum"] + x).alias("sum"),
-        ),
-        lambda s: s["ids"],
-    )
+    return _numbered(sizes, F.lit(0), lambda total, x: (total > 0) & (total + x > most), lambda total, x, new: F.when(new, x).otherwise(total + x))
 
 
 def timed_paragraphs(starts: Column, gap: float, longest: float) -> Column:
     """Paragraph number of each start: a new one after a gap, or when the paragraph has gone on for `longest`."""
-    first = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("id"), F.lit(None).cast("double").alias("began"), F.lit(None).cast("double").alias("last"))
-    new = lambda s, x: s["began"].isNull() | (x - s["last"] >= gap) | (x - s["began"] >= longest)
-    return F.aggregate(
-        starts,
-        first,
-        lambda s, x: F.struct(
-            F.concat(s["ids"], F.array(F.when(new(s, x), s["id"] + 1).otherwise(s["id"]))).alias("ids"),
-            F.when(new(s, x), s["id"] + 1).otherwise(s["id"]).alias("id"),
-            F.when(new(s, x), x).otherwise(s["began"]).alias("began"),
-            x.alias("last"),
-        ),
-        lambda s: s["ids"],
-    )
+    state = F.struct(F.lit(None).cast("double").alias("began"), F.lit(None).cast("double").alias("last"))
+    after = lambda s, x, new: F.struct(F.when(new, x).otherwise(s["began"]).alias("began"), x.alias("last"))
+    return _numbered(starts, state, lambda s, x: (x - s["last"] >= gap) | (x - s["began"] >= longest), after)
 
 
 def segments(docs: DataFrame) -> DataFrame:

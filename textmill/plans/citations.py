@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import validation as V
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _passages(spark, sf_dir):
     """The lines of a document that have words, numbered from 1, as the passages that a model was given."""
-    rows = C.segments(table(spark, sf_dir, "documents"))
+    rows = C.segments(spread(table(spark, sf_dir, "documents")))
     return rows.select(F.col("doc_id").alias("job"), (F.col("place") + 1).alias("label"), T.tokens(F.col("text")).alias("t"), "segment")
 
 

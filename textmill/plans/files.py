@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..sources import records as R
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def asr_replies(spark, sf_dir):

@@ -10,11 +10,11 @@ from ..functions import unicode as U
 from ..operators import chunking as C
 from ..operators import filters as L
 from ..operators import search as S
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def latex_structure(spark, sf_dir):

@@ -10,12 +10,13 @@ from ..operators import chunking as C
 from ..operators import matching as X
 from ..operators import metrics as M
 from ..operators import sampling as R
+from ..sources.tables import spread, table
 
 STRONG, WEAK, NEGATIVE = ("that the", "de la", "und die"), ("tion", "queau", "heit"), ("of the",)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def text_measures(spark, sf_dir):

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..sources.tables import spread, table
 
 SPAN, CHUNK, GAP, LONGEST, LOW = 40, 60, 6 * 3600.0, 24 * 3600.0, 150.0
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

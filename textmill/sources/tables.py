@@ -29,3 +29,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores, if the table has fewer splits (a small file with one row group) than there are; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
