@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -39,7 +40,10 @@ def test_stages_take_effect(spark, tmp_path):
     assert gone[2] == [start(305)] and gone[3] == sorted([(-1, item[:5]), start(303)])
     pieces = {(r.doc_id, r.piece) for r in C.STAGES[-1][1](spark, now, str(tmp_path)).collect()}
     assert {i for i, _ in pieces} == set(range(200)) | {304, None}
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    there = set(os.listdir(folder))
     assert {(r.doc_id, r.piece) for r in C.run(spark, str(tmp_path)).collect()} == pieces
+    assert [x.partition("-")[0] for x in set(os.listdir(folder)) - there] == ["pack"]  # nothing else is left
     assert packing.CAPACITY == 2048
 
 

@@ -29,8 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+def without_intermediates(spark: SparkSession, result, name: str) -> tuple[DataFrame, str]:
+    """result(), saved, and its path. The tables that were written on the way are deleted then, as nothing reads them any more."""
+    _scopes.append([])
+    try:
+        out = saved(result(), name)
+        *between, path = _scopes[-1]
+    finally:
+        _scopes.pop()
+    remove(spark, between)
+    return out, path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
