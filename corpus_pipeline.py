@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import decontaminate, exact_dedup, language, packing, simhash
-from textmill.llm.shared import saved, table
+from textmill.llm.shared import remove, table, without_intermediates
 
 #: A document whose language is less certain than this is rejected, as are those without letters; the languages to keep (None: all).
 LEAST_CERTAIN, WANTED = 0.5, None
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The packed pieces. What a stage wrote on the way, and what it was given, goes once its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        docs, path = without_intermediates(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        remove(spark, before)
+        before = [path]
+    return docs
