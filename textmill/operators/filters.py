@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -42,3 +42,10 @@ def selected(rows: DataFrame, selection: DataFrame, key: str) -> DataFrame:
 def text_status(page: Column, least: int) -> Column:
     """As an aggregate over a document's pages: ready, or ready_no_text where over half of them hold less than `least` characters, or there is none."""
     return F.when(F.coalesce(F.avg((F.length(page) < least).cast("int")), F.lit(1)) > 0.5, "ready_no_text").otherwise("ready")
+
+
+def limit_faults(members: DataFrame, package: str, order: str, ratio: float, total: int) -> DataFrame:
+    """Members with a fault: ratio where one expands more than so many times, total from where a package holds more bytes. members: size, packed."""
+    running = F.sum("size").over(Window.partitionBy(package).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    fault = F.when(F.col("size") / F.col("packed") > ratio, "ratio").when(running > total, "total")
+    return members.withColumn("fault", fault).where("fault is not null")

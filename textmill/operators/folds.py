@@ -83,3 +83,28 @@ def cooldowns(failures: DataFrame, key: str, at: str, threshold: int, pause: flo
 
     rows = failures.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col("ok")))).alias("e"))
     return rows.select(key, F.explode(F.aggregate("e", first, step, lambda s: s["shut"])).alias("shut"))
+
+
+def link_states(events: DataFrame, key: str, at: str, threshold: int = 3, pauses: dict[str, float] | None = None, pause: float = 120.0) -> DataFrame:
+    """key, disabled, until, failures, skipped: the state of each link after its events, which count while it is neither disabled nor paused.
+
+    events: key, at (seconds), n (order of equal times), kind, retry_after. ok ends a row of connectivity failures; refused disables the link; a kind in `pauses` pauses it for
+    retry_after or its default; unreachable does so for `pause` at the threshold-th in a row. A link's events are folded in order.
+    """
+    pauses = pauses or {"rate_limit": 60.0, "busy": 30.0}
+    first = F.struct(F.lit(False).alias("disabled"), F.lit(-1e18).alias("until"), F.lit(0).alias("failures"), F.lit(0).alias("skipped"))
+
+    def step(s, x):
+        counts = ~s["disabled"] & (x["at"] >= s["until"])
+        n = s["failures"] + 1
+        wait = F.coalesce(*[F.when(x["kind"] == kind, F.coalesce(x["retry_after"], F.lit(seconds))) for kind, seconds in pauses.items()], F.when((x["kind"] == "unreachable") & (n >= threshold), F.lit(pause)))
+        failures = F.when(x["kind"] == "ok", F.lit(0)).when(x["kind"] == "unreachable", F.when(n >= threshold, F.lit(0)).otherwise(n)).otherwise(s["failures"])
+        return F.struct(
+            (s["disabled"] | (counts & (x["kind"] == "refused"))).alias("disabled"),
+            F.when(counts & wait.isNotNull(), x["at"] + wait).otherwise(s["until"]).alias("until"),
+            F.when(counts, failures).otherwise(s["failures"]).alias("failures"),
+            F.when(counts, s["skipped"]).otherwise(s["skipped"] + 1).alias("skipped"),
+        )
+
+    order = F.struct(F.col(at).cast("double").alias("at"), "n", "kind", F.col("retry_after").cast("double").alias("retry_after"))
+    return events.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("e")).select(key, F.aggregate("e", first, step).alias("s")).select(key, "s.*")

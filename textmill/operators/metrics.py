@@ -40,6 +40,11 @@ def mrr_at(first: Column, k: int) -> Column:
     return F.coalesce(F.avg(F.when(first <= k, 1.0 / first).otherwise(0.0)), F.lit(0.0))
 
 
+def recall(rows: DataFrame, by: list[str], predicted: Column, correct: Column) -> DataFrame:
+    """correct, found and recall (null where nothing is correct) of each group and of all rows, by rollup; unlabelled rows don't count."""
+    return rows.rollup(*by).agg(F.count_if(correct).alias("correct"), F.count_if(predicted & correct).alias("found"), F.try_divide(F.count_if(predicted & correct), F.count_if(correct)).alias("recall"))
+
+
 def word_errors(rows: DataFrame) -> DataFrame:
     """id, words, substitutions, deletions, insertions: of hypothesis against reference, both made comparable.
 

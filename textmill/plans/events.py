@@ -82,6 +82,21 @@ def link_cooldowns(spark, sf_dir):
     return E.cooldowns(rows, "user_id", "at", 2, 86400.0)
 
 
+_LINK = "CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'rate_limit' WHEN 'purchase' THEN 'busy' WHEN 'error' THEN 'unreachable' ELSE CASE WHEN event_id % 200 = 0 THEN 'refused' ELSE 'unreachable' END END"
+
+
+def link_states(spark, sf_dir):
+    """Events as calls of a link by each user, pauses in hours."""
+    rows = _events(spark, sf_dir).select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("n"), F.expr(_LINK).alias("kind"), F.expr("CASE WHEN event_id % 2 = 0 THEN floor(value) * 60 END").alias("retry_after"))
+    return E.link_states(rows, "user_id", "at", 3, {"rate_limit": 3600.0, "busy": 1800.0}, 7200.0)
+
+
+def card_duplicates(spark, sf_dir):
+    """Drafts (of views) whose key a live card has."""
+    drafts = _kinds(_events(spark, sf_dir).where("event_type = 'view'")).groupBy("card").agg(F.count("*").alias("drafts"))
+    return drafts.join(event_fold(spark, sf_dir).select("card"), "card", "left_semi")
+
+
 def latest_then_filter(spark, sf_dir):
     """Of each (order, line) the last answer; of these the wrong ones. An answer that is right later hides a mistake."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -96,13 +111,20 @@ def progress(spark, sf_dir):
     return rows.select("user_id", "done", F.round(F.col("done") * 3600 / F.col("s"), 6).alias("per_hour"), F.round(F.greatest(F.lit(0), 100 - F.col("done")) * F.col("s") / F.col("done"), 3).alias("left_s"))
 
 
-QUERIES = {f.__name__: f for f in (event_fold, state_changes, job_states, due_queue, deck_summary, reconcile_plan, backfill_plan, link_cooldowns, latest_then_filter, progress)}
+QUERIES = {f.__name__: f for f in (event_fold, state_changes, job_states, due_queue, deck_summary, reconcile_plan, backfill_plan, link_cooldowns, link_states, card_duplicates, latest_then_filter, progress)}
 ORACLES = {
     "event_fold": _KINDS
     + """, b AS (SELECT *, max(seq) FILTER (kind = 'created') OVER (PARTITION BY card) AS born, max(seq) FILTER (kind = 'deleted') OVER (PARTITION BY card) AS died FROM k WHERE kind <> 'reviewed'),
 l AS (SELECT card, arg_max(value, seq) FILTER (kind IN ('created', 'edited')) AS value, count(*) FILTER (kind = 'edited') AS edits, count(*) FILTER (kind = 'suspended') > 0 AS suspended FROM b WHERE born IS NOT NULL AND coalesce(died, 0) < born AND seq >= born GROUP BY card),
 v AS (SELECT card, arg_max(value, seq) AS review, count(*) AS reviews FROM k WHERE kind = 'reviewed' GROUP BY card)
 SELECT card, value, edits, suspended, review, coalesce(reviews, 0) AS reviews FROM l LEFT JOIN v USING (card)""",
+    "link_states": f"""WITH RECURSIVE o AS (SELECT user_id, epoch(ts)::DOUBLE AS sec, {_LINK} AS kind, CASE WHEN event_id % 2 = 0 THEN floor(value) * 60 END AS retry, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0 AS i, false AS disabled, -1e18 AS until, 0 AS failures, 0 AS skipped FROM o
+UNION ALL SELECT o.user_id, o.i, r.disabled OR (c AND kind = 'refused'),
+  CASE WHEN c AND kind = 'rate_limit' THEN floor(sec) + coalesce(retry, 3600) WHEN c AND kind = 'busy' THEN floor(sec) + coalesce(retry, 1800) WHEN c AND kind = 'unreachable' AND failures + 1 >= 3 THEN floor(sec) + 7200 ELSE r.until END,
+  CASE WHEN NOT c THEN failures WHEN kind = 'ok' THEN 0 WHEN kind = 'unreachable' THEN CASE WHEN failures + 1 >= 3 THEN 0 ELSE failures + 1 END ELSE failures END, CASE WHEN c THEN skipped ELSE skipped + 1 END
+FROM (SELECT r.*, NOT r.disabled AND floor(o.sec) >= r.until AS c, o.i AS next FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) r JOIN o ON o.user_id = r.user_id AND o.i = r.next)
+SELECT user_id, arg_max(disabled, i) AS disabled, arg_max(until, i) AS until, arg_max(failures, i) AS failures, arg_max(skipped, i) AS skipped FROM r GROUP BY user_id""",
     "state_changes": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type",
     "job_states": "SELECT user_id, CASE k WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'interrupted' WHEN 'purchase' THEN 'done' ELSE k END AS state FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS k FROM events GROUP BY user_id)",
     "due_queue": _CARDS + """SELECT card, 0 AS part, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM cards WHERE NOT suspended AND due <= TIMESTAMP '2024-01-29 12:00:00'
@@ -126,3 +148,4 @@ ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC,
     "progress": """SELECT user_id, done, round(done * 3600 / s, 6) AS per_hour, round(greatest(0, 100 - done) * s / done, 3) AS left_s
 FROM (SELECT user_id, count(*) AS done, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM events GROUP BY user_id)""",
 }
+ORACLES["card_duplicates"] = f"WITH f AS ({ORACLES['event_fold']}) SELECT card, count(*) AS drafts FROM (SELECT user_id * 24 + hour(ts) AS card FROM events WHERE event_type = 'view') WHERE card IN (SELECT card FROM f) GROUP BY 1"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import filters as L
 from ..operators import metrics as M
 
 
@@ -110,6 +111,19 @@ def precision_by_source(spark, sf_dir):
     return out.withColumn("precision", F.round("precision", 6))
 
 
+def recall_by_source(spark, sf_dir):
+    """The same rule's recall, of each source and of all."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", (~F.col("text").rlike(r"[%#&$*]{3}|!!")).alias("predicted"))
+    rows = d.join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return M.recall(rows, ["source"], F.col("predicted"), F.col("quality") == 1).withColumn("recall", F.round("recall", 6))
+
+
+def package_limits(spark, sf_dir):
+    """Documents of a source as members of a package: those that expand too much, and those from which on the package is too large."""
+    members = _t(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("size"), (F.col("doc_id") % 40 + 20).alias("packed"))
+    return L.limit_faults(members, "source", "doc_id", 60.0, 60_000).select("source", "doc_id", "fault")
+
+
 def confusion(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[%#&$*]{3}|!!").cast("int").alias("marks"))
     rows = d.join(_t(spark, sf_dir, "labels"), "doc_id").groupBy("quality").pivot("marks", [0, 1]).agg(F.count(F.lit(1)))
@@ -168,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         course_groups, status_facets, status_page, orphans, scope_semi, attempt_scores, answer_outcomes, chat_turns, chat_titles, followup_questions, recent_turns, duplicate_documents, candidate_lines, duplicate_keys,
-        precision_by_source, confusion, label_rollup, jaccard, value_percentiles, package_check, remapped, distinct_sources, nearest_event,
+        precision_by_source, recall_by_source, package_limits, confusion, label_rollup, jaccard, value_percentiles, package_check, remapped, distinct_sources, nearest_event,
     )
 }
 ORACLES = {
@@ -196,6 +210,10 @@ SELECT sha256(key) AS key, min(r).doc_id AS doc_id, min(r).segment AS segment, c
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 2",
     "precision_by_source": """WITH r AS (SELECT source, NOT regexp_matches(text, '[%#&$*]{3}|!!') AS p, quality = 1 AS c FROM documents LEFT JOIN labels USING (doc_id))
 SELECT source, count(*) FILTER (p AND c IS NOT NULL) AS labelled, count(*) FILTER (p AND c) AS "right", round(count(*) FILTER (p AND c) / nullif(count(*) FILTER (p AND c IS NOT NULL), 0), 6) AS precision, count(*) FILTER (p AND c IS NULL) AS unlabelled FROM r GROUP BY source""",
+    "recall_by_source": """WITH r AS (SELECT source, NOT regexp_matches(text, '[%#&$*]{3}|!!') AS p, quality = 1 AS c FROM documents LEFT JOIN labels USING (doc_id))
+SELECT source, count(*) FILTER (c) AS correct, count(*) FILTER (p AND c) AS found, round(count(*) FILTER (p AND c) / nullif(count(*) FILTER (c), 0), 6) AS recall FROM r GROUP BY ROLLUP (source)""",
+    "package_limits": """WITH m AS (SELECT source, doc_id, octet_length(encode(text)) AS size, doc_id % 40 + 20 AS packed FROM documents),
+f AS (SELECT source, doc_id, CASE WHEN size / packed > 60 THEN 'ratio' WHEN sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) > 60000 THEN 'total' END AS fault FROM m) SELECT * FROM f WHERE fault IS NOT NULL""",
     "confusion": "SELECT quality, count(*) FILTER (NOT m) AS plain, count(*) FILTER (m) AS marked FROM (SELECT quality, regexp_matches(text, '[%#&$*]{3}|!!') AS m FROM documents JOIN labels USING (doc_id)) GROUP BY 1",
     "label_rollup": "SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
     "jaccard": r"""WITH u AS (SELECT conv_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS ws, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user')
