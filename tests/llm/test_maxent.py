@@ -51,7 +51,7 @@ def chances(m, context, kind_of):
     """By walking every softmax: log probability of each outcome among the classes, and of each member of each class."""
     softmax = lambda z: z - np.log(np.exp(z).sum())
     def at(k, salt):
-        rows = [int((((int(c) + salt) % 2**64) * int(M._B) % 2**64) >> (65 - len(m.weight[k]).bit_length())) for c in context]
+        rows = [int((((int(c) + salt) % 2**64) * int(M._B) % 2**64) >> (65 - len(m.weight[k]).bit_length())) for c in (context if not k else [context[n] for n in M.INSIDE])]
         return sum(m.weight[k][r].astype(float) for r in rows)
     top = softmax(m.prior[0] + at(0, 0))
     out = {}

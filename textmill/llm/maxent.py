@@ -4,8 +4,8 @@ A token's probability is factored: that of its class given what stands before, t
 softmax too, given the same. The most frequent tokens are classes of their own. The others are classed by their last two bytes,
 and in a class sorted by them; a class of many members is factored again, FAN ways at each of its levels, so a token has
 a few softmaxes of a few outcomes instead of one over the vocabulary. Each softmax's logits are the outcomes' prior (their share
-of the counts) plus the weights of four features of the tokens before: the last token, the pair of the last two, the one
-before the last (a token skipped), and the pair of their classes. Features are hashed, with the softmax's number, into rows of
+of the counts) plus the weights of features of the tokens before. Four choose the class: the last token, the pair of the last two, the one
+before the last (a token skipped), and the pair of their classes; the first and the third of them count inside classes. Features are hashed, with the softmax's number, into rows of
 weights, whose number grows with the training tokens up to a bound. One member of each class stands for its tail: there a token has its share of the tail's counts, each
 plus one; one more share is for all unknown tokens of the class. So the probabilities of all tokens after any context add up to
 one.
@@ -39,6 +39,8 @@ TOP = OWN + CLASSES
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1024, 16, 18
 ROUNDS, RATE, ADDED = 3, 0.5, 4.0
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
+#: Features that count inside classes: the last token and the one before it. All four choose the class.
+INSIDE = (0, 2)
 #: Distinct tokens that a task counts before it gives them out.
 HELD = 2_000_000
 #: Logits are worked out for about so many bytes of text at a time, which a processor's cache holds.
@@ -103,7 +105,7 @@ class Model:
             below = FAN ** (depth - 1 - level)
             node = self.base[group, level] + number // (below * FAN)
             salt = (node.astype(np.uint64) + np.uint64(1)) * _A
-            yield classed, 1, [_row(c[classed] + salt, self.weight[1]) for c in context], self.prior[1][node], number // below % FAN
+            yield classed, 1, [_row(context[c][classed] + salt, self.weight[1]) for c in INSIDE], self.prior[1][node], number // below % FAN
 
     def logits(self, which: int, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
         z = self.weight[which].take(rows[0], axis=0)
@@ -226,6 +228,19 @@ def _sorted(rows: np.ndarray) -> np.ndarray:
     return order if not high.any() else order[np.argsort(high[order].astype(np.uint16), kind="stable")]
 
 
+def _add(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each of values to its row of total. Most rows occur once in a block; only the others are summed up first."""
+    order = _sorted(rows)
+    ordered = rows[order]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    alone = first & np.append(first[1:], True)
+    once = order[alone]
+    total[rows[once]] += values[once]
+    order, first = order[~alone], np.flatnonzero(first[~alone])
+    if len(order):
+        total[rows[order[first]]] += np.add.reduceat(values[order], first, axis=0)
+
+
 def _short(x: np.ndarray) -> np.ndarray:
     """Numbers with the upper half of their bits."""
     return ((np.ascontiguousarray(x, "<f4").view("<u4") + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2")
@@ -241,7 +256,7 @@ def gradient(docs: DataFrame, model) -> DataFrame:
     def of(batches):
         m = model.value
         seen = [np.zeros(w.size) for w in m.weight]
-        expected = [np.zeros(w.shape) for w in m.weight]
+        expected = [np.zeros(w.shape, np.float32) for w in m.weight]
         cells: list[list[np.ndarray]] = [[], []]  # observed, counted now and then
 
         def count():
@@ -261,9 +276,7 @@ def gradient(docs: DataFrame, model) -> DataFrame:
                     p /= p.sum(1, keepdims=True)
                     for r in rows:
                         cells[k].append((r * m.weight[k].shape[1] + outcome).astype(np.int32))
-                        order = _sorted(r)
-                        first = np.flatnonzero(np.diff(r[order], prepend=-1))
-                        expected[k][r[order[first]]] += np.add.reduceat(p[order], first, axis=0)
+                        _add(expected[k], r, p)
                 if len(cells[1]) > 200:
                     count()
         count()
