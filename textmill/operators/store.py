@@ -73,7 +73,7 @@ def text_version() -> Column:
 def build(docs: DataFrame, path: str, *keep: str, version: Column | None = None, buckets: int | None = None) -> Index:
     """Writes the index of docs at path. version: what tells that a document has changed; a hash of its text if not given."""
     spark = docs.sparkSession
-    buckets = buckets or max(1, -(-docs.count() * 20 // BUCKET_ROWS))
+    buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-docs.count() * 20 // BUCKET_ROWS))  # some 20 passages a document
     _write(spark, _tables(docs, buckets, keep, text_version() if version is None else version), path)
     return Index(spark, path, buckets, keep)
 
