@@ -38,6 +38,8 @@ TOP = OWN + CLASSES
 #: Rows of weights in classes: one for so many training tokens, within these powers of two. A quarter as many are for the classes.
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1024, 16, 18
 ROUNDS, RATE, ADDED = 3, 0.5, 4.0
+#: Training tokens that a task sums the gradient over, so that what it gives out is small against what it reads.
+TASK_TOKENS = 4_000_000
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 #: Features that count inside classes: the last token and the one before it. All four choose the class.
 INSIDE = (0, 2)
@@ -372,7 +374,8 @@ def score(docs: DataFrame, training: Column, head: int = HEAD, rounds: int = ROU
     known = docs.where(training).select("doc_id", "text")
     counts = saved(vocabulary(known), "counts")
     model, total, distinct = start(counts, head)
-    model = docs.sparkSession.sparkContext.broadcast(train(known, model, rounds))
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast(train(known.coalesce(max(2 * sc.defaultParallelism, total // TASK_TOKENS)), model, rounds))
     parts = saved(scores(docs, model), "scores")
     tail = parts.where("word is not null").select("row", "word", "n").join(counts.select("word", "c"), "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1))).alias("tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"))
