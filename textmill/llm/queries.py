@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, chat, decontaminate, exact_dedup, importance, language, maxent, packing, simhash, word_dedup
+from . import byte_dedup, chat, cost_packing, decontaminate, exact_dedup, importance, language, maxent, packing, simhash, word_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_dedup": byte_dedup.query,
     "op9_word_dedup": word_dedup.query,
     "op10_language": language.query,
+    "op11_cost_packing": cost_packing.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
