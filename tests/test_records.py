@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from textmill.operators import fusion
+from textmill.sources import archives as A
 from textmill.sources import records as R
 from textmill.streaming import logs as L
 
@@ -85,7 +86,7 @@ def test_kinds_and_archives(spark, tmp_path):
             for i, n in enumerate(sizes):
                 z.writestr(str(i), "x" * n)
     (tmp_path / "zips/d.zip").write_text("none")
-    assert {r.path[-5]: (r.entries, r.bytes, r.fault) for r in R.archive_faults(spark, str(tmp_path / "zips"), 5, 1000).collect()} == {"a": (2, 30, None), "b": (6, 6, "too large"), "c": (1, 5000, "too large"), "d": (None, None, "unreadable")}
+    assert {r.archive[0]: (r.entries, r.bytes, r.fault) for r in A.directories(spark, str(tmp_path / "zips"), entries=5, archive_bytes=1000).collect()} == {"a": (2, 30, None), "b": (6, 6, "too many entries"), "c": (1, 5000, "too large"), "d": (None, None, "unreadable")}
 
 
 def test_gold_and_transcripts(spark, tmp_path):

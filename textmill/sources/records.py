@@ -96,7 +96,12 @@ def plain_texts(spark: SparkSession, path: str) -> DataFrame:
 def logical_pages(texts: DataFrame, key: str, most: int = 500) -> DataFrame:
     """key, page, text: sections that begin at lines with #, each a page, or pages of `most` words where it has more. texts: key, text."""
     lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("heading", F.startswith("line", F.lit("#")))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "^#+", ""))).withColumn("section", F.sum(F.col("heading").cast("int")).over(Window.partitionBy(key).orderBy("at")))
+    return section_pages(lines.withColumn("line", F.trim(F.regexp_replace("line", "^#+", ""))), key, most)
+
+
+def section_pages(lines: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """The same of lines that are told apart already. lines: key, at (their order), heading, line."""
+    lines = lines.withColumn("section", F.sum(F.col("heading").cast("int")).over(Window.partitionBy(key).orderBy("at")))
     sections = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.size(words), F.lit(most))
@@ -119,27 +124,6 @@ def asr_segments(replies: DataFrame, key: str, reply: str) -> DataFrame:
     return rows.select(key, "segment", seconds(F.col("s.words")[0]["start"]).alias("start"), seconds(F.element_at("s.words", -1)["end"]).alias("end"), words.alias("words"))
 
 
-def archive_faults(spark: SparkSession, path: str, most_entries: int, most_bytes: int) -> DataFrame:
-    """path, entries, bytes, fault of ZIP files, by their directories alone: unreadable, or too many or too large entries."""
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    def look(batches):
-        for part in batches:
-            out = []
-            for path_, content in zip(part["path"], part["content"], strict=True):
-                try:
-                    sizes = [e.file_size for e in zipfile.ZipFile(io.BytesIO(content)).infolist()]
-                    out.append((path_, len(sizes), sum(sizes), "too large" if len(sizes) > most_entries or sum(sizes) > most_bytes else None))
-                except zipfile.BadZipFile:
-                    out.append((path_, None, None, "unreadable"))
-            yield pd.DataFrame(out, columns=["path", "entries", "bytes", "fault"]).astype({"entries": "Int64", "bytes": "Int64"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, "path string, entries long, bytes long, fault string")
-
-
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
     """Questions with their references, one row a reference; questions without one have nulls."""
     reference = "struct<kind:string,filename:string,page:int,job_id:string,start_s:double,end_s:double>"
