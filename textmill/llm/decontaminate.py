@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, words
-from .shared import blocks, saved, table, utf8
+from .shared import blocks, free_name, saved, table, utf8
 
 #: 1: the token counts. Five tokens of five to nine; for short items four of four or five.
 MASKS = ("1101011", "11001011", "110010101", "11111", "111011")
@@ -248,7 +248,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int =
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, identity: float = IDENTITY, least: int = LEAST, part_tokens: int = PART_TOKENS) -> DataFrame:
     """The rows of docs that overlap no item. Each row is decided on where it is read, so null and repeated ids don't matter."""
-    lowered = next(c for c in (f"lowered{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    lowered = free_name(docs, "lowered")
     out = docs.withColumn(lowered, F.lower("text"))
     for items in parts(benchmark, masks, least, part_tokens):
         given = docs.sparkSession.sparkContext.broadcast(items)

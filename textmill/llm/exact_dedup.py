@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, saved, table
+from .shared import free_name, new_path, saved, table
 
 #: State on disk. Each partition has a store of its own; without fallocate a small one takes little disk.
 STATE = {
@@ -162,7 +162,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
         given = docs.toDF(*[f"c{n}" for n in range(len(columns))])  # no name of them clashes
         docs = saved(given, "documents")
         docs = docs.withColumnsRenamed({f"c{n}": c for n, c in enumerate(columns) if c != "_metadata"})
-    file, row = (next(c for c in (f"{x}{n}" for n in range(len(columns) + 2)) if c not in docs.columns) for x in ("file", "row"))
+    file, row = free_name(docs, "file"), free_name(docs, "row")
     located = docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
     gone = exact_dedup(docs).where("not kept").select(F.col("locator.file").alias(file), F.col("locator.row").alias(row))
     out = located.join(gone, [file, row], "left_anti").drop(file, row)

@@ -7,7 +7,10 @@ It doesn't depend on where in a block the run lies, so equal runs have equal has
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+#: Words of more bytes get a hash that isn't a polynomial: modulo 2^64 there are long words that agree in every odd base.
+LONG = 64
 _random = np.random.default_rng(20240229)
 BYTE = _random.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 #: The same with A-Z as a-z.
@@ -72,4 +75,8 @@ def words(buf: np.ndarray, at: np.ndarray, lower: bool = False, separators: np.n
     stop[1:] = ends[1:] & ~gap[:n]
     last = np.flatnonzero(stop)
     sums = running((BYTE_LOWER if lower else BYTE)[buf])
-    return first, last, mix(runs(sums, first, last) + (last - first).astype(np.uint64)), np.searchsorted(first, at)
+    hashes = mix(runs(sums, first, last) + (last - first).astype(np.uint64))
+    for i in np.flatnonzero(last - first > LONG).tolist():
+        word = buf[first[i] : last[i]].tobytes()
+        hashes[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)  # bytes.lower() is that of A-Z
+    return first, last, hashes, np.searchsorted(first, at)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, table, utf8
+from .shared import blocks, free_name, table, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -189,7 +189,7 @@ def kept_documents(docs: DataFrame, net: Network | None, least: float, wanted=No
     Rows without a language get the one that is told. Each row is decided on by its own text, where it is read. Without a network
     none can be told, so none stays.
     """
-    letters = next(c for c in (f"letters{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    letters = free_name(docs, "letters")
     place = docs.columns.index("lang")
 
     def of(batches):

@@ -68,6 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, prefix: str) -> str:
+    """A name that no column of docs has, however it is written: Spark finds columns without regard to case."""
+    taken = {c.lower() for c in docs.columns}
+    return next(c for c in (f"{prefix}{n}" for n in range(len(taken) + 1)) if c not in taken)
+
+
 #: Stands for a null doc_id.
 LOWEST = -(1 << 63)
 #: Repeated doc_ids that tasks may hold; with more of them the join with them shuffles.

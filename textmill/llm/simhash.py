@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .hashing import BASE, mix
 from .phrases import bit_map, bits_for, in_map
-from .shared import blocks, saved, table, utf8
+from .shared import blocks, free_name, saved, table, utf8
 from .similar import shared_bands, similar
 
 SEED = 42
@@ -248,7 +248,7 @@ def kept_documents(docs: DataFrame, size: int, distance: int, least: float, buck
     doc_id the one with the smallest number stays, and null ones stay only where the group has no other. Texts without words link
     to each other. No rows give none.
     """
-    row = next(c for c in (f"row{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    row = free_name(docs, "row")
     rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col(row).alias("doc_id"), "text")
     edges = candidates(texts, size, distance, bucket).unionByName(shared_bands(texts, size))
