@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds as E
+from ..operators import scheduling as S
+from ..sources.tables import scratch
+from ..streaming import logs, watches
 
 ORDER = ["ts", "event_id"]
 
@@ -111,7 +114,31 @@ def progress(spark, sf_dir):
     return rows.select("user_id", "done", F.round(F.col("done") * 3600 / F.col("s"), 6).alias("per_hour"), F.round(F.greatest(F.lit(0), 100 - F.col("done")) * F.col("s") / F.col("done"), 3).alias("left_s"))
 
 
-QUERIES = {f.__name__: f for f in (event_fold, state_changes, job_states, due_queue, deck_summary, reconcile_plan, backfill_plan, link_cooldowns, link_states, card_duplicates, latest_then_filter, progress)}
+#: Silence before a ping, and how late events may come, in milliseconds.
+_PING, _DELAY = 36 * 3600 * 1000, 3600 * 1000
+
+
+def state_watch(spark, sf_dir):
+    """Each user's events as a stream: changes of type, pings in between, the end with every 40th event."""
+    path = scratch(spark, "events")
+    rows = _events(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp"))
+    rows.repartitionByRange(3, "ts").write.parquet(path)  # files as they would be appended
+    with logs.settings(spark, watches.STATE_STORE):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        told = watches.watched(stream, "user_id", "time", "event_id", F.col("event_type"), F.col("event_id") % 40 == 0, f"{_DELAY} milliseconds", _PING)
+        out = scratch(spark, "watch")
+        logs.to_table(told, out, scratch(spark, "watch-state"))
+    return spark.read.schema(watches.TOLD).parquet(out).select(F.col("key").alias("user_id"), "at", "event", "state")
+
+
+def card_schedule(spark, sf_dir):
+    """Each user's events as reviews of a card, rated by their type."""
+    rating = F.expr("CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 4 ELSE 3 END")
+    rows = _events(spark, sf_dir).select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("n"), rating.alias("rating"))
+    return S.scheduled(rows, "user_id").select("user_id", "reviews", "state", "step", F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"), "due")
+
+
+QUERIES = {f.__name__: f for f in (event_fold, state_changes, job_states, due_queue, deck_summary, reconcile_plan, backfill_plan, link_cooldowns, link_states, card_duplicates, latest_then_filter, progress, state_watch, card_schedule)}
 ORACLES = {
     "event_fold": _KINDS
     + """, b AS (SELECT *, max(seq) FILTER (kind = 'created') OVER (PARTITION BY card) AS born, max(seq) FILTER (kind = 'deleted') OVER (PARTITION BY card) AS died FROM k WHERE kind <> 'reviewed'),
@@ -145,7 +172,31 @@ o.sec >= r.until AND NOT o.ok AND r.n + 1 >= 2 FROM r JOIN o ON o.user_id = r.us
 SELECT user_id, sec AS shut FROM r WHERE shuts""",
     "latest_then_filter": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC) AS n FROM lineitem) WHERE n = 1 AND l_returnflag = 'R'""",
+    "state_watch": f"""WITH w AS (SELECT max(epoch_us(ts) // 1000) - {_DELAY} AS upto FROM events),
+e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, event_type AS state, event_id % 40 = 0 AS terminal, upto FROM events, w WHERE epoch_us(ts) // 1000 <= upto),
+o AS (SELECT *, row_number() OVER o AS i, lag(state) OVER o IS DISTINCT FROM state AS changed FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ms, event_id)),
+f AS (SELECT *, min(i) FILTER (terminal) OVER (PARTITION BY user_id) AS last FROM o), k AS (SELECT * FROM f WHERE last IS NULL OR i <= last),
+c AS (SELECT user_id, ms, state, last, upto, lead(ms) OVER (PARTITION BY user_id ORDER BY i) AS next, max(ms) FILTER (i = last) OVER (PARTITION BY user_id) AS ended FROM (SELECT * FROM k WHERE changed OR i = last) WHERE changed OR last IS NOT NULL),
+p AS (SELECT user_id, ms, 'progress' AS event, state FROM k WHERE changed UNION ALL SELECT user_id, ms, 'end', state FROM k WHERE i = last
+UNION ALL SELECT user_id, unnest(range(ms + {_PING}, CASE WHEN next IS NOT NULL THEN next WHEN ended IS NOT NULL THEN ms ELSE upto + 1 END, {_PING})), 'ping', NULL FROM c)
+SELECT user_id, ms AS "at", event, state FROM p""",
     "progress": """SELECT user_id, done, round(done * 3600 / s, 6) AS per_hour, round(greatest(0, 100 - done) * s / done, 3) AS left_s
 FROM (SELECT user_id, count(*) AS done, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM events GROUP BY user_id)""",
 }
 ORACLES["card_duplicates"] = f"WITH f AS ({ORACLES['event_fold']}) SELECT card, count(*) AS drafts FROM (SELECT user_id * 24 + hour(ts) AS card FROM events WHERE event_type = 'view') WHERE card IN (SELECT card FROM f) GROUP BY 1"
+_W = S.WEIGHTS
+_DECAY, _FACTOR = S.Scheduler().decay, S.Scheduler().factor
+_DAYS = f"least(greatest(round_even(s / {_FACTOR!r} * {0.9 ** (1 / _DECAY) - 1!r}, 0), 1), 36500)"
+ORACLES["card_schedule"] = f"""WITH RECURSIVE o AS (SELECT user_id, floor(epoch(ts))::BIGINT AS sec, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 4 ELSE 3 END AS g,
+row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0 AS state, 0 AS step, NULL::DOUBLE AS s, NULL::DOUBLE AS d, NULL::BIGINT AS sec, NULL::BIGINT AS due FROM o
+UNION ALL SELECT user_id, i, CASE WHEN done THEN 2 WHEN state = 2 THEN 3 WHEN state = 0 THEN 1 ELSE state END, CASE WHEN done THEN NULL WHEN g = 1 OR state = 2 THEN 0 WHEN g = 2 THEN step ELSE step + 1 END, s, d, sec,
+  sec + CASE WHEN done THEN ({_DAYS} * 86400)::BIGINT WHEN state IN (2, 3) THEN CASE g WHEN 2 THEN 900 ELSE 600 END WHEN g = 1 THEN 60 WHEN g = 2 THEN CASE step WHEN 0 THEN 330 ELSE 600 END ELSE 600 END
+FROM (SELECT user_id, i, sec, g, state, step, CASE state WHEN 2 THEN g > 1 WHEN 3 THEN g > 2 ELSE g = 4 OR g = 3 AND step = 1 END AS done,
+    CASE WHEN s IS NULL THEN [{_W[0]}, {_W[1]}, {_W[2]}, {_W[3]}][g] ELSE greatest(0.001, CASE WHEN days < 1 THEN s * CASE WHEN g > 2 THEN greatest(1, grown) ELSE grown END
+      WHEN g = 1 THEN least({_W[11]} * pow(d, -{_W[12]}) * (pow(s + 1, {_W[13]}) - 1) * exp((1 - p) * {_W[14]}), s / exp({_W[17]} * {_W[18]}))
+      ELSE s * (1 + exp({_W[8]}) * (11 - d) * pow(s, -{_W[9]}) * (exp((1 - p) * {_W[10]}) - 1) * CASE g WHEN 2 THEN {_W[15]} WHEN 4 THEN {_W[16]} ELSE 1 END) END) END AS s,
+    least(10, greatest(1, CASE WHEN s IS NULL THEN {_W[4]} - exp({_W[5]} * (g - 1)) + 1 ELSE {_W[7]} * ({_W[4]} - exp({_W[5]} * 3) + 1) + (1 - {_W[7]}) * (d + (10 - d) * (-{_W[6]} * (g - 3)) / 9) END)) AS d
+  FROM (SELECT o.user_id, o.i, o.sec, g, state, step, s::DOUBLE AS s, d::DOUBLE AS d, days, exp({_W[17]} * (g - 3 + {_W[18]})) * pow(s, -{_W[19]}) AS grown, pow(1 + {_FACTOR!r} * days / s, {_DECAY!r}) AS p
+    FROM (SELECT r.*, o.sec AS now, g, (o.sec - r.sec) // 86400 AS days, o.i AS next FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) r JOIN (SELECT user_id, i, sec FROM o) o ON o.user_id = r.user_id AND o.i = r.next)))
+SELECT user_id, max(i) AS reviews, arg_max(state, i) AS state, arg_max_null(step, i) AS step, round(arg_max(s, i), 6) AS stability, round(arg_max(d, i), 6) AS difficulty, arg_max(due, i) AS due FROM r GROUP BY user_id"""

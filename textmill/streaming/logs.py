@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold for what is started inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def latest_states(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """A streaming table of each key's last value and number of events. State is kept by key, without expiry."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("events"))
