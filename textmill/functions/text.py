@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+# The combining marks that a word may hold and that drop out of it.
+MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)))
+
+
+def _folded(letter: str) -> str:
+    """What a lower-case letter folds to: a Latin one to itself without marks, others to the form that is compared without case."""
+    plain = letter.casefold() if len(letter.casefold()) == 1 else letter
+    base, *marks = unicodedata.normalize("NFD", plain)
+    return base if marks and base.isascii() and base.isalpha() and all(unicodedata.category(m) == "Mn" for m in marks) else plain
+
+
+#: Lower-case letters that fold to others, and these. Beyond the range there are none.
+_FOLDS = {c: _folded(c) for c in map(chr, range(0x80, 0x2100)) if c.isalpha() and c == c.lower() and _folded(c) != c}
+ACCENTED, FOLDED = "".join(_FOLDS), "".join(_FOLDS.values())
+
+#: White space, as Python has it. Java and RE2 both read the pattern.
+WHITE = r"[\s\x0b\x1c-\x1f\x85\pZ]+"
 
 # Vowels that a stem loses at its end.
 FINAL_VOWELS = "aeiouàèéìòóù"
@@ -55,17 +71,17 @@ KEY_PATTERNS = (
 
 def fold(text: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, FOLDED)
+    return F.translate(F.lower(text), ACCENTED + MARKS, FOLDED)  # marks have no counterpart, so they drop out
 
 
 def tokens(text: Column) -> Column:
-    """Maximal runs of letters and digits of the folded text."""
-    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Maximal runs of letters and digits (and private characters) of the folded text."""
+    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
 
 
 def words(text: Column) -> Column:
     """What white space separates."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -106,7 +122,7 @@ def comparable(text: Column) -> Column:
 
 def label(text: Column) -> Column:
     """Spaces collapsed; empty is null."""
-    return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(text, WHITE, " ")), F.lit(""))
 
 
 def effective_label(first: Column, second: Column) -> Column:

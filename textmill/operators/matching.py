@@ -29,9 +29,9 @@ WEAK = ("importante", "fondamentale", "attenzione")
 NEGATIVE = ("l'importante è che",)
 
 def has_phrase(text: Column, phrases: Iterable[str]) -> Column:
-    """Whether one of the phrases stands in the text as whole words. Java and RE2 both read the pattern."""
+    """Whether one of the phrases stands in the text as whole words; ’ counts as '. Java and RE2 both read the pattern."""
     quoted = "|".join("".join(c if c.isalnum() or c in " '" else "\\" + c for c in p) for p in phrases)
-    return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_])({quoted})([^\p{{L}}\p{{N}}_]|$)")
+    return F.lower(F.replace(text, F.lit("’"), F.lit("'"))).rlike(rf"(^|[^\p{{L}}\p{{N}}_])({quoted})([^\p{{L}}\p{{N}}_]|$)")
 
 
 def cue_level(sentence: Column, strong=STRONG, weak=WEAK, negative=NEGATIVE) -> Column:
@@ -50,7 +50,19 @@ def edge_lines(pages: DataFrame, by: str) -> DataFrame:
     n = pages.groupBy(by).agg(F.count("*").alias("pages"))
     edges = F.array(F.struct(F.lit("first").alias("edge"), F.element_at("lines", 1).alias("line")), F.struct(F.lit("last").alias("edge"), F.element_at("lines", -1).alias("line")))
     rows = pages.where("size(lines) > 0").select(by, F.explode(edges).alias("e")).groupBy(by, "e.edge", "e.line").agg(F.count("*").alias("n"))
-    return rows.join(n, by).where("line <> '' and 2 * n > pages").select(by, "edge", "line", "n")
+    return rows.join(n, by).where("2 * n > pages").select(by, "edge", "line", "n")
+
+
+def without_edges(pages: DataFrame, by: str) -> DataFrame:
+    """pages with lines less the first and last line that more than half of their group's pages share. A page's only line stays, and groups of one page
+    are left as they are."""
+    shared = edge_lines(pages, by).groupBy(by).agg(*(F.max(F.when(F.col("edge") == edge, F.col("line"))).alias(f"__{edge}") for edge in ("first", "last")))
+    several = pages.groupBy(by).agg((F.count("*") > 1).alias("__several"))
+    rows = pages.join(several, by).join(shared, by, "left")
+    top = F.coalesce(F.col("__several") & (F.size("lines") > 1) & (F.element_at("lines", 1) == F.col("__first")), F.lit(False))
+    rows = rows.withColumn("lines", F.when(top, F.slice("lines", F.lit(2), F.size("lines") - 1)).otherwise(F.col("lines")))
+    end = F.coalesce(F.col("__several") & (F.size("lines") > 1) & (F.element_at("lines", -1) == F.col("__last")), F.lit(False))
+    return rows.withColumn("lines", F.when(end, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines"))).select(*pages.columns)
 
 
 def quotes_in(docs: DataFrame, quotes: DataFrame, gram: int = 3) -> DataFrame:

@@ -49,7 +49,7 @@ class Term:
 
 
 def _folded(word: str) -> str:
-    return word.lower().translate(str.maketrans(T.ACCENTED, T.FOLDED))
+    return word.lower().translate(str.maketrans(T.ACCENTED, T.FOLDED, T.MARKS))
 
 
 def _stem(word: str) -> str:

@@ -89,7 +89,7 @@ ORACLES = {
   ELSE flatten(list_transform(regexp_split_to_array(text, '(^|\n)\s*\d{{1,2}}[.)]\s+'), lambda x: {_PARTS})) END AS p FROM documents),
 t AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM i)
 SELECT doc_id, len(p) AS points, sha256(array_to_string(p, '|')) AS hash FROM t""",
-    "study_blocks": r"""WITH RECURSIVE w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: length(w) % 17) AS p FROM documents),
+    "study_blocks": r"""WITH RECURSIVE w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> ''), lambda w: length(w) % 17) AS p FROM documents),
 c(doc_id, p, block, first, stop) AS (SELECT doc_id, p, 0, 0, CASE WHEN len(p) <= 120 THEN len(p) ELSE list_max(list_transform(range(96, 121), lambda e: p[e] * 100000000 + e)) % 100000000 END FROM w WHERE len(p) > 0
 UNION ALL SELECT doc_id, p, block + 1, stop, CASE WHEN len(p) - stop <= 120 THEN len(p) ELSE list_max(list_transform(range(stop + 96, stop + 121), lambda e: p[e] * 100000000 + e)) % 100000000 END FROM c WHERE stop < len(p))
 SELECT doc_id, block, first, stop - first AS n_words FROM c""",

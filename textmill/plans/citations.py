@@ -95,7 +95,7 @@ def gold_faults(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (citations_resolved, cited_items, concept_terms, chapters_kept, stale_items, judgements, spans_replaced, gold_faults)}
-_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')"
 _BASE = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
 p AS (SELECT doc_id AS job, row_number() OVER (PARTITION BY doc_id ORDER BY segment) AS label, segment, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS t FROM l WHERE len({_WORDS}) > 0),
 k AS (SELECT job * 1000000 + label AS id, job, label + CASE job % 5 WHEN 1 THEN 1 WHEN 2 THEN 1000 ELSE 0 END AS label, t[segment % 3 + 1:segment % 3 + 1 + job % 50] || CASE WHEN job % 7 = 3 THEN ['zzz'] ELSE [] END AS q FROM p),

@@ -46,7 +46,7 @@ def lecture_books(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (asr_replies, heading_pages, text_kinds, lecture_books)}
-_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')"
 ORACLES = {
     "asr_replies": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), w AS (SELECT doc_id, i, len({_WORDS.format("t")}) AS n FROM l)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS segment, 0.0 AS start, round((n - 1) * 0.25 + 0.09, 3) AS "end", n AS n_words FROM w WHERE n > 0""",

@@ -200,7 +200,7 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, (SELECT count(*) FR
 a AS (SELECT conv_id, q, arg_max(text, turn) AS answer FROM r WHERE role = 'assistant' GROUP BY 1, 2)
 SELECT r.conv_id, r.q, sha256(r.text) AS question, sha256(answer) AS answer FROM r JOIN a ON r.conv_id = a.conv_id AND r.q = a.q WHERE role = 'user'""",
     "chat_titles": "SELECT conv_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)",
-    "followup_questions": r"""SELECT conv_id, turn, sha256(CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 6 AND b IS NOT NULL THEN b || ' ' || text ELSE text END) AS question
+    "followup_questions": r"""SELECT conv_id, turn, sha256(CASE WHEN len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')) <= 6 AND b IS NOT NULL THEN b || ' ' || text ELSE text END) AS question
 FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role = 'user')""",
     "recent_turns": "SELECT conv_id, turn, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2",
     "duplicate_documents": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source, text",

@@ -106,7 +106,7 @@ def exact_times(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (question_search, course_reading, search_mixed, retrieve_passages, expanded_windows, retrieve_windows, reference_matches, window_texts, exact_times)}
-_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')"
 _LINES = rf"""li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
 sg AS (SELECT *, len({_WORDS.format("text")}) AS n_words, row_number() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS place FROM li WHERE len({_WORDS.format("text")}) > 0)"""
 _S = _scored_sql(ANY) + ", b AS (SELECT * REPLACE (round(score, 6) AS score), CASE WHEN doc_id % 2 = 1 THEN 'lecture' ELSE 'document' END AS kind FROM s)"

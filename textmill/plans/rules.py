@@ -176,7 +176,7 @@ QUERIES = {
     )
 }
 _q = lambda s: s.replace("'", "''")
-_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')"
 _TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 _SEGMENTS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents), s AS (SELECT * FROM l WHERE len({_WORDS}) > 0)"""
 _F = "text"

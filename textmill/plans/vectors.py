@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dense as D
+from ..operators import embedding as M
 from ..operators import fusion
 from ..operators import vectors as V
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 
 
 def _vectors(spark, sf_dir):
@@ -84,6 +87,29 @@ def embed_batches(spark, sf_dir):
     return V.batches(docs, "source", "doc_id", "tokens", 8, 2048).select("doc_id", "batch", "single", "truncated")
 
 
+#: Signs that the model of _embed takes.
+_SIGNS = 1500
+
+
+def _embed(texts: list[str], truncate: bool) -> list[list[float]]:
+    """Stands for a model: four numbers of a text's hash."""
+    if not truncate and any(len(t) > _SIGNS for t in texts):
+        raise M.Overflow
+    hashes = [hashlib.sha256(t[:_SIGNS].encode()).hexdigest() for t in texts]
+    return [[int(h[i : i + 8], 16) / 2**32 for i in (0, 8, 16, 24)] for h in hashes]
+
+
+def embed_incremental(spark, sf_dir):
+    """Vectors of all documents, as they come in four files, each text embedded once; those that are too long are cut."""
+    units = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    path, out = scratch(spark, "units"), scratch(spark, "embedded")
+    units.repartition(4, "doc_id").write.parquet(path)
+    stream = spark.readStream.schema(units.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    M.embed_stream(stream, out, scratch(spark, "embedded-state"), "hash", _embed, 4)
+    vectors = M.stored(spark, out).select("text_sha256", "truncated", F.round(F.get("vector", F.lit(0)), 9).alias("first"), F.round(F.get("vector", F.lit(3)), 9).alias("last"))
+    return units.select("doc_id", "text_sha256").join(vectors, "text_sha256").select("doc_id", "truncated", "first", "last")
+
+
 def dense_by_source(spark, sf_dir):
     """For every twentieth vector the best eight of each of two sources (by number), fused by rank."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -94,9 +120,11 @@ def dense_by_source(spark, sf_dir):
     return fusion.fuse(lists, "id", ["query_id"]).select("query_id", "id", F.round("fused", 9).alias("fused"))
 
 
-QUERIES = {f.__name__: f for f in (vector_put, model_registry, vectors_of_units, missing_units, manifest_sync, vector_purge, other_models, coverage_states, embed_batches, dense_by_source)}
+QUERIES = {f.__name__: f for f in (vector_put, model_registry, vectors_of_units, missing_units, manifest_sync, vector_purge, other_models, coverage_states, embed_batches, embed_incremental, dense_by_source)}
 _V = "WITH v AS (SELECT vec_id, 'm' || (label % 3) AS model_key, sha256(vec_id::VARCHAR) AS text_sha256, embedding AS vector FROM embeddings), u AS (SELECT source AS course, doc_id AS unit_id, sha256((doc_id % 150)::VARCHAR) AS text_sha256 FROM documents)"
 ORACLES = {
+    "embed_incremental": f"""SELECT doc_id, length(text) > {_SIGNS} AS truncated, round(('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS first, round(('0x' || substr(h, 25, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS last
+FROM (SELECT doc_id, text, sha256(left(text, {_SIGNS})) AS h FROM documents WHERE text IS NOT NULL)""",
     "vector_put": "SELECT vec_id, CASE WHEN vec_id >= 40 AND vec_id % 7 <> 3 THEN 'new2' ELSE 'old' END AS text FROM embeddings WHERE vec_id < 60 OR vec_id % 7 <> 3 UNION ALL SELECT vec_id, 'rejected new' || s FROM embeddings, unnest([1, 2]) AS t(s) WHERE vec_id >= 40 AND vec_id % 7 = 3",
     "model_registry": "SELECT 'm' || label AS model_key, max(len(embedding))::INT AS dimensions, CASE WHEN label > 5 THEN 'added' WHEN label = 5 THEN 'conflict' ELSE 'known' END AS state FROM embeddings GROUP BY label",
     "vectors_of_units": _V + " SELECT course, unit_id, round(vector[1]::DOUBLE, 6) AS first FROM u JOIN v USING (text_sha256) WHERE model_key = 'm1'",
@@ -108,7 +136,7 @@ ORACLES = {
     + """, w AS (SELECT * FROM u WHERE course <> 'src5' OR text_sha256 >= 'f'), h AS (SELECT text_sha256 FROM v WHERE model_key <> 'm0' UNION SELECT text_sha256 FROM w WHERE unit_id % 2 = 0),
 c AS (SELECT course, count(*) AS total, count(*) FILTER (has) AS embedded, count(*) FILTER (has AND NOT starts_with(text_sha256, '0')) AS cur FROM (SELECT *, course NOT IN ('src1', 'src9') AND text_sha256 IN (SELECT text_sha256 FROM h) AS has FROM w) GROUP BY 1)
 SELECT course, total, embedded, CASE WHEN course = 'src4' THEN 'rebuild_needed' WHEN embedded = 0 THEN 'not_indexed' WHEN embedded < total THEN 'partial' WHEN cur < total THEN 'stale' ELSE 'ready' END AS state FROM c""",
-    "embed_batches": r"""WITH d AS (SELECT doc_id, source, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 2.29) > 2048 AS truncated, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents)
+    "embed_batches": r"""WITH d AS (SELECT doc_id, source, ceil(len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda x: x <> '')) * 2.29) > 2048 AS truncated, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents)
 SELECT doc_id, batch, bool_or(truncated) OVER (PARTITION BY source, batch) AS single, truncated FROM d""",
     "dense_by_source": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s AS (SELECT q.id AS query_id, v.id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.id <> v.id WHERE q.id % 20 = 0),

@@ -33,7 +33,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 _SEGMENTS = r"""
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
-g AS (SELECT doc_id, segment, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_words FROM l),
+g AS (SELECT doc_id, segment, text, len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')) AS n_words FROM l),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS place FROM g WHERE n_words > 0)
 """
 
@@ -165,7 +165,7 @@ QUERIES = {
 _ORDER = f"OVER (PARTITION BY user_id ORDER BY {_T}, event_id)"
 ORACLES = {
     "chunk_pages": r"""
-WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM d),
+WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM d),
 c AS (SELECT doc_id, 0 AS chunk, 0 AS start, n AS stop, text FROM n WHERE n <= 400
 UNION ALL SELECT doc_id, i AS chunk, i * 250 AS start, least(i * 250 + 300, n) AS stop, array_to_string(w[i * 250 + 1:i * 250 + 300], ' ') FROM n, unnest(range(0, ceil((n - 300) / 250)::BIGINT + 1)) AS r(i) WHERE n > 400)
 SELECT doc_id, chunk, start, stop, sha256(text) AS hash FROM c""",
@@ -187,13 +187,13 @@ coalesce(array_to_string(array_agg(event_type) {_ORDER[:-1]} ROWS BETWEEN 1 FOLL
     "filler_removal": f"""WITH g AS (SELECT event_id, user_id, event_type, greatest(coalesce({_T} - lag({_T}) {_ORDER}, 1e18), coalesce(lead({_T}) {_ORDER} - {_T}, 1e18)) AS gap FROM events)
 SELECT event_id, user_id FROM g WHERE NOT (event_type = 'click' AND gap >= {GAP})""",
     "followups": rf"""WITH {_SEGMENTS}, w AS (SELECT doc_id, segment, CASE WHEN regexp_matches(text, '[.!?]+(\s|$)') THEN regexp_replace(text, '^.*?[.!?]+(\s|$)', '\1') ELSE '' END AS rest,
-  flatten(array_agg(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:30]) OVER (PARTITION BY doc_id ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)) AS nxt FROM s)
-SELECT doc_id, segment, coalesce(array_to_string((list_filter(regexp_split_to_array(rest, '\s+'), lambda w: w <> '') || coalesce(nxt, []))[1:30], ' '), '') AS followup FROM w""",
+  flatten(array_agg(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')[1:30]) OVER (PARTITION BY doc_id ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)) AS nxt FROM s)
+SELECT doc_id, segment, coalesce(array_to_string((list_filter(regexp_split_to_array(rest, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '') || coalesce(nxt, []))[1:30], ' '), '') AS followup FROM w""",
     "interval_overlap": _PARAGRAPHS.replace(
         "SELECT user_id, event_id, paragraph FROM r",
         """, p AS (SELECT r.user_id, event_type, paragraph, min(t) AS a, max(t) AS z FROM r JOIN events USING (event_id) GROUP BY ALL)
 SELECT l.user_id, l.paragraph AS "left", o.paragraph AS "right" FROM p l JOIN p o ON l.user_id = o.user_id AND l.a <= o.z AND o.a <= l.z WHERE l.event_type = 'purchase' AND o.event_type = 'error'""",
     ),
-    "respread": f"""WITH {_SEGMENTS}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM s)
+    "respread": f"""WITH {_SEGMENTS}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+'), lambda w: w <> '') AS ws FROM s)
 SELECT doc_id, segment, i - 1 AS i, ws[i] AS word, round(segment * 10 + (i - 1) * 10.0 / n_words, 6) AS start FROM w, unnest(range(1, n_words + 1)) AS r(i)""",
 }

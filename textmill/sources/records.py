@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types
+
+from ..functions import text as T
 
 WORD = "struct<start:double,end:double,text:string,probability:double,corrected_from:string>"
 TRANSCRIPT = f"source string, model string, language string, duration double, segments array<struct<start:double,end:double,words:array<{WORD}>>>"
@@ -16,7 +18,7 @@ LATIN, WINDOWS = "".join(map(chr, _SPECIAL)), bytes(_SPECIAL).decode("cp1252")
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The readable records, and the unreadable lines with their files."""
-    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    full = types.StructType([*types.StructType.fromDDL(schema).fields, types.StructField(CORRUPT, types.StringType())])
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
     rows = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     good = rows.where(f"r.{CORRUPT} IS NULL AND r IS NOT NULL").select("r.*").drop(CORRUPT)
@@ -50,7 +52,7 @@ def write_transcripts(segments: DataFrame, path: str) -> None:
 def newest_first(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The records of a folder's JSON files, newest file first, with its time; and the files that can't be read."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    full = types.StructType([*types.StructType.fromDDL(schema).fields, types.StructField(CORRUPT, types.StringType())])
     rows = files.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
     return rows.where(~bad).select("file", "modified", "r.*").drop(CORRUPT).orderBy(F.desc("modified"), "file"), rows.where(bad).select("file")
@@ -103,7 +105,7 @@ def section_pages(lines: DataFrame, key: str, most: int = 500) -> DataFrame:
     """The same of lines that are told apart already. lines: key, at (their order), heading, line."""
     lines = lines.withColumn("section", F.sum(F.col("heading").cast("int")).over(Window.partitionBy(key).orderBy("at")))
     sections = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    words = T.words(F.col("text"))
     starts = F.sequence(F.lit(1), F.size(words), F.lit(most))
     pages = F.when(F.size(words) <= most, F.array("text")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(most)), " ")))
     rows = sections.select(key, "section", F.posexplode(pages).alias("part", "text"))
