@@ -1,17 +1,22 @@
 """A stored keyword index: passages, postings and states of documents, as Parquet tables.
 
-    passages  bucket, doc_id, segment, text, dl, and columns of the document     one row a passage
-    postings  bucket, term, doc_id, segment, tf, at (places), dl, those columns  one row a term and passage, sorted by term
-    states    bucket, doc_id, version, passages                                  one row a document
-    stats     bucket, rows, total (of dl)                                        one row a bucket
+    passages  bucket, doc_id, segment, text, tokens, dl, and columns of the document     one row a passage
+    postings  bucket, term, doc_id, segment, tf, at (places), dl, those columns          one row a term and passage, sorted by term
+    states    bucket, doc_id, version, passages                                          one row a document
+    stats     bucket, rows, total (of dl)                                                one row a bucket
 
 bucket is a hash of doc_id. In a bucket rows of a term lie together, so a query for terms or prefixes reads the row groups that
-hold them: the filters reach the Parquet scan. Statistics of the whole index are a sum over the buckets' rows. Documents are
-replaced by writing their buckets anew; other buckets aren't touched. Nothing is tokenised twice.
+hold them: the filters reach the Parquet scan. Statistics of the whole index are a sum over the buckets' rows. Texts are tokenised once: passages
+are written with their tokens, and the other tables are worked out from them.
+
+Documents are replaced by writing their buckets anew, as a generation in a folder of its own. Which generation holds which buckets stands in a
+pointer, a small file with a number in its name that is written last: until then readers open the index as it was, and afterwards as it
+is, all tables of it. Of two replacements at a time the second finds its number taken and fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -24,74 +29,151 @@ from .search import K1, LEAST_IDF, B, Term
 TABLES = ("passages", "postings", "states", "stats")
 #: Passages in a bucket.
 BUCKET_ROWS = 2_000_000
+#: Tokens of a passage whose terms are looked up in it one by one.
+SHORT = 128
 
 
 @dataclass(frozen=True)
 class Index:
+    """An index as it is at one number of its pointer."""
+
     spark: SparkSession
     path: str
     buckets: int
     keep: tuple[str, ...] = ()
+    #: (generation, its buckets).
+    parts: tuple[tuple[str, tuple[int, ...]], ...] = ()
+    number: int = 0
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        out = None
+        for generation, held in self.parts:
+            rows = self.spark.read.parquet(f"{self.path}/{generation}/{name}")
+            rows = rows if len(self.parts) == 1 and len(held) == self.buckets else rows.where(F.col("bucket").isin(*held))  # prunes folders
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _point(index: Index) -> Index:
+    """Writes the pointer of an index. Fails if one of its number is there."""
+    files, folder = _files(index.spark, f"{index.path}/pointers")
+    files.mkdirs(folder)
+    new = index.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{index.number:012d}.json")
+    text = json.dumps({"buckets": index.buckets, "keep": index.keep, "parts": index.parts})
+    staged = index.spark._jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+    out = files.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # renaming onto a file that is there fails
+    if files.exists(new) or not files.rename(staged, new):
+        files.delete(staged, False)
+        raise FileExistsError(f"{index.path} has changed since it was opened")
+    return index
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """The index at path as it is now."""
+    files, folder = _files(spark, f"{path}/pointers")
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().endswith(".json"))
+    if not names:
+        raise FileNotFoundError(path)
+    told = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/pointers/{names[-1]}").collect()))
+    return Index(spark, path, told["buckets"], tuple(told["keep"]), tuple((g, tuple(held)) for g, held in told["parts"]), int(names[-1].split(".")[0]))
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
-def _tables(docs: DataFrame, buckets: int, keep: tuple[str, ...], version: Column) -> dict[str, DataFrame]:
-    """The four tables of docs: doc_id, text and the columns to keep."""
+_ORDER = {"passages": ("bucket", "doc_id", "segment"), "postings": ("bucket", "term"), "states": ("bucket", "doc_id"), "stats": ("bucket",)}
+
+
+def _put(rows: DataFrame, path: str, name: str, buckets: int) -> DataFrame:
+    """rows as a table of a generation, a folder for each bucket and a task for each (a hash of so few numbers would put several in one); read again."""
+    rows.repartitionById(buckets, "bucket").sortWithinPartitions(*_ORDER[name]).write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+
+def _passages(docs: DataFrame, buckets: int, keep: tuple[str, ...]) -> DataFrame:
     # lines are cut and tokenised by as many tasks as there are cores, however few row groups the table has
     docs = docs.repartition(max(buckets, docs.sparkSession.sparkContext.defaultParallelism), "doc_id").withColumn("bucket", _bucket(buckets))
     rows = docs.select("bucket", "doc_id", *keep, F.posexplode(T.lines(F.col("text"))).alias("segment", "text")).where("trim(text) != ''")
-    rows = rows.withColumn("tokens", T.tokens(F.col("text"))).withColumn("dl", F.size("tokens"))
-    places = rows.select("bucket", "doc_id", "segment", "dl", *keep, F.posexplode("tokens").alias("place", "term"))
-    postings = places.groupBy("bucket", "doc_id", "segment", "dl", *keep, "term").agg(F.array_sort(F.collect_list("place")).alias("at"))
-    found = rows.groupBy("bucket", "doc_id").agg(F.count("*").alias("passages"))
-    return {
-        "passages": rows.drop("tokens"),
-        "postings": postings.withColumn("tf", F.size("at")),
-        "states": docs.select("bucket", "doc_id", version.alias("version")).join(found, ["bucket", "doc_id"], "left").withColumn("passages", F.coalesce("passages", F.lit(0))),
-        "stats": rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("dl").alias("total")),
-    }
+    return rows.withColumn("tokens", T.tokens(F.col("text"))).withColumn("dl", F.size("tokens"))
 
 
-_ORDER = {"passages": ("bucket", "doc_id", "segment"), "postings": ("bucket", "term"), "states": ("bucket", "doc_id"), "stats": ("bucket",)}
+def _postings(passages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row a term and passage. In a short passage each term's places are looked up; the tokens of longer ones are grouped."""
+    columns = ["bucket", "doc_id", "segment", "dl", *keep]
+    held = lambda t: F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: F.get("tokens", i) == t)
+    short = passages.where(F.col("dl").between(1, SHORT)).select(*columns, F.inline(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), held(t).alias("at")))))
+    places = passages.where(F.col("dl") > SHORT).select(*columns, F.posexplode("tokens").alias("place", "term"))
+    long = places.groupBy(*columns, "term").agg(F.array_sort(F.collect_list("place")).alias("at"))
+    return short.unionByName(long).withColumn("tf", F.size("at"))
+
 
+def _write(docs: DataFrame, path: str, buckets: int, keep: tuple[str, ...], version: Column, old: Index | None = None, keys: DataFrame | None = None) -> None:
+    """The four tables of docs (doc_id, text and the columns to keep), with what stays of old's buckets that keys (bucket, doc_id) touch."""
 
-def _write(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    for name, rows in tables.items():
-        rows.repartition("bucket").sortWithinPartitions(*_ORDER[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
+    def with_old(rows: DataFrame, name: str) -> DataFrame:
+        if old is None:
+            return rows
+        stays = old.table(name).join(F.broadcast(keys.select("bucket").distinct()), "bucket", "left_semi").join(keys, ["bucket", "doc_id"], "left_anti")
+        return rows.unionByName(stays.select(*rows.columns))
+
+    new = _passages(docs, buckets, keep)
+    passages = _put(with_old(new, "passages"), path, "passages", buckets)
+    _put(_postings(passages, keep), path, "postings", buckets)
+    found = passages.groupBy("bucket", "doc_id").agg(F.count("*").alias("passages"))
+    states = with_old(docs.select(_bucket(buckets).alias("bucket"), "doc_id", version.alias("version"), F.lit(0).cast("long").alias("passages")), "states")
+    _put(states.drop("passages").join(found, ["bucket", "doc_id"], "left").withColumn("passages", F.coalesce("passages", F.lit(0))), path, "states", buckets)
+    stats = passages.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("dl").alias("total"))
+    _put(stats, path, "stats", buckets)
 
 
 def text_version() -> Column:
     return F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16)
 
 
+def _generation() -> str:
+    return f"generation-{uuid.uuid4().hex}"
+
+
 def build(docs: DataFrame, path: str, *keep: str, version: Column | None = None, buckets: int | None = None) -> Index:
     """Writes the index of docs at path. version: what tells that a document has changed; a hash of its text if not given."""
     spark = docs.sparkSession
     buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-docs.count() * 20 // BUCKET_ROWS))  # some 20 passages a document
-    _write(spark, _tables(docs, buckets, keep, text_version() if version is None else version), path)
-    return Index(spark, path, buckets, keep)
+    generation = _generation()
+    _write(docs, f"{path}/{generation}", buckets, keep, text_version() if version is None else version)
+    return _point(Index(spark, path, buckets, keep, ((generation, tuple(range(buckets))),), 1))
 
 
 def replace(index: Index, docs: DataFrame, gone: DataFrame, version: Column | None = None) -> Index:
-    """Writes the buckets of docs (new or changed) and of gone (doc_id) anew. What stays of them is read before they are overwritten."""
-    new = _tables(docs, index.buckets, index.keep, text_version() if version is None else version)
+    """The index after the buckets of docs (new or changed) and of gone (doc_id) are written anew. The one that is given stays readable, as it was."""
     keys = docs.select("doc_id").unionByName(gone.select("doc_id")).distinct().withColumn("bucket", _bucket(index.buckets))
-    touched = F.broadcast(keys.select("bucket").distinct())
-    staged = f"{index.path}/staged-{uuid.uuid4().hex}"
-    merged = {}
-    for name in ("passages", "postings", "states"):
-        old = index.table(name).join(touched, "bucket", "left_semi").join(keys, ["bucket", "doc_id"], "left_anti")
-        merged[name] = old.unionByName(new[name].select(*old.columns))
-    merged["stats"] = merged["passages"].groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("dl").alias("total")).join(touched, "bucket", "right").fillna(0)
-    _write(index.spark, merged, staged)
-    emptied = {name: index.spark.read.parquet(f"{staged}/{name}") for name in TABLES}
-    _write(index.spark, emptied, index.path)
+    touched = {r.bucket for r in keys.select("bucket").distinct().collect()}  # numbers of buckets
+    generation = _generation()
+    _write(docs, f"{index.path}/{generation}", index.buckets, index.keep, text_version() if version is None else version, index, keys)
+    left = ((g, tuple(b for b in held if b not in touched)) for g, held in index.parts)
+    parts = (*((g, held) for g, held in left if held), (generation, tuple(sorted(touched))))
+    return _point(Index(index.spark, index.path, index.buckets, index.keep, parts, index.number + 1))
+
+
+def cleared(index: Index) -> Index:
+    """Deletes the generations that the index doesn't name, and earlier pointers; for when no reader has an earlier one open."""
+    files, folder = _files(index.spark, index.path)
+    named = {g for g, _ in index.parts}
+    for s in files.listStatus(folder):
+        if s.getPath().getName().startswith("generation-") and s.getPath().getName() not in named:
+            files.delete(s.getPath(), True)
+    files, folder = _files(index.spark, f"{index.path}/pointers")
+    for s in files.listStatus(folder):
+        if s.getPath().getName() < f"{index.number:012d}.json":
+            files.delete(s.getPath(), False)
     return index
 
 

@@ -56,8 +56,7 @@ def fts_index_replace(spark, sf_dir):
     """The same import carried out: scores of the index after it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     index = store.build(docs, scratch(spark, "index"), "source", buckets=8)
-    store.replace(index, *_changed(docs))
-    return _out(store.hits(index, ANY), "doc_id", "segment")
+    return _out(store.hits(store.replace(index, *_changed(docs)), ANY), "doc_id", "segment")
 
 
 _P = r"""
