@@ -60,11 +60,16 @@ def study_blocks(spark, sf_dir):
 
 
 def edits_applied(spark, sf_dir):
-    """The third to fifth word of each document with a letter changed, as an edit."""
+    """Of each document every twelfth run of three words with a letter changed, as edits one after the other; some of them drop or add a word."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("text"))
-    old = F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ")
-    edits = docs.select("doc_id", F.lit(0).alias("n"), old.alias("original"), F.regexp_replace(old, "a", "o").alias("corrected"))
-    return V.apply_edits(docs, edits).select("doc_id", F.col("results")[0].alias("result"), F.sha2("text", 256).alias("text"))
+    words = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    edits = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2, F.lit(12))).alias("n"))
+    old = F.array_join(F.slice("w", F.col("n"), F.lit(3)), " ")
+    new = F.when(F.col("n") % 5 == 0, F.regexp_replace(old, r"^\S+ ", "")).when(F.col("n") % 7 == 0, F.concat(old, F.lit(" tion"))).otherwise(F.regexp_replace(old, "a", "o"))
+    edits = edits.select("doc_id", "n", old.alias("original"), new.alias("corrected"))
+    out = V.apply_edits(docs, edits)
+    count = lambda result: F.size(F.filter("results", lambda r: r == result)).alias(result)
+    return out.select("doc_id", *map(count, ("applied", "same", "missing", "ambiguous", "grows", "changes", "different")), F.sha2("text", 256).alias("text"))
 
 
 def reply_items(spark, sf_dir):

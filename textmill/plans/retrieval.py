@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import dense as D
 from ..operators import fusion, store
+from ..operators import retrieval as R
 from ..operators import search as S
 from ..sources.tables import table
 from .search import ANY, _index, _scored_sql
@@ -71,11 +73,44 @@ def expanded_windows(spark, sf_dir):
     return text.select("doc_id", "first", "last", "rank", "anchor", "n_words", F.sha2(F.array_join("t.text", " "), 256).alias("text"))
 
 
+def _covered(spark, sf_dir):
+    """Documents as units of eight courses with kinds, and the vectors that there are: of c3 some are missing, of c5 all; texts of c6 have changed since."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.col("doc_id") % 48 == 6, F.lit("x")).otherwise("")
+    units = docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id") % 8).alias("course"), F.when(F.floor(F.col("doc_id") / 8) % 2 == 1, "lecture").otherwise("document").alias("kind"), T.word_count(F.col("text")).alias("n_words"), F.sha2(F.col("doc_id").cast("string"), 256).alias("indexed"), F.sha2(F.concat(F.col("doc_id").cast("string"), changed), 256).alias("text_sha256"))
+    rows = table(spark, sf_dir, "embeddings").where("vec_id < 200").select((F.col("vec_id")).alias("number"), F.col("embedding").alias("vector"))
+    vectors = units.where("course <> 'c5' and doc_id % 24 <> 3").withColumn("number", F.col("doc_id") % 200).join(rows, "number").select("doc_id", F.col("indexed").alias("text_sha256"), "vector")
+    return units, vectors, rows.where("number = 1").select(F.col("vector").alias("question"))
+
+
+def _routes(spark, sf_dir):
+    units, vectors, _ = _covered(spark, sf_dir)
+    return R.routes(units, vectors, "course", F.col("course") == "c7")
+
+
+def course_routes(spark, sf_dir):
+    """How each course is searched: by vectors, or why not."""
+    return _routes(spark, sf_dir)
+
+
+def retrieve_by_coverage(spark, sf_dir):
+    """The passages of every course for a question: whole documents by vectors where these cover the course, else lines by keywords; 1,000 words of each."""
+    units, vectors, question = _covered(spark, sf_dir)
+    near = units.drop("text_sha256").join(vectors.select("doc_id", "vector"), "doc_id").join(F.broadcast(question), how="cross")  # one row
+    near = near.withColumn("cosine", F.round(D.dot(F.col("vector"), F.col("question")), 6)).where("cosine >= 0.0").withColumn("segment", F.lit(None).cast("int"))
+    dense = R.best(near, "course", "kind", F.desc("cosine"), "doc_id")
+    hits = _hits(spark, sf_dir).drop("source").join(units.select("doc_id", "course", "kind"), "doc_id")
+    lines = R.best(hits, "course", "kind", "score", "doc_id", "segment")
+    lines = store.with_text(_index(spark, sf_dir), lines).withColumn("n_words", T.word_count(F.col("text")))
+    out = R.retrieved(_routes(spark, sf_dir), dense, lines, "course", ["doc_id", "segment"], "n_words", 1000)
+    return out.select("course", "mode", F.coalesce("reason", F.lit("none")).alias("reason"), "doc_id", F.coalesce("segment", F.lit(-1)).alias("segment"), "fused", "used")
+
+
 def retrieve_windows(spark, sf_dir):
-    """Windows by the rank of their best line, up to 600 words; vectors cover half of the courses only, so the mode is keywords, and why."""
-    rows = expanded_windows(spark, sf_dir).withColumn("all", F.lit(0))
-    out = fusion.cut_to_budget(rows, 600, "n_words", ["all"], "rank")  # MOST rows
-    return out.select("doc_id", "anchor", "used", F.lit("bm25").alias("mode"), F.lit("partial").alias("reason"))
+    """Windows by the rank of their best line, up to 600 words, of courses that aren't searched by vectors, and why."""
+    rows = expanded_windows(spark, sf_dir).withColumn("course", F.concat(F.lit("c"), F.col("doc_id") % 8)).join(_routes(spark, sf_dir).where(F.col("mode") == R.KEYWORDS), "course")
+    out = fusion.cut_to_budget(rows, 600, "n_words", ["course"], "rank")  # MOST rows
+    return out.select("course", "doc_id", "anchor", "used", "mode", "reason")
 
 
 def reference_matches(spark, sf_dir):
@@ -105,7 +140,7 @@ def exact_times(spark, sf_dir):
     return exact.join(near, ["doc_id", "anchor"], "left")
 
 
-QUERIES = {f.__name__: f for f in (question_search, course_reading, search_mixed, retrieve_passages, expanded_windows, retrieve_windows, reference_matches, window_texts, exact_times)}
+QUERIES = {f.__name__: f for f in (question_search, course_reading, search_mixed, retrieve_passages, expanded_windows, retrieve_windows, course_routes, retrieve_by_coverage, reference_matches, window_texts, exact_times)}
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x0b\x1c-\x1f\x85\pZ]+'), lambda w: w <> '')"
 _LINES = rf"""li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents),
 sg AS (SELECT *, len({_WORDS.format("text")}) AS n_words, row_number() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS place FROM li WHERE len({_WORDS.format("text")}) > 0)"""
@@ -125,6 +160,11 @@ mi AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY first, last, rank
 mg AS (SELECT doc_id, min(first) AS first, max(last) AS last, min(rank) AS rank, arg_min(anchor, rank) AS anchor FROM mi GROUP BY doc_id, island),
 ex AS (SELECT mg.*, sum(n_words)::BIGINT AS n_words, sha256(string_agg(sg.text, ' ' ORDER BY sg.place)) AS text FROM mg JOIN sg ON sg.doc_id = mg.doc_id AND sg.place BETWEEN first AND last GROUP BY ALL)"""
 )
+_ROUTES = f"""un AS (SELECT doc_id, 'c' || doc_id % 8 AS course, CASE WHEN doc_id // 8 % 2 = 1 THEN 'lecture' ELSE 'document' END AS kind, len({_WORDS.format("text")}) AS n_words,
+  doc_id % 8 <> 5 AND doc_id % 24 <> 3 AS has, doc_id % 48 = 6 AS changed FROM documents),
+rc AS (SELECT course, count(*) AS total, count(*) FILTER (has) AS embedded, count(*) FILTER (has AND NOT changed) AS current FROM un GROUP BY 1),
+rr AS (SELECT *, CASE WHEN course = 'c7' THEN 'rebuild_needed' WHEN embedded = 0 THEN 'not_indexed' WHEN embedded < total THEN 'partial' WHEN current < total THEN 'stale' END AS reason FROM rc),
+ro AS (SELECT course, total, embedded, CASE WHEN reason IS NULL THEN 'dense' ELSE 'bm25' END AS mode, reason FROM rr)"""
 ORACLES = {
     "question_search": _scored_sql(QUESTION) + "SELECT doc_id, segment, round(score, 6) AS score FROM s ORDER BY round(score, 6), doc_id, segment LIMIT 50",
     "course_reading": f"WITH {_LINES} SELECT l.doc_id, l.segment, sha256(l.text) AS text, row_number() OVER (ORDER BY l.doc_id, l.segment) AS place FROM li l JOIN documents d USING (doc_id) WHERE d.source = 'src3' AND trim(l.text) <> ''",
@@ -133,7 +173,18 @@ ORACLES = {
 SELECT CASE WHEN n <= 10 THEN 1 ELSE 2 END AS page, kind, doc_id, hits, CASE WHEN kind = 'lecture' THEN best END AS best FROM d WHERE n <= CASE WHEN kind = 'lecture' THEN 20 ELSE 10 END""",
     "retrieve_passages": _C + f", u AS (SELECT kind, doc_id, segment, sum(len({_WORDS.format('text')})) OVER (ORDER BY fused DESC, doc_id, segment ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM q) SELECT * FROM u WHERE used <= 500",
     "expanded_windows": _W + " SELECT doc_id, first, last, rank, anchor, n_words, text FROM ex",
-    "retrieve_windows": _W + ", u AS (SELECT doc_id, anchor, sum(n_words) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM ex) SELECT *, 'bm25' AS mode, 'partial' AS reason FROM u WHERE used <= 600",
+    "retrieve_windows": _W
+    + f""", {_ROUTES}, u AS (SELECT course, doc_id, anchor, sum(n_words) OVER (PARTITION BY course ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used, mode, reason
+FROM (SELECT 'c' || doc_id % 8 AS course, * FROM ex) JOIN ro USING (course) WHERE mode = 'bm25') SELECT * FROM u WHERE used <= 600""",
+    "course_routes": f"WITH {_ROUTES} SELECT * FROM ro",
+    "retrieve_by_coverage": _S
+    + f""", {_ROUTES}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1),
+de AS (SELECT course, kind, doc_id, -1 AS segment, n_words, row_number() OVER (PARTITION BY course, kind ORDER BY cosine DESC, doc_id) AS rank, 'dense' AS mode
+  FROM (SELECT un.*, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: e.embedding[i]::DOUBLE * q[i])), 6) AS cosine FROM un JOIN embeddings e ON e.vec_id = un.doc_id % 200, qv WHERE has AND cosine >= 0)),
+ke AS (SELECT course, un.kind, doc_id, segment, len({_WORDS.format("b.text")}) AS n_words, row_number() OVER (PARTITION BY course, un.kind ORDER BY score, doc_id, segment) AS rank, 'bm25' AS mode FROM b JOIN un USING (doc_id)),
+fu AS (SELECT course, mode, reason, doc_id, segment, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, max(n_words) AS n_words FROM (SELECT * FROM de UNION ALL SELECT * FROM ke) JOIN ro USING (course, mode) WHERE rank <= 50 GROUP BY 1, 2, 3, 4, 5),
+us AS (SELECT *, sum(n_words) OVER (PARTITION BY course ORDER BY fused DESC, doc_id, segment ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM fu)
+SELECT course, mode, coalesce(reason, 'none') AS reason, doc_id, segment, fused, used FROM us WHERE used <= 1000""",
     "reference_matches": _C
     + f""", {_LINES}, gold AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 2 = 1 THEN 'lecture' ELSE 'document' END AS kind, segment AS gold FROM sg WHERE place % 4 = 1)
 SELECT kind, doc_id, segment, gold FROM q JOIN gold USING (doc_id, kind) WHERE (kind = 'document' AND segment = gold) OR (kind = 'lecture' AND segment * 10 <= gold * 10 + 25 AND gold * 10 + 5 <= segment * 10 + 10)""",
