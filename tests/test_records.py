@@ -60,8 +60,15 @@ def test_logs_and_listings(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs/a.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n{"a": ')
     (tmp_path / "logs/b.jsonl").write_text('{"a": 3}\n')
-    out = {r.file.rpartition("/")[2]: (list(r.kept), r.cut) for r in R.readable_lines(spark, str(tmp_path / "logs")).collect()}
-    assert out == {"a.jsonl": (['{"a": 1}', "broken", '{"a": 2}'], True), "b.jsonl": (['{"a": 3}'], False)}
+    (tmp_path / "logs/c.jsonl").write_text("")
+    (tmp_path / "logs/d.jsonl").write_text('{"a": 6}\n{"a": "' + "é" * 100_000 + "\n\n")
+    (tmp_path / "logs/e.jsonl").write_text('{"a"')
+    tails = {r.file.rpartition("/")[2]: (r.size, r.kept) for r in R.broken_tails(spark, str(tmp_path / "logs")).collect()}
+    assert tails == {"a.jsonl": (31, 25), "b.jsonl": (9, 9), "c.jsonl": (0, 0), "d.jsonl": (200_018, 9), "e.jsonl": (4, 0)}
+    R.append_json(spark.createDataFrame([(7,)], "a int"), str(tmp_path / "logs"), mend=True)
+    assert (tmp_path / "logs/a.jsonl").read_text() == '{"a": 1}\nbroken\n{"a": 2}\n' and (tmp_path / "logs/d.jsonl").read_text() == '{"a": 6}\n'
+    good, bad = R.json_lines(spark, str(tmp_path / "logs"), "a int")
+    assert sorted(r.a for r in good.collect()) == [1, 2, 3, 6, 7] and [r.value for r in bad.collect()] == ["broken"]
     R.append_json(spark.createDataFrame([(4,)], "a int"), str(tmp_path / "more"))
     R.append_json(spark.createDataFrame([(5,)], "a int"), str(tmp_path / "more"))
     assert sorted(r.a for r in R.json_lines(spark, str(tmp_path / "more"), "a int")[0].collect()) == [4, 5]

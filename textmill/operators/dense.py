@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
+#: Bytes of a block's numbers: with many dimensions a block has fewer rows.
+BLOCK_BYTES = 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,8 +38,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, q
 
     vectors, queries: id, vector.
     """
-    left = _packed(queries, "query", queries.count(), query_block)
-    right = _packed(vectors, "vector", vectors.count(), vector_block)
+    n, wide = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    most = max(1, BLOCK_BYTES // (8 * max(1, wide)))
+    left = _packed(queries, "query", queries.count(), min(query_block, most))
+    right = _packed(vectors, "vector", n, min(vector_block, most))
 
     def best(batches):
         for b in batches:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import positions
 
 #: Similarity of an edit that is worth a suggestion, and from which it is applied.
 SUGGESTED, APPLIED = 0.5, 0.6
@@ -46,6 +47,7 @@ def text_status(page: Column, least: int) -> Column:
 
 def limit_faults(members: DataFrame, package: str, order: str, ratio: float, total: int) -> DataFrame:
     """Members with a fault: ratio where one expands more than so many times, total from where a package holds more bytes. members: size, packed."""
-    running = F.sum("size").over(Window.partitionBy(package).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    fault = F.when(F.col("size") / F.col("packed") > ratio, "ratio").when(running > total, "total")
-    return members.withColumn("fault", fault).where("fault is not null")
+    # a package may have any number of members
+    placed = positions(members, [package], order, total="size")
+    fault = F.when(F.col("size") / F.col("packed") > ratio, "ratio").when(F.col("upto") > total, "total")
+    return placed.withColumn("fault", fault).where("fault is not null").drop("place", "count", "upto")

@@ -16,6 +16,15 @@ def first_rank(hits: DataFrame, gold: DataFrame, query: str, item: str) -> DataF
     return gold.select(query).distinct().join(found, query, "left")
 
 
+def first_of_label(hits: DataFrame, labels: DataFrame, query: str, item: str) -> DataFrame:
+    """first_rank() where what has the query's label is relevant; queries whose label nothing else has are left out. labels: item, label. No pairs of one label are made."""
+    others = labels.groupBy("label").agg((F.count("*") > 1).alias("several"))
+    own = labels.select(F.col(item).alias(query), "label").join(others.where("several"), "label").select(query, "label")
+    asked = own.join(hits.select(query).distinct(), query, "left_semi")
+    found = hits.join(labels, item).join(own.withColumnRenamed("label", "wanted"), query).where("label = wanted").groupBy(query).agg(F.min("rank").alias("first"))
+    return asked.select(query).join(found, query, "left")
+
+
 def paired(a: DataFrame, b: DataFrame, query: str, k: int) -> DataFrame:
     """Queries that each of two runs wins, loses or shares by whether a relevant hit is among the first k."""
     rows = a.select(query, (F.col("first") <= k).alias("x")).join(b.select(query, (F.col("first") <= k).alias("y")), query)

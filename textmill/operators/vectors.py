@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dense import valid
+from .ranks import positions
 
 
 def registered(models: DataFrame, new: DataFrame) -> DataFrame:
@@ -59,6 +60,7 @@ def coverage_state(embedded: Column, total: Column, rebuild: Column, current: Co
 def batches(units: DataFrame, course: str, order: str, tokens: str, size: int, capacity: int) -> DataFrame:
     """batch, single and truncated of each unit: batches of `size` in order; where a batch holds a unit over `capacity` its units go one by one,
     and those over it are cut."""
-    rows = units.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(course).orderBy(order)) - 1) / size).cast("long"))
+    placed = positions(units, [course], order)  # a course may have any number of units
+    rows = placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("place", "count")
     cut = F.col(tokens) > capacity
     return rows.withColumn("truncated", cut).withColumn("single", F.max("truncated").over(Window.partitionBy(course, "batch")))

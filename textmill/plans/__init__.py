@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import anchors, checks, citations, dense, events, files, listing, packages, retrieval, rules, search, text, vectors, windows
+from . import anchors, checks, citations, dense, events, files, listing, packages, records, retrieval, rules, search, text, vectors, windows
 
-MODULES = (search, retrieval, dense, vectors, windows, events, listing, text, rules, files, packages, checks, citations, anchors)
+MODULES = (search, retrieval, dense, vectors, windows, events, listing, text, rules, files, packages, records, checks, citations, anchors)

@@ -172,20 +172,31 @@ def distinct_sources(spark, sf_dir):
 def nearest_event(spark, sf_dir):
     """For each error the purchase of the same user that is nearest in time, within two days; earlier ones first."""
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    e = rows.where("event_type = 'error'").select("user_id", "event_id", "t")
-    p = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("nearest"), F.col("t").alias("u"))
-    near = e.join(p, "user_id").where("abs(t - u) <= 172800000000")
-    return near.groupBy("event_id").agg(F.min_by("nearest", F.struct(F.abs(F.col("t") - F.col("u")), F.col("u"), F.col("nearest"))).alias("nearest"))
+    w = Window.partitionBy("user_id").orderBy("t")
+    purchase = lambda sign: F.when(F.col("event_type") == "purchase", F.struct(F.col("t").alias("u"), (F.col("event_id") * sign).alias("id")))
+    rows = rows.withColumn("before", F.max(purchase(-1)).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min(purchase(1)).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    earlier, later = F.col("t") - F.col("before.u"), F.col("after.u") - F.col("t")
+    nearest = F.when(later.isNull() | (earlier <= later), F.struct(earlier.alias("gap"), (-F.col("before.id")).alias("id"))).otherwise(F.struct(later.alias("gap"), F.col("after.id").alias("id")))
+    return rows.where("event_type = 'error'").select("event_id", nearest.alias("n")).where("n.gap <= 172800000000").select("event_id", F.col("n.id").alias("nearest"))
+
+
+def sources_used(spark, sf_dir):
+    """The sources of the best passages, with the revision that their texts have now; those that have none any more drop out."""
+    best = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    now = _t(spark, sf_dir, "documents").where("doc_id % 9 <> 4").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 16).alias("revision"))
+    return best.join(now, "doc_id").groupBy("source").agg(F.count("*").alias("passages"), F.min("revision").alias("first"), F.max("revision").alias("last"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         course_groups, status_facets, status_page, orphans, scope_semi, attempt_scores, answer_outcomes, chat_turns, chat_titles, followup_questions, recent_turns, duplicate_documents, candidate_lines, duplicate_keys,
-        precision_by_source, recall_by_source, package_limits, confusion, label_rollup, jaccard, value_percentiles, package_check, remapped, distinct_sources, nearest_event,
+        precision_by_source, recall_by_source, package_limits, confusion, label_rollup, jaccard, value_percentiles, package_check, remapped, distinct_sources, sources_used, nearest_event,
     )
 }
 ORACLES = {
+    "sources_used": """WITH b AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT doc_id, source, sha256(text)[1:16] AS revision FROM documents WHERE doc_id % 9 <> 4)
+SELECT source, count(*) AS passages, min(revision) AS first, max(revision) AS last FROM b JOIN n USING (doc_id) GROUP BY 1""",
     "course_groups": """WITH o AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey),
 g AS (SELECT c_nationkey, count(*) AS n, max(o_orderdate) AS last, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM o GROUP BY c_nationkey)
 SELECT n_name, coalesce(n, 0) AS n, strftime(last, '%Y-%m-%d') AS last, status FROM nation LEFT JOIN g ON c_nationkey = n_nationkey""",

@@ -11,6 +11,7 @@ from ..operators import dense as D
 from ..operators import fusion, store
 from ..operators import retrieval as R
 from ..operators import search as S
+from ..operators.ranks import positions
 from ..sources.tables import table
 from .search import ANY, _index, _scored_sql
 
@@ -31,7 +32,9 @@ def question_search(spark, sf_dir):
 def course_reading(spark, sf_dir):
     """All passages of a course in reading order, with their place."""
     rows = _index(spark, sf_dir).table("passages").where("source = 'src3'")
-    return rows.select("doc_id", "segment", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "segment")).alias("place")).withColumn("text", F.sha2("text", 256))
+    # a course may have any number of passages
+    placed = positions(rows.select("source", "doc_id", "segment", F.sha2("text", 256).alias("text")), ["source"], "doc_id", "segment")
+    return placed.select("doc_id", "segment", "text", "place")
 
 
 def search_mixed(spark, sf_dir):

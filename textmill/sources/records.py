@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text as T
+from . import archives
 
 WORD = "struct<start:double,end:double,text:string,probability:double,corrected_from:string>"
 TRANSCRIPT = f"source string, model string, language string, duration double, segments array<struct<start:double,end:double,words:array<{WORD}>>>"
@@ -25,7 +30,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return good, rows.where(f"r.{CORRUPT} IS NOT NULL OR r IS NULL").select("file", "value")
 
 
-def append_json(rows: DataFrame, path: str) -> None:
+def append_json(rows: DataFrame, path: str, mend: bool = False) -> None:
+    """rows as JSON lines, in files of their own beside those that are there. mend: unreadable tails of these are cut first."""
+    if mend:
+        broken_tails(rows.sparkSession, path, cut=True).write.format("noop").mode("overwrite").save()
     rows.write.mode("append").json(path)
 
 
@@ -63,18 +71,60 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def readable_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, kept, cut: the lines of each log without an unreadable last one, which a broken append leaves; unreadable lines before it stay."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    last = F.element_at("lines", -1)
-    rows = files.withColumn("lines", lines).withColumn("cut", F.coalesce(~_is_json(last), F.lit(False)))
-    return rows.select("file", F.when(F.col("cut"), F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines")).alias("kept"), "cut")
-
-
-def _is_json(text):
-    """Whether a text is one JSON value: one that can't be parsed has no JSON object at its root."""
-    return F.get_json_object(text, "$").isNotNull()
+#: Bytes that are read at a time from a log's end.
+TAIL = 64 << 10
+
+
+def _tail(file, size: int) -> int:
+    """Bytes of a log up to where its last line that isn't empty begins, if that line isn't JSON; else all of them."""
+    tail, at = b"", size
+    while at and b"\n" not in tail.strip():
+        at = max(0, at - TAIL)
+        file.seek(at)
+        tail = file.read(min(TAIL, size - at - len(tail))) + tail
+    body = tail.rstrip()
+    line = body.rpartition(b"\n")[2]
+    try:
+        if line:
+            json.loads(line)
+        return size
+    except ValueError:
+        return at + len(body) - len(line)
+
+
+def broken_tails(spark: SparkSession, path: str, cut: bool = False) -> DataFrame:
+    """file, size, kept: bytes of each log, and without an unreadable last line, as a broken append leaves it; unreadable lines before it stay. Only the end of a log
+    is read. With cut the logs are cut there: a local one in place, others by way of a copy."""
+
+    def of(parts):
+        for part in parts:
+            out = []
+            for file, size in zip(part["file"], part["size"], strict=True):
+                with archives.opened(file) as f:
+                    kept = _tail(f, size)
+                if cut and kept < size:
+                    _cut(file, kept)
+                out.append((file, size, kept))
+            yield pd.DataFrame(out, columns=["file", "size", "kept"])
+
+    files = [(file, size) for file, size in archives.listed(path)]
+    rows = spark.createDataFrame(files, "file string, size long")
+    return rows.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInPandas(of, "file string, size long, kept long")
+
+
+def _cut(path: str, size: int) -> None:
+    system, at = archives.file_system(path)
+    if system.type_name == "local":
+        os.truncate(at, size)
+        checksum = os.path.join(os.path.dirname(at), f".{os.path.basename(at)}.crc")
+        if os.path.exists(checksum):  # of the file as it was
+            os.remove(checksum)
+        return
+    with system.open_input_stream(at) as old, system.open_output_stream(f"{at}.cut") as new:
+        while size and (data := old.read(min(TAIL, size))):
+            new.write(data)
+            size -= len(data)
+    system.move(f"{at}.cut", at)
 
 
 def sniffed(content, name):
