@@ -30,6 +30,9 @@ from .shared import free_name, new_path, saved, table
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # what the stores of an executor hold in memory together, however many partitions it has
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 #: Hit digests that a task may hold as a hash table (8 bytes each); with more of them the join shuffles.
 BROADCAST_HITS = 1_000_000
