@@ -12,7 +12,7 @@ A conversation's rows meet in one task by a shuffle, sorted by turn, and are wor
 prefix of one conversation and gives examples out in small batches. The examples' total length grows with the square of a
 conversation's length, by the nature of the method.
 
-Defined results: null text and role are empty; rows of one turn are ordered by role, then text; equal rows all count; rows
+Defined results: null text and role are empty; a null turn comes first; rows of one turn are ordered by role, then text; equal rows all count; rows
 whose conv_id is null are one conversation; a conversation without assistant turns gives one example without a target; no
 rows give none. Other columns are ignored.
 """
@@ -158,20 +158,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 t AS (
   SELECT *, role = 'assistant' AS target,
     length(role) + 10 + length(text) + length(text) - length(replace(text, '\', ''))
       + (length(text) - length(replace(text, '<|', ''))) // 2 + (length(text) - length(replace(text, '</s>', ''))) // 4
       + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS block,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS final
   FROM c),
-u AS (SELECT *, sum(block) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM t)
+u AS (SELECT *, sum(block) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM t)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (target), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (target), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (target), '')) AS loss_sha256,
   sum(upto) FILTER (target OR final)::BIGINT AS formatted_chars,
   count(*) FILTER (target OR final) AS n_examples
 FROM u GROUP BY conv_id

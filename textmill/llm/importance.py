@@ -10,7 +10,7 @@ raw model cover every n-gram of every document; tasks add them up in tables of a
 narrowing histograms, exactly and without a sort.
 
 Defined results: a null text has no n-grams and weight 0 (as probable under both models), as empty ones have. Rows with
-one doc_id share their noise. Where rows tie with the k-th key all of them are kept, so kept rows can outnumber k. Without
+one doc_id share their noise, as do those without one. Where rows tie with the k-th key all of them are kept, so kept rows can outnumber k. Without
 labels, or without good ones, all weights are 0, and without labels all rows are kept. Other columns are ignored.
 """
 
