@@ -183,7 +183,7 @@ def test_positions(spark):
     assert all(r["place"] == r["count"] == 1 for r in out if 700 <= r.id < 900)
 
 
-def test_folds_as_the_reference_tokenizer(spark):
+def test_folds_as_a_keyword_index_does(spark):
     """Every letter against a keyword index with the tokenizer that the rule comes from."""
     import sqlite3
     import unicodedata

@@ -24,14 +24,14 @@ s AS (SELECT doc_id, segment, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS
 
 
 def anchor_states(spark, sf_dir):
-    """Anchors at each document's second line, taken one line too late in some: ok, moved, changed source, or source gone."""
+    """Anchors at all lines, taken one line too late in some documents: ok, moved, changed source, or source gone."""
     lines = _lines(spark, sf_dir)
-    anchors = lines.where("segment = 1").select("doc_id", "line", F.expr("CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END").alias("at"))
+    anchors = lines.select("doc_id", "segment", "line", F.expr("CASE WHEN doc_id % 3 = 0 THEN segment + 1 ELSE segment END").alias("at"))
     now = lines.where("doc_id % 10 <> 0").withColumn("line", F.expr("CASE WHEN doc_id % 7 = 0 THEN concat(line, 'x') ELSE line END"))
-    found = anchors.join(now, ["doc_id", "line"]).groupBy("doc_id").agg(F.max(F.col("segment") == F.col("at")).alias("here"), F.min("segment").alias("to"))
-    rows = anchors.join(now.select("doc_id").distinct().withColumn("there", F.lit(True)), "doc_id", "left").join(found, "doc_id", "left")
-    state = F.when(F.col("there").isNull(), "source_removed").when(F.col("here").isNull(), "source_modified").when(F.col("here"), "ok").otherwise("moved")
-    return rows.select("doc_id", state.alias("state"), F.when(state == "moved", F.col("to")).alias("to"))
+    here, first = now.select("doc_id", "line", F.col("segment").alias("at"), F.lit(True).alias("here")), now.groupBy("doc_id", "line").agg(F.min("segment").alias("to"))
+    rows = anchors.join(now.select("doc_id").distinct().withColumn("there", F.lit(True)), "doc_id", "left").join(first, ["doc_id", "line"], "left").join(here, ["doc_id", "line", "at"], "left")
+    state = F.when(F.col("there").isNull(), "source_removed").when(F.col("to").isNull(), "source_modified").when(F.col("here"), "ok").otherwise("moved")
+    return rows.select("doc_id", "segment", state.alias("state"), F.when(state == "moved", F.col("to")).alias("to"))
 
 
 def gold_first_fresh(spark, sf_dir):
@@ -88,10 +88,10 @@ def latest_prices(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (anchor_states, gold_first_fresh, sources_changed, observed_due, submissions, page_backfill, latest_prices)}
 ORACLES = {
-    "anchor_states": _LINES + """, a AS (SELECT doc_id, line, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS pos FROM s WHERE segment = 1),
-n AS (SELECT doc_id, segment, CASE WHEN doc_id % 7 = 0 THEN line || 'x' ELSE line END AS line FROM s WHERE doc_id % 10 <> 0),
-f AS (SELECT a.doc_id, bool_or(segment = pos) AS here, min(segment) AS goes FROM a JOIN n ON a.doc_id = n.doc_id AND a.line = n.line GROUP BY 1)
-SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM n) THEN 'source_removed' WHEN here IS NULL THEN 'source_modified' WHEN here THEN 'ok' ELSE 'moved' END AS state, CASE WHEN NOT here THEN goes END AS "to" FROM a LEFT JOIN f USING (doc_id)""",
+    "anchor_states": _LINES + """, a AS (SELECT doc_id, segment, line, CASE WHEN doc_id % 3 = 0 THEN segment + 1 ELSE segment END AS pos FROM s),
+n AS (SELECT doc_id, segment, CASE WHEN doc_id % 7 = 0 THEN line || 'x' ELSE line END AS line FROM s WHERE doc_id % 10 <> 0), f AS (SELECT doc_id, line, min(segment) AS goes FROM n GROUP BY 1, 2)
+SELECT a.doc_id, a.segment, CASE WHEN a.doc_id NOT IN (SELECT doc_id FROM n) THEN 'source_removed' WHEN goes IS NULL THEN 'source_modified' WHEN h.segment IS NOT NULL THEN 'ok' ELSE 'moved' END AS state,
+CASE WHEN h.segment IS NULL THEN goes END AS "to" FROM a LEFT JOIN f ON f.doc_id = a.doc_id AND f.line = a.line LEFT JOIN n h ON h.doc_id = a.doc_id AND h.line = a.line AND h.segment = a.pos""",
     "gold_first_fresh": _LINES + """, r AS (SELECT s.*, source FROM s JOIN documents USING (doc_id)), g AS (SELECT source, line, count(*) AS gold FROM r WHERE doc_id % 3 = 0 GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, line ORDER BY doc_id, segment) AS n FROM r WHERE doc_id % 3 <> 0)
 SELECT doc_id, segment, n > gold AS surplus, n = 1 AS first FROM f JOIN g USING (source, line)""",

@@ -76,7 +76,7 @@ def vector_coverage(spark, sf_dir):
 
 def vector_upsert(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    return D.upsert(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), ["vec_id"])
+    return D.upsert(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1 or vec_id % 3 = 0").withColumn("label", F.col("label") + 100), ["vec_id"])
 
 
 QUERIES = {f.__name__: f for f in (dense_topk_floor, dense_recall_mrr, dense_valid, dense_floor_sweep, vector_missing, vector_pending, vector_coverage, vector_upsert)}
@@ -93,5 +93,5 @@ FROM v LEFT JOIN h ON h.query_id = v.id WHERE v.id % 20 = 0 GROUP BY ROLLUP (lab
     "vector_coverage": _UNITS
     + """SELECT *, CASE WHEN covered = units THEN 'ready' WHEN covered = 0 THEN 'not_indexed' ELSE 'partial' END AS state FROM (
 SELECT source, count(*) AS units, count(v.hash) AS covered, coalesce(sum(truncated::INT), 0)::BIGINT AS truncated FROM units LEFT JOIN vectors v USING (hash) GROUP BY source)""",
-    "vector_upsert": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",
+    "vector_upsert": "SELECT vec_id, CASE WHEN vec_id % 2 = 1 OR vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings",
 }

@@ -136,11 +136,11 @@ def label_rollup(spark, sf_dir):
 
 
 def jaccard(spark, sf_dir):
-    """Of conversations, the shared part of the words of the first two user turns."""
+    """Of each user turn and the next one of its conversation, the shared part of their words."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _t(spark, sf_dir, "conversations").where("role = 'user'").withColumn("n", F.row_number().over(w)).withColumn("ws", F.array_distinct(T.tokens(F.col("text"))))
-    rows = rows.groupBy("conv_id").agg(F.max(F.when(F.col("n") == 1, F.col("ws"))).alias("a"), F.max(F.when(F.col("n") == 2, F.col("ws"))).alias("b")).where("b is not null")
-    return rows.select("conv_id", F.round(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), 6).alias("jaccard"))
+    rows = _t(spark, sf_dir, "conversations").where("role = 'user'").withColumn("a", F.array_distinct(T.tokens(F.col("text"))))
+    rows = rows.withColumn("b", F.lead("a").over(w)).where("b is not null")
+    return rows.select("conv_id", "turn", F.round(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), 6).alias("jaccard"))
 
 
 def value_percentiles(spark, sf_dir):
@@ -161,12 +161,12 @@ def remapped(spark, sf_dir):
     ids = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") + 1_000_000).alias("new"), "c_mktsegment", "c_nationkey")
     names = ids.withColumn("n", F.row_number().over(Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("o_custkey")))
     label = F.when(F.col("n") == 1, F.col("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(" ("), F.col("n"), F.lit(")")))
-    return _t(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").join(names, "o_custkey", "left").select("o_orderkey", "new", label.alias("label"), F.col("new").isNull().alias("dangling"))
+    return _t(spark, sf_dir, "orders").join(names, "o_custkey", "left").select("o_orderkey", "new", label.alias("label"), F.col("new").isNull().alias("dangling"))
 
 
 def distinct_sources(spark, sf_dir):
-    """Sources among the long documents, with the newest document of each."""
-    return _t(spark, sf_dir, "documents").where("n_chars > 5000").groupBy("source").agg(F.max("doc_id").alias("revision"), F.count("*").alias("n"))
+    """Sources among the documents, with the newest document of each."""
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("revision"), F.count("*").alias("n"))
 
 
 def nearest_event(spark, sf_dir):
@@ -227,14 +227,14 @@ SELECT source, count(*) FILTER (c) AS correct, count(*) FILTER (p AND c) AS foun
 f AS (SELECT source, doc_id, CASE WHEN size / packed > 60 THEN 'ratio' WHEN sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) > 60000 THEN 'total' END AS fault FROM m) SELECT * FROM f WHERE fault IS NOT NULL""",
     "confusion": "SELECT quality, count(*) FILTER (NOT m) AS plain, count(*) FILTER (m) AS marked FROM (SELECT quality, regexp_matches(text, '[%#&$*]{3}|!!') AS m FROM documents JOIN labels USING (doc_id)) GROUP BY 1",
     "label_rollup": "SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
-    "jaccard": r"""WITH u AS (SELECT conv_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS ws, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user')
-SELECT a.conv_id, round(len(list_intersect(a.ws, b.ws)) / nullif(len(list_distinct(list_concat(a.ws, b.ws))), 0), 6) AS jaccard FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.n = 1 AND b.n = 2""",
+    "jaccard": r"""WITH u AS (SELECT conv_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS ws, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user')
+SELECT a.conv_id, a.turn, round(len(list_intersect(a.ws, b.ws)) / nullif(len(list_distinct(list_concat(a.ws, b.ws))), 0), 6) AS jaccard FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.n = a.n + 1""",
     "value_percentiles": "SELECT event_type, round(median(value), 6) AS p50, max(value) AS most, count(*) AS n FROM events GROUP BY 1",
     "package_check": """WITH d AS (SELECT doc_id, sha256(text) AS hash, length(text) AS size FROM documents), m AS (SELECT doc_id, hash AS told, CASE WHEN doc_id % 17 = 0 THEN size + 1 ELSE size END AS told_size FROM d WHERE doc_id % 13 <> 0)
 SELECT * FROM (SELECT doc_id, CASE WHEN hash IS NULL THEN 'missing' WHEN told IS NULL THEN 'extra' WHEN size <> told_size THEN 'size' WHEN hash <> told THEN 'hash' ELSE 'ok' END AS state FROM m FULL JOIN (SELECT * FROM d WHERE doc_id % 19 <> 0) USING (doc_id)) WHERE state <> 'ok'""",
     "remapped": """WITH c AS (SELECT c_custkey, c_custkey + 1000000 AS new, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS n FROM customer)
-SELECT o_orderkey, new, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || n || ')' END AS label, new IS NULL AS dangling FROM orders LEFT JOIN c ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0""",
-    "distinct_sources": "SELECT source, max(doc_id) AS revision, count(*) AS n FROM documents WHERE n_chars > 5000 GROUP BY 1",
+SELECT o_orderkey, new, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || n || ')' END AS label, new IS NULL AS dangling FROM orders LEFT JOIN c ON c_custkey = o_custkey""",
+    "distinct_sources": "SELECT source, max(doc_id) AS revision, count(*) AS n FROM documents GROUP BY 1",
     "nearest_event": """WITH r AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t FROM events)
 SELECT e.event_id, arg_min(p.event_id, (abs(e.t - p.t), p.t, p.event_id)) AS nearest FROM r e JOIN r p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND abs(e.t - p.t) <= 172800000000 WHERE e.event_type = 'error' GROUP BY 1""",
 }
