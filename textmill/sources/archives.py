@@ -27,6 +27,10 @@ CHUNK = 64 << 10
 #: What a member, an archive's declared sizes and its directory may come to.
 MEMBER_BYTES, ARCHIVE_BYTES, ENTRIES = 64 << 20, 500 << 20, 10_000
 SPLIT_BYTES, FILE_BYTES = 64 << 20, 1 << 20
+#: For packages of our own, of any size: no limit.
+UNLIMITED = 1 << 62
+#: Splits of an archive: each reads its directory, which would take longer with the square of the archive's size were they more for a larger one.
+ARCHIVE_SPLITS = 32
 MANIFEST = "manifest.json"
 
 
@@ -228,7 +232,8 @@ class ZipMembersReader(DataSourceReader):
         self.most, self.split, self.limits = int(options.get("member_bytes", MEMBER_BYTES)), int(options.get("split_bytes", SPLIT_BYTES)), limits
 
     def partitions(self):
-        return splits(listed(self.path, self.ending), self.split)
+        files = listed(self.path, self.ending)
+        return splits(files, max(self.split, -(-max((size for _, size in files), default=0) // ARCHIVE_SPLITS)))
 
     def read(self, partition):
         for path, begin, end in partition.ranges:
@@ -287,7 +292,7 @@ class ZipDirectoriesReader(DataSourceReader):
 
     def _row(self, file):
         try:
-            archive = Archive(file, 1 << 62, 1 << 62)
+            archive = Archive(file, UNLIMITED, UNLIMITED)
         except Fault as e:
             return None, None, None, str(e)
         entries, size = len(archive.members), sum(m.file_size for m in archive.members)
