@@ -82,3 +82,12 @@ def test_failure_between_writes(spark, tmp_path, monkeypatch, writes):
     monkeypatch.undo()
     assert content(store.opened(spark, path)) == expected(ROWS)
     assert content(replaced(spark, store.opened(spark, path))) == expected(AFTER)
+
+
+def test_postings_of_short_and_long_passages(spark, tmp_path):
+    lines = ["b a b", "a", "  ", " ".join(["x", "y"] * 64), " ".join(["x", "y"] * 64 + ["z"]), "--"]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "s"), (2, None, "t"), (3, "a", None)], "doc_id long, text string, source string")
+    index = store.build(docs, str(tmp_path / "places"), "source", buckets=2)
+    wanted = {(1, i, t, "s"): [j for j, w in enumerate(line.split()) if w == t] for i, line in enumerate(lines[:5]) for t in set(line.split())} | {(3, 0, "a", None): [0]}
+    found = index.table("postings").collect()
+    assert {(r.doc_id, r.segment, r.term, r.source): r["at"] for r in found} == wanted and all(r.tf == len(r["at"]) for r in found) and len(found) == len(wanted)
