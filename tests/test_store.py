@@ -1,5 +1,6 @@
 """The stored index is replaced as a whole: a reader sees it as it was or as it is."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,20 @@ def test_postings_of_short_and_long_passages(spark, tmp_path):
     wanted = {(1, i, t, "s"): [j for j, w in enumerate(line.split()) if w == t] for i, line in enumerate(lines[:5]) for t in set(line.split())} | {(3, 0, "a", None): [0]}
     found = index.table("postings").collect()
     assert {(r.doc_id, r.segment, r.term, r.source): r["at"] for r in found} == wanted and all(r.tf == len(r["at"]) for r in found) and len(found) == len(wanted)
+
+
+def test_postings_are_not_shuffled(spark):
+    lines = ["b a b", " ".join(["x", "y"] * 200), "a"]
+    passages = store._passages(spark.createDataFrame([(1, "\n".join(lines), "s")], DOCS), 2, ("source",)).localCheckpoint()
+    postings = store._postings(passages, ("source",))
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert {(r.segment, r.term): r.tf for r in postings.collect()} == {(0, "a"): 1, (0, "b"): 2, (1, "x"): 200, (1, "y"): 200, (2, "a"): 1}
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 4, 7, 100])
+def test_postings_taken_some_tokens_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(store, "AT_ONCE", at_once)
+    texts = [["b", "a", "b"], ["a"], list("vwxyz"), ["a", "a"], ["z"]]
+    table = pa.table({"dl": pa.array([len(t) for t in texts], pa.int32()), "tokens": texts, "doc_id": range(5)})
+    out = pa.Table.from_batches(store._places(iter(table.to_batches(max_chunksize=2)), ["doc_id"])).to_pylist()
+    assert sorted((r["doc_id"], r["term"], r["at"]) for r in out) == sorted((i, w, [j for j, x in enumerate(t) if x == w]) for i, t in enumerate(texts) for w in set(t))
