@@ -109,3 +109,13 @@ def test_gold_and_transcripts(spark, tmp_path):
     rows = spark.createDataFrame([("s", "m", "it", 9.0, 1, 5.0, 6.0, words), ("s", "m", "it", 9.0, 0, 0.0, 1.0, words)], f"source string, model string, language string, duration double, segment int, start double, end double, words array<{R.WORD}>")
     R.write_transcripts(rows, str(tmp_path / "t"))
     assert [(r.segment, r.start, r.text) for r in R.transcripts(spark, str(tmp_path / "t/*.json")).orderBy("segment").collect()] == [(0, 0.0, "ciao"), (1, 5.0, "ciao")]
+
+
+def test_whole_transcripts_are_compressed_and_not_shuffled(spark, tmp_path):
+    segments = f"array<struct<start:double,end:double,words:array<{R.WORD}>>>"
+    rows = spark.createDataFrame([("1", "m", "it", 1.0, [(0.0, 5.0, [(0.0, 0.5, " a", 0.9, None)] * 1000)]), ("2", "m", "it", 1.0, [])], f"source string, model string, language string, duration double, segments {segments}")
+    R.write_whole_transcripts(rows, str(tmp_path / "t"), "gzip")
+    files = [p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]
+    assert all(p.name.endswith(".json.gz") for p in files) and sum(p.stat().st_size for p in files) < 5_000
+    read = spark.read.schema(R.TRANSCRIPT).json(str(tmp_path / "t")).select("source", F.size("segments").alias("n"), F.size("segments.words")).collect()
+    assert sorted((r.source, r.n) for r in read) == [("1", 1), ("2", 0)]

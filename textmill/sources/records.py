@@ -54,7 +54,12 @@ def preferred(files: DataFrame, job: str, variant: str, order: tuple[str, ...])
 def write_transcripts(segments: DataFrame, path: str) -> None:
     """Segments (source, model, language, duration, segment, start, end, words) as transcripts, a JSON line each. A run that fails leaves nothing."""
     rows = segments.groupBy("source", "model", "language", "duration").agg(F.array_sort(F.collect_list(F.struct("segment", "start", "end", "words"))).alias("s"))
-    rows.select("source", "model", "language", "duration", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"))).alias("segments")).write.mode("errorifexists").json(path)
+    write_whole_transcripts(rows.select("source", "model", "language", "duration", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"))).alias("segments")), path)
+
+
+def write_whole_transcripts(transcripts: DataFrame, path: str, compression: str = "none") -> None:
+    """The same of rows that are whole transcripts (source, model, language, duration, segments: an array of start, end, words). Nothing is shuffled."""
+    transcripts.write.mode("errorifexists").option("compression", compression).json(path)
 
 
 def newest_first(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
