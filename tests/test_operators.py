@@ -117,6 +117,17 @@ def test_word_errors(spark):
         assert (s + d + ins, s) == brute_errors(r.split(), h.split()) and n + ins - d == len(h.split())
 
 
+def test_word_errors_of_many_lengths(spark):
+    rng = random.Random(2)
+    texts = lambda most: " ".join(rng.choices("abcd", k=rng.randrange(0, most)))
+    rows = [(i, texts(3 + i % 60), texts(3 + i % 45)) for i in range(200)] + [(200, None, "a"), (201, "a", None), (202, "a " * 17_000, "a b"), (203, "b", "a " * 17_000)]
+    out = {r.id: r[1:] for r in M.word_errors(spark.createDataFrame(rows, "id long, reference string, hypothesis string").coalesce(1)).collect()}
+    assert out[200] == (0, None, None, None) and out[201] == (1, 0, 1, 0) and out[202] == (17_000, 1, 16_998, 0) and out[203] == (1, 1, 0, 16_999)
+    for i, r, h in rows[:200]:
+        n, s, d, ins = out[i]
+        assert n == len(r.split()) and (n == 0 or (s + d + ins, s) == brute_errors(r.split(), h.split()))
+
+
 def visit_order(n):
     """Both ends, then middles level by level."""
     out, spans = list(dict.fromkeys([0, n - 1])) if n else [], [(0, n - 1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,25 +62,66 @@ def word_errors(rows: DataFrame) -> DataFrame:
     """
     rows = rows.select("id", F.split(T.comparable(F.col("reference")), " ").alias("r"), F.split(T.comparable(F.col("hypothesis")), " ").alias("h"))
 
-    def errors(r: list[str], h: list[str]) -> tuple:
-        """Row by row along the reference; insertions inside a row are a running minimum. An error costs `one`, a substitution 1 more."""
-        ids: dict[str, int] = {}
-        x, y = (np.array([ids.setdefault(w, len(ids)) for w in ws if w], np.int64) for ws in (r, h))
-        if not len(x):
-            return 0, None, None, None
-        one = 1 << 32
-        step = np.arange(len(y) + 1) * one
-        row = step.copy()
-        for i, w in enumerate(x):
-            new = np.minimum(row[1:] + one, row[:-1] + (y != w) * (one + 1))
-            row = np.minimum.accumulate(np.concatenate([[(i + 1) * one], new]) - step) + step
-        total, substituted = divmod(int(row[-1]), one)
-        deleted = (total - substituted + len(x) - len(y)) // 2
-        return len(x), substituted, deleted, total - substituted - deleted
-
     def of(batches):
         for b in batches:
-            out = list(zip(*map(errors, b.column("r").to_pylist(), b.column("h").to_pylist()), strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, pa.int64()) for c in out]], names=["id", "words", "substitutions", "deletions", "insertions"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *_errors(b.column("r"), b.column("h"))], names=["id", "words", "substitutions", "deletions", "insertions"])
 
     return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, words long, substitutions long, deletions long, insertions long")
+
+
+#: Numbers in a row of the tables of alignments that are worked out together.
+CELLS = 1 << 16
+
+
+def _coded(lists: pa.Array, codes: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words that aren't empty, each list's first one's place, and how many it has."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    n = np.bincount(np.repeat(np.arange(len(n)), n)[filled], minlength=len(n))
+    return codes[filled], np.cumsum(n) - n, n
+
+
+def _errors(r: pa.Array, h: pa.Array) -> list[pa.Array]:
+    """words, substitutions, deletions, insertions of each pair of lists. Pairs of like lengths are aligned together."""
+    words, of_r = [r.flatten(), h.flatten()], len(r.flatten())
+    coded = pa.concat_arrays(words).dictionary_encode()
+    codes, filled = coded.indices.to_numpy(), np.concatenate([pc.not_equal(w, "").to_numpy(zero_copy_only=False) for w in words]).astype(bool)
+    x, at_x, n = _coded(r, codes[:of_r], filled[:of_r])
+    y, at_y, m = _coded(h, codes[of_r:], filled[of_r:])
+    total, substituted = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    order, begin = np.lexsort((m, n // 4)), int(np.count_nonzero(n == 0))
+    order = np.concatenate([order[n[order] == 0], order[n[order] > 0]])  # lists without words first
+    while begin < len(order):
+        some = order[begin : begin + max(1, CELLS // (int(m[order[begin]]) + 1))]
+        some = some[: max(1, CELLS // (int(m[some].max()) + 1))]
+        begin += len(some)
+        some = some[np.argsort(-n[some], kind="stable")]
+        total[some], substituted[some] = _aligned(_padded(x, at_x[some], n[some], -1), n[some], _padded(y, at_y[some], m[some], -2), m[some])
+    deleted = (total - substituted + n - m) // 2
+    none = n == 0
+    return [pa.array(n.astype(np.int64)), *(pa.array(c, pa.int64(), mask=none) for c in (substituted, deleted, total - substituted - deleted))]
+
+
+def _padded(codes: np.ndarray, first: np.ndarray, n: np.ndarray, rest: int) -> np.ndarray:
+    """A column for each list."""
+    place = np.arange(n.max(initial=0))[:, None]
+    inside = place < n
+    out = np.full(inside.shape, rest, np.int32)
+    out[inside] = codes[(first + place)[inside]]
+    return out
+
+
+def _aligned(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Errors and substitutions of each column's words y against x, n falling. Row by row along the reference; an error costs `one`, a substitution 1 more.
+
+    Rows hold the cost less that of inserting all of y up to there, so insertions inside a row are a running minimum.
+    """
+    kind, one = (np.int32, 1 << 16) if len(x) + len(y) < 1 << 14 else (np.int64, 1 << 32)
+    row = np.zeros((len(y) + 1, len(n)), kind)
+    for i, left in enumerate(np.searchsorted(-n, -np.arange(len(x)))):  # of those columns the reference goes on
+        new = np.empty((len(y) + 1, left), kind)
+        new[0] = (i + 1) * one
+        kept = np.where(y[:, :left] == x[i, :left], kind(-one), kind(1))
+        kept += row[:-1, :left]
+        np.minimum(kept, row[1:, :left] + kind(one), out=new[1:])
+        row[:, :left] = np.minimum.accumulate(new, axis=0)
+    return np.divmod(row[m, np.arange(len(n))].astype(np.int64) + m * one, one)
