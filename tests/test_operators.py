@@ -128,6 +128,15 @@ def test_word_errors_of_many_lengths(spark):
         assert n == len(r.split()) and (n == 0 or (s + d + ins, s) == brute_errors(r.split(), h.split()))
 
 
+def test_quotes_cut_documents_once(spark):
+    docs = spark.createDataFrame([(1, "x The stone, wall of Río stone wall of"), (2, "stone of wall")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "stone wall of rio"), (8, "stone of wall")], "item_id long, text string")
+    out = X.quotes_in(docs, items)
+    assert sorted(r[:] for r in out.collect()) == [(1, 7), (2, 8)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [doc_id") == 1  # the few that are checked; runs of all documents were written once and are read
+
+
 def visit_order(n):
     """Both ends, then middles level by level."""
     out, spans = list(dict.fromkeys([0, n - 1])) if n else [], [(0, n - 1)]

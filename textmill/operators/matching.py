@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import written
 
 # What marks a sentence as important, by strength.
 STRONG = (
@@ -71,11 +72,12 @@ def quotes_in(docs: DataFrame, quotes: DataFrame, gram: int = 3) -> DataFrame:
     Of each quote the run of `gram` tokens that fewest quotes and fewest documents have is joined by equality with the documents' runs,
     and the whole quote is checked in those documents alone. Quotes shorter than that match nothing.
     """
-    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (gram - 1)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(gram)), " ")))
+    grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(gram))))
     q = quotes.select("item_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") >= gram)
     runs = q.select("item_id", F.explode(F.array_distinct(grams(F.col("q")))).alias("key"))
     d = docs.select("doc_id", T.tokens(F.col("text")).alias("d")).where(F.size("d") >= gram)
-    held = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("d")))).alias("key")).join(runs.select("key").distinct(), "key", "left_semi")
+    # documents are cut into runs once; what quotes have of them is a small part
+    held = written(d.select("doc_id", F.explode(grams(F.col("d"))).alias("key")).join(runs.select("key").distinct(), "key", "left_semi").distinct(), "runs")
     often = held.groupBy("key").agg(F.count("*").alias("docs"))
     rarest = runs.join(often, "key").groupBy("item_id").agg(F.min_by("key", F.struct("docs", "key")).alias("key"))
     pairs = held.join(rarest, "key").select("doc_id", "item_id").distinct()
