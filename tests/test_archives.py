@@ -199,3 +199,19 @@ def test_pptx(spark, tmp_path):
     texts = O.pptx_texts(spark, str(tmp_path))
     assert [(r.file, r.page, r.text) for r in O.slide_pages(texts).orderBy("page").collect()] == [("a.pptx", 0, ""), ("a.pptx", 1, "high\ntwo\ntitle\nbody\nlow\nsaid\naloud")]
     assert [r.fault for r in texts.where("fault is not null").collect()] == ["unreadable"]
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_office_files_are_read_once_if_small(tmp_path, monkeypatch, held):
+    with zipfile.ZipFile(tmp_path / "a.x", "w") as z:
+        z.writestr("m", "m")
+    reads = []
+
+    def rows(office):
+        reads.append(1)
+        yield from ((i, False, "text") for i in range(3))
+
+    monkeypatch.setattr(O, "HELD", held)
+    reader = O.OfficeReader({"path": str(tmp_path), "ending": ".x"}, {}, rows, (None,) * 3)
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [("a.x", i, False, "text", None) for i in range(3)]
+    assert len(reads) == (1 if held else 2)

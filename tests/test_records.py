@@ -119,3 +119,10 @@ def test_whole_transcripts_are_compressed_and_not_shuffled(spark, tmp_path):
     assert all(p.name.endswith(".json.gz") for p in files) and sum(p.stat().st_size for p in files) < 5_000
     read = spark.read.schema(R.TRANSCRIPT).json(str(tmp_path / "t")).select("source", F.size("segments").alias("n"), F.size("segments.words")).collect()
     assert sorted((r.source, r.n) for r in read) == [("1", 1), ("2", 0)]
+
+
+def test_words_of_a_section_are_worked_out_once(spark):
+    lines = spark.createDataFrame([(1, i, i == 0, f"w{i}") for i in range(7)], "id long, at long, heading boolean, line string")
+    out = R.section_pages(lines, "id", 3)
+    assert [r.text for r in sorted(out.collect(), key=lambda r: r.page)] == ["w0 w1 w2", "w3 w4 w5", "w6"]
+    assert out.select("text")._jdf.queryExecution().optimizedPlan().toString().count("split(text") <= 2  # the pages, and whether there are any

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text as T
+from ..operators.chunking import let
 from . import archives
 
 WORD = "struct<start:double,end:double,text:string,probability:double,corrected_from:string>"
@@ -160,9 +161,8 @@ def section_pages(lines: DataFrame, key: str, most: int = 500) -> DataFrame:
     """The same of lines that are told apart already. lines: key, at (their order), heading, line."""
     lines = lines.withColumn("section", F.sum(F.col("heading").cast("int")).over(Window.partitionBy(key).orderBy("at")))
     sections = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    words = T.words(F.col("text"))
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(most))
-    pages = F.when(F.size(words) <= most, F.array("text")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(most)), " ")))
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(most)), lambda i: F.array_join(F.slice(w, i, F.lit(most)), " "))
+    pages = let(T.words(F.col("text")), lambda w: F.when(F.size(w) <= most, F.array("text")).otherwise(cut(w)))
     rows = sections.select(key, "section", F.posexplode(pages).alias("part", "text"))
     return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("section", "part")) - 1).alias("page"), "text")
 
