@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -14,10 +15,19 @@ def _plain(text: str | None) -> str | None:
     return text and unicodedata.normalize("NFKC", text)
 
 
-@F.pandas_udf(ST.StringType())
-def compatible(text: pd.Series) -> pd.Series:
+#: Texts of a batch that are Python strings at a time.
+AT_ONCE = 64
+
+
+def _compatible(text: pa.Array) -> pa.Array:
+    parts = (text.slice(i, AT_ONCE).to_pylist() for i in range(0, len(text), AT_ONCE))
+    return pa.concat_arrays([pa.array(map(_plain, part), text.type) for part in parts]) if len(text) else text
+
+
+@F.arrow_udf(ST.StringType())
+def compatible(text: pa.Array) -> pa.Array:
     """Compatibility characters as the plain ones (NFKC)."""
-    return text.map(_plain)
+    return _compatible(text)
 
 
 def _spaced(text: str) -> str:
