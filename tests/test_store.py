@@ -109,3 +109,10 @@ def test_postings_taken_some_tokens_at_once(monkeypatch, at_once):
     table = pa.table({"dl": pa.array([len(t) for t in texts], pa.int32()), "tokens": texts, "doc_id": range(5)})
     out = pa.Table.from_batches(store._places(iter(table.to_batches(max_chunksize=2)), ["doc_id"])).to_pylist()
     assert sorted((r["doc_id"], r["term"], r["at"]) for r in out) == sorted((i, w, [j for j, x in enumerate(t) if x == w]) for i, t in enumerate(texts) for w in set(t))
+
+
+def test_windows_work_their_lines_out_once(spark):
+    from textmill.plans import retrieval
+
+    plan = retrieval.expanded_windows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "term#" not in plan and "Generate" not in plan  # hits and the lines of their documents are written, and read
