@@ -123,6 +123,48 @@ def test_many_rivals_are_joined_with_documents(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 10)
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_windows_around_a_common_passage_stay_in_tasks(spark, monkeypatch, near):
+    """Many texts hold one passage that is shorter than a window: their other words tell them apart run by run. Near copies come out window by window only where many agree."""
+    monkeypatch.setattr(phrases, "WIDE", 8)
+    monkeypatch.setattr(phrases, "LEAST_HOT", 8)
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = own(30), own(70)
+    rows = []
+    for i in range(120):
+        words = own(40) + passage + own(40)
+        if near and i % 3 == 0:
+            words = base[:30] + passage + base[30:]
+            words[rng.randrange(len(words))] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    tables = {}
+    monkeypatch.setattr(W, "saved", lambda df, name, saved=W.saved: tables.setdefault(name, saved(df, name)))
+    docs = keyed(frame(spark, rows))
+    out = W.without_words(docs, W.copies(docs)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 50)
+    windows = tables["compared"].where("window is not null").count()
+    assert windows < 400 if near else windows == 0
+
+
+def test_runs_of_phrases_cover_their_windows():
+    """Each window is in one run, and equal windows are in runs with one hash, whatever stands around them."""
+    rng = random.Random(13)
+    L, k, step = 20, 5, 4
+    common = np.array([rng.randrange(1, 2**63) for _ in range(26)], np.uint64)
+    texts = [np.concatenate([np.array([rng.randrange(1, 2**63) for _ in range(n)], np.uint64), common, np.array([rng.randrange(1, 2**63) for _ in range(40)], np.uint64)]) for n in (30, 7, 55)]
+    seen = {}
+    for raw in texts:
+        text, start, n, trigger, _, ahead = phrases.phrases(raw, np.array([0, len(raw)]), L, k)
+        phrase, first, windows, core = phrases.cores(raw, trigger, start + ahead, ahead, n, L, step)
+        assert sorted((p, f + x) for p, f, w in zip(phrase, first, windows) for x in range(w)) == sorted((p, x) for p, w in enumerate(n) for x in range(w))
+        for p, f, w, c in zip(phrase, first, windows, core):
+            for x in range(w):
+                at = int(start[p] + f + x)
+                seen.setdefault(raw[at : at + L].tobytes(), []).append(int(c))
+    assert sum(len(c) == 3 for c in seen.values()) == 7 and all(len(set(c)) == 1 for c in seen.values())
+
+
 def test_suffix_ranks():
     rng = random.Random(10)
     strings = ["".join(rng.choices("ab", k=rng.randrange(1, 40))) for _ in range(60)]

@@ -19,7 +19,8 @@ hits in them only mean more rows in steps that are exact. With more triggers tha
 them at worst; with more first phrases than MAPPED they are joined with the documents instead. Triggers with over a `HOT`-th of all
 phrases are settled by an aggregate that is combined per task; of their phrases the common ones, at most 1/`HOT_KIND`, are
 broadcast, so none meets in one task. Triggers with over WIDE phrases to compare are dealt out by phrase, and compared by an
-aggregate of window hashes.
+aggregate of window hashes; word_dedup cuts their phrases into runs first, which meet by what their windows have in common (see
+cores()), so that windows come out one by one only where over WIDE runs agree in that.
 """
 
 from __future__ import annotations
@@ -244,10 +245,30 @@ def told(docs: DataFrame, symbols: Symbols, L: int, k: int, across: bool, *colum
 BORDER = "trigger long, salt long, id long, sub long, start long, ahead long, raw binary"
 
 
-def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFrame, wide: np.ndarray) -> DataFrame:
+def cores(raw: np.ndarray, trigger: np.ndarray, at: np.ndarray, ahead: np.ndarray, n: np.ndarray, L: int, step: int) -> tuple[np.ndarray, ...]:
+    """Phrases, cut where the trigger's place in the window passes a multiple of step, and what the windows of each run have in common.
+
+    at: where the trigger is in raw; ahead: its place from the phrase's start; n: windows. For each run: number of its phrase, its first
+    window's number in it, its windows, and a hash of the trigger and of the L - step + 1 symbols that all windows with the trigger
+    at such a place hold. Equal windows are in runs that agree in that.
+    """
+    high, low = ahead // step, (ahead - n + 1) // step
+    count = high - low + 1
+    phrase = np.repeat(np.arange(len(n)), count)
+    part = high[phrase] - (np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count))
+    most = np.minimum(ahead[phrase], part * step + step - 1)
+    least = np.maximum((ahead - n + 1)[phrase], part * step)
+    sums = running(hashed(raw))
+    first = at[phrase] - part * step
+    core = (sums[first + L - step + 1] - sums[first]) * powers(INVERSE, len(sums))[first]
+    return phrase, ahead[phrase] - most, most - least + 1, mix(trigger[phrase] ^ mix(mix(core) + part.astype(np.uint64)))
+
+
+def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFrame, wide: np.ndarray, step: int | None = None) -> DataFrame:
     """BORDER, dealt out by trigger and sorted: the phrases whose place is among those of rivals (id, sub, place), with their symbols.
 
-    ahead: where the trigger is. salt: 0, but for wide triggers a hash of the place, which spreads them.
+    ahead: where the trigger is. salt: 0, but for wide triggers a hash of the place, which spreads them. With a step, phrases of
+    wide triggers are cut into runs first, which have the hash that cores() gives for a trigger; only those that are wide by it have a salt then.
     """
     n = rivals.count()
     if n <= MAPPED:
@@ -266,20 +287,38 @@ def bordering(docs: DataFrame, symbols: Symbols, L: int, k: int, rivals: DataFra
                 row, at = text + i, start + place[text]
                 places = place_of(whole, ids[row], subs[row], at)
                 m = np.flatnonzero(in_map(wanted.value, places) if wanted else np.isin(places, own))
-                first, size = (start + cuts[text])[m], n[m] + L - 1
+                first, size, n, trigger, ahead, at, row, places = (start + cuts[text])[m], n[m] + L - 1, n[m], trigger[m], ahead[m], at[m], row[m], places[m]
+                apart = np.isin(trigger.view(np.int64), wide)
+                salt = np.where(apart, (places >> np.uint64(54)) + np.uint64(1), 0).astype(np.int64)
+                if step and apart.any():
+                    cut, more, windows, core = cores(raw, trigger[apart], (first + ahead)[apart], ahead[apart], n[apart], L, step)
+                    both = lambda x, add=0, own=apart, cut=cut: np.concatenate([x[~own], x[own][cut] + add])
+                    first, at, ahead, row, salt = both(first, more), both(at, more), both(ahead, -more), both(row), both(salt)
+                    size, trigger = np.concatenate([size[~apart], windows + L - 1]), np.concatenate([trigger[~apart], core])
                 parts = [raw[x : x + z].tobytes() for x, z in zip(first.tolist(), size.tolist(), strict=True)]
-                salt = np.where(np.isin(trigger[m].view(np.int64), wide), places[m] >> np.uint64(54), 0).astype(np.int64)
-                yield batch(trigger=trigger[m], salt=salt, id=ids[row[m]], sub=subs[row[m]], start=at[m], ahead=ahead[m], raw=pa.array(parts, pa.binary()))
+                yield batch(trigger=trigger, salt=salt, id=ids[row], sub=subs[row], start=at, ahead=ahead, raw=pa.array(parts, pa.binary()))
+
+    rows = docs.mapInArrow(find, BORDER)
+    if step and len(wide):
+        rows = saved(rows, "border")
+        often = saved(rows.where("salt > 0").groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > WIDE), "cores")
+        common = docs.sparkSession.sparkContext.broadcast(bit_map(often, "trigger", bits_for(often.count())))
+
+        def salted(batches):
+            for b in batches:
+                salt = np.where(in_map(common.value, b.column("trigger").to_numpy().view(np.uint64)), b.column("salt").to_numpy(), 0)
+                yield batch(**{c: pa.array(salt) if c == "salt" else b.column(c) for c in b.schema.names})
 
-    return docs.mapInArrow(find, BORDER).repartition("trigger", "salt").sortWithinPartitions("trigger")
+        rows = rows.mapInArrow(salted, BORDER)
+    return rows.repartition("trigger", "salt").sortWithinPartitions("trigger")
 
 
 #: Phrases of one trigger that a task holds.
 GROUP = 20_000
 
 
-def by_trigger(batches, settle, whole, group: int, wide: np.ndarray, step: int = 2000):
-    """For batches of BORDER rows sorted by trigger: settle(rows) of whole triggers' phrases. Of a wide trigger, or one with more than `group`,
+def by_trigger(batches, settle, whole, group: int, step: int = 2000):
+    """For batches of BORDER rows sorted by trigger: settle(rows) of whole triggers' phrases. Of a trigger with salts, or one with more than `group`,
     which can't be held, whole(rows) part by part. rows: trigger, id, sub, start, ahead as arrays and raw as a list."""
     names = ("trigger", "id", "sub", "start", "ahead")
     held: list[tuple] = []
@@ -291,14 +330,13 @@ def by_trigger(batches, settle, whole, group: int, wide: np.ndarray, step: int =
     for b in batches:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
-            if len(wide):
-                apart = np.isin(part.column("trigger").to_numpy(), wide)
-                if apart.any():
-                    large = part.filter(pa.array(apart))
-                    yield whole([*(large.column(c).to_numpy() for c in names), large.column("raw").to_pylist()])
-                    part = part.filter(pa.array(~apart))
-                if not part.num_rows:
-                    continue
+            apart = part.column("salt").to_numpy() > 0
+            if apart.any():
+                large = part.filter(pa.array(apart))
+                yield whole([*(large.column(c).to_numpy() for c in names), large.column("raw").to_pylist()])
+                part = part.filter(pa.array(~apart))
+            if not part.num_rows:
+                continue
             held.append((*(part.column(c).to_numpy() for c in names), part.column("raw").to_pylist()))
             rows = joined()
             if flushed is not None:

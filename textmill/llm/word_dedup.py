@@ -55,7 +55,7 @@ _COPY = ("id", "sub", "start", "stop", "src_id", "src_sub", "src_start")
 COPIES = ", ".join(f"{c} long" for c in (*_COPY, "trigger", "window"))
 
 
-def _look_up(length: int, group: int, wide: np.ndarray):
+def _look_up(length: int, group: int):
     """For BORDER rows sorted by trigger: the copies in their windows. Windows of triggers with too many phrases come out with their hash."""
 
     def settle(rows):
@@ -84,7 +84,7 @@ def _look_up(length: int, group: int, wide: np.ndarray):
         at, none = start[row] + step, pa.nulls(len(row), pa.int64())
         return P.batch(id=ids[row], sub=subs[row], start=at, stop=at + length, src_id=none, src_sub=none, src_start=none, trigger=trigger[row], window=window)
 
-    return lambda batches: P.by_trigger(batches, settle, whole, group, wide)
+    return lambda batches: P.by_trigger(batches, settle, whole, group)
 
 
 def copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, part_words: int = PART_WORDS) -> DataFrame:
@@ -95,8 +95,8 @@ def copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int |
     symbols = _symbols(length, part_words)
     found, wide = P.told(docs, symbols, length, gram, True)
     out = found.where("later").select("id", "sub", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"), "src_id", "src_sub", "src_start")
-    rows = P.bordering(docs, symbols, length, gram, found.where("not later").select("id", "sub", "place"), wide)
-    compared = saved(rows.mapInArrow(_look_up(length, group or P.GROUP, wide), COPIES), "compared")
+    rows = P.bordering(docs, symbols, length, gram, found.where("not later").select("id", "sub", "place"), wide, -(-length // 6))
+    compared = saved(rows.mapInArrow(_look_up(length, group or P.GROUP), COPIES), "compared")
     out = out.unionByName(compared.where("window is null").select(*_COPY))
     single = compared.where("window is not null").drop("src_id", "src_sub", "src_start")
     if single.isEmpty():
