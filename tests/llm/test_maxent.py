@@ -142,9 +142,14 @@ def test_rows_are_added_without_sorting():
     assert np.allclose(total - 2.0**26, np.stack([sum(np.bincount(r, values[:, k], 1 << 16) for r in rows) for k in range(16)], 1), atol=1e-4)
 
     def by_sorting():
+        """Short numbers sort faster, and only rows that occur again are summed up first."""
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            first = np.flatnonzero(np.diff(r[order], prepend=-1))
+            order = np.argsort(r.astype(np.uint16), kind="stable")
+            ordered = r[order]
+            first = np.append(True, ordered[1:] != ordered[:-1])
+            alone = first & np.append(first[1:], True)
+            total[r[order[alone]]] += values[order[alone]]
+            order, first = order[~alone], np.flatnonzero(first[~alone])
             total[r[order[first]]] += np.add.reduceat(values[order], first, axis=0)
 
     def seconds(add):
@@ -152,4 +157,4 @@ def test_rows_are_added_without_sorting():
         add()
         return time.perf_counter() - start
 
-    assert min(seconds(lambda: M._add(total, rows, values)) for _ in range(7)) < min(seconds(by_sorting) for _ in range(7))
+    assert min(seconds(lambda: M._add(total, rows, values)) for _ in range(15)) < 0.85 * min(seconds(by_sorting) for _ in range(15))
