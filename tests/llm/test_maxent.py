@@ -158,3 +158,76 @@ def test_rows_are_added_without_sorting():
         return time.perf_counter() - start
 
     assert min(seconds(lambda: M._add(total, rows, values)) for _ in range(15)) < 0.85 * min(seconds(by_sorting) for _ in range(15))
+
+
+def least(f, n=15):
+    out = []
+    for _ in range(n):
+        start = time.perf_counter()
+        f()
+        out.append(time.perf_counter() - start)
+    return min(out)
+
+
+def test_tokens_are_found_in_the_head():
+    """By their first bits: as by a search through all of it, where many share these bits as well, in less time."""
+    rng = np.random.default_rng(3)
+    head = np.unique(np.concatenate([rng.integers(0, 1 << 64, 250_000, np.uint64, endpoint=False), np.arange(1 << 40, (1 << 40) + 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    asked = np.concatenate([rng.choice(head[1:-1], 15_000), rng.integers(0, 1 << 64, 5_000, np.uint64, endpoint=False), head[:600], head[:600] + np.uint64(1), head[-3:]])
+    for h in (head, head[1:-1], head[:1], head[:0]):
+        m = M.Model(h, *[None] * 10)
+        inside, at = m.known(asked)
+        assert (inside == np.isin(asked, h)).all() and (h[at[inside]] == asked[inside]).all()
+    m = M.Model(head, *[None] * 10)
+    m.known(asked)
+    assert least(lambda: m.known(asked)) < 0.85 * least(lambda: head[np.minimum(np.searchsorted(head, asked), len(head) - 1)] == asked)
+
+
+def softmax_tables(rng, largest):
+    weight = [(rng.random((1 << 14, M.TOP)) * 2 - 1) * largest, (rng.random((1 << 16, M.FAN)) * 2 - 1) * largest]
+    prior = [np.log(rng.dirichlet(np.ones(M.TOP))), np.maximum(np.log(rng.dirichlet(np.full(M.FAN, 0.1), 1000)), -30)]
+    return M.Model(*[None] * 9, [x.astype(np.float32) for x in prior], [x.astype(np.float32) for x in weight])
+
+
+@pytest.mark.parametrize("largest", [3, 100])
+def test_odds(largest):
+    """Odds are the powers of the logits, however large these are, and no power is taken for each token: it takes less time than by logits."""
+    rng = np.random.default_rng(4)
+    m = softmax_tables(rng, largest)
+    powered = m.powered()
+    rows, nodes = [rng.integers(0, 1 << 16, 16_000) for _ in M.INSIDE], rng.integers(0, 1000, 16_000)
+
+    def by_logits():
+        z = m.weight[1].take(rows[0], axis=0)
+        z += m.weight[1].take(rows[1], axis=0)
+        z += m.prior[1][nodes]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z / z.sum(1, keepdims=True)
+
+    def by_odds():
+        z, whole = powered.odds(1, rows, powered.prior[1].take(nodes, axis=0))
+        z /= whole[:, None]
+        return z
+
+    z = m.weight[1][rows[0]].astype(float) + m.weight[1][rows[1]] + m.prior[1][nodes]
+    expected = np.exp(z - z.max(1, keepdims=True))
+    assert np.allclose(by_odds(), expected / expected.sum(1, keepdims=True), rtol=1e-4, atol=1e-7)
+    assert largest > 3 or least(by_odds) < 0.85 * least(by_logits)
+
+
+def test_rows_are_added_by_outcome():
+    """Many arrays at once: the sums are those of adding in place, small shares aren't lost on large ones, and it takes less time."""
+    rng = np.random.default_rng(5)
+    rows = [[rng.integers(0, 1 << 16, 10_000) for _ in M.INSIDE] for _ in range(12)] + [[np.zeros(9_000, np.int64)] * 2]
+    values = [rng.random((len(r[0]), 16), np.float32) for r in rows]
+    by_outcome, in_place = np.full((16, 1 << 16), 2.0**26), np.full((1 << 16, 16), 2.0**26)
+
+    def places():
+        for r, v in zip(rows, values):
+            M._add(in_place, r, v)
+
+    M._add_by_outcome(by_outcome, rows, values)
+    places()
+    assert np.allclose(by_outcome.T - 2.0**26, in_place - 2.0**26, atol=1e-4)
+    assert least(lambda: M._add_by_outcome(by_outcome, rows, values), 5) < 0.85 * least(places, 5)

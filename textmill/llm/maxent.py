@@ -22,7 +22,8 @@ none.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from .shared import blocks, saved, table, utf8
 
 #: Tokens whose counts go to every task, tokens that are classes of their own, classes by ending, outcomes of a level in a class.
 HEAD, OWN, CLASSES, FAN = 1 << 18, 16, 16, 16
+FAN_BITS = FAN.bit_length() - 1
 TOP = OWN + CLASSES
 #: Rows of weights in classes: one for so many training tokens, within these powers of two. A quarter as many are for the classes.
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1024, 16, 18
@@ -42,11 +44,13 @@ ROUNDS, RATE, ADDED = 3, 0.5, 4.0
 TASK_TOKENS = 4_000_000
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 #: Features that count inside classes: the last token and the one before it. All four choose the class.
-INSIDE = (0, 2)
+FEATURES, INSIDE = 4, (0, 2)
 #: Distinct tokens that a task counts before it gives them out.
 HELD = 2_000_000
-#: Logits are worked out for about so many bytes of text at a time, which a processor's cache holds.
+#: Odds are worked out for about so many bytes of text at a time, which a processor's cache holds.
 STEP_BYTES = 1 << 17
+#: Logs of an outcome's share and weights up to which single floats hold their powers.
+LARGEST = 80
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,12 +82,32 @@ class Model:
     prior: list[np.ndarray]  # of the classes, and of each softmax in them: log shares
     weight: list[np.ndarray]  # (rows, outcomes) of the same
 
+    @cached_property
+    def starts(self) -> tuple[np.uint64, np.ndarray]:
+        """How far to shift hashes for their first bits, and for each value of those its first place in the head; some four for each token."""
+        bits = len(self.head).bit_length() + 2
+        shift = np.uint64(64 - bits)
+        held = np.bincount((self.head >> shift).view(np.int64), minlength=1 << bits)
+        return shift, (np.cumsum(held) - held).astype(np.int32)
+
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which tokens are in the head, and their places in it."""
         if not len(self.head):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return self.head[at] == hashes, at
+        shift, starts = self.starts
+        last = len(self.head) - 1
+        at = np.minimum(starts.take((hashes >> shift).view(np.int64)), last).astype(np.int64)
+        found = self.head.take(at)
+        behind = np.flatnonzero(found < hashes)  # few: others with the same first bits lie before them
+        at[behind] = np.minimum(np.searchsorted(self.head, hashes[behind]), last)
+        found[behind] = self.head[at[behind]]
+        return found == hashes, at
+
+    def powered(self) -> Model:
+        """The model with shares and factors in place of log shares and weights, for odds(). Single floats hold them, but after very many rounds."""
+        logs = max(n * float(np.abs(w).max()) - float(p.min()) for n, w, p in zip((FEATURES, len(INSIDE)), self.weight, self.prior, strict=True))
+        kind = np.float32 if logs < LARGEST else np.float64
+        return replace(self, prior=[np.exp(x, dtype=kind) for x in self.prior], weight=[np.exp(x, dtype=kind) for x in self.weight])
 
     def places(self, inside: np.ndarray, at: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's outcome among the classes and its number in its class."""
@@ -97,29 +121,31 @@ class Model:
         """Of a block's tokens level by level: which of them have it (None: all), table, rows for each feature, priors, outcomes."""
         yield None, 0, [_row(c, self.weight[0]) for c in context], self.prior[0], kind
         classed = np.flatnonzero(kind >= OWN)
-        group, number = kind[classed] - OWN, member[classed]
-        depth = self.depth[group]
+        group, number = kind.take(classed) - OWN, member.take(classed)
+        depth, inside = self.depth[group], [context[c].take(classed) for c in INSIDE]
         for level in range(int(self.depth.max())):
             there = depth > level
-            if not there.any():
+            if not there.all():
+                classed, group, number, depth, inside = classed[there], group[there], number[there], depth[there], [c[there] for c in inside]
+            if not len(classed):
                 return
-            classed, group, number, depth = classed[there], group[there], number[there], depth[there]
-            below = FAN ** (depth - 1 - level)
-            node = self.base[group, level] + number // (below * FAN)
-            salt = (node.astype(np.uint64) + np.uint64(1)) * _A
-            yield classed, 1, [_row(context[c][classed] + salt, self.weight[1]) for c in INSIDE], self.prior[1][node], number // below % FAN
-
-    def logits(self, which: int, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+            below = FAN_BITS * (depth - 1 - level)
+            child = number >> below
+            node = self.base[:, level].take(group) + (child >> FAN_BITS)
+            salt = (node + 1).view(np.uint64) * _A
+            yield classed, 1, [_row(c + salt, self.weight[1]) for c in inside], self.prior[1].take(node, axis=0), child & (FAN - 1)
+
+    def odds(self, which: int, rows: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a powered model: each outcome's odds, and their sums. No power has to be taken, and none is too large."""
         z = self.weight[which].take(rows[0], axis=0)
         for r in rows[1:]:
-            z += self.weight[which].take(r, axis=0)
-        z += prior
-        z -= z.max(1, keepdims=True)
-        return z
+            z *= self.weight[which].take(r, axis=0)
+        z *= prior
+        return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def _row(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    return ((x * _B) >> np.uint64(65 - len(weight).bit_length())).astype(np.int64)
+    return ((x * _B) >> np.uint64(65 - len(weight).bit_length())).view(np.int64)
 
 
 def features(hashes: np.ndarray, kind: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -225,10 +251,28 @@ def start(counts: DataFrame, head: int = HEAD) -> tuple[Model, int, int]:
 
 def _add(total: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
     """Adds each of values to its row of total, for each of rows. Outcomes go two at a time, as complex numbers: numpy adds those at half as many places."""
-    pairs, total = values.astype(float).view(complex), total.view(complex)
-    width = total.shape[1]
-    for r in rows:
-        np.add.at(total.reshape(-1), (r[:, None] * width + np.arange(width)).reshape(-1), pairs.reshape(-1))
+    total = total.view(complex)
+    width, step = total.shape[1], 1 << 15
+    within = np.tile(np.arange(width), min(step, len(values)))
+    for i in range(0, len(values), step):
+        pairs = values[i : i + step].astype(float).view(complex).reshape(-1)
+        for r in rows:
+            places = np.repeat(r[i : i + step] * width, width)
+            places += within[: len(places)]
+            np.add.at(total.reshape(-1), places, pairs)
+
+
+def _add_by_outcome(total: np.ndarray, rows: tuple[list[np.ndarray], ...], values: tuple[np.ndarray, ...]) -> None:
+    """The same for arrays of values, each with its rows, where total is (outcomes, rows). For very many values and rows: those of one outcome fit a processor's cache, all of them don't."""
+    by_outcome, at = np.empty((len(total), sum(map(len, values)))), 0
+    for v in values:
+        for i in range(0, len(v), 4096):
+            part = v[i : i + 4096]
+            by_outcome[:, at : at + len(part)] = part.T
+            at += len(part)
+    for r in map(np.concatenate, zip(*rows, strict=True)):
+        for sums, column in zip(total, by_outcome, strict=True):
+            sums += np.bincount(r, column, len(sums))
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -244,9 +288,11 @@ def gradient(docs: DataFrame, model) -> DataFrame:
     """row (table and row), sums: for each row of weights the observed less the expected counts of the outcomes, and the expected ones, in short form."""
 
     def of(batches):
-        m = model.value
+        m = model.value.powered()
         seen = [np.zeros(w.size) for w in m.weight]
-        expected = [np.zeros(w.shape) for w in m.weight]
+        expected = [np.zeros(m.weight[0].shape)]
+        inside, most = np.zeros(m.weight[1].shape[::-1]), len(m.weight[1])  # expected in classes, which many softmaxes add to
+        waiting: list[tuple[list[np.ndarray], np.ndarray]] = []  # of those: rows and shares, added when there is one for each row
         cells: list[list[np.ndarray]] = [[], []]  # observed, counted now and then
 
         def count():
@@ -255,21 +301,33 @@ def gradient(docs: DataFrame, model) -> DataFrame:
                     seen[k] += np.bincount(np.concatenate(cells[k]), minlength=seen[k].size)
                     cells[k].clear()
 
+        def add():
+            if waiting:
+                _add_by_outcome(inside, *zip(*waiting, strict=True))
+                waiting.clear()
+
         for b in batches:
             data, at = utf8(b.column("text"))
             for i, j in blocks(at, STEP_BYTES):
                 hashes, ending, cuts = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 kind, member = m.places(*m.known(hashes), ending)
                 for _, k, rows, prior, outcome in m.softmaxes(features(hashes, kind, cuts), kind, member):
-                    p = m.logits(k, rows, prior)
-                    np.exp(p, out=p)
-                    p /= p.sum(1, keepdims=True)
+                    p, whole = m.odds(k, rows, prior)
+                    p /= whole[:, None]
                     for r in rows:
                         cells[k].append((r * m.weight[k].shape[1] + outcome).astype(np.int32))
-                    _add(expected[k], rows, p)
+                    if not k:
+                        _add(expected[0], rows, p)
+                        continue
+                    for n in range(0, len(p), most):
+                        waiting.append(([r[n : n + most] for r in rows], p[n : n + most]))
+                        if sum(len(q) for _, q in waiting) >= most:
+                            add()
                 if len(cells[1]) > 200:
                     count()
         count()
+        add()
+        expected.append(np.ascontiguousarray(inside.T))
         for k in (0, 1):
             used = np.flatnonzero(expected[k].sum(1))
             diff = seen[k].reshape(expected[k].shape)[used] - expected[k][used]
@@ -318,7 +376,7 @@ def scores(docs: DataFrame, model) -> DataFrame:
     def of(batches):
         from pyspark import TaskContext
 
-        m, row = model.value, TaskContext.get().partitionId() << 33
+        m, row = model.value.powered(), TaskContext.get().partitionId() << 33
         log_count = np.log10(m.head_count + 1.0)
         for b in batches:
             data, at = utf8(b.column("text"))
@@ -328,9 +386,9 @@ def scores(docs: DataFrame, model) -> DataFrame:
                 kind, member = m.places(inside, place, ending)
                 log_p = np.zeros(len(hashes))
                 for own, k, rows, prior, outcome in m.softmaxes(features(hashes, kind, cuts), kind, member):
-                    z = m.logits(k, rows, prior)
-                    of_own = z[np.arange(len(z)), outcome]
-                    log_p[slice(None) if own is None else own] += of_own.astype(float) - np.log(np.exp(z, out=z).sum(1))
+                    z, whole = m.odds(k, rows, prior)
+                    of_own = z.reshape(-1).take(np.arange(len(z)) * z.shape[1] + outcome)
+                    log_p[slice(None) if own is None else own] += np.log(np.divide(of_own, whole, dtype=float))
                 counted = np.zeros(len(hashes))
                 counted[inside] = log_count[place[inside]]
                 given = np.where(inside, -counted, -m.tail[np.maximum(kind - OWN, 0)])  # the sum has log10(c + 1) of every token
