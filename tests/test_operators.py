@@ -137,6 +137,25 @@ def test_quotes_cut_documents_once(spark):
     assert plan.count("LogicalRDD [doc_id") == 1  # the few that are checked; runs of all documents were written once and are read
 
 
+def test_short_quotes(spark, tmp_path):
+    """Quotes of any length, none of their tokens left out, as the SQL of the queries has it."""
+    import duckdb
+
+    from textmill.plans import checks, text
+
+    docs = [(1, "x The stone, wall of Río"), (2, "stone of\n\n...\nwall Río"), (3, "... --\n !"), (4, None), (5, ""), (6, "stonewall")]
+    items = [(7, "stone wall of rio"), (8, "of wall"), (9, None), (10, "Stone!"), (11, "wall rio"), (12, "?"), (13, "absent"), (14, "of")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for module, name in ((text, "quote_locate"), (checks, "quote_segments")):
+        out = module.QUERIES[name](spark, str(tmp_path))
+        wanted = duck.sql(f"SELECT {', '.join(out.columns)} FROM ({module.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, out.collect())) == sorted(wanted) and len(wanted) >= 7
+
+
 def visit_order(n):
     """Both ends, then middles level by level."""
     out, spans = list(dict.fromkeys([0, n - 1])) if n else [], [(0, n - 1)]

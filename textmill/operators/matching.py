@@ -66,20 +66,32 @@ def without_edges(pages: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("lines", F.when(end, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines"))).select(*pages.columns)
 
 
-def quotes_in(docs: DataFrame, quotes: DataFrame, gram: int = 3) -> DataFrame:
+def quotes_in(docs: DataFrame, quotes: DataFrame, gram: int = 3, least: int | None = None) -> DataFrame:
     """doc_id, item_id of the quotes whose tokens stand in a document in a row.
 
     Of each quote the run of `gram` tokens that fewest quotes and fewest documents have is joined by equality with the documents' runs,
-    and the whole quote is checked in those documents alone. Quotes shorter than that match nothing.
+    and the whole quote is checked in those documents alone. least: tokens that a quote needs to match, `gram` if not given; of one with fewer than `gram` all tokens
+    are the run. A quote without any (if `least` is 0) stands in documents without any.
     """
-    grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(gram))))
-    q = quotes.select("item_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") >= gram)
-    runs = q.select("item_id", F.explode(F.array_distinct(grams(F.col("q")))).alias("key"))
-    d = docs.select("doc_id", T.tokens(F.col("text")).alias("d")).where(F.size("d") >= gram)
+    least = gram if least is None else least
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+
+    def grams(t: Column, n: int) -> Column:
+        if n == 0:
+            return F.when(F.size(t) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(n))))
+        return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<long>"))
+
+    q = quotes.select("item_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") >= least).withColumn("n", F.least(F.size("q"), F.lit(gram)))
+    lengths = sorted(r.n for r in q.select("n").distinct().collect()) or [gram]  # gram + 1 numbers at most
+    own = F.coalesce(*(F.when(F.col("n") == n, grams(F.col("q"), n)) for n in lengths))
+    runs = q.select("item_id", F.explode(F.array_distinct(own)).alias("key"))
+    d = docs.select("doc_id", T.tokens(F.col("text")).alias("d")).where(F.size("d") >= lengths[0])
     # documents are cut into runs once; what quotes have of them is a small part
-    held = written(d.select("doc_id", F.explode(grams(F.col("d"))).alias("key")).join(runs.select("key").distinct(), "key", "left_semi").distinct(), "runs")
+    keys = F.explode(F.concat(*(grams(F.col("d"), n) for n in lengths))).alias("key")
+    held = written(d.select("doc_id", keys).join(runs.select("key").distinct(), "key", "left_semi").distinct(), "runs")
     often = held.groupBy("key").agg(F.count("*").alias("docs"))
     rarest = runs.join(often, "key").groupBy("item_id").agg(F.min_by("key", F.struct("docs", "key")).alias("key"))
     pairs = held.join(rarest, "key").select("doc_id", "item_id").distinct()
     few = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("d"))
-    return few.join(pairs, "doc_id").join(q, "item_id").where(T.contains_tokens(F.col("d"), F.col("q"))).select("doc_id", "item_id")
+    return few.join(pairs, "doc_id").join(q, "item_id").where(F.contains(spaced(F.col("d")), spaced(F.col("q")))).select("doc_id", "item_id")

@@ -82,7 +82,7 @@ def edge_removal(spark, sf_dir):
 
 
 def quote_locate(spark, sf_dir):
-    return X.quotes_in(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return X.quotes_in(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=0)
 
 
 def word_errors(spark, sf_dir):
