@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from textmill.sources import archives as A
 from textmill.sources import office as O
@@ -215,3 +216,28 @@ def test_office_files_are_read_once_if_small(tmp_path, monkeypatch, held):
     reader = O.OfficeReader({"path": str(tmp_path), "ending": ".x"}, {}, rows, (None,) * 3)
     assert [r for p in reader.partitions() for r in reader.read(p)] == [("a.x", i, False, "text", None) for i in range(3)]
     assert len(reads) == (1 if held else 2)
+
+
+def test_only_folders_go_through_the_driver(spark, tmp_path):
+    """Of many packages the driver sees folders, when they are written and when they are read."""
+    writer = A.PackageWriter({"path": str(tmp_path / "p"), "ending": ".docx", "folders": "100", "manifest": "false"}, False)
+    told = [writer.write((f"d{t}-{i}", member, text.encode()) for i in range(350) for member, text in document("<w:p/>")) for t in range(2)]
+    told.append(writer.write((f"gone{i}", "x", b"x") for i in range(3)))  # an attempt that isn't committed
+    assert [(len(m.files), len(m.folders)) for m in told] == [(0, 4), (0, 4), (0, 1)]
+    writer.commit([*told[:2], None])
+    reader = O.OfficeReader({"path": str(tmp_path / "p"), "listed": "150"}, {}, O.paragraphs, (None,) * 3)
+    parts = reader.partitions()
+    assert sum(len(p.ranges) for p in parts) <= 200 and sum(p.folder is not None for p in parts) == 6
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"d{t}-{i}.docx" for t in range(2) for i in range(350))
+    assert [r[1:] for r in reader.read(parts[-1])][0] == (0, False, "", None)
+    with pytest.raises(FileExistsError):
+        again = A.PackageWriter({"path": str(tmp_path / "p"), "folders": "100"}, False)
+        again.commit([again.write(iter([("d", "x", b"x")]))])
+    assert len(list((tmp_path / "p").iterdir())) == 9
+    frame = spark.createDataFrame([(i, 0, None, f"text {i}") for i in range(30)], "name int, place int, style string, text string")
+    O.write_docx(frame, str(tmp_path / "out"), "name", folders=2)
+    assert sorted((r.file, r.text) for r in O.docx_paragraphs(spark, str(tmp_path / "out"), listed=3).collect()) == sorted((f"{i}.docx", f"text {i}") for i in range(30))
+    bad = frame.withColumn("text", F.when(F.col("name") == 9, F.raise_error("broken")).otherwise(F.col("text")))
+    with pytest.raises(PySparkException):
+        O.write_docx(bad, str(tmp_path / "broken"), "name", folders=2)
+    assert not (tmp_path / "broken").exists() or list((tmp_path / "broken").iterdir()) == []

@@ -32,6 +32,8 @@ UNLIMITED = 1 << 62
 #: Splits of an archive: each reads its directory, which would take longer with the square of the archive's size were they more for a larger one.
 ARCHIVE_SPLITS = 32
 MANIFEST = "manifest.json"
+#: Files that the driver lists; folders in which more lie are listed by tasks. Packages in a folder, where there are too many for one.
+LISTED, FOLDER = 20_000, 1000
 
 
 class Fault(Exception):
@@ -62,11 +64,35 @@ def listed(path: str, ending: str = "") -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.path.endswith(ending) and not any(x.startswith((".", "_")) for x in inside(f)))
 
 
+def planned(path: str, ending: str = "", most: int = LISTED) -> tuple[list[tuple[str, int]], list[str]]:
+    """Files as listed() has them, and folders that have not been listed: those after the first `most` files."""
+    from pyarrow import fs
+
+    system, at = file_system(path)
+    info = system.get_file_info(at)
+    if info.type != fs.FileType.Directory:
+        return listed(path, ending), []
+    inside = [f for f in system.get_file_info(fs.FileSelector(at)) if not f.base_name.startswith((".", "_"))]
+    files, later = [(f.path, f.size) for f in inside if f.is_file and f.path.endswith(ending)], []
+    for name in sorted(f.base_name for f in inside if not f.is_file):
+        folder = f"{path.rstrip('/')}/{name}"
+        if len(files) < most:
+            files += listed(folder, ending)
+        else:
+            later.append(folder)
+    return sorted(files), later
+
+
 @dataclass
 class Split(InputPartition):
-    """(file, its first byte, the byte after its last) of several files or parts of one."""
+    """(file, its first byte, the byte after its last) of several files or parts of one, or a folder of whole files."""
 
     ranges: list[tuple[str, int, int]]
+    folder: str | None = None
+
+    def files(self, ending: str = "") -> list[str]:
+        """Its files, for readers that take them whole."""
+        return [path for path, *_ in (self.ranges if self.folder is None else listed(self.folder, ending))]
 
 
 def splits(files: list[tuple[str, int]], target: int = SPLIT_BYTES, whole: bool = False) -> list[Split]:
@@ -315,16 +341,23 @@ class PackageWriter(DataSourceWriter):
 
     Tasks write beside the target. Once all have ended the packages are moved into place; if any fails, none is there. With manifest, each package
     ends in a list of its members with sizes and hashes: whoever sees a package sees both.
+
+    With folders, a task puts each so many packages into a folder of their own, and only folders go through the driver. The target has to be empty then, and that a package
+    comes from one task isn't checked (write_packages sees to it).
     """
 
     def __init__(self, options, overwrite: bool):
         self.path, self.manifest, self.ending, self.overwrite = options["path"].rstrip("/"), options.get("manifest", "true") == "true", options.get("ending", ".zip"), overwrite
+        self.folders = int(options.get("folders", 0))
+        if self.folders and overwrite:
+            raise ValueError("packages in folders can't be overwritten one by one")
         self.staging = f"{self.path}/.staging-{uuid.uuid4().hex}"
 
     def write(self, iterator):
         system, staging = file_system(self.staging)
         system.create_dir(staging)
         made, now, archive, part, closing = [], None, None, None, []
+        folders, count, own = [], 0, uuid.uuid4().hex
         inventory, entry = [], None
 
         def end_member():
@@ -350,8 +383,14 @@ class PackageWriter(DataSourceWriter):
                 if package != now:
                     end_package()
                     named(package)
-                    now, at = package, f"{staging}/{uuid.uuid4().hex}"
-                    made.append((package, at))
+                    if self.folders:
+                        if count % self.folders == 0:
+                            folders.append(f"{own}-{len(folders)}")
+                            system.create_dir(f"{staging}/{folders[-1]}")
+                        now, at, count = package, f"{staging}/{folders[-1]}/{package}{self.ending}", count + 1
+                    else:
+                        now, at = package, f"{staging}/{uuid.uuid4().hex}"
+                        made.append((package, at))
                     closing.append(system.open_output_stream(at))
                     archive = zipfile.ZipFile(closing[-1], "w", zipfile.ZIP_DEFLATED)
                 if entry is None or member != entry[0]:
@@ -370,13 +409,15 @@ class PackageWriter(DataSourceWriter):
         finally:
             for stream in closing:
                 stream.close()
-        return Packages([(f"{package}{self.ending}", at) for package, at in made])
+        return Packages([(f"{package}{self.ending}", at) for package, at in made], folders)
 
     def commit(self, messages):
         from pyarrow import fs
 
         files = [f for m in messages if m for f in m.files]
         system, target = file_system(self.path)
+        if self.folders:
+            return self._commit_folders(system, target, [f for m in messages if m for f in m.folders])
         moved = []
         try:
             names = [n for n, _ in files]
@@ -397,6 +438,32 @@ class PackageWriter(DataSourceWriter):
         with system.open_output_stream(f"{target}/_SUCCESS"):
             pass
 
+    def _commit_folders(self, system, target, folders):
+        from pyarrow import fs
+
+        staging, moved = file_system(self.staging)[1], []
+        system.create_dir(target)
+        try:
+            if there := [f.base_name for f in system.get_file_info(fs.FileSelector(target)) if not f.base_name.startswith(".")]:
+                raise FileExistsError(there[0])
+            for name in folders:
+                moved.append(f"{target}/{name}")
+                if system.type_name in ("local", "hdfs"):
+                    system.move(f"{staging}/{name}", moved[-1])
+                else:  # object stores move files
+                    system.create_dir(moved[-1])
+                    for f in system.get_file_info(fs.FileSelector(f"{staging}/{name}")):
+                        system.move(f.path, f"{moved[-1]}/{f.base_name}")
+        except Exception:
+            for path in moved:
+                if system.get_file_info(path).type != fs.FileType.NotFound:
+                    system.delete_dir(path)
+            raise
+        finally:
+            self._clear()
+        with system.open_output_stream(f"{target}/_SUCCESS"):
+            pass
+
     def abort(self, messages):
         self._clear()
 
@@ -410,9 +477,10 @@ class PackageWriter(DataSourceWriter):
 
 @dataclass
 class Packages(WriterCommitMessage):
-    """(name, staged file) of what a task wrote."""
+    """(name, staged file) of what a task wrote, or its folders."""
 
     files: list[tuple[str, str]]
+    folders: list[str]
 
 
 def named(path: str | None) -> None:
@@ -421,7 +489,7 @@ def named(path: str | None) -> None:
 
 
 class ZipPackages(DataSource):
-    """Options: path, manifest (true), ending of the packages' names (.zip)."""
+    """Options: path, manifest (true), ending of the packages' names (.zip), folders: packages in a folder (0: all lie in the path itself)."""
 
     @classmethod
     def name(cls) -> str:
