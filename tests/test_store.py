@@ -61,6 +61,29 @@ def test_build_and_replace(spark, tmp_path):
     assert content(store.opened(spark, str(tmp_path / "i"))) == expected(AFTER)
 
 
+def test_only_changes_are_written(spark, tmp_path, monkeypatch):
+    """A replacement holds what has changed, not what stays; scores are those of an index of all that is there."""
+    first = store.build(docs(spark, ROWS), str(tmp_path / "i"), "source", buckets=2)
+    second = replaced(spark, first)
+    written = spark.read.parquet(f"{second.path}/{second.parts[-1][0]}/passages")
+    assert {r.doc_id for r in written.select("doc_id").collect()} == {3, 100}
+    found = lambda index: sorted((r.doc_id, r.segment, r.dl, round(r.score, 9)) for r in store.hits(index, WORDS).collect())
+    whole = lambda rows, name: found(store.build(docs(spark, rows), str(tmp_path / name), "source", buckets=1))
+    assert found(second) == whole(AFTER, "second")
+    third = store.replace(second, docs(spark, []), spark.createDataFrame([(3,), (8,), (100,), (999,)], "doc_id long"))  # nothing new
+    left = [r for r in AFTER if r[0] not in (3, 8, 100)]
+    assert content(third) == expected(left) and found(third) == whole(left, "third") and len(third.parts) == 3
+    back = store.replace(third, docs(spark, [(3, "alpha gamma", "s")]), spark.createDataFrame([], "doc_id long"))
+    left = sorted([*left, (3, "alpha gamma", "s")])
+    assert content(back) == expected(left) == content(store.opened(spark, back.path)) and found(back) == whole(left, "back")
+    same = store.replace(back, docs(spark, []), spark.createDataFrame([], "doc_id long"))
+    assert content(third) != content(back) == content(same)
+    monkeypatch.setattr(store, "MOST_PARTS", 4)
+    anew = store.replace(same, docs(spark, [(i, "beta", "s") for i in range(10, 16)]), spark.createDataFrame([(3,)], "doc_id long"))
+    left = [(i, "beta" if 10 <= i < 16 else text, s) for i, text, s in left if i != 3]
+    assert content(store.cleared(anew)) == expected(left) and found(anew) == whole(left, "anew") and not anew.parts[-1][0].endswith(store.CHANGES)
+
+
 @pytest.mark.parametrize("writes", range(5))
 def test_failure_between_writes(spark, tmp_path, monkeypatch, writes):
     path = str(tmp_path / "i")
