@@ -42,6 +42,48 @@ def test_watch_survives_restarts(spark, tmp_path):
     assert watch(spark, tmp_path, "whole", "other") == two
 
 
+class Store:
+    """What a watch asks of its store, counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.upto
+
+
+def test_watch_asks_its_store_a_few_times():
+    """However many rows of a key wait, it has one timer for them and one value."""
+    store, watcher = Store(), watches.Watch(1000)
+    watcher.init(store)
+    rows = [(7, None, at, at, "ab"[at // 50 % 2], at == 900) for at in range(999, -1, -1)]
+    watcher.handleInputRows((7,), iter(rows), store)
+    assert store.calls <= 3 and store.timers == [0]
+    store.calls, store.upto, told = 0, 425, []
+    told += watcher.handleExpiredTimer((7,), store, None)
+    assert store.calls <= 3 and store.timers == [0, 426]
+    store.upto = 5000
+    told += watcher.handleExpiredTimer((7,), store, None)
+    assert [(r.at, r.event, r.state) for r in told] == [*((at, "progress", "ab"[at // 50 % 2]) for at in range(0, 901, 50)), (900, "end", "a")] and len(store.timers) == 2
+    watcher.handleInputRows((7,), iter(rows), store)
+    assert watcher.handleExpiredTimer((7,), store, None).__length_hint__() == 0 and len(store.timers) == 2 and store.value[2:] == (True, "[]")
+
+
 def test_embedding_goes_on(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
